@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import audio, line_dedup, mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op9_media_audio": audio.op9_media_audio,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
@@ -19,5 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": mixing.ORACLE_SQL,
+        "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op10_url_filter": url_filter.oracle_sql(url_filter.default_model()),
     }
