@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, line_dedup, mixing, url_filter
+from . import audio, language, line_dedup, mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": mixing.op3_mix_sources,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_language_id": language.op8_language_id,
         "op9_media_audio": audio.op9_media_audio,
         "op10_url_filter": url_filter.op10_url_filter,
     }

@@ -42,6 +42,17 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Sent:
+    """A broadcast value, and a name by which worker processes can keep what they derive from it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.broadcast, self.id = spark.sparkContext.broadcast(value), uuid.uuid4().hex
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,6 +98,20 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+#: Bytes of text worked on at a time, at least one text.
+SLICE = 1 << 21
+
+
+def slices(batch: pa.RecordBatch, column: str | int = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``most`` bytes of text; bounds the temporaries by the longest text."""
+    _, offs = flat_text(batch.column(column))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(offs, offs[start] + most, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 _BYTES = random_u64(256, 11)
 _BYTES[[9, 10, 11, 12, 13, 32]] = 0
 _BYTES_LOWER = _BYTES.copy()
