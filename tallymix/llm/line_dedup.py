@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, GOLDEN, SEGMENT, U64, flat_text, is_space, mix64, random_u64, shared_folder, stored, table
+from .common import _BASE, GOLDEN, SEGMENT, U64, flat_text, is_space, mix64, random_u64, shared_folder, slices, stored, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARDS = 64
@@ -62,7 +62,7 @@ def line_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         return n_lines, none, none, none, none.astype(U64), none.astype(U64)
     lo = np.searchsorted(solid, start)
     hi = np.searchsorted(solid, end)
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    points = np.concatenate([np.zeros(1, np.int32), np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
     a = solid[np.minimum(lo, len(solid) - 1)]
     b = solid[np.maximum(hi - 1, 0)] + 1
     use = np.flatnonzero((hi > lo) & (points[np.maximum(b, a)] - points[a] >= MIN_CHARS))
@@ -113,7 +113,7 @@ def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, at = _unique(h1, h2)
         return h1[order][at], h2[order][at], np.add.reduceat(n[order], at), np.maximum.reduceat(top[order], at)
 
-    for b in batches:
+    for b in (part for batch in batches for part in slices(batch)):
         _, text, _, _, h1, h2 = line_keys(*flat_text(b.column(1)))
         if not len(text):
             continue
@@ -302,7 +302,7 @@ class LineIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filters = None if sent is None else {k: Cuckoo.of(v) for k, v in sent.value.items() if k != "pieces"}
-            for b in batches:
+            for b in (part for batch in batches for part in slices(batch)):
                 _, text, _, _, h1, h2 = line_keys(*flat_text(b.column(1)))
                 keep = np.ones(len(text), bool)
                 if filters is not None and len(text):
@@ -351,7 +351,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     schema = joined.drop("keys_").withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             got = [_kept(t.as_py(), k) for t, k in zip(b.column("text").cast(pa.binary()), b.column("keys_").to_pylist(), strict=True)]
             text = pa.array([g[0] for g in got], pa.binary()).cast(b.column("text").type)
             made = {"text": text, "n_lines": pa.array([g[1] for g in got], pa.int64()), "n_dropped": pa.array([g[2] for g in got], pa.int64())}
