@@ -117,7 +117,7 @@ _BYTES[[9, 10, 11, 12, 13, 32]] = 0
 _BYTES_LOWER = _BYTES.copy()
 _BYTES_LOWER[65:91] = _BYTES[97:123]
 _BASE = U64(0xD6E8FEB86659FD93)
-_POWERS = np.ones(64, U64)
+_POWERS = np.ones(1, U64)
 
 
 def _powers(n: int) -> np.ndarray:
