@@ -358,7 +358,11 @@ def set_links(docs: DataFrame, sets: DataFrame, folder: str) -> tuple[DataFrame,
     levels, list_length = document_levels(docs)
     small = boundary({r.size: r.n for r in sizes}, list_length)
     buckets = max(16, sum(r["all"] for r in sizes) // (4 * ENTRIES) + 1)
-    index = index_entries(docs, Sent(spark, levels), small, buckets)
+    return links_of_index(index_entries(docs, Sent(spark, levels), small, buckets), docs, sets, small, folder)
+
+
+def links_of_index(index: DataFrame, docs: DataFrame, sets: DataFrame, small: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Links and components from packed index entries (bucket, data): candidates, their verification, and the long lists once more."""
     schema = "kind int, a long, b long, key long, list binary"
     got = stored(index.groupBy("bucket").applyInArrow(lambda t: candidates(t, small), schema), folder, "candidates")
     lists = got.where("kind = 1")
@@ -377,11 +381,22 @@ def set_links(docs: DataFrame, sets: DataFrame, folder: str) -> tuple[DataFrame,
     return links, found
 
 
+def set_table(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n_shingles, set_id) of each document."""
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_set_rows, "doc_id long, n_shingles long, set_id long")
+    return stored(rows, folder, "sets")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id is the least doc_id that links lead to."""
     folder = shared_folder(docs.sparkSession)
-    sets = stored(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_set_rows, "doc_id long, n_shingles long, set_id long"), folder, "sets")
+    sets = set_table(docs, folder)
     _, found = set_links(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), sets, folder)
+    return named_components(sets, found, folder)
+
+
+def named_components(sets: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) from the documents' sets and the components of linked sets."""
     first = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
     in_component = first.join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     in_component = stored(in_component, folder, "members")
