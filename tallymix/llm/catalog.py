@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, fingerprints, jaccard_join, language, line_dedup, mixing, packing, url_filter
+from . import audio, fingerprints, jaccard_join, language, line_dedup, mixing, packing, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+        "op2_quality": quality.op2_quality,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_packing": packing.op6_packing,
