@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, fingerprints, jaccard_join, language, line_dedup, mixing, packing, quality, url_filter
+from . import audio, fingerprints, jaccard_join, language, line_dedup, mixing, packing, private, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jaccard_join": jaccard_join.op1_jaccard_join,
         "op2_quality": quality.op2_quality,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_private_data": private.op4_private_data,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_packing": packing.op6_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
