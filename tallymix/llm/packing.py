@@ -18,9 +18,9 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,11 @@ CAPACITY = 4096
 END = 2
 GROUP_ROWS = 4096
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 300_000
-_SPACE = re.compile("[ \n\t\r]+")
+WORDS_KEPT = 800_000
+MARK = "|"
+#: ASCII marks that the vocabulary keeps apart from letters before them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+LATIN = "\u00ff"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -53,6 +56,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -61,10 +65,49 @@ class Words:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and each word's number of ids.
+
+        The words go through the tokenizer as one text, with a mark between
+        them that is one id by itself and in none of them.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join([*words, ""])], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != len(words):
+            raise ValueError("the vocabulary doesn't keep the mark apart")
+        return ids[ids != self.mark], np.diff(marks, prepend=-1) - 1
+
     def _learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        sizes = np.array([len(g) for g in got], np.int64)
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
+        """Letters with ASCII marks behind them are split there, as the vocabulary splits them; the parts are learnt once."""
+        tails, plain = [], []
+        for w in words:
+            head = w.rstrip(MARKS)
+            if len(head) < len(w) and head.isalpha():
+                tails.append((w, head, w[len(head) :]))
+            else:
+                plain.append(w)
+        parts = {x for _, *ht in tails for x in ht if x not in self.number}
+        plain = list(parts.union(plain))
+        marked = [w for w in plain if MARK in w]
+        plain = [w for w in plain if MARK not in w]
+        if plain:
+            self._add(plain, *self._encoded(plain))
+        for w in marked:
+            own = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            self._add([w], own, np.array([len(own)]))
+        if tails := [x for x in tails if x[0] not in self.number]:
+            k = np.array([self.number[x] for _, *ht in tails for x in ht])
+            self._add([w for w, _, _ in tails], self._ids(k), self.size[k].reshape(-1, 2).sum(1))
+
+    def _ids(self, k: np.ndarray, more: int = 0) -> np.ndarray:
+        """The ids of the words of these numbers in a row, and room for some more."""
+        size = self.size[k]
+        total = int(size.sum())
+        out = np.empty(total + more, np.uint32)
+        out[:total] = self.ids[np.repeat(self.start[k] - (np.cumsum(size) - size), size) + np.arange(total)]
+        return out
+
+    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, total = len(self.number), self.used + len(flat)
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
@@ -79,18 +122,18 @@ class Words:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, followed by END."""
-        words = [_SPACE.split(t) for t in texts]
         if len(self.number) > WORDS_KEPT:
             self.clear()
-        new = {w for ws in words for w in ws if w not in self.number}
-        if new:
-            self._learn(sorted(new))
-        for ws in words:
-            k = np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws))
-            size = self.size[k]
-            total = int(size.sum())
-            out = np.empty(total + 1, np.uint32)
-            out[:-1] = self.ids[np.repeat(self.start[k] - (np.cumsum(size) - size), size) + np.arange(total)]
+        # where lower case is a matter of single Latin letters, less words are met
+        words = [(t.lower() if t.isascii() or max(t) <= LATIN else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        numbers = [np.fromiter(map(self.number.get, ws, repeat(-1)), np.int64, len(ws)) for ws in words]
+        missing = [np.flatnonzero(k < 0).tolist() for k in numbers]
+        if new := {ws[i] for ws, at in zip(words, missing, strict=True) for i in at}:
+            self._learn(list(new))
+        for ws, k, at in zip(words, numbers, missing, strict=True):
+            if at:
+                k[at] = [self.number[ws[i]] for i in at]
+            out = self._ids(k, 1)
             out[-1] = END
             yield out
 
