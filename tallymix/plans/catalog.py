@@ -1,15 +1,391 @@
-"""The queries over the driver's tables and the SQL that checks them."""
+"""The queries over the driver's tables and the SQL that checks them.
+
+The count matrix is parts by suppliers.  One-step queries use fixed factors:
+means 1 + (7 g + 3 k) mod 11 and weights 0.75 for the component c mod 3, else
+0.125.  Real results are rounded to 6 places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import special, vectors
+from ..operators import cluster, dispersed, ensemble, evaluate, experiment, factor, fitdist, likelihood, lineage, matrix, prep, prior, reduce, simulate
+from ..sources import tables, text
+
+K = 3
+_CACHE: dict[str, object] = {}
+
+
+def _x(spark: SparkSession, d: str) -> matrix.CountMatrix:
+    return tables.part_supplier(spark, d)
+
+
+def _ks() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(K - 1)))
+
+
+def _means(m: matrix.CountMatrix) -> DataFrame:
+    return m.genes.select("gene_id", _ks().alias("k")).withColumn("m", (1 + F.pmod(F.col("gene_id") * 7 + F.col("k") * 3, F.lit(11))).cast("double"))
+
+
+def _weights(m: matrix.CountMatrix) -> DataFrame:
+    return m.cells.select("cell_id", _ks().alias("k")).withColumn("w", F.when(F.pmod("cell_id", F.lit(3)) == F.col("k"), 0.75).otherwise(0.125))
+
+
+def _labels(m: matrix.CountMatrix) -> DataFrame:
+    return m.cells.select("cell_id", F.pmod("cell_id", F.lit(3)).cast("int").alias("cluster"))
+
+
+def _true(m: matrix.CountMatrix) -> DataFrame:
+    return m.cells.select("cell_id", F.pmod(F.floor(F.col("cell_id") / 4), F.lit(5)).cast("int").alias("label"))
+
+
+def _am(m):
+    return matrix.packed_factor(_means(m), "gene_id", "m")
+
+
+def _aw(m):
+    return matrix.packed_factor(_weights(m), "cell_id", "w")
+
+
+def _r(df: DataFrame, *names: str) -> DataFrame:
+    """Rounded, without a negative zero."""
+    return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in names})
+
+
+def _entries(m: matrix.CountMatrix) -> DataFrame:
+    return _r(m.entries, "value")
+
+
+def _w_long(df: DataFrame, key: str = "cell_id", value: str = "w") -> DataFrame:
+    return _r(df.select(key, F.posexplode(value).alias("k", "value")), "value")
+
+
+def _small_genes(spark, d) -> DataFrame:
+    return tables.table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("gene_id"))
+
+
+def _points(spark, d) -> DataFrame:
+    """Embeddings' first two dimensions as places, labels as clusters."""
+    return tables.embedding_points(spark, d).select("cell_id", F.col("label").cast("int").alias("cluster"), F.round(F.get("vec", F.lit(0)), 6).alias("fx"), F.round(F.get("vec", F.lit(1)), 6).alias("fy"))
+
+
+def _prior(m: matrix.CountMatrix) -> DataFrame:
+    """A qualitative prior of four types; genes that divide by 17 are missing."""
+    rows = m.genes.select("gene_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    return rows.withColumn("q", F.when(F.pmod("gene_id", F.lit(17)) == 0, -1.0).otherwise(F.pmod(F.col("gene_id") * 5 + F.col("k") * 7, F.lit(9)).cast("double")))
+
+
+def _sweep_m(m: matrix.CountMatrix) -> DataFrame:
+    weights = _am(m).select(F.col("gene_id").alias("cell_id"), F.col("m").alias("w"))
+    means = _aw(m).select(F.col("cell_id").alias("gene_id"), F.col("w").alias("m"))
+    return factor.sweep(m.T, means, weights, K).withColumnRenamed("cell_id", "gene_id")
+
+
+def _pair_distance(fn) -> Callable[[SparkSession, str], DataFrame]:
+    """Each cell's weights against the mixture that its successor would have."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        m = _x(spark, d)
+        other = F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda j: F.when(F.pmod(F.col("cell_id") + 1, F.lit(3)) == j, F.lit(0.5)).otherwise(F.lit(0.25)))
+        return _r(_aw(m).select("cell_id", fn(F.col("w"), other).alias("value")), "value")
+
+    return run
+
+
+def _imputed(m: matrix.CountMatrix) -> DataFrame:
+    return matrix.reconstruction_at(m.entries, _am(m), _aw(m))
+
+
+def _one(df: DataFrame, *names: str) -> DataFrame:
+    return _r(df, *(names or df.columns))
+
+
+def _fit_errors(spark: SparkSession, d: str) -> DataFrame:
+    return _r(fitdist.fit_errors(_x(spark, d)), "poiss", "norm", "lognorm")
+
+
+def _estimate(spark: SparkSession, d: str) -> factor.Estimate:
+    """The flagship's model, kept by folder while the session lives."""
+    key = f"{id(spark)}:{d}"
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = factor.poisson_estimate_state(_x(spark, d), K, max_iters=5, inner_max_iters=30, initialization="random")
+    return _CACHE[key]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State estimation of suppliers by ordered parts: each supplier's weights and its largest component."""
+    e = _estimate(spark, sf_dir)
+    return e.weights.select("cell_id", vectors.argmax(F.col("w")).alias("cluster"), "w").orderBy("cell_id")
+
+
+def _recovery(spark: SparkSession, d: str) -> tuple[matrix.CountMatrix, DataFrame]:
+    """A simulated matrix of three separate clusters, as many cells as there are suppliers, 150 at least."""
+    centers = [[1, 10, 20], [1, 11, 1], [50, 1, 100], [5, 30, 2], [2, 3, 40], [25, 4, 6]]
+    import numpy as np
+
+    n = max(150, min(2000, tables.table(spark, d, "supplier").count()))
+    return simulate.poisson_data(spark, np.array(centers, float), n, seed=7)
+
+
+def _metrics(spark, labels: DataFrame, true: DataFrame) -> DataFrame:
+    t = evaluate.contingency(labels, true).persist()
+    return evaluate.purity(t).crossJoin(evaluate.nmi(t)).crossJoin(evaluate.ari(t))  # one row each
+
+
+def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Operators beyond SQL; the repository's tests hold them against plain versions and recovery bounds."""
+
+    def on(fn):
+        return lambda s, d: fn(s, *_recovery(s, d))
+
+    weights = lambda e: e.weights
+    return {
+        "poisson_state_estimation": flagship,
+        "kmeans_pp": lambda s, d: cluster.kmeans_pp(_x(s, d), K, seed=1)[1],
+        "poisson_cluster": on(lambda s, m, y: _metrics(s, cluster.poisson_cluster(m, 3)[0], y)),
+        "zip_cluster": on(lambda s, m, y: _metrics(s, cluster.zip_cluster(m, 3, 10)[0], y)),
+        "nb_cluster": on(lambda s, m, y: _metrics(s, cluster.nb_cluster(m, 3, 5)[0], y)),
+        "run_state_estimation": on(lambda s, m, y: factor.run_state_estimation(m, 3, "poisson", max_iters=3, inner_max_iters=20).weights),
+        "zip_state_estimation": on(lambda s, m, y: factor.run_state_estimation(m, 3, "zip", max_iters=3, inner_max_iters=20).weights),
+        "nb_state_estimation": on(lambda s, m, y: factor.run_state_estimation(m, 3, "nb", max_iters=2, inner_max_iters=20).weights),
+        "run_baseline": on(lambda s, m, y: weights(factor.run_baseline(m, 3))),
+        "update_m": lambda s, d: factor.update_m(_x(s, d), _estimate(s, d), 20).means,
+        "norm_nmf": on(lambda s, m, y: factor.norm_nmf(m, 3, max_iters=30).weights),
+        "log_norm_nmf": on(lambda s, m, y: factor.log_norm_nmf(m, 3, max_iters=30).weights),
+        "lda_state_estimation": on(lambda s, m, y: factor.lda_estimate_state(m, 3, max_iters=10).weights),
+        "gap_statistic": on(lambda s, m, y: s.createDataFrame([(k, *cluster.gap(cluster.reduced(m), k, 2)) for k in (1, 3)], "k int, gap double, s double")),
+        "truncated_svd": on(lambda s, m, y: factor.truncated_svd(prep.log_norm(m), 3)[0]),
+        "pca": on(lambda s, m, y: reduce.pca(prep.log_norm(m), 2)),
+        "tsne": on(lambda s, m, y: reduce.embed_tsne(factor.truncated_svd(prep.log_norm(m), 3)[0].withColumnRenamed("vec", "w").orderBy("cell_id"))),
+        "mds": lambda s, d: reduce.mds(_estimate(s, d).means.select("gene_id", F.posexplode("m").alias("k", "m")), _estimate(s, d).weights),
+        "diffusion_mds": lambda s, d: reduce.diffusion_mds(_estimate(s, d).means.select("gene_id", F.posexplode("m").alias("k", "m")), _estimate(s, d).weights),
+        "diffusion_impute": on(lambda s, m, y: reduce.diffusion_impute(m, 3, 2, 10, 5)),
+        "run_lineage": lambda s, d: lineage.run_lineage(_estimate(s, d).means.select("gene_id", F.posexplode("m").alias("k", "m")), _estimate(s, d).weights)[1],
+        "nb_fit": lambda s, d: dispersed.nb_fit(_x(s, d)),
+        "zip_fit": lambda s, d: dispersed.zip_fit(_x(s, d)),
+        "qual_norm": lambda s, d: prior.qual_norm(_x(s, d), _prior(_x(s, d))),
+        "qual_norm_gaussian": lambda s, d: prior.qual_norm_gaussian(_x(s, d), _prior(_x(s, d))),
+        "qual_norm_filter_genes": lambda s, d: prior.qual_norm_filter_genes(_x(s, d), _prior(_x(s, d)))[0],
+        "dist_fit_best": lambda s, d: fitdist.best_distribution(_x(s, d)),
+        "simulate_poisson": on(lambda s, m, y: m.entries),
+        "simulate_states": lambda s, d: simulate.state_data(s, *simulate.poisson_states(3, 100, 50)).entries,
+        "simulate_lineage": lambda s, d: simulate.state_data(s, *simulate.poisson_lineage(3, 30, 20)).entries,
+        "downsample": lambda s, d: simulate.downsample(_x(s, d), 0.1).entries,
+        "hold_out": lambda s, d: simulate.hold_out(_x(s, d), 0.1)[1],
+        "dbscan": lambda s, d: cluster.dbscan(_points(s, d).select("cell_id", F.array("fx", "fy").alias("vec")), 0.05, 5),
+        "consensus": on(lambda s, m, y: cluster.consensus(ensemble.stacked([cluster.poisson_cluster(m, 3, seed=j)[0] for j in range(3)]), 3)),
+        "poisson_consensus": on(lambda s, m, y: ensemble.poisson_consensus(m, 3, 2, max_iters=2, inner_max_iters=10).weights),
+        "nmf_ensemble": on(lambda s, m, y: ensemble.nmf_ensemble(m, 3, 2).weights),
+        "residual_nmf": on(lambda s, m, y: ensemble.residual_nmf(m, 3).weights),
+        "run_experiment": on(lambda s, m, y: experiment.run_experiment([(experiment.IDENTITY, experiment.POISSON), ([experiment.LOG_NORM, experiment.svd(3)], experiment.KMEANS)], m, 3, y, n_runs=1).select("run", "method", "metric", "value")),
+    }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    m = lambda fn: lambda s, d: fn(_x(s, d))
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+        "counts_long": m(lambda x: _entries(x)),
+        "cell_totals": m(lambda x: _r(prep.cell_totals(x), "total")),
+        "gene_totals": m(lambda x: _r(prep.gene_totals(x), "total")),
+        "gene_mean_var": m(lambda x: _r(prep.gene_mean_var(x), "mean", "var")),
+        "cell_normalize": m(lambda x: _entries(prep.cell_normalize(x))),
+        "log_norm": m(lambda x: _entries(prep.log_norm(x))),
+        "max_variance_genes": m(lambda x: prep.max_variance_genes(x).select("gene_id", "bin", "place")),
+        "gene_subset": lambda s, d: _entries(_x(s, d).select_genes(_small_genes(s, d))),
+        "gene_complement": lambda s, d: _entries(_x(s, d).drop_genes(_small_genes(s, d))),
+        "nb_gene_mask": m(lambda x: prep.nb_genes(x)),
+        "value_histogram": m(lambda x: prep.value_histogram(x)),
+        "bounding_box": lambda s, d: _r(prep.bounding_box(tables.embedding_points(s, d)), "low", "high"),
+        "poisson_ll": m(lambda x: _r(likelihood.poisson_ll(x, _means(x)), "ll")),
+        "poisson_assign": m(lambda x: cluster.poisson_assign(x, _means(x))),
+        "poisson_dist_mat": m(lambda x: _r(likelihood.poisson_dist_mat(x, _means(x)), "dist")),
+        "nb_ll": m(lambda x: _r(likelihood.nb_ll(x, _means(x).select("gene_id", "k", F.lit(0.3).alias("p"), F.col("m").alias("r"))), "ll")),
+        "zip_ll": m(lambda x: _r(likelihood.zip_ll(x, _means(x).withColumn("z", F.col("k") * 0.2)), "ll")),
+        "poisson_objective": m(lambda x: _one(likelihood.poisson_objective(x, _means(x), _weights(x)))),
+        "frobenius_cost": m(lambda x: _one(likelihood.frobenius_cost(x, _means(x), _weights(x)))),
+        "poisson_test_w2": m(lambda x: _r(likelihood.poisson_test(x.entries.join(_labels(x), "cell_id").withColumn("side", F.least("cluster", F.lit(1))), "gene_id"), "w2")),
+        "mdl": lambda s, d: s.createDataFrame([(round(likelihood.mdl(100.0, K, _x(s, d)), 4),)], "mdl double"),
+        "cluster_means": m(lambda x: _r(cluster.cluster_means(x, _labels(x), K), "m")),
+        "em_step": m(lambda x: cluster.em_step(x, _labels(x), K)),
+        "zip_moments": m(lambda x: _r(cluster.zip_moments(x), "lam", "pi")),
+        "nb_moments": m(lambda x: _r(dispersed.nb_moments(x), "p", "r")),
+        "init_from_assignments": m(lambda x: _w_long(_labels(x).select("cell_id", vectors.soft_one_hot(F.col("cluster"), K).alias("w")))),
+        "nolips_w_step": m(lambda x: _w_long(factor.sweep(x, _am(x), _aw(x), K))),
+        "nolips_m_step": m(lambda x: _w_long(_sweep_m(x), "gene_id")),
+        "nolips_regularized": m(lambda x: _w_long(factor.sweep(x, _am(x), _aw(x), K, 2.5))),
+        "update_m_init": lambda s, d: _r(factor.update_m_init(_x(s, d), _means(_x(s, d)).join(_small_genes(s, d), "gene_id", "left_semi"), _weights(_x(s, d))), "m"),
+        "fuzzy_weights": m(lambda x: _r(factor.fuzzy_weights(likelihood.poisson_dist_mat(x, _means(x))), "w")),
+        "imputed_entries": m(lambda x: _r(_imputed(x), "value", "mw")),
+        "imputation_error": m(lambda x: _one(evaluate.imputation_error(_imputed(x)))),
+        "poisson_dist": _pair_distance(vectors.poisson_dist),
+        "poisson_ll_2": _pair_distance(vectors.poisson_ll_2),
+        "symmetric_kld": _pair_distance(vectors.symmetric_kld),
+        "jensen_shannon": _pair_distance(vectors.jensen_shannon),
+        "w_normalize": m(lambda x: _w_long(_am(x).select("gene_id", vectors.normalized(F.col("m")).alias("w")), "gene_id")),
+        "diffusion_round": m(lambda x: _w_long(reduce.diffused(_aw(x), 1))),
+        "state_distances": m(lambda x: _r(reduce.state_distances(_means(x)), "d")),
+        "mds_projection": m(lambda x: _w_long(reduce.project(x.genes.sparkSession.createDataFrame([(0, [0.0, 1.0]), (1, [2.0, -1.0]), (2, [0.5, 3.0])], "k int, x array<double>"), _aw(x)), value="x")),
+        "curve_edges": lambda s, d: lineage.curve_edges(_points(s, d), "fx"),
+        "nearest_links": lambda s, d: lineage.nearest_links(_points(s, d)),
+        "pseudotime": lambda s, d: _r(lineage.pseudotime(0, tables.table(s, d, "nation").select((F.col("n_nationkey") + 0).cast("long").alias("src"), F.pmod(F.col("n_nationkey") * 2 + 1, F.lit(25)).cast("long").alias("dst")), tables.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("cell_id"), F.col("n_nationkey").cast("double").alias("fx"), F.col("n_regionkey").cast("double").alias("fy"))), "time"),
+        "contingency": m(lambda x: evaluate.contingency(_labels(x), _true(x))),
+        "purity": m(lambda x: _one(evaluate.purity(evaluate.contingency(_labels(x), _true(x))))),
+        "nmi": m(lambda x: _one(evaluate.nmi(evaluate.contingency(_labels(x), _true(x))))),
+        "ari": m(lambda x: _one(evaluate.ari(evaluate.contingency(_labels(x), _true(x))))),
+        "nne_1nn": lambda s, d: _one(evaluate.nearest_label_accuracy(tables.embedding_points(s, d), "cell_id", "vec", "label")),
+        "binarize": m(lambda x: prior.binarize(_prior(x))),
+        "missing_genes": m(lambda x: prior.missing_genes(_prior(x))),
+        "mean_normalized_prior": m(lambda x: _r(prior.mean_normalized_prior(_prior(x).where("q >= 0"), 100.0), "m")),
+        "qual_norm_output": m(lambda x: _r(prior.output_from_levels(_prior(x), x.genes.select("gene_id", F.pmod("gene_id", F.lit(5)).cast("double").alias("low"), (F.pmod("gene_id", F.lit(7)) + 5).cast("double").alias("high"))), "m")),
+        "dist_fit_errors": _fit_errors,
+        "special_functions": m(lambda x: _r(x.genes.select("gene_id", special.lgamma(F.col("gene_id") / 7.0).alias("lgamma"), special.log_ncr(F.col("gene_id") + 10.0, F.lit(3.5)).alias("log_ncr"), special.normal_pdf(F.col("gene_id") / 100.0, F.lit(1.0), F.lit(2.0)).alias("pdf"), special.poly_curve(F.col("gene_id") / 1000.0, F.array(*(F.lit(v) for v in (1.0, -2.0, 0.7310585)))).alias("poly"), special.fourier_series(F.col("gene_id") / 100.0, F.array(*(F.lit(v) for v in (1.0, 0.5, -0.25))), F.lit(2.0)).alias("fourier")), "lgamma", "log_ncr", "pdf", "poly", "fourier")),
+        "libsvm_lines": m(lambda x: text.libsvm_lines(x)),
+        "word_lines": m(lambda x: text.word_lines(x)),
+        "event_counts": lambda s, d: _entries(tables.event_user(s, d)),
+        "argmax_weights": m(lambda x: _am(x).select("gene_id", vectors.argmax(F.col("m")).alias("top"))),
+    }
+    return out | _iterative()
+
+
+_X = """x AS (SELECT l_partkey AS g, l_suppkey AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+genes AS (SELECT p_partkey AS g FROM part), cells AS (SELECT s_suppkey AS c FROM supplier),
+ks AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS k),
+m AS (SELECT g, k, CAST(1 + (g * 7 + k * 3) % 11 AS DOUBLE) AS m FROM genes, ks),
+w AS (SELECT c, k, CASE WHEN c % 3 = k THEN 0.75 ELSE 0.125 END::DOUBLE AS w FROM cells, ks),
+lab AS (SELECT c, CAST(c % 3 AS INTEGER) AS cluster, CAST((c // 4) % 5 AS INTEGER) AS label FROM cells),
+tot AS (SELECT cells.c, coalesce(sum(v), 0) AS total FROM cells LEFT JOIN x ON x.c = cells.c GROUP BY 1),
+mv AS (SELECT genes.g, coalesce(sum(v), 0) / n AS mean, coalesce(sum(v * v), 0) / n - (coalesce(sum(v), 0) / n) ** 2 AS var
+       FROM genes LEFT JOIN x ON x.g = genes.g, (SELECT count(*)::DOUBLE AS n FROM cells) GROUP BY genes.g, n),
+mw AS (SELECT x.g, x.c, any_value(v) AS v, sum(m * w) AS mw FROM x JOIN m ON m.g = x.g JOIN w ON w.c = x.c AND w.k = m.k GROUP BY 1, 2),
+prior AS (SELECT g, CAST(k AS INTEGER) AS k, CASE WHEN g % 17 = 0 THEN -1.0 ELSE (g * 5 + k * 7) % 9 END::DOUBLE AS q FROM genes, (SELECT unnest(range(4)) AS k)),
+pts AS (SELECT vec_id AS cell_id, label AS cluster, round(CAST(embedding[1] AS DOUBLE), 6) AS fx, round(CAST(embedding[2] AS DOUBLE), 6) AS fy FROM embeddings)"""
+
+_ASSIGN = "SELECT c AS cell_id, CAST(arg_max(k, (round(ll, 9), -k)) AS INTEGER) AS cluster FROM ll GROUP BY c"
+
+
+def _center_sql(zero: str, diff: str, centers: str = "m") -> str:
+    """(c, k, ll) by the term of an absent entry and an entry's difference to it."""
+    return f"""(SELECT b.c, b.k, b.base + coalesce(d.d, 0) AS ll FROM (SELECT cells.c, z.k, z.base FROM cells, (SELECT k, sum({zero}) AS base FROM {centers} GROUP BY k) z) b
+ LEFT JOIN (SELECT x.c, k, sum({diff}) AS d FROM x JOIN {centers} USING (g) GROUP BY 1, 2) d ON d.c = b.c AND d.k = b.k)"""
+
+
+def _pair_sql(term: str) -> str:
+    return f"SELECT c AS cell_id, round(sum({term}), 6) + 0.0 AS value FROM (SELECT c, w AS a, CASE WHEN (c + 1) % 3 = k THEN 0.5 ELSE 0.25 END::DOUBLE AS b FROM w) GROUP BY c"
+
+
+def _sweep_sql(reg: float) -> str:
+    return f"""SELECT w.c AS cell_id, w.k, round(CASE WHEN 1 + w / (2 * total + 1e-8) * ({reg} + sm - coalesce(pull, 0)) > 0 THEN w / (1 + w / (2 * total + 1e-8) * ({reg} + sm - coalesce(pull, 0))) ELSE 0 END, 6) + 0.0 AS value
+FROM w JOIN tot ON tot.c = w.c JOIN (SELECT k, sum(m) AS sm FROM m GROUP BY k) s ON s.k = w.k
+LEFT JOIN (SELECT mw.c, m.k, sum(m * v / (mw + 1e-10)) AS pull FROM mw JOIN m ON m.g = mw.g GROUP BY 1, 2) p ON p.c = w.c AND p.k = w.k"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    dist = _center_sql("(0 - m) * (ln(1e-10) - ln(m + 1e-10))", "(v - m) * (ln(v + 1e-10) - ln(m + 1e-10)) - (0 - m) * (ln(1e-10) - ln(m + 1e-10))")
+    table = "(SELECT cluster, label, count(*) AS n FROM lab GROUP BY 1, 2)"
+    body = {
+        "counts_long": "SELECT g AS gene_id, c AS cell_id, round(v, 6) AS value FROM x",
+        "cell_totals": "SELECT c AS cell_id, round(total, 6) AS total FROM tot",
+        "gene_totals": "SELECT genes.g AS gene_id, round(coalesce(sum(v), 0), 6) AS total FROM genes LEFT JOIN x ON x.g = genes.g GROUP BY 1",
+        "gene_mean_var": "SELECT g AS gene_id, round(mean, 6) AS mean, round(var, 6) + 0.0 AS var FROM mv",
+        "cell_normalize": "SELECT g AS gene_id, x.c AS cell_id, round(v / total * (SELECT median(total) FROM tot), 6) AS value FROM x JOIN tot ON tot.c = x.c",
+        "log_norm": "SELECT g AS gene_id, x.c AS cell_id, round(ln(1 + v / total * (SELECT median(total) FROM tot)), 6) AS value FROM x JOIN tot ON tot.c = x.c",
+        "max_variance_genes": """SELECT g AS gene_id, CAST(bin AS INTEGER) AS bin, CAST(row_number() OVER (ORDER BY bin, vr DESC) - 1 AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY bin ORDER BY var DESC, g) AS vr FROM (
+    SELECT *, least(rn // greatest(n // 5, 1), 4) AS bin FROM (SELECT *, row_number() OVER (ORDER BY mean, g) - 1 AS rn, count(*) OVER () AS n FROM mv)))
+WHERE vr <= floor(greatest(n // 5, 1) * 0.2) AND var > 0""",
+        "gene_subset": "SELECT x.g AS gene_id, c AS cell_id, round(v, 6) AS value FROM x JOIN part ON p_partkey = x.g WHERE p_size <= 10",
+        "gene_complement": "SELECT x.g AS gene_id, c AS cell_id, round(v, 6) AS value FROM x JOIN part ON p_partkey = x.g WHERE p_size > 10",
+        "nb_gene_mask": "SELECT g AS gene_id, mean < 0.9 * var AS is_nb FROM mv",
+        "value_histogram": """SELECT t.g AS gene_id, CAST(t.bin AS INTEGER) AS bin, CASE WHEN t.bin = 0 THEN (SELECT count(*) FROM cells) - t.nz ELSE coalesce(h.n, 0) END AS n
+FROM (SELECT g, nz, unnest(range(CAST(top AS BIGINT) + 1)) AS bin FROM (SELECT genes.g, coalesce(max(round(v)), 0) AS top, count(v) FILTER (WHERE round(v) > 0) AS nz FROM genes LEFT JOIN x ON x.g = genes.g GROUP BY 1)) t
+LEFT JOIN (SELECT g, CAST(round(v) AS BIGINT) AS bin, count(*) AS n FROM x GROUP BY 1, 2) h ON h.g = t.g AND h.bin = t.bin""",
+        "bounding_box": "SELECT CAST(i AS INTEGER) AS k, round(min(CAST(e AS DOUBLE)), 6) AS low, round(max(CAST(e AS DOUBLE)), 6) AS high FROM (SELECT unnest(embedding) AS e, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY i",
+        "poisson_ll": f"SELECT c AS cell_id, k, round(ll, 6) AS ll FROM {_center_sql('-m', 'v * ln(m + 1e-10)')}",
+        "poisson_assign": f"WITH ll AS {_center_sql('-m', 'v * ln(m + 1e-10)')} {_ASSIGN}",
+        "poisson_dist_mat": f"SELECT c AS cell_id, k, round(ll, 6) AS dist FROM {dist}",
+        "nb_ll": f"SELECT c AS cell_id, k, round(ll, 6) AS ll FROM {_center_sql('m * ln(0.7)', 'lgamma(m + v) - lgamma(m) + v * ln(0.3)')}",
+        "zip_ll": f"""WITH z AS (SELECT g, k, m, k * 0.2 AS z FROM m) SELECT c AS cell_id, k, round(ll, 6) AS ll FROM {_center_sql("CASE WHEN z <= 0 THEN -m ELSE ln(z + (1 - z) * exp(-m)) END", "ln(greatest(1 - z, 1e-10)) + v * ln(m + 1e-10) - m - CASE WHEN z <= 0 THEN -m ELSE ln(z + (1 - z) * exp(-m)) END", "z")}""",
+        "poisson_objective": "SELECT round(((SELECT sum(sm * sw) FROM (SELECT k, sum(m) AS sm FROM m GROUP BY k) a JOIN (SELECT k, sum(w) AS sw FROM w GROUP BY k) b USING (k)) - (SELECT sum(v * ln(mw + 1e-10)) FROM mw)) / (SELECT count(*) FROM genes), 6) AS cost",
+        "frobenius_cost": "SELECT round(0.5 * sum((coalesce(v, 0) - p) ** 2), 6) AS cost FROM (SELECT m.g, w.c, sum(m * w) AS p FROM m JOIN w ON w.k = m.k GROUP BY 1, 2) a LEFT JOIN x ON x.g = a.g AND x.c = a.c",
+        "poisson_test_w2": """SELECT gene_id, round((x1 - x0 * n1 / n0) / sqrt((x0 + x1) * n1 / n0), 6) AS w2 FROM (
+SELECT x.g AS gene_id, sum(CASE WHEN x.c % 3 = 0 THEN v + 1e-5 ELSE 0 END) AS x0, sum(CASE WHEN x.c % 3 > 0 THEN v + 1e-5 ELSE 0 END) AS x1,
+ sum(CASE WHEN x.c % 3 = 0 THEN 1.0 ELSE 0 END)::DOUBLE AS n0, sum(CASE WHEN x.c % 3 > 0 THEN 1.0 ELSE 0 END)::DOUBLE AS n1 FROM x GROUP BY 1) WHERE n0 > 0 AND n1 > 0""",
+        "mdl": "SELECT round(100.0 + (g * c + c * 3) * ln(t / (g * 3)), 4) AS mdl FROM (SELECT (SELECT count(*) FROM genes)::DOUBLE AS g, (SELECT count(*) FROM cells)::DOUBLE AS c, (SELECT sum(v) FROM x) AS t)",
+        "cluster_means": "SELECT m.g AS gene_id, m.k, round(coalesce(s, 0) / n, 6) AS m FROM m JOIN (SELECT cluster AS k, count(*) AS n FROM lab GROUP BY 1) z ON z.k = m.k LEFT JOIN (SELECT g, cluster AS k, sum(v) AS s FROM x JOIN lab ON lab.c = x.c GROUP BY 1, 2) t ON t.g = m.g AND t.k = m.k",
+        "em_step": f"""WITH cm AS (SELECT m.g, m.k, coalesce(s, 0) / n AS m FROM m JOIN (SELECT cluster AS k, count(*) AS n FROM lab GROUP BY 1) z ON z.k = m.k LEFT JOIN (SELECT g, cluster AS k, sum(v) AS s FROM x JOIN lab ON lab.c = x.c GROUP BY 1, 2) t ON t.g = m.g AND t.k = m.k),
+ll AS {_center_sql('-m', 'v * ln(m + 1e-10)', 'cm')} {_ASSIGN}""",
+        "zip_moments": "SELECT g AS gene_id, round(greatest(0, coalesce(mean + var / nullif(mean, 0) - 1, 0)), 6) + 0.0 AS lam, round(least(1, greatest(0, coalesce((var - mean) / nullif(mean * mean + var - mean, 0), 0))), 6) + 0.0 AS pi FROM mv",
+        "nb_moments": "SELECT g AS gene_id, round(1 - mean / var, 6) AS p, round(mean * (mean / var) / (1 - mean / var), 6) AS r FROM mv WHERE var > mean AND mean > 0",
+        "init_from_assignments": "SELECT c AS cell_id, k, CASE WHEN c % 3 = k THEN 0.75 ELSE 0.125 END::DOUBLE AS value FROM w",
+        "nolips_w_step": _sweep_sql(0.0),
+        "nolips_regularized": _sweep_sql(2.5),
+        "nolips_m_step": """SELECT m.g AS gene_id, m.k, round(CASE WHEN d > 0 THEN m / d ELSE 0 END, 6) + 0.0 AS value FROM (
+SELECT m.g, m.k, m, 1 + m / (2 * coalesce(t, 0) + 1e-8) * (sw - coalesce(pull, 0)) AS d FROM m JOIN (SELECT k, sum(w) AS sw FROM w GROUP BY k) s ON s.k = m.k
+LEFT JOIN (SELECT g, sum(v) AS t FROM x GROUP BY 1) t ON t.g = m.g
+LEFT JOIN (SELECT mw.g, w.k, sum(w * v / (mw + 1e-10)) AS pull FROM mw JOIN w ON w.c = mw.c GROUP BY 1, 2) p ON p.g = m.g AND p.k = m.k) m""",
+        "update_m_init": "SELECT m.g AS gene_id, m.k, round(CASE WHEN p_size <= 10 THEN m ELSE coalesce(s, 0) END, 6) AS m FROM m JOIN part ON p_partkey = m.g LEFT JOIN (SELECT x.g, w.k, sum(v * w) AS s FROM x JOIN w ON w.c = x.c GROUP BY 1, 2) t ON t.g = m.g AND t.k = m.k",
+        "fuzzy_weights": f"SELECT c AS cell_id, k, round(1 / greatest(ll, 1e-10) ** 2 / sum(1 / greatest(ll, 1e-10) ** 2) OVER (PARTITION BY c), 6) AS w FROM {dist}",
+        "imputed_entries": "SELECT g AS gene_id, c AS cell_id, round(v, 6) AS value, round(mw, 6) AS mw FROM mw",
+        "imputation_error": """SELECT round(sqrt(avg((v - mw) ** 2)), 6) AS rmse, round(sqrt(avg(((v - mw) / v) ** 2)), 6) AS relative_rmse, round(corr(v, mw), 6) AS pearson, round(corr(rv, rm), 6) AS spearman
+FROM (SELECT v, mw, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rv, rank() OVER (ORDER BY mw) + (count(*) OVER (PARTITION BY mw) - 1) / 2.0 AS rm FROM mw)""",
+        "poisson_dist": _pair_sql("(a - b) * ln((a + 1e-10) / (b + 1e-10))"),
+        "poisson_ll_2": _pair_sql("-(b + 1e-10) + (a + 1e-10) * ln(b + 1e-10)"),
+        "symmetric_kld": _pair_sql("a * log2(a / (b + 1e-10) + 1e-10) + b * log2(b / (a + 1e-10) + 1e-10)"),
+        "jensen_shannon": _pair_sql("a * log2(a / ((a + b) / 2 + 1e-10)) + b * log2(b / ((a + b) / 2 + 1e-10))"),
+        "w_normalize": "SELECT g AS gene_id, k, round(m / sum(m) OVER (PARTITION BY g), 6) AS value FROM m",
+        "diffusion_round": "SELECT c AS cell_id, k, round(w * w / sum(w * w) OVER (PARTITION BY c), 6) AS value FROM w",
+        "state_distances": "SELECT a.k AS i, b.k AS j, round(sum((a.m - b.m) * (ln(a.m + 1e-10) - ln(b.m + 1e-10))), 6) AS d FROM m a JOIN m b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2",
+        "mds_projection": "SELECT c AS cell_id, CAST(d AS INTEGER) AS k, round(sum(w * x), 6) + 0.0 AS value FROM w JOIN (VALUES (0, 0, 0.0), (0, 1, 1.0), (1, 0, 2.0), (1, 1, -1.0), (2, 0, 0.5), (2, 1, 3.0)) s(k, d, x) ON s.k = w.k GROUP BY 1, 2",
+        "curve_edges": "SELECT * FROM (SELECT cell_id AS src, lead(cell_id) OVER (PARTITION BY cluster ORDER BY fx, cell_id) AS dst FROM pts) WHERE dst IS NOT NULL",
+        "nearest_links": "SELECT e.src AS src, e.dst AS dst FROM (SELECT a.cluster, min({'d': round((a.fx - b.fx) ** 2 + (a.fy - b.fy) ** 2, 9), 'src': a.cell_id, 'dst': b.cell_id}) AS e FROM pts a JOIN pts b ON a.cluster <> b.cluster GROUP BY 1)",
+        "pseudotime": """, n AS (SELECT n_nationkey::BIGINT AS id, n_nationkey::DOUBLE AS x, n_regionkey::DOUBLE AS y FROM nation),
+e0 AS (SELECT id AS src, (id * 2 + 1) % 25 AS dst FROM n), e1 AS (SELECT src, dst FROM e0 UNION ALL SELECT dst, src FROM e0),
+e AS (SELECT src, dst, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM e1 JOIN n a ON a.id = src JOIN n b ON b.id = dst),
+walk AS (SELECT 0::BIGINT AS id, 0.0::DOUBLE AS t, 0 AS steps UNION SELECT e.dst, min(walk.t + e.d), walk.steps + 1 FROM walk JOIN e ON e.src = walk.id WHERE walk.steps < 25 GROUP BY e.dst, walk.steps)
+SELECT n.id AS cell_id, round(min(t), 6) AS time FROM n LEFT JOIN walk ON walk.id = n.id GROUP BY 1""",
+        "contingency": "SELECT cluster, label, count(*) AS n FROM lab GROUP BY 1, 2",
+        "purity": f"SELECT round(sum(top) / sum(a), 6) AS purity FROM (SELECT cluster, max(n) AS top, sum(n) AS a FROM {table} GROUP BY 1)",
+        "nmi": f"""SELECT round(mi / ((hc + hl) / 2), 6) AS nmi FROM (SELECT
+ (SELECT sum(n / t * ln(n * t / (nc * nl))) FROM (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY cluster) AS nc, sum(n) OVER (PARTITION BY label) AS nl FROM {table})) AS mi,
+ (SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY cluster)) AS hc,
+ (SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY label)) AS hl)""",
+        "ari": f"""SELECT round((s - a * b / t) / ((a + b) / 2 - a * b / t), 6) + 0.0 AS ari FROM (SELECT
+ (SELECT sum(n * (n - 1) / 2) FROM {table}) AS s, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM lab GROUP BY cluster)) AS a,
+ (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM lab GROUP BY label)) AS b, (SELECT count(*) * (count(*) - 1) / 2 FROM lab) AS t)""",
+        "nne_1nn": """, u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS i FROM embeddings),
+d AS (SELECT a.vec_id AS a, b.vec_id AS b, any_value(a.label) AS la, any_value(b.label) AS lb, round(sum((a.e - b.e) ** 2), 9) AS d FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY 1, 2)
+SELECT round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0 END), 6) AS nne FROM (SELECT a, any_value(la) AS la, arg_min(lb, (d, b)) AS lb FROM d GROUP BY a)""",
+        "binarize": "SELECT g AS gene_id, k, CAST(q > lo + (hi - lo) / 2 AS INTEGER) AS high FROM (SELECT *, min(q) OVER (PARTITION BY g) AS lo, max(q) OVER (PARTITION BY g) AS hi FROM prior)",
+        "missing_genes": "SELECT g AS gene_id FROM prior GROUP BY 1 HAVING max(q) = -1 AND min(q) = -1",
+        "mean_normalized_prior": "SELECT g AS gene_id, k, round(q / sum(q) OVER (PARTITION BY k) * 100.0, 6) AS m FROM prior WHERE q >= 0",
+        "qual_norm_output": "SELECT g AS gene_id, k, CASE WHEN q > lo + (hi - lo) / 2 THEN g % 7 + 5 ELSE g % 5 END::DOUBLE AS m FROM (SELECT *, min(q) OVER (PARTITION BY g) AS lo, max(q) OVER (PARTITION BY g) AS hi FROM prior)",
+        "dist_fit_errors": """, nn AS (SELECT count(*)::DOUBLE AS n FROM cells),
+st AS (SELECT genes.g, coalesce(sum(v), 0) / n AS mu, sqrt(greatest((coalesce(sum(v * v), 0) - coalesce(sum(v), 0) ** 2 / n) / (n - 1), 0)) AS sd,
+ coalesce(sum(ln(1 + v)), 0) / n AS lmu, sqrt(greatest((coalesce(sum(ln(1 + v) ** 2), 0) - coalesce(sum(ln(1 + v)), 0) ** 2 / n) / (n - 1), 0)) AS lsd, coalesce(max(v), 0) AS top, n - count(v) AS zeros FROM genes LEFT JOIN x ON x.g = genes.g, nn GROUP BY genes.g, n),
+b AS (SELECT *, unnest(range(CAST(top AS BIGINT) + 1)) AS i FROM st),
+f AS (SELECT b.g, b.i, CASE WHEN b.i = 0 THEN zeros ELSE coalesce(h.k, 0) END / n AS f,
+ CASE WHEN mu > 0 THEN exp(b.i * ln(mu) - mu - lgamma(b.i + 1)) ELSE (b.i = 0)::INTEGER END AS p,
+ CASE WHEN sd > 0 THEN exp(-0.5 * ((b.i - mu + 1) / sd) ** 2) ELSE 0 END AS q, CASE WHEN lsd > 0 THEN exp(-0.5 * ((b.i - lmu) / lsd) ** 2) ELSE 0 END AS r
+ FROM b LEFT JOIN (SELECT g, CAST(v AS BIGINT) AS i, count(*) AS k FROM x GROUP BY 1, 2) h ON h.g = b.g AND h.i = b.i, nn),
+s AS (SELECT *, p / nullif(sum(p) OVER (PARTITION BY g), 0) AS pp, q / nullif(sum(q) OVER (PARTITION BY g), 0) AS qq, r / nullif(sum(r) OVER (PARTITION BY g), 0) AS rr FROM f)
+SELECT g AS gene_id, round(sqrt(sum((f - coalesce(pp, 0)) ** 2)), 6) AS poiss, round(sqrt(sum((f - coalesce(qq, 0)) ** 2)), 6) AS norm, round(sqrt(sum((f - coalesce(rr, 0)) ** 2)), 6) AS lognorm FROM s GROUP BY 1""",
+        "special_functions": """SELECT g AS gene_id, round(lgamma(g / 7.0), 6) AS lgamma, round(lgamma(g + 11.0) - lgamma(4.5) - lgamma(g + 7.5), 6) AS log_ncr,
+ round(exp(-0.5 * ((g / 100.0 - 1) / 2) ** 2) / (2 * sqrt(2 * pi())), 6) AS pdf, round(1 - 2 * (g / 1000.0) + 0.7310585 * (g / 1000.0) ** 2, 6) + 0.0 AS poly, round(0.5 + 0.5 * sin(2 * g / 100.0) - 0.25 * cos(2 * g / 100.0), 6) + 0.0 AS fourier FROM genes""",
+        "libsvm_lines": "SELECT cells.c AS cell_id, '1' || chr(9) || coalesce(string_agg(g || ':' || CAST(v AS BIGINT) || ' ', '' ORDER BY g), '') AS line FROM cells LEFT JOIN x ON x.c = cells.c GROUP BY 1",
+        "word_lines": "SELECT cells.c AS cell_id, coalesce(string_agg('G' || g || ' ' || CAST(v AS BIGINT) || ' ', '' ORDER BY g), '') AS line FROM cells LEFT JOIN x ON x.c = cells.c GROUP BY 1",
+        "event_counts": "SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS BIGINT) AS gene_id, user_id AS cell_id, count(*)::DOUBLE AS value FROM events GROUP BY event_type, user_id",
+        "argmax_weights": "SELECT g AS gene_id, CAST(arg_max(k, (m, -k)) AS INTEGER) AS top FROM m GROUP BY 1",
+    }
+    return {name: _complete(sql) for name, sql in body.items()}
+
+
+def _complete(sql: str) -> str:
+    if sql.startswith("WITH "):
+        return f"WITH {_X},\n{sql[5:]}"
+    return f"WITH {'RECURSIVE ' if 'walk AS' in sql else ''}{_X}{sql}" if sql.startswith(",") else f"WITH {_X}\n{sql}"
