@@ -9,7 +9,7 @@ enumerating gets dearer than scanning, by the sizes and list lengths of the
 corpus.  The global order puts frequent shingles last: a table of fixed size
 holds, by hash, the order of magnitude of document counts over all documents.
 Its collisions may cost time, never a pair: any order that all sets share is
-right.
+right, and a slot that says "in one set only" is never wrong.
 
 Equal sets are one node from the start.  Short lists give all their pairs.
 Long ones (groups of near copies) give pairs with a few pivots; after the
@@ -44,16 +44,17 @@ SHARE = 75
 LEAST = 3
 #: Largest size that may count as small.
 SMALL_MOST = 64
-SLOT_BITS = 24
-HEAVY = 16
+#: The table of levels has 2^bits slots of a byte, about as many as shingles, within these limits.
+LEAST_BITS, MOST_BITS = 16, 24
 #: Lists up to this length give all their pairs.
 SHORT = 12
-PIVOTS = 4
+PIVOTS = 8
 #: log2 of the document count from which a shingle's list is dealt over cells, and of a cell's rows.
 CELL_LEVEL = 14
 BLOCK = 512
+SKETCH_BITS = 1024
 ENTRIES = 200_000
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u2"), ("cell", "<u2")])
 SUBSET = 65535
 
@@ -99,12 +100,14 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint32), counts
 
 
-def document_levels(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """For each of 2^SLOT_BITS slots the largest log2 of document counts (0 below HEAVY), and the mean length of a shingle's list below HEAVY.
+def document_levels(docs: DataFrame, shingles_in_all: int) -> tuple[np.ndarray, float]:
+    """For each slot the largest log2 of its shingles' document counts, and the mean length of a shingle's list up to SHORT.
 
-    Tasks count their own sets first; what they send is packed by ranges of the hash.
+    0 says that no shingle of the slot is in two sets.  Tasks count their own
+    sets first; what they send is packed by ranges of the hash.
     """
     bits = max(4, min(12, (partitions(docs.sparkSession) - 1).bit_length()))
+    slot_bits = max(LEAST_BITS, min(MOST_BITS, max(1, shingles_in_all).bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -132,14 +135,13 @@ def document_levels(docs: DataFrame) -> tuple[np.ndarray, float]:
         values = values[order]
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         sums = np.add.reduceat(n[order].astype(np.int64), first)
-        heavy = sums >= HEAVY
-        levels = np.zeros(1 << (SLOT_BITS - bits), np.uint8)
-        np.maximum.at(levels, (values[first][heavy] >> np.uint32(32 - SLOT_BITS)) & np.uint32(len(levels) - 1), np.log2(sums[heavy]).astype(np.uint8))
-        light = sums[~heavy].astype(float)
+        shared, light = sums > 1, sums[sums <= SHORT].astype(float)
+        levels = np.zeros(1 << (slot_bits - bits), np.uint8)
+        np.maximum.at(levels, (values[first][shared] >> np.uint32(32 - slot_bits)) & np.uint32(len(levels) - 1), np.log2(sums[shared]).astype(np.uint8))
         return pa.table({"bucket": t.column("bucket")[:1], "levels": [zlib.compress(levels.tobytes(), 1)], "n": [float(light.sum())], "n2": [float((light**2).sum())]}, schema=pa.schema([("bucket", pa.int32()), ("levels", pa.binary()), ("n", pa.float64()), ("n2", pa.float64())]))
 
     rows = docs.select("doc_id", "text").mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInArrow(total, "bucket int, levels binary, n double, n2 double").collect()
-    out = np.zeros((1 << bits, 1 << (SLOT_BITS - bits)), np.uint8)
+    out = np.zeros((1 << bits, 1 << (slot_bits - bits)), np.uint8)
     for r in rows:
         out[r.bucket] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
     n = sum(r.n for r in rows)
@@ -161,26 +163,31 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 
 
 def entries_of(key: int, s: np.ndarray, levels: np.ndarray, small: int) -> Iterator[np.ndarray]:
-    """What one set enters into the index: subsets if small, single shingles if a large set may look for it."""
-    level = levels[(s >> U64(64 - SLOT_BITS)).astype(np.int64)]
+    """What one set enters into the index: subsets if small, single shingles if a large set may look for it.
+
+    Shingles that are in no other set keep their place in the order, but aren't entered.
+    """
+    level = levels[(s >> U64(65 - len(levels).bit_length())).astype(np.int64)]
     if level.any():
         order = np.argsort(level, kind="stable")
         s, level = s[order], level[order]
     n, spare = len(s), len(s) - needed(len(s))
     if n <= small:
         i, j = np.triu_indices(spare + 2, 1)
+        met = (level[i] > 0) & (level[j] > 0)
+        i, j = i[met], j[met]
         out = np.zeros(len(i), ENTRY)
         with np.errstate(over="ignore"):
             out["key"] = mix64(mix64(s[i]) + s[j] * GOLDEN)
         out["id"], out["size"], out["pos"] = key, n, SUBSET
         yield out
     if n >= needed(small + 1):
-        p = spare + 1
-        out = np.zeros(p, ENTRY)
-        out["key"], out["id"], out["size"], out["pos"] = s[:p], key, n, np.minimum(np.arange(p), SUBSET - 1)
-        hot = level[:p] >= CELL_LEVEL
+        p = np.flatnonzero(level[: spare + 1])
+        out = np.zeros(len(p), ENTRY)
+        out["key"], out["id"], out["size"], out["pos"] = s[p], key, n, np.minimum(p, SUBSET - 1)
+        hot = level[p] >= CELL_LEVEL
         if hot.any():
-            cells = np.minimum(1 << (level[:p][hot].astype(np.int64) - CELL_LEVEL + 1), 1 << 16)
+            cells = np.minimum(1 << (level[p][hot].astype(np.int64) - CELL_LEVEL + 1), 1 << 16)
             out["cell"][hot] = int(mix64(np.array([key], np.int64).view(U64))[0] >> U64(40)) % cells
         yield out
 
@@ -203,9 +210,10 @@ def index_entries(docs: DataFrame, levels: Sent, small: int, buckets: int) -> Da
         size, table_of_levels = 0, levels.value
         for key, s in _distinct_sets(batches):
             for e in entries_of(key, s, table_of_levels, small):
-                held.append(e)
-                size += len(e)
-            if size >= FLUSH // 4:
+                if len(e):
+                    held.append(e)
+                    size += len(e)
+            if size >= FLUSH:
                 size = 0
                 yield flush()
         if held:
@@ -275,17 +283,18 @@ def candidates(t: pa.Table, small: int) -> pa.Table:
 
 
 def token_table(docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(set_id, tokens) for the wanted ids: the shingles of one document of each."""
+    """(set_id, tokens) for the wanted ids: the shingles of one document of each, once for each task that reads a row of it."""
     first = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
     wanted = first.join(ids, "set_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b, found in _sets(batches):
-            rows = [(k, s.tobytes()) for k, s in zip(b.column("set_id").to_pylist(), found, strict=True) if len(s) and set_key(s) == k]
+            rows = [(k, s.tobytes()) for k, s in zip(b.column("set_id").to_pylist(), found, strict=True) if len(s) and set_key(s) == k and not (k in seen or seen.add(k))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["set_id", "tokens"])
 
     texts = docs.select(F.col("doc_id").alias("d_"), "text").join(wanted, F.col("d_").eqNullSafe(F.col("first_id"))).select("text", "set_id")
-    return texts.mapInArrow(run, "set_id long, tokens binary").dropDuplicates(["set_id"])
+    return texts.mapInArrow(run, "set_id long, tokens binary")
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, share: int = SHARE) -> DataFrame:
@@ -315,10 +324,19 @@ def _unlisted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), key, np.int64)), pa.array(e["id"].copy()), pa.array(e["size"].astype(np.int64)), pa.array(e["pos"].astype(np.int32))], ["key", "id", "size", "pos"])
 
 
-def across_components(lists: DataFrame, found: DataFrame, small: int, folder: str) -> DataFrame | None:
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set, bit by bit, whether an odd number of its shingles falls there."""
+    for b in batches:
+        odd = [np.bincount((np.frombuffer(t.as_buffer(), U64) >> U64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1 for t in b.column("tokens")]
+        yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array([np.packbits(x.astype(np.uint8)).tobytes() for x in odd], pa.binary())], ["id", "sketch"])
+
+
+def across_components(lists: DataFrame, found: DataFrame, tokens: DataFrame, small: int, folder: str) -> DataFrame | None:
     """Pairs (a, b) of the long lists' sets whose components differ, or None.
 
-    In each list the sets outside its largest component meet all others, block by block.
+    In each list the sets outside its largest component meet all others, block
+    by block.  Two sets differ in at least as many shingles as their sketches
+    differ in bits; pairs that can't link by that are left out.
     """
     rows = lists.mapInArrow(_unlisted, "key long, id long, size long, pos int")
     named = rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -329,17 +347,24 @@ def across_components(lists: DataFrame, found: DataFrame, small: int, folder: st
     if heads.isEmpty():
         return None
     mixed = named.join(heads, "key")
-    right = mixed.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("minor"), "id", "size", "pos", "component")
-    left = mixed.where("component <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("minor"), "id", "size", "pos", "component")
+    sketches = tokens.join(mixed.select(F.col("id").alias("set_id")).distinct(), "set_id", "left_semi").mapInArrow(_sketches, "id long, sketch binary")
+    mixed = stored(mixed.join(sketches.groupBy("id").agg(F.min("sketch").alias("sketch")), "id"), folder, "mixed-sets")
+    columns = ["id", "size", "pos", "component", "sketch"]
+    right = mixed.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("minor"), *columns)
+    left = mixed.where("component <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("minor"), *columns)
 
     def run(t: pa.Table) -> pa.Table:
         e = np.zeros(t.num_rows, ENTRY)
         for name in ("id", "size", "pos"):
             e[name] = np.asarray(t.column(name))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(t.num_rows, -1)
         component, minor = np.asarray(t.column("component")), np.asarray(t.column("minor"))
         mine, theirs, left, right = np.flatnonzero(minor), np.flatnonzero(~minor), [], []
         for i in mine:
             j = theirs[component[theirs] != component[i]]
+            size = e["size"][j].astype(np.int64) + int(e["size"][i])
+            overlap = (size - np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)) // 2
+            j = j[overlap >= -(-SHARE * size // (100 + SHARE))]
             a, b = _pairs_of(e, np.full(len(j), i), j, small)
             left.append(a)
             right.append(b)
@@ -355,7 +380,7 @@ def set_links(docs: DataFrame, sets: DataFrame, folder: str) -> tuple[DataFrame,
     """
     spark = docs.sparkSession
     sizes = sets.where(f"n_shingles >= {LEAST}").groupBy(F.least("n_shingles", F.lit(SMALL_MOST + 1)).alias("size")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all")).collect()
-    levels, list_length = document_levels(docs)
+    levels, list_length = document_levels(docs, sum(r["all"] for r in sizes))
     small = boundary({r.size: r.n for r in sizes}, list_length)
     buckets = max(16, sum(r["all"] for r in sizes) // (4 * ENTRIES) + 1)
     return links_of_index(index_entries(docs, Sent(spark, levels), small, buckets), docs, sets, small, folder)
@@ -373,7 +398,7 @@ def links_of_index(index: DataFrame, docs: DataFrame, sets: DataFrame, small: in
     tokens = stored(token_table(docs, sets, ids), folder, "tokens")
     links = stored(verified(pairs, tokens), folder, "links")
     found = components(links, folder)
-    more = across_components(lists, found, small, folder)
+    more = across_components(lists, found, tokens, small, folder)
     if more is not None:
         more = more.join(pairs, ["a", "b"], "left_anti")
         links = links.union(stored(verified(more, tokens), folder, "more-links"))
