@@ -209,18 +209,24 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["u", "v"])
 
 
+#: Up to so many links, after the partitions' own contraction, one more union-find ends it.
+FEW_LINKS = 250_000
+
+
 def components(links: DataFrame, folder: str, name: str = "components") -> DataFrame:
     """(node, component): the least node reachable over ``links`` (u, v), for each node of a link.
 
-    First each partition contracts its links by union-find; the rest is the
-    alternation of large-star and small-star.  Both take the least neighbour by
-    a pre-aggregated minimum, so no node's neighbours are ever gathered; every
-    round is written to the shared folder.
+    First each partition contracts its links by union-find.  If few are left, one
+    task contracts them; else large-star and small-star alternate.  Both take
+    the least neighbour by a pre-aggregated minimum, so no node's neighbours are
+    ever gathered; every round is written to the shared folder.
     """
     edges = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, "u long, v long")
     edges = stored(edges, folder, f"{name}-0")
-    before = None
-    for k in range(1, 200):
+    before, rounds = None, range(1, 200)
+    if edges.count() <= FEW_LINKS:
+        edges, rounds = stored(edges.coalesce(1).mapInArrow(_forest, "u long, v long"), folder, f"{name}-1"), range(0)
+    for k in rounds:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
