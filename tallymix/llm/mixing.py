@@ -72,11 +72,11 @@ def offset_units(source: Column, seed: str) -> Column:
 def copies(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies; and the columns ``keep``."""
     sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
-    cells = sized.select("source", "size", "doc_id", *keep).crossJoin(F.broadcast(df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CELL_ROWS)).cast("long").alias("n_cells"))))
-    cells = cells.withColumns({
+    n_cells = max(1, -(-df.count() // CELL_ROWS))
+    cells = sized.withColumns({
         "class": F.floor(F.sqrt("size")).cast("long"),
-        "cell": F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long"), F.col("n_cells")),
-    }).drop("n_cells")
+        "cell": F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long"), F.lit(n_cells)),
+    })
     totals = cells.groupBy("source", "class", "cell").agg(F.count("*").alias("cell_rows"), F.sum("size").alias("cell_size"))
     sources = totals.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     rates = target_sizes(sources, weights, share, most).select(
