@@ -22,15 +22,22 @@ def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
+def _shielded(docs: DataFrame, made: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The step's rows with the documents' own columns, also where the step makes columns of the same names."""
+    names = {c: f"own_{c}_" for c in docs.columns if c in made}
+    out = step(docs.withColumnsRenamed(names))
+    return out.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go: without a letter, or coded worse than any language's held-back texts allow."""
     model = language.fit(docs.select("doc_id", "text", "lang"))
-    return language.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return _shielded(docs, ("lang_pred", "score", "rejected"), lambda d: language.identify(d, model).where(~F.col("rejected")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, but for the largest doc_id that holds them."""
-    return _as_documents(line_dedup.dedup_lines(docs), docs.columns)
+    return _as_documents(_shielded(docs, ("n_lines", "n_dropped", "id_", "keys_"), line_dedup.dedup_lines), docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,7 +110,9 @@ def test_shingles_count_like_sets():
     assert np.array_equal(*whole)
 
 
-def test_components(spark, tmp_path):
+@pytest.mark.parametrize("few", [common.FEW_LINKS, 3])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_LINKS", few)
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 30)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "u long, v long").repartition(4), common.shared_folder(spark)).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
@@ -534,5 +536,9 @@ def test_pipeline_awkward(spark, awkward, empty, tmp_path):
     for df in (awkward, empty):
         folder = table_folder(tmp_path, df)
         corpus_pipeline.run(spark, folder).count()
+    clash = awkward.withColumns({"score": F.lit(7), "n_lines": F.lit(8), "id_": F.lit(9)})
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.dedup_lines):
+        out = stage(spark, clash, "")
+        assert out.columns == clash.columns and {(r.score, r.n_lines, r.id_) for r in out.collect()} == {(7, 8, 9)}
     twice = corpus_pipeline.dedup_near(spark, awkward, "")
     assert Counter(r.doc_id for r in twice.collect())[5] == 1
