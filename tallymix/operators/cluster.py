@@ -255,3 +255,54 @@ def consensus(runs: DataFrame, k: int, seed: int = 0) -> DataFrame:
     words = runs.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.concat_ws(":", "run", "cluster"))).alias("words"))
     data = CountVectorizer(inputCol="words", outputCol="features").fit(words).transform(words)
     return KMeans(k=k, seed=seed).fit(data).transform(data).select("cell_id", F.col("prediction").alias("cluster"))
+
+
+def _balanced(m: CountMatrix, rounds: int = 1) -> CountMatrix:
+    """Values over the root of their gene's and cell's totals; more rounds lead towards equal totals of both."""
+    from .prep import cell_totals, gene_totals
+
+    out = m
+    for _ in range(rounds):
+        genes, cells = gene_totals(out).withColumnRenamed("total", "tg"), cell_totals(out).withColumnRenamed("total", "tc")
+        rows = out.entries.join(genes, "gene_id").join(cells, "cell_id").select("gene_id", "cell_id", (F.col("value") / F.sqrt(F.col("tg") * F.col("tc"))).alias("value"))
+        out = CountMatrix(rows.persist(), m.genes, m.cells)
+    return out
+
+
+def _spectral(m: CountMatrix, k: int, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Cells' and genes' places (id, vec) on the singular vectors after the first."""
+    from .factor import truncated_svd
+
+    cells, _, _ = truncated_svd(m, n + 1, seed)
+    genes, _, _ = truncated_svd(m.T, n + 1, seed)
+    cut = lambda df: df.withColumn("vec", F.slice("vec", 2, n))
+    return cut(cells), cut(genes.withColumnRenamed("cell_id", "gene_id"))
+
+
+def bicluster(m: CountMatrix, k: int, k_genes: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Spectral biclustering: (cells (cell_id, cluster), genes (gene_id, cluster)) by k-means of each side's places after balancing."""
+    from .factor import kmeans_labels
+
+    cells, genes = _spectral(_balanced(m, 4), k, max(1, min(k, m.n_genes() - 1)), seed)
+    by_gene = kmeans_labels(genes.withColumnRenamed("gene_id", "cell_id"), k_genes, seed).withColumnRenamed("cell_id", "gene_id")
+    return kmeans_labels(cells, k, seed), by_gene
+
+
+def cocluster(m: CountMatrix, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Spectral co-clustering: genes and cells are one set of points, each place over the root of its total, in one k-means."""
+    from .factor import kmeans_labels
+    from .prep import cell_totals, gene_totals
+
+    n = max(1, math.ceil(math.log2(max(2, k))))
+    cells, genes = _spectral(_balanced(m), k, n, seed)
+
+    def scaled(places: DataFrame, totals: DataFrame, key: str, side: int) -> DataFrame:
+        length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
+        rows = places.join(totals, key).withColumn("length", length)
+        # the cell of the joint k-means is twice the id, plus 1 for genes
+        return rows.select((F.col(key) * 2 + side).alias("cell_id"), F.transform("vec", lambda v: F.when(F.col("length") > 0, v / F.col("length")).otherwise(0.0)).alias("vec"))
+
+    both = scaled(cells, cell_totals(m), "cell_id", 0).unionByName(scaled(genes, gene_totals(m), "gene_id", 1))
+    labels = kmeans_labels(both, k, seed).persist()
+    side = lambda s, name: labels.where(F.pmod("cell_id", F.lit(2)) == s).select(((F.col("cell_id") - s) / 2).cast("long").alias(name), "cluster")
+    return side(0, "cell_id"), side(1, "gene_id")

@@ -57,6 +57,11 @@ def zip_mle(x: np.ndarray, n: int, steps: int = 200) -> tuple[float, float]:
     return float(lam), float(pi)
 
 
+def zip_row_ll(lam: float, pi: float, x: np.ndarray, zeros: int) -> float:
+    """Log-likelihood of one gene's positive entries x and of so many zeros."""
+    return float(np.log((1 - pi) * np.exp(x * np.log(lam) - lam - lgamma_np(x + 1)) + 1e-10).sum() + zeros * np.log(pi + (1 - pi) * np.exp(-lam) + 1e-10))
+
+
 def _per_gene(m: CountMatrix, fit, names: tuple[str, str]) -> DataFrame:
     n = m.n_cells()
 

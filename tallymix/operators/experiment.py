@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax
-from .cluster import consensus, poisson_cluster
+from .cluster import bicluster, cocluster, consensus, dbscan, poisson_cluster
 from .ensemble import stacked
 from .evaluate import ari, contingency, nearest_label_accuracy, nmi, purity
-from .factor import kmeans_labels, log_norm_nmf, nmf, poisson_estimate_state, truncated_svd
+from .factor import kmeans_labels, lda_estimate_state, log_norm_nmf, nmf, poisson_estimate_state, truncated_svd
 from .matrix import CountMatrix
 from .prep import log1p, log_norm
 from .reduce import embed_tsne, pca
@@ -60,10 +60,39 @@ def poisson_step(**options) -> Step:
     return Step("poisson_se", lambda m, k: _weights(poisson_estimate_state(m, k, **options)))
 
 
+def stored_step(data: CountMatrix | Vectors) -> Step:
+    """A step that gives data made before."""
+    return Step("stored", lambda m, k: data)
+
+
+def lda_step(**options) -> Step:
+    return Step("lda", lambda m, k: _weights(lda_estimate_state(m, k, **options)))
+
+
+def ensemble_step(estimate: Callable, **options) -> Step:
+    """Any of the ensembles, such as ``poisson_consensus`` or ``nmf_kfold``."""
+    return Step(estimate.__name__, lambda m, k: _weights(estimate(m, k, **options)))
+
+
+def imputed_step(**options) -> Step:
+    """The matrix as its states reconstruct it at its own entries."""
+
+    def run(m: CountMatrix, k: int) -> CountMatrix:
+        e = poisson_estimate_state(m, k, **options)
+        return CountMatrix(e.imputed_at(m.entries).select("gene_id", "cell_id", F.col("mw").alias("value")), m.genes, m.cells)
+
+    return Step("imputed", run)
+
+
 LOG_NMF = Step("log_nmf", lambda m, k: _weights(log_norm_nmf(m, k)))
 BASIC_NMF = Step("basic_nmf", lambda m, k: _weights(nmf(m, k)))
 ARGMAX = Clusterer("argmax", lambda v, k, seed: v.select("cell_id", argmax(F.col("vec")).alias("cluster")))
 KMEANS = Clusterer("km", lambda v, k, seed: kmeans_labels(v, k, seed))
+DBSCAN = Clusterer("dbscan", lambda v, k, seed: dbscan(v))
+BICLUSTER = Clusterer("bicluster", lambda m, k, seed: bicluster(m, k, seed=seed)[0])
+COCLUSTER = Clusterer("cocluster", lambda m, k, seed: cocluster(m, k, seed=seed)[0])
+PCA_KMEANS = Clusterer("pca_km", lambda m, k, seed: kmeans_labels(pca(m, min(k, m.n_genes())), k, seed))
+TSNE_KMEANS = Clusterer("tsne_km", lambda v, k, seed: kmeans_labels(embed_tsne(v.withColumnRenamed("vec", "w"), seed=seed).withColumnRenamed("x", "vec"), k, seed))
 POISSON = Clusterer("poisson", lambda m, k, seed: poisson_cluster(m, k, seed=seed)[0])
 
 

@@ -78,6 +78,12 @@ def sweeps(idx: np.ndarray, val: np.ndarray, offs: np.ndarray, m: np.ndarray, w:
     return w
 
 
+def objective_gradient(x: np.ndarray, m: np.ndarray, w: np.ndarray, eps: float = 1e-8) -> tuple[float, np.ndarray]:
+    """The Poisson cost of one packed block (genes x cells, per gene) and its gradient by w (k x cells)."""
+    d = m @ w + eps
+    return float((d - x * np.log(d)).sum() / len(x)), (m.sum(0)[:, None] - m.T @ (x / d)) / len(x)
+
+
 @dataclass
 class Layout:
     """Packed rows of one side, persisted; ids in the order of the factor's rows."""
@@ -277,13 +283,16 @@ def _array_of(df: DataFrame, key: str, value: str, ids: np.ndarray) -> np.ndarra
 
 def poisson_estimate_state(
     m: CountMatrix, k: int, init_means: DataFrame | None = None, init_weights: DataFrame | None = None, max_iters: int = 30, tol: float = 0.0, inner_max_iters: int = 100, normalize: bool = True,
-    initialization: str = "tsvd", max_assign_weight: float = 0.75, run_w_first: bool = True, constrain_w: bool = False, regularization: float = 0.0, seed: int = 0, on_iteration: Callable[[int], None] | None = None, masked: bool = False, use_log_norm: bool = True,
+    initialization: str = "tsvd", max_assign_weight: float = 0.75, run_w_first: bool = True, constrain_w: bool = False, regularization: float = 0.0, seed: int = 0, on_iteration: Callable[[int], None] | None = None, masked: bool = False, use_log_norm: bool = True, method: str = "NoLips",
 ) -> Estimate:
     """Alternates weights and means; returns both and the cost (lower is better).
 
     ``init_weights`` may be arrays (cell_id, w) or labels (cell_id, cluster).
     ``masked`` counts only present entries: the zero-inflated variant.
+    Any ``method`` is done by multiplicative sweeps, as sparse data asks for.
     """
+    if method not in ("NoLips", "L-BFGS-B"):
+        raise ValueError(f"unknown method {method!r}")
     labels = init_weights if init_weights is not None and "cluster" in init_weights.columns else None
     start_m, start_w = initial_factors(m, k, initialization, seed, max_assign_weight, use_log_norm, labels, init_means)
     if init_weights is not None and labels is None:

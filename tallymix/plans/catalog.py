@@ -179,6 +179,8 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "downsample": lambda s, d: simulate.downsample(_x(s, d), 0.1).entries,
         "hold_out": lambda s, d: simulate.hold_out(_x(s, d), 0.1)[1],
         "dbscan": lambda s, d: cluster.dbscan(_points(s, d).select("cell_id", F.array("fx", "fy").alias("vec")), 0.05, 5),
+        "bicluster": on(lambda s, m, y: _metrics(s, cluster.bicluster(m, 3, 2)[0], y)),
+        "cocluster": on(lambda s, m, y: _metrics(s, cluster.cocluster(m, 3)[0], y)),
         "consensus": on(lambda s, m, y: cluster.consensus(ensemble.stacked([cluster.poisson_cluster(m, 3, seed=j)[0] for j in range(3)]), 3)),
         "poisson_consensus": on(lambda s, m, y: ensemble.poisson_consensus(m, 3, 2, max_iters=2, inner_max_iters=10).weights),
         "nmf_ensemble": on(lambda s, m, y: ensemble.nmf_ensemble(m, 3, 2).weights),

@@ -231,3 +231,23 @@ def test_streamed_scores(spark, sim, tmp_path):
 def test_metrics_edges(spark):
     one = spark.createDataFrame([(0, 0, 5)], "cluster int, label int, n long")
     assert evaluate.nmi(one).first()[0] == 1 and evaluate.ari(one).first()[0] == 1 and evaluate.purity(one).first()[0] == 1
+
+
+def test_biclusters_recover(sim):
+    m, true = sim
+    cells, genes = cluster.cocluster(m, 3)
+    assert cells.count() == 240 and genes.count() == 3 and purity_of(cells, true) > 0.6
+    assert purity_of(cluster.bicluster(m, 3, 2)[0], true) > 0.6
+
+
+def test_objective_gradient():
+    rng = np.random.default_rng(1)
+    x, m, w = rng.poisson(3, (5, 2)).astype(float), rng.random((5, 2)) + 0.5, rng.random((2, 2)) + 0.5
+    value, grad = factor.objective_gradient(x, m, w)
+    step = np.zeros_like(w)
+    step[1, 0] = 1e-6
+    assert (factor.objective_gradient(x, m, w + step)[0] - value) / 1e-6 == pytest.approx(grad[1, 0], abs=1e-4)
+
+
+def test_zip_row_ll():
+    assert dispersed.zip_row_ll(2.0, 0.3, np.array([1.0, 3.0]), 4) == pytest.approx(sum(math.log(0.7 * math.exp(-2) * 2**k / math.factorial(k)) for k in (1, 3)) + 4 * math.log(0.3 + 0.7 * math.exp(-2)), abs=1e-6)
