@@ -36,6 +36,8 @@ DISCOUNT = 0.75
 SHARPNESS = 25.0
 UNDETERMINED = "und"
 SLICE_CHARS = 1 << 20
+#: A sample is drawn by a number below it; fine enough for any corpus.
+DRAWS = 1 << 53
 
 
 @functools.cache
@@ -190,10 +192,10 @@ def sample_texts(docs: DataFrame, wanted: int = FIT_TEXTS) -> dict[str, list[str
     """About ``wanted`` whole texts of each language, drawn by a hash of doc_id, in the order of that hash."""
     known = docs.where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.expr("pmod(xxhash64(doc_id, 7), 1000000)")
+    place = F.expr(f"pmod(xxhash64(doc_id, 7), {DRAWS})")
     drawn = F.lit(False)
     for name, n in counts.items():
-        drawn = drawn | ((F.col("lang") == name) & (place < int(min(1.0, wanted / n) * 1_000_000)))
+        drawn = drawn | ((F.col("lang") == name) & (place < int(min(1.0, wanted / n) * DRAWS)))
     rows = known.where(drawn).select("lang", "text", F.expr("xxhash64(doc_id, 7)").alias("h")).limit(2 * wanted * max(1, len(counts))).collect()
     out: dict[str, list[str]] = {name: [] for name in counts}
     for r in sorted(rows, key=lambda r: (r.h, r.text)):

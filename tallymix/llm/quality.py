@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Sent, flat_text, random_u64, slices, table, word_hashes, word_spans
-from .language import held_out
+from .language import DRAWS, held_out
 
 FIT_ROWS = 6000
 BUCKETS, DIMS, WINDOW = 1 << 15, 32, 2
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", wanted: int
     """From about ``wanted`` labelled rows, at most twice as many."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
     share = min(1.0, wanted / max(1, known.count()))
-    drawn = known.where(F.expr("pmod(xxhash64(doc_id, 9), 1000000)") < int(share * 1_000_000)).limit(2 * wanted)
+    drawn = known.where(F.expr(f"pmod(xxhash64(doc_id, 9), {DRAWS})") < int(share * DRAWS)).limit(2 * wanted)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").select("doc_id", "text", "y", F.expr("xxhash64(doc_id, 9)").alias("h")).limit(4 * wanted).collect()
     rows.sort(key=lambda r: (r.h, r.text))
     return QualityModel([r.text for r in rows], np.array([r.y for r in rows], float))
