@@ -246,7 +246,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mean_normalized_prior": m(lambda x: _r(prior.mean_normalized_prior(_prior(x).where("q >= 0"), 100.0), "m")),
         "qual_norm_output": m(lambda x: _r(prior.output_from_levels(_prior(x), x.genes.select("gene_id", F.pmod("gene_id", F.lit(5)).cast("double").alias("low"), (F.pmod("gene_id", F.lit(7)) + 5).cast("double").alias("high"))), "m")),
         "dist_fit_errors": _fit_errors,
-        "special_functions": m(lambda x: _r(x.genes.select("gene_id", special.lgamma(F.col("gene_id") / 7.0).alias("lgamma"), special.log_ncr(F.col("gene_id") + 10.0, F.lit(3.5)).alias("log_ncr"), special.normal_pdf(F.col("gene_id") / 100.0, F.lit(1.0), F.lit(2.0)).alias("pdf"), special.poly_curve(F.col("gene_id") / 1000.0, F.array(*(F.lit(v) for v in (1.0, -2.0, 0.7310585)))).alias("poly"), special.fourier_series(F.col("gene_id") / 100.0, F.array(*(F.lit(v) for v in (1.0, 0.5, -0.25))), F.lit(2.0)).alias("fourier")), "lgamma", "log_ncr", "pdf", "poly", "fourier")),
+        "special_functions": m(lambda x: _r(x.genes.select("gene_id", special.lgamma((F.col("gene_id") + 1) / 7.0).alias("lgamma"), special.log_ncr(F.col("gene_id") + 10.0, F.lit(3.5)).alias("log_ncr"), special.normal_pdf(F.col("gene_id") / 100.0, F.lit(1.0), F.lit(2.0)).alias("pdf"), special.poly_curve(F.col("gene_id") / 1000.0, F.array(*(F.lit(v) for v in (1.0, -2.0, 0.7310585)))).alias("poly"), special.fourier_series(F.col("gene_id") / 100.0, F.array(*(F.lit(v) for v in (1.0, 0.5, -0.25))), F.lit(2.0)).alias("fourier")), "lgamma", "log_ncr", "pdf", "poly", "fourier")),
         "libsvm_lines": m(lambda x: text.libsvm_lines(x)),
         "word_lines": m(lambda x: text.word_lines(x)),
         "event_counts": lambda s, d: _entries(tables.event_user(s, d)),
@@ -377,7 +377,7 @@ f AS (SELECT b.g, b.i, CASE WHEN b.i = 0 THEN zeros ELSE coalesce(h.k, 0) END /
  FROM b LEFT JOIN (SELECT g, CAST(v AS BIGINT) AS i, count(*) AS k FROM x GROUP BY 1, 2) h ON h.g = b.g AND h.i = b.i, nn),
 s AS (SELECT *, p / nullif(sum(p) OVER (PARTITION BY g), 0) AS pp, q / nullif(sum(q) OVER (PARTITION BY g), 0) AS qq, r / nullif(sum(r) OVER (PARTITION BY g), 0) AS rr FROM f)
 SELECT g AS gene_id, round(sqrt(sum((f - coalesce(pp, 0)) ** 2)), 6) AS poiss, round(sqrt(sum((f - coalesce(qq, 0)) ** 2)), 6) AS norm, round(sqrt(sum((f - coalesce(rr, 0)) ** 2)), 6) AS lognorm FROM s GROUP BY 1""",
-        "special_functions": """SELECT g AS gene_id, round(lgamma(g / 7.0), 6) AS lgamma, round(lgamma(g + 11.0) - lgamma(4.5) - lgamma(g + 7.5), 6) AS log_ncr,
+        "special_functions": """SELECT g AS gene_id, round(lgamma((g + 1) / 7.0), 6) AS lgamma, round(lgamma(g + 11.0) - lgamma(4.5) - lgamma(g + 7.5), 6) AS log_ncr,
  round(exp(-0.5 * ((g / 100.0 - 1) / 2) ** 2) / (2 * sqrt(2 * pi())), 6) AS pdf, round(1 - 2 * (g / 1000.0) + 0.7310585 * (g / 1000.0) ** 2, 6) + 0.0 AS poly, round(0.5 + 0.5 * sin(2 * g / 100.0) - 0.25 * cos(2 * g / 100.0), 6) + 0.0 AS fourier FROM genes""",
         "libsvm_lines": "SELECT cells.c AS cell_id, '1' || chr(9) || coalesce(string_agg(g || ':' || CAST(v AS BIGINT) || ' ', '' ORDER BY g), '') AS line FROM cells LEFT JOIN x ON x.c = cells.c GROUP BY 1",
         "word_lines": "SELECT cells.c AS cell_id, coalesce(string_agg('G' || g || ' ' || CAST(v AS BIGINT) || ' ', '' ORDER BY g), '') AS line FROM cells LEFT JOIN x ON x.c = cells.c GROUP BY 1",
