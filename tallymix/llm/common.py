@@ -53,6 +53,23 @@ class Sent:
         return self.broadcast.value
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps from task to task: one thing at a time, made when another is wanted."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Gives up what ``kept`` holds, and Arrow's unused memory; for tasks that keep nothing but may follow others in their process."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Sent, components, flat_text, mix64, partitions, set_key, shared_folder, shingles, slices, stored, table
+from .common import GOLDEN, U64, Sent, components, flat_text, mix64, partitions, release, set_key, shared_folder, shingles, slices, stored, table
 
 #: Linked from 75 of 100.
 SHARE = 75
@@ -60,6 +60,7 @@ SUBSET = 65535
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    release()
     for batch in batches:
         for b in slices(batch):
             yield b, list(shingles(*flat_text(b.column("text"))))

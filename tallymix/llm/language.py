@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Sent, mix64, table
+from .common import U64, Sent, kept, mix64, table
 
 ORDER, BITS, CLASSES = 4, 6, 64
 OWN_LETTERS = 47
@@ -207,9 +207,6 @@ def fit(docs: DataFrame, wanted: int = FIT_TEXTS) -> LanguageModel:
     return LanguageModel(sample_texts(docs, wanted))
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def identify(df: DataFrame, model: LanguageModel) -> DataFrame:
     """Adds lang_pred, score and rejected; columns of these names are replaced."""
     sent = Sent(df.sparkSession, model)
@@ -217,11 +214,9 @@ def identify(df: DataFrame, model: LanguageModel) -> DataFrame:
     schema = base.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(False)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent.id not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[sent.id] = sent.value.scorer()
+        scorer = kept(("scorer", sent.id), lambda: sent.value.scorer())
         for b in batches:
-            got = _SCORERS[sent.id].judge(b.column("text").to_pylist())
+            got = scorer.judge(b.column("text").to_pylist())
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [f.name for f in schema.fields])
 

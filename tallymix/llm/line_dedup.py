@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, GOLDEN, SEGMENT, U64, flat_text, is_space, mix64, random_u64, shared_folder, slices, stored, table
+from .common import _BASE, GOLDEN, SEGMENT, U64, flat_text, is_space, mix64, random_u64, release, shared_folder, slices, stored, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARDS = 64
@@ -106,6 +106,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per key of this partition: its documents counted, and their largest id."""
+    release()
     parts: list[tuple[np.ndarray, ...]] = []
 
     def merged() -> tuple[np.ndarray, ...]:

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, table
+from .common import kept, mix64, slices, table
 
 CAPACITY = 4096
 END = 2
 GROUP_ROWS = 4096
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 800_000
+WORDS_KEPT = 500_000
 MARK = "|"
 #: ASCII marks that the vocabulary keeps apart from letters before them.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
@@ -138,14 +138,8 @@ class Words:
             yield out
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def token_ids(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
-    if path not in _WORDS:
-        _WORDS.clear()
-        _WORDS[path] = Words(path)
-    return _WORDS[path].encode([t or "" for t in texts])
+    return kept(("words", path), lambda: Words(path)).encode([t or "" for t in texts])
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
