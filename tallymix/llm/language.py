@@ -3,7 +3,8 @@
 One model of order ``ORDER`` per language, kept as sorted arrays of n-gram
 hashes beside their counts and looked up by binary search.  A text gets the
 language whose model codes it in the fewest nats per character.  A text whose
-best rate is above a limit set on texts held back from fitting is rejected.
+best rate is above a limit set on texts held back from fitting is rejected; the
+limit is wider for short texts, by the spread of single characters there.
 
 Letters are lower-cased and mapped to 63 classes, everything else is a space,
 runs of spaces are one.  Each executor process works out an n-gram's
@@ -133,15 +134,22 @@ class LanguageModel:
         for name in self.languages:
             fitted = [t for k, t in enumerate(texts[name]) if k % 5 or len(texts[name]) < 5]
             self.models.append(KneserNey(gram_codes(fitted, classes)[0]))
-        self.limit = np.inf
+        self.limit, self.spread, square = np.inf, 0.0, []
         for k, name in enumerate(self.languages):
             back = [t for i, t in enumerate(texts[name]) if i % 5 == 0]
             code, offs, letter = gram_codes(back, classes)
             logs = -np.log(self.models[k].probabilities(code))
-            rates += [logs[a:b].mean() for a, b, ok in zip(offs[:-1], offs[1:], letter, strict=True) if ok]
+            parts = [logs[a:b] for a, b, ok in zip(offs[:-1], offs[1:], letter, strict=True) if ok]
+            rates += [x.mean() for x in parts]
+            square += [x.var() for x in parts]
         if rates:
             top = float(np.quantile(rates, 0.999))
             self.limit = top + 0.3 * max(0.0, np.log(CLASSES) - top)
+            self.spread = float(np.sqrt(np.mean(square)))
+
+    def limits(self, n: np.ndarray) -> np.ndarray:
+        """The limit for texts of n characters: a short text's rate may stray by four standard errors more."""
+        return self.limit + 4 * self.spread / np.sqrt(np.maximum(n, 1))
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -155,8 +163,8 @@ class Scorer:
         self.number = np.full(1 << BITS * ORDER, -1, np.int32)
         self.logs = np.zeros((0, len(model.languages)), np.float32)
 
-    def rates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats per character (texts by languages), and whether a text has a letter."""
+    def rates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nats per character (texts by languages), whether a text has a letter, and its characters."""
         code, offs, letter = gram_codes(texts, self.classes)
         k = self.number[code]
         if (k < 0).any():
@@ -165,7 +173,7 @@ class Scorer:
             self.logs = np.concatenate([self.logs, np.stack([-np.log(m.probabilities(new)).astype(np.float32) for m in self.model.models], 1)])
             k = self.number[code]
         sums = np.stack([np.add.reduceat(self.logs[:, j][k].astype(np.float64), offs[:-1]) for j in range(self.logs.shape[1])], 1)
-        return sums / np.diff(offs)[:, None], letter
+        return sums / np.diff(offs)[:, None], letter, np.diff(offs)
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
@@ -177,13 +185,13 @@ class Scorer:
             while end < len(use) and (end == start or size + len(texts[use[end]]) <= SLICE_CHARS):
                 size += len(texts[use[end]])
                 end += 1
-            rates, letter = self.rates([texts[k] for k in use[start:end]])
+            rates, letter, n = self.rates([texts[k] for k in use[start:end]])
             best = rates.argmin(1)
             odds = np.exp(-SHARPNESS * (rates - rates.min(1, keepdims=True)))
             score = 1.0 / odds.sum(1)
-            for k, b, s, r, ok in zip(use[start:end], best, score, rates.min(1), letter, strict=True):
+            for k, b, s, over, ok in zip(use[start:end], best, score, rates.min(1) > self.model.limits(n), letter, strict=True):
                 if ok:
-                    out[k] = (self.model.languages[b], float(s), bool(r > self.model.limit))
+                    out[k] = (self.model.languages[b], float(s), bool(over))
             start = end
         return out
 
