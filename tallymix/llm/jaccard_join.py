@@ -49,7 +49,7 @@ LEAST_BITS, MOST_BITS = 16, 24
 #: Lists up to this length give all their pairs.
 SHORT = 12
 PIVOTS = 8
-#: log2 of the document count from which a shingle's list is dealt over cells, and of a cell's rows.
+#: log2 of the document count from which a shingle's list is dealt over cells, and of a cell's rows.  Cell 0 is a list that isn't dealt.
 CELL_LEVEL = 14
 BLOCK = 512
 SKETCH_BITS = 1024
@@ -188,8 +188,8 @@ def entries_of(key: int, s: np.ndarray, levels: np.ndarray, small: int) -> Itera
         out["key"], out["id"], out["size"], out["pos"] = s[p], key, n, np.minimum(p, SUBSET - 1)
         hot = level[p] >= CELL_LEVEL
         if hot.any():
-            cells = np.minimum(1 << (level[p][hot].astype(np.int64) - CELL_LEVEL + 1), 1 << 16)
-            out["cell"][hot] = int(mix64(np.array([key], np.int64).view(U64))[0] >> U64(40)) % cells
+            cells = np.minimum(1 << (level[p][hot].astype(np.int64) - CELL_LEVEL + 1), (1 << 16) - 1)
+            out["cell"][hot] = 1 + int(mix64(np.array([key], np.int64).view(U64))[0] >> U64(40)) % cells
         yield out
 
 
@@ -240,7 +240,10 @@ def _pairs_of(e: np.ndarray, i: np.ndarray, j: np.ndarray, small: int) -> tuple[
 
 
 def candidates(t: pa.Table, small: int) -> pa.Table:
-    """The pairs of one bucket's lists (kind 0), and its long lists (kind 1)."""
+    """The pairs of one bucket's lists (kind 0), and its long lists and all cells of dealt ones (kind 1).
+
+    A cell knows nothing of the key's other cells, so even one entry of it is handed on.
+    """
     e = np.concatenate([np.frombuffer(d.as_py(), ENTRY) for d in t.column("data")])
     e = e[np.lexsort((e["id"], e["cell"], e["key"]))]
     same = (e["key"][1:] == e["key"][:-1]) & (e["cell"][1:] == e["cell"][:-1])
@@ -269,7 +272,7 @@ def candidates(t: pa.Table, small: int) -> pa.Table:
     if len(a):
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         a, b = a[new], b[new]
-    lists = [e[at[k] : at[k] + length[k]] for k in long]
+    lists = [e[at[k] : at[k] + length[k]] for k in np.flatnonzero((length > SHORT) | (e["cell"][at] > 0))]
     n = len(a)
     return pa.table({
         "kind": pa.array(np.concatenate([np.zeros(n, np.int32), np.ones(len(lists), np.int32)])),

@@ -154,6 +154,20 @@ def test_join_awkward(awkward, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("level", [14, 20])
+def test_dealt_cells_lose_no_link(spark, level):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder, levels = common.shared_folder(spark), np.full(1 << 16, level, np.uint8)
+    sets = jaccard_join.set_table(docs, folder)
+    found = {common.set_key(s): s for s in common.shingles(*common.flat_text(pa.array([t for _, t in rows]))) if len(s) >= jaccard_join.LEAST}
+    entries = np.concatenate([e for k, s in found.items() for e in jaccard_join.entries_of(k, s, levels, jaccard_join.LEAST - 1)])
+    assert len(set(entries["cell"].tolist())) > 1
+    index = spark.createDataFrame([(b, entries[entries["cell"] % 5 == b].tobytes()) for b in {*(entries["cell"] % 5).tolist()}], "bucket int, data binary")
+    _, linked = jaccard_join.links_of_index(index, docs, sets, jaccard_join.LEAST - 1, folder)
+    assert got_components(jaccard_join.named_components(sets, linked, folder)) == brute_components(rows)
+
+
 def test_boundary_by_cost():
     assert jaccard_join.boundary({}, 1.0) >= jaccard_join.LEAST - 1
     few, many = jaccard_join.boundary(dict.fromkeys(range(3, 65), 10), 1.0), jaccard_join.boundary(dict.fromkeys(range(3, 65), 10), 20.0)
