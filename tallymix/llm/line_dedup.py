@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, GOLDEN, SEGMENT, U64, flat_text, is_space, mix64, random_u64, release, shared_folder, slices, stored, table
+from .common import _BASE, GOLDEN, SEGMENT, U64, flat_text, is_space, mix64, partitions, random_u64, release, shared_folder, slices, stored, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARDS = 64
@@ -223,16 +223,26 @@ def _shard_column():
     return F.expr(f"cast(pmod(cast(pmod(h1, {SHARDS}) as int), {SHARDS}) as int)")
 
 
+FILTERS = "shard int, piece int, pieces int, filter binary"
+
+
+def filter_pieces(spark: SparkSession) -> int:
+    return max(1, partitions(spark) // SHARDS)
+
+
 def build_filters(repeated: DataFrame) -> DataFrame:
-    """(shard, filter) over the keys (h1, h2); a shard's keys are built in pieces, so a task holds no whole shard."""
+    """(shard, piece, pieces, filter) over the keys (h1, h2); a shard's keys are built in pieces, so a task holds no whole shard.
+
+    Each row names the number of pieces that keys are dealt by: pieces without a key have no row.
+    """
+    pieces = filter_pieces(repeated.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
         keys = np.asarray(t.column("h1")).view(U64) ^ np.asarray(t.column("h2")).view(U64)
-        return pa.table({"shard": t.column("shard")[:1], "piece": t.column("piece")[:1], "filter": pa.array([Cuckoo(keys).packed()], pa.binary())})
+        return pa.table({"shard": t.column("shard")[:1], "piece": t.column("piece")[:1], "pieces": pa.array([pieces], pa.int32()), "filter": pa.array([Cuckoo(keys).packed()], pa.binary())})
 
-    pieces = repeated.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    keyed = repeated.select("h1", "h2", _shard_column().alias("shard"), F.expr(f"cast(pmod(h2, {max(1, int(pieces) // SHARDS)}) as int)").alias("piece"))
-    return keyed.groupBy("shard", "piece").applyInArrow(run, "shard int, piece int, filter binary")
+    keyed = repeated.select("h1", "h2", _shard_column().alias("shard"), F.expr(f"cast(pmod(h2, {pieces}) as int)").alias("piece"))
+    return keyed.groupBy("shard", "piece").applyInArrow(run, FILTERS)
 
 
 class LineIndex:
@@ -268,9 +278,9 @@ class LineIndex:
         after = stored(after, folder, "after")
         crossed = after.where(f"(refs >= {MIN_DOCS}) <> (before >= {MIN_DOCS})").select("h1", "h2", F.expr(f"refs >= {MIN_DOCS}").alias("enters"))
         counts = after.where("refs > 0").select("h1", "h2", "refs", "keeper")
-        pieces = max(1, int(delta.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // SHARDS)
+        pieces = filter_pieces(delta.sparkSession)
         place = lambda d: d.withColumns({"shard": _shard_column(), "piece": F.expr(f"cast(pmod(h2, {pieces}) as int)")})
-        if self.filters.agg(F.max("piece")).first()[0] not in (None, pieces - 1):
+        if self.filters.agg(F.max("pieces")).first()[0] not in (None, pieces):
             return LineIndex(stored(counts, folder, "counts"), stored(build_filters(counts.where(f"refs >= {MIN_DOCS}")), folder, "filters"), folder)
         holds = place(counts.where(f"refs >= {MIN_DOCS}").select("h1", "h2"))
 
@@ -282,11 +292,11 @@ class LineIndex:
             moved, held = np.asarray(c.column("moved")) if c.num_rows else np.zeros(0, bool), keys(c) if c.num_rows else np.zeros(0, U64)
             cuckoo.delete(held[moved & ~enters])
             cuckoo.insert(held[moved & enters], lambda: held[enters])
-            return pa.table({"shard": where.column("shard")[:1].cast(pa.int32()), "piece": where.column("piece")[:1].cast(pa.int32()), "filter": pa.array([cuckoo.packed()], pa.binary())})
+            return pa.table({"shard": where.column("shard")[:1].cast(pa.int32()), "piece": where.column("piece")[:1].cast(pa.int32()), "pieces": pa.array([pieces], pa.int32()), "filter": pa.array([cuckoo.packed()], pa.binary())})
 
         marked = holds.join(crossed.select("h1", "h2", "enters"), ["h1", "h2"], "left").select("h1", "h2", "shard", "piece", F.lit(True).alias("enters"), F.col("enters").isNotNull().alias("moved"))
         leaves = place(crossed.where("not enters")).select("h1", "h2", "shard", "piece", "enters", F.lit(True).alias("moved"))
-        filters = self.filters.groupBy("shard", "piece").cogroup(marked.union(leaves).groupBy("shard", "piece")).applyInArrow(run, "shard int, piece int, filter binary")
+        filters = self.filters.groupBy("shard", "piece").cogroup(marked.union(leaves).groupBy("shard", "piece")).applyInArrow(run, FILTERS)
         return LineIndex(stored(counts, folder, "counts"), stored(filters, folder, "filters"), folder)
 
     def _sent(self):
@@ -295,7 +305,7 @@ class LineIndex:
         if size > FILTER_BYTES:
             return None
         rows = self.filters.collect()
-        return self.filters.sparkSession.sparkContext.broadcast({(r.shard, r.piece): bytes(r.filter) for r in rows} | {"pieces": 1 + max((r.piece for r in rows), default=0)})
+        return self.filters.sparkSession.sparkContext.broadcast({(r.shard, r.piece): bytes(r.filter) for r in rows} | {"pieces": max((r.pieces for r in rows), default=1)})
 
     def dropped_keys(self, docs: DataFrame) -> DataFrame:
         """(id, keys): for each doc_id the keys whose lines it loses; keys are (h1, h2)."""

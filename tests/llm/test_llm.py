@@ -414,6 +414,22 @@ def test_index_is_reversible(spark):
         assert held == index.counts.where(f"refs >= {line_dedup.MIN_DOCS}").count()
 
 
+def test_one_repeated_line_in_many_pieces(spark):
+    pieces = 1280 // line_dedup.SHARDS
+    h2 = lambda line: int(line_dedup.line_keys(*common.flat_text(pa.array([line])))[5].view(np.int64)[0])
+    line = next(x for x in (f"the only line that is repeated, {k}" for k in range(1000)) if h2(x) % pieces == 7 and h2(x) % 8 != 7)
+    rows = [(i, f"{line}\na line of its own in text {i}") for i in range(6)]
+    docs, before = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1280")
+    try:
+        index = line_dedup.LineIndex.build(docs)
+        index = index.insert(docs.where("doc_id < 2")).delete(docs.where("doc_id < 2"), docs)
+        for got in (line_dedup.dedup_lines(docs), line_dedup.dedup_lines(docs, index)):
+            assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == plain_dedup(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_cuckoo():
     keys = common.random_u64(5000, 77)
     f = line_dedup.Cuckoo(keys[:4000])
