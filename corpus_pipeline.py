@@ -41,20 +41,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays: the one with the least doc_id.
+    """One document of each component of near duplicates stays: the one with the least doc_id, a null one only if there is no other.
 
-    A document without a word is in no component and stays.  Of rows that share
-    that doc_id the first by text stays.
+    Of a component's rows that share that doc_id the first by text stays.  Rows
+    of one doc_id, null included, in different components don't touch each
+    other; a document without a word is in no component and stays.
     """
-    groups = jaccard_join.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id").where("doc_id <=> component_id").distinct()
-    kept = docs.join(groups.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"))
-    again = stored(again, shared_folder(spark), "repeated-ids")
+    return _shielded(docs, ("set_id_", "set_", "first_id_", "component_", "n_rows_"), _one_of_each)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    keep = jaccard_join.survivors(docs.select("doc_id", "text")).select(*(F.col(c).alias(f"{n}_") for c, n in (("set_id", "set"), ("first_id", "first_id"), ("component", "component"), ("n_rows", "n_rows"))))
+    rows = jaccard_join.with_set_id(docs, "set_id_")
+    same = (F.col("set_id_") == F.col("set_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("first_id_"))
+    again = keep.where("n_rows_ > 1")
     if again.isEmpty():
-        return kept
-    repeated = F.col("doc_id").eqNullSafe(F.col("again_id"))
-    first = kept.join(again, repeated, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    return kept.join(again, repeated, "left_anti").unionByName(first.select("doc_id", "r.*").select(*docs.columns))
+        return rows.join(keep, same, "left").where("set_id_ is null or set_ is not null").select(*docs.columns)
+    alone = rows.join(keep.where("n_rows_ = 1"), same, "left").where("set_id_ is null or set_ is not null").select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    first = rows.join(again, same).groupBy("component_").agg(F.min(F.struct("text", *others)).alias("r"))
+    return alone.unionByName(first.select("r.*").select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

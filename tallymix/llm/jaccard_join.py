@@ -416,6 +416,35 @@ def set_table(docs: DataFrame, folder: str) -> DataFrame:
     return stored(rows, folder, "sets")
 
 
+def with_set_id(docs: DataFrame, name: str) -> DataFrame:
+    """Adds the set_id of each row's text, null without a word."""
+    schema = docs.withColumn(name, F.lit(None).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _sets(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_key(s) if len(s) else None for s in found], pa.int64())], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """(set_id, first_id, component, n_rows): the sets that hold the least doc_id of their component, null only if it has no other.
+
+    n_rows is how many documents of the component have that doc_id.
+    """
+    folder = shared_folder(docs.sparkSession)
+    sets = set_table(docs, folder)
+    _, found = set_links(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), sets, folder)
+    rows = sets.where("set_id is not null").groupBy("set_id", "doc_id").agg(F.count("*").alias("n"))
+    first = rows.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n")).alias("f")).select("set_id", F.col("f.doc_id").alias("first_id"), "f.n")
+    members = first.join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    members = stored(members, folder, "first-rows")
+    least = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    kept = members.join(least, "component").where("first_id <=> component_id")
+    n_rows = kept.groupBy("component").agg(F.sum("n").alias("n_rows"))
+    return stored(kept.join(n_rows, "component").select("set_id", "first_id", "component", "n_rows"), folder, "survivors")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; component_id is the least doc_id that links lead to."""
     folder = shared_folder(docs.sparkSession)

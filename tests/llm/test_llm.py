@@ -572,3 +572,18 @@ def test_pipeline_awkward(spark, awkward, empty, tmp_path):
         assert out.columns == clash.columns and {(r.score, r.n_lines, r.id_) for r in out.collect()} == {(7, 8, 9)}
     twice = corpus_pipeline.dedup_near(spark, awkward, "")
     assert Counter(r.doc_id for r in twice.collect())[5] == 1
+
+
+def test_near_keeps_clean_rows_of_one_id(spark):
+    import corpus_pipeline
+
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c")), (None, ""), (None, None)]  # b is near to b
+    rows += [(1, text("d")), (1, text("e")), (9, text("e") + " more"), (1, text("f")), (1, text("f")), (8, text("a"))]  # one id on three texts
+    rows += [(2, "  "), (2, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_", F.lit("own"))
+    for parts in (1, 3):
+        got = corpus_pipeline.dedup_near(spark, docs.repartition(parts), "")
+        assert got.columns == docs.columns
+        want = [(None, text("b")), (None, text("c")), (None, ""), (None, None), (1, text("d")), (1, text("e")), (1, text("f")), (8, text("a")), (2, "  "), (2, "  ")]
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
