@@ -25,11 +25,13 @@ SHINGLE_WORDS = 5
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below the folder that driver and executors share.
 
-    That is the session's ``spark.checkpoint.dir``.  Only where it is unset, as
-    in tests on one machine, a temporary folder is made and set.
+    That is the session's ``spark.checkpoint.dir``.  Where it is unset a
+    temporary folder is made and set on one machine; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallymix-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tallymix-{uuid.uuid4().hex}"
@@ -70,7 +72,20 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session sets another size.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark cut Arrow batches by bytes, since rows may be long texts."""
+    own = spark.conf.get(_BATCH_SETTING) or ""
+    if not own.rstrip("b").isdigit() or int(own.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,6 +93,50 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+class HashTable:
+    """Numbers of 64-bit keys other than 0: open addressing, all keys of a call at a time; doubles when half full."""
+
+    def __init__(self, bits: int = 17):
+        self.bits, self.count = bits, 0
+        self.keys, self.numbers = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """-1 where a key isn't there."""
+        slot, out = self._slots(h), np.full(len(h), -1, np.int32)
+        key = self.keys[slot]
+        hit = key == h
+        np.copyto(out, self.numbers[slot], where=hit)
+        left = np.flatnonzero(~hit & (key != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            key = self.keys[slot[left]]
+            hit = key == h[left]
+            out[left[hit]] = self.numbers[slot[left[hit]]]
+            left = left[~hit & (key != 0)]
+        return out
+
+    def enter(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct new keys; of those that want one slot the last written stays, the others go on."""
+        if 2 * (self.count + len(h)) > len(self.keys):
+            full = self.keys != 0
+            keys, values = self.keys[full], self.numbers[full]
+            self.bits = max(self.bits + 1, (2 * (self.count + len(h))).bit_length())
+            self.keys, self.numbers, self.count = np.zeros(1 << self.bits, U64), np.zeros(1 << self.bits, np.int32), 0
+            self.enter(keys, values)
+        self.count += len(h)
+        slot, left = self._slots(h), np.arange(len(h))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = h[free]
+            won = free[self.keys[slot[free]] == h[free]]
+            self.numbers[slot[won]] = numbers[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -206,8 +265,15 @@ def set_key(s: np.ndarray) -> int:
         return int(mix64(np.array([mix64(s ^ GOLDEN).sum(dtype=U64) + U64(len(s))], U64)).view(np.int64)[0])
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one partition's links: at most one link for each node seen, to the least of its tree."""
+#: Nodes of a union-find at a time.
+TREES = 100_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch], most: int = TREES) -> Iterator[pa.RecordBatch]:
+    """Union-find over one partition's links: at most one link for each node seen, to the least of its tree.
+
+    Whenever it has ``most`` nodes it hands them on and starts anew, so memory doesn't grow with the partition.
+    """
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -216,18 +282,25 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = parent[x]
         return x
 
+    def made() -> pa.RecordBatch:
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             u, v = root(u), root(v)
             parent[max(u, v)] = min(u, v)
-    pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
-    for k in range(0, len(pairs), 50_000):
-        part = pairs[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["u", "v"])
+        if len(parent) >= most:
+            yield made()
+    if parent:
+        yield made()
 
 
 #: Up to so many links, after the partitions' own contraction, one more union-find ends it.
 FEW_LINKS = 250_000
+#: Star rounds take about log^2 of the longest chain; more than these mean an error.
+ROUNDS = 200
 
 
 def components(links: DataFrame, folder: str, name: str = "components") -> DataFrame:
@@ -240,10 +313,11 @@ def components(links: DataFrame, folder: str, name: str = "components") -> DataF
     """
     edges = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, "u long, v long")
     edges = stored(edges, folder, f"{name}-0")
-    before, rounds = None, range(1, 200)
     if edges.count() <= FEW_LINKS:
-        edges, rounds = stored(edges.coalesce(1).mapInArrow(_forest, "u long, v long"), folder, f"{name}-1"), range(0)
-    for k in rounds:
+        edges = stored(edges.coalesce(1).mapInArrow(lambda batches: _forest(batches, 1 << 62), "u long, v long"), folder, f"{name}-1")
+        return _named(edges)
+    before = None
+    for k in range(1, ROUNDS):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -253,7 +327,11 @@ def components(links: DataFrame, folder: str, name: str = "components") -> DataF
         edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), folder, f"{name}-{k}")
         now = tuple(edges.agg(F.count("*"), F.sum(F.expr("cast(u as decimal(38,0))")), F.sum(F.expr("cast(v as decimal(38,0))"))).first())
         if now == before:
-            break
+            return _named(edges)
         before = now
+    raise RuntimeError(f"components didn't settle in {ROUNDS} rounds")
+
+
+def _named(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v"), F.col("v"))).distinct()
