@@ -14,8 +14,9 @@ right, and a slot that says "in one set only" is never wrong.
 Equal sets are one node from the start.  Short lists give all their pairs.
 Long ones (groups of near copies) give pairs with a few pivots; after the
 links found so far are joined to components, only pairs of a long list whose
-components still differ are tried, in blocks, so no link between different
-texts is lost and no group is ever expanded into all of its pairs.  Lists of
+components still differ are tried, in blocks that verify them in place and hand
+on no more links than join components, so no component is missed and no group is
+ever expanded into all of its pairs.  Lists of
 very frequent shingles are dealt over many cells by the sets' hashes.
 
 Shingles are 64-bit hashes, and a set is known by 64 bits of its shingles.
@@ -51,8 +52,8 @@ SHORT = 12
 PIVOTS = 8
 #: log2 of the document count from which a shingle's list is dealt over cells, and of a cell's rows.  Cell 0 is a list that isn't dealt.
 CELL_LEVEL = 14
-BLOCK = 512
-SKETCH_BITS = 1024
+#: Bytes of shingles on either side of a block of sets that are held against each other.
+BLOCK_BYTES = 2 << 20
 ENTRIES = 200_000
 FLUSH = 1_000_000
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u2"), ("cell", "<u2")])
@@ -325,56 +326,73 @@ def _unlisted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for key, data in zip(b.column("key").to_pylist(), b.column("list").to_pylist(), strict=True):
             e = np.frombuffer(data, ENTRY)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), key, np.int64)), pa.array(e["id"].copy()), pa.array(e["size"].astype(np.int64)), pa.array(e["pos"].astype(np.int32))], ["key", "id", "size", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), key, np.int64)), pa.array(e["id"].copy()), pa.array(e["size"].astype(np.int64))], ["key", "id", "size"])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each set, bit by bit, whether an odd number of its shingles falls there."""
-    for b in batches:
-        odd = [np.bincount((np.frombuffer(t.as_buffer(), U64) >> U64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1 for t in b.column("tokens")]
-        yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array([np.packbits(x.astype(np.uint8)).tobytes() for x in odd], pa.binary())], ["id", "sketch"])
-
-
-def across_components(lists: DataFrame, found: DataFrame, tokens: DataFrame, small: int, folder: str) -> DataFrame | None:
-    """Pairs (a, b) of the long lists' sets whose components differ, or None.
+def across_components(lists: DataFrame, found: DataFrame, tokens: DataFrame, folder: str) -> DataFrame | None:
+    """Links (u, v) between sets of the long lists whose components differ, or None if there are no such sets.
 
-    In each list the sets outside its largest component meet all others, block
-    by block.  Two sets differ in at least as many shingles as their sketches
-    differ in bits; pairs that can't link by that are left out.
+    Lists with the same largest component are taken together, each set once.
+    There the sets outside that component meet all others, block by block, with
+    their shingles: pairs are verified where they meet.  A block hands on a link
+    only if it joins two components that it hasn't joined yet, so what it makes
+    is bounded by the sets that it reads.
     """
-    rows = lists.mapInArrow(_unlisted, "key long, id long, size long, pos int")
+    rows = lists.mapInArrow(_unlisted, "key long, id long, size long")
     named = rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = stored(named, folder, "long-lists")
     parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    heads = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    heads = stored(heads.select("key", F.col("top.component").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), folder, "mixed-lists")
+    heads = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    heads = stored(heads.select("key", F.col("top.component").alias("major")), folder, "mixed-lists")
     if heads.isEmpty():
         return None
-    mixed = named.join(heads, "key")
-    sketches = tokens.join(mixed.select(F.col("id").alias("set_id")).distinct(), "set_id", "left_semi").mapInArrow(_sketches, "id long, sketch binary")
-    mixed = stored(mixed.join(sketches.groupBy("id").agg(F.min("sketch").alias("sketch")), "id"), folder, "mixed-sets")
-    columns = ["id", "size", "pos", "component", "sketch"]
-    right = mixed.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("minor"), *columns)
-    left = mixed.where("component <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("minor"), *columns)
-
-    def run(t: pa.Table) -> pa.Table:
-        e = np.zeros(t.num_rows, ENTRY)
-        for name in ("id", "size", "pos"):
-            e[name] = np.asarray(t.column(name))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(t.num_rows, -1)
-        component, minor = np.asarray(t.column("component")), np.asarray(t.column("minor"))
-        mine, theirs, left, right = np.flatnonzero(minor), np.flatnonzero(~minor), [], []
-        for i in mine:
-            j = theirs[component[theirs] != component[i]]
-            size = e["size"][j].astype(np.int64) + int(e["size"][i])
-            overlap = (size - np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)) // 2
-            j = j[overlap >= -(-SHARE * size // (100 + SHARE))]
-            a, b = _pairs_of(e, np.full(len(j), i), j, small)
-            left.append(a)
-            right.append(b)
-        return pa.table({"a": pa.array(np.concatenate(left) if left else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(right) if right else np.zeros(0, np.int64))})
-
-    return right.union(left).groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
+    members = named.join(heads, "key").groupBy("major", "id").agg(F.first("size").alias("size"), F.first("component").alias("component"))
+    members = stored(members, folder, "mixed-sets")
+    minor = F.col("component") != F.col("major")
+    blocks = lambda c: F.greatest(F.ceil(F.sum(c) * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+    grid = members.groupBy("major").agg(blocks(F.col("size")).alias("blocks"), blocks(F.when(minor, F.col("size")).otherwise(0)).alias("minors"))
+    own = F.xxhash64("id")
+    cells = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: F.struct(i.alias("i"), F.pmod(own, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("asks"))),
+        F.when(minor, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.pmod(own, F.col("minors")).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("asks")))).otherwise(F.array()),
+    )
+    placed = members.join(grid, "major").select("major", "id", "component", F.explode(cells).alias("c")).select("major", "c.i", "c.j", "c.asks", "id", "component")
+    shipped = placed.join(tokens.withColumnRenamed("set_id", "id"), "id").select("major", "i", "j", "asks", "id", "component", "tokens")
+    return shipped.groupBy("major", "i", "j").applyInArrow(_block_links, "u long, v long")
+
+
+def _block_links(t: pa.Table) -> pa.Table:
+    """The links that join components, between the sets that ask and the others of one block."""
+    data, offs = flat_text(t.column("tokens"))
+    shingle, offs = data.view(U64), offs // 8
+    asks, ids, size = np.asarray(t.column("asks")), np.asarray(t.column("id")), np.diff(offs)
+    _, component = np.unique(np.asarray(t.column("component")), return_inverse=True)
+    mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+    theirs = theirs[np.argsort(size[theirs], kind="stable")]
+    left, right = [], []
+    if len(mine) and len(theirs):
+        sizes = size[theirs]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        vocabulary, place = np.unique(shingle[np.repeat(offs[theirs] - at[:-1], sizes) + np.arange(at[-1])], return_inverse=True)
+        held = np.zeros(len(vocabulary), np.uint8)
+        for i in mine.tolist():
+            n = int(size[i])
+            lo, hi = np.searchsorted(sizes, -(-SHARE * n // 100)), np.searchsorted(sizes, 100 * n // SHARE, "right")
+            other = component[theirs[lo:hi]] != component[i]
+            if not other.any():
+                continue
+            own = shingle[offs[i] : offs[i + 1]]
+            k = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+            k = k[vocabulary[k] == own]
+            held[k] = 1
+            same = np.add.reduceat(held[place[at[lo] : at[hi]]], at[lo:hi] - at[lo], dtype=np.int64)
+            held[k] = 0
+            for j in theirs[lo:hi][other & (100 * same >= SHARE * (n + sizes[lo:hi] - same))].tolist():
+                if component[j] != component[i]:
+                    left.append(ids[i])
+                    right.append(ids[j])
+                    component[component == component[j]] = component[i]
+    return pa.table({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
 
 
 def set_links(docs: DataFrame, sets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -398,14 +416,13 @@ def links_of_index(index: DataFrame, docs: DataFrame, sets: DataFrame, small: in
     top = lists.groupBy("key").agg(F.min("a").alias("first"), F.count("*").alias("cells")).where("cells > 1")
     over_cells = lists.join(top, "key").where("a <> first").select(F.least("a", "first").alias("a"), F.greatest("a", "first").alias("b"))
     pairs = stored(got.where("kind = 0").select("a", "b").union(over_cells).distinct(), folder, "pairs")
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(lists.mapInArrow(_unlisted, "key long, id long, size long, pos int").select("id")).distinct()
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(lists.mapInArrow(_unlisted, "key long, id long, size long").select("id")).distinct()
     tokens = stored(token_table(docs, sets, ids), folder, "tokens")
     links = stored(verified(pairs, tokens), folder, "links")
     found = components(links, folder)
-    more = across_components(lists, found, tokens, small, folder)
+    more = across_components(lists, found, tokens, folder)
     if more is not None:
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        links = links.union(stored(verified(more, tokens), folder, "more-links"))
+        links = links.union(stored(more, folder, "more-links"))
         found = components(links, folder, "all-components")
     return links, found
 
