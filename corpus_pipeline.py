@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymix.llm import jaccard_join, language, line_dedup, mixing, packing
-from tallymix.llm.common import shared_folder, stored
+from tallymix.llm.common import shared_folder, small_batches, stored
 
 
 def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,12 +31,14 @@ def _shielded(docs: DataFrame, made: tuple[str, ...], step: Callable[[DataFrame]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go: without a letter, or coded worse than any language's held-back texts allow."""
+    small_batches(spark)
     model = language.fit(docs.select("doc_id", "text", "lang"))
     return _shielded(docs, ("lang_pred", "score", "rejected"), lambda d: language.identify(d, model).where(~F.col("rejected")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, but for the largest doc_id that holds them."""
+    small_batches(spark)
     return _as_documents(_shielded(docs, ("n_lines", "n_dropped", "id_", "keys_"), line_dedup.dedup_lines), docs.columns)
 
 
@@ -47,6 +49,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of one doc_id, null included, in different components don't touch each
     other; a document without a word is in no component and stays.
     """
+    small_batches(spark)
     return _shielded(docs, ("set_id_", "set_", "first_id_", "component_", "n_rows_"), _one_of_each)
 
 
@@ -70,6 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows with their sequence and place."""
+    small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"))
 
 
