@@ -55,6 +55,8 @@ CELL_LEVEL = 14
 #: Bytes of shingles on either side of a block of sets that are held against each other.
 BLOCK_BYTES = 2 << 20
 ENTRIES = 200_000
+#: Up to so many (doc_id, set_id), 16 bytes each, are broadcast.
+SENT_ROWS = 500_000
 FLUSH = 1_000_000
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u2"), ("cell", "<u2")])
 SUBSET = 65535
@@ -287,7 +289,7 @@ def candidates(t: pa.Table, small: int) -> pa.Table:
 # --- verification ----------------------------------------------------------------------------
 
 
-def token_table(docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
+def token_table(docs: DataFrame, sets: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
     """(set_id, tokens) for the wanted ids: the shingles of one document of each, once for each task that reads a row of it."""
     first = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
     wanted = first.join(ids, "set_id", "left_semi")
@@ -298,7 +300,10 @@ def token_table(docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
             rows = [(k, s.tobytes()) for k, s in zip(b.column("set_id").to_pylist(), found, strict=True) if len(s) and set_key(s) == k and not (k in seen or seen.add(k))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["set_id", "tokens"])
 
-    texts = docs.select(F.col("doc_id").alias("d_"), "text").join(wanted, F.col("d_").eqNullSafe(F.col("first_id"))).select("text", "set_id")
+    # texts stay where they are as long as the wanted rows are few enough to be sent; beyond that they are dealt by doc_id
+    wanted = stored(wanted, folder, "wanted")
+    few = wanted.count() <= SENT_ROWS
+    texts = docs.select(F.col("doc_id").alias("d_"), "text").join(F.broadcast(wanted) if few else wanted, F.col("d_").eqNullSafe(F.col("first_id"))).select("text", "set_id")
     return texts.mapInArrow(run, "set_id long, tokens binary")
 
 
@@ -417,7 +422,7 @@ def links_of_index(index: DataFrame, docs: DataFrame, sets: DataFrame, small: in
     over_cells = lists.join(top, "key").where("a <> first").select(F.least("a", "first").alias("a"), F.greatest("a", "first").alias("b"))
     pairs = stored(got.where("kind = 0").select("a", "b").union(over_cells).distinct(), folder, "pairs")
     ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(lists.mapInArrow(_unlisted, "key long, id long, size long").select("id")).distinct()
-    tokens = stored(token_table(docs, sets, ids), folder, "tokens")
+    tokens = stored(token_table(docs, sets, ids, folder), folder, "tokens")
     links = stored(verified(pairs, tokens), folder, "links")
     found = components(links, folder)
     more = across_components(lists, found, tokens, folder)
@@ -470,14 +475,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named_components(sets, found, folder)
 
 
-def named_components(sets: DataFrame, found: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, n_shingles, component_id) from the documents' sets and the components of linked sets."""
+def named_components(sets: DataFrame, found: DataFrame, folder: str, *more: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) and more of ``sets``'s columns from the documents' sets and the components of linked sets."""
     first = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
     in_component = first.join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     in_component = stored(in_component, folder, "members")
     names = in_component.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_set = in_component.join(names, "component").select("set_id", "component_id")
-    return sets.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sets.join(of_set, "set_id", "left").select("doc_id", "n_shingles", *more, F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
