@@ -2,14 +2,16 @@
 
 Each word, and each word's shape (runs of lower case, upper case, digits, other
 characters), has a fixed random index vector by hash.  Its word vector adds the
-index vectors of its neighbours over the fitting texts.  A document is the mean
-and the spread of its words' and shapes' vectors, how like they are to the next
-one's, and its length.  The network
-is written in numpy; one temperature, chosen on texts held back from fitting,
-calibrates its probabilities.
+mean of the index vectors of its neighbours over all documents: they are of -1,
+0 and 1, so tasks' sums are whole numbers and don't depend on their order.  A
+document is the mean and the spread of its words' and shapes' vectors, how like
+they are to the next one's, and its length.  The network is written in numpy;
+one temperature, chosen on texts held back from fitting, calibrates its
+probabilities.
 
-Fitting reads about ``FIT_ROWS`` labelled rows whole, drawn by a hash of doc_id;
-that bound is a parameter.  All texts are scored whole.
+The network alone is fitted on about ``FIT_ROWS`` labelled rows, drawn by a hash
+of doc_id; that bound is a parameter.  Their texts are pooled where they are
+read; only the inputs meet on the driver.  All texts are scored whole.
 
 Edge cases: null, empty and blank texts have zero vectors and length 0 and get
 the network's probability for that; rows without a label don't count for
@@ -20,6 +22,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ BUCKETS, DIMS, WINDOW = 1 << 15, 32, 2
 INPUTS = 4 * DIMS + 3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 THRESHOLD = 0.3
+#: Bytes of text whose neighbours are counted at a time.
+COUNT_SLICE = 1 << 19
 
 
 def _shape_classes() -> np.ndarray:
@@ -61,27 +66,78 @@ def word_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def index_vectors() -> np.ndarray:
     bits = random_u64(BUCKETS * DIMS, 401) >> np.uint64(61)
-    return np.choose(np.minimum(bits, 2).astype(int), [-1.0, 1.0, 0.0]).astype(np.float32).reshape(BUCKETS, DIMS)
+    return np.choose(np.minimum(bits, 2).astype(int), [-1, 1, 0]).astype(np.int8).reshape(BUCKETS, DIMS)
 
 
-def random_indexing(texts: list[str]) -> np.ndarray:
+def neighbour_sums(data: np.ndarray, offs: np.ndarray, index: np.ndarray, sums: np.ndarray, seen: np.ndarray) -> None:
+    """Adds, for each word's and each shape's bucket, its neighbours' index vectors to ``sums`` and their number to ``seen``."""
+    words, shapes, wo = word_buckets(data, offs)
+    n = len(words)
+    text = np.repeat(np.arange(len(wo) - 1), np.diff(wo))
+    near = [(d, text[d:] == text[: n - d]) for d in range(1, min(WINDOW, n - 1) + 1)]
+    number = np.zeros(n, np.int64)
+    for d, same in near:
+        number[d:] += same
+        number[: n - d] += same
+    for b in (words, shapes):
+        own, around = index[b], np.zeros((n, DIMS), np.int8)
+        for d, same in near:
+            around[d:] += own[: n - d] * same[:, None]
+            around[: n - d] += own[d:] * same[:, None]
+        order = np.argsort(b.astype(np.uint16), kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(b[order]) != 0])) if n else np.zeros(0, np.int64)
+        if n:
+            at = b[order][first]
+            sums[at] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
+            seen[at] += np.add.reduceat(number[order], first)
+
+
+def word_vectors(sums: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """(BUCKETS, DIMS) unit vectors: own index plus the mean of the neighbours'."""
-    index = index_vectors()
-    sums, seen = np.zeros((BUCKETS, DIMS)), np.zeros(BUCKETS)
-    for k in range(0, len(texts), 500):
-        words, shapes, wo = word_buckets(*flat_text(pa.array(texts[k : k + 500], pa.string())))
-        text = np.repeat(np.arange(len(wo) - 1), np.diff(wo))
-        for b in (words, shapes):
-            for d in range(1, WINDOW + 1):
-                i = np.flatnonzero(text[d:] == text[:-d])
-                for x, y in ((b[i], b[i + d]), (b[i + d], b[i])):
-                    seen += np.bincount(x, minlength=BUCKETS)
-                    for j in range(DIMS):
-                        sums[:, j] += np.bincount(x, weights=index[y, j], minlength=BUCKETS)
-    out = index + sums / np.maximum(seen, 1)[:, None]
+    out = index_vectors() + sums / np.maximum(seen, 1)[:, None]
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def random_indexing(docs: DataFrame) -> np.ndarray:
+    """The word vectors of all texts; what tasks send is by ranges of buckets, compressed, and as large as the table at most."""
+    parts = 32
+    width = BUCKETS // parts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, sums, seen = index_vectors(), np.zeros((BUCKETS, DIMS), np.int64), np.zeros(BUCKETS, np.int64)
+        for b in (part for batch in batches for part in slices(batch, most=COUNT_SLICE)):
+            neighbour_sums(*flat_text(b.column(0)), index, sums, seen)
+        for p in range(parts):
+            at = slice(p * width, (p + 1) * width)
+            if seen[at].any():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_packed(np.column_stack([seen[at], sums[at]]))], pa.binary())], ["part", "data"])
+
+    def total(t: pa.Table) -> pa.Table:
+        out = np.zeros((width, DIMS + 1), np.int64)
+        for data in t.column("data"):
+            out += _unpacked(data.as_py(), out.shape)
+        return pa.table({"part": t.column("part")[:1], "data": pa.array([_packed(out)], pa.binary())})
+
+    schema = "part int, data binary"
+    sums, seen = np.zeros((BUCKETS, DIMS), np.int64), np.zeros(BUCKETS, np.int64)
+    for r in docs.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(total, schema).collect():
+        x = _unpacked(r["data"], (width, DIMS + 1))
+        seen[r.part * width : (r.part + 1) * width], sums[r.part * width : (r.part + 1) * width] = x[:, 0], x[:, 1:]
+    return word_vectors(sums, seen)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers by byte plane of the least width that holds them, compressed."""
+    kind = next(k for k in ("<i2", "<i4", "<i8") if np.abs(x).max(initial=0) <= np.iinfo(k).max)
+    planes = x.astype(kind).ravel().view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(planes.tobytes(), 1)
+
+
+def _unpacked(data: bytes, shape: tuple[int, int]) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<i{data[0]}").reshape(shape).astype(np.int64)
+
+
 def pooled(data: np.ndarray, offs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """(texts, INPUTS): mean and spread of word vectors and of shape vectors, their likeness to the next one's, and the log of the length."""
     words, shapes, wo = word_buckets(data, offs)
@@ -151,12 +207,12 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 class QualityModel:
-    def __init__(self, texts: list[str], y: np.ndarray):
-        self.vectors = random_indexing(texts)
-        parts = [pooled(*flat_text(pa.array(texts[k : k + 500], pa.string())), self.vectors) for k in range(0, len(texts), 500)]
-        self.network = Network(INPUTS)
-        if parts:
-            self.network.fit(np.concatenate(parts).astype(float), y)
+    """Word vectors, and the network on pooled texts (inputs x, labels y)."""
+
+    def __init__(self, vectors: np.ndarray, x: np.ndarray, y: np.ndarray):
+        self.vectors, self.network = vectors, Network(INPUTS)
+        if len(x):
+            self.network.fit(x, y)
         else:
             self.network.weights = [np.zeros_like(w) for w in self.network.weights]
 
@@ -165,13 +221,23 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", wanted: int = FIT_ROWS) -> QualityModel:
-    """From about ``wanted`` labelled rows, at most twice as many."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    """Vectors from all texts; the network from about ``wanted`` labelled rows, at most twice as many, in the order of a hash."""
+    vectors = random_indexing(docs)
+    sent = Sent(docs.sparkSession, vectors)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"), F.expr("xxhash64(doc_id, 9)").alias("h"))
     share = min(1.0, wanted / max(1, known.count()))
-    drawn = known.where(F.expr(f"pmod(xxhash64(doc_id, 9), {DRAWS})") < int(share * DRAWS)).limit(2 * wanted)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").select("doc_id", "text", "y", F.expr("xxhash64(doc_id, 9)").alias("h")).limit(4 * wanted).collect()
-    rows.sort(key=lambda r: (r.h, r.text))
-    return QualityModel([r.text for r in rows], np.array([r.y for r in rows], float))
+    drawn = known.where(F.pmod("h", F.lit(DRAWS)) < int(share * DRAWS)).orderBy("h", "doc_id", "y").limit(2 * wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch)):
+            x = pooled(*flat_text(b.column("text")), sent.value)
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("t"), b.column("y"), pa.array([row.tobytes() for row in x], pa.binary())], ["h", "t", "y", "x"])
+
+    # at most 2 * wanted labels: a bounded table
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "y", "h", F.xxhash64("text").alias("t"))
+    rows = texts.mapInArrow(run, "h long, t long, y double, x binary").orderBy("h", "t", "y").limit(4 * wanted).collect()
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, INPUTS).astype(float)
+    return QualityModel(vectors, x, np.array([r.y for r in rows], float))
 
 
 def score(df: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
