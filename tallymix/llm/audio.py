@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 RATE = 8000
@@ -33,7 +33,9 @@ IMA_STEPS = np.array(
     np.int32,
 )
 #: Blocks decoded at a time; bounds memory.
-SLAB = 1 << 14
+SLAB = 1 << 12
+#: Bytes of text and samples worked on at a time.
+TEXT_SLICE, SAMPLES = 1 << 19, 1 << 18
 
 
 def mulaw_table() -> np.ndarray:
@@ -163,7 +165,7 @@ def decode_audio(df: DataFrame, column: str, to: int = 16000, out: str = "pcm")
     schema = df.drop(out).withColumn(out, df[column].cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, column, TEXT_SLICE)):
             made = []
             for media in b.column(column):
                 got = read_wav(media.as_py() or b"")
@@ -179,40 +181,57 @@ def payload(text: bytes) -> bytes:
     return text + b"\0" * (BLOCK * max(1, -(-len(text) // BLOCK)) - len(text))
 
 
-def _ima_sums(raws: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """For each payload, read as ADPCM blocks: sum of squares, peak and sign changes within blocks."""
-    counts = [len(r) // BLOCK for r in raws]
-    blocks = np.concatenate(raws).reshape(-1, BLOCK)
+def _ima_sums(raw: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of payloads read as ADPCM blocks, so many each: sum of squares, peak and sign changes within blocks."""
+    blocks = raw.reshape(-1, BLOCK)
     square, peak, turns = (np.empty(len(blocks), np.int64) for _ in range(3))
     for k in range(0, len(blocks), SLAB):
         pcm = ima_blocks(blocks[k : k + SLAB])
-        wide = pcm.astype(np.float32)
-        square[k : k + SLAB] = np.rint(np.einsum("ij,ij->i", wide, wide, dtype=np.float64))
-        peak[k : k + SLAB] = np.maximum(pcm.max(1).astype(np.int32), -pcm.min(1).astype(np.int32))
+        wide = pcm.astype(np.int64)
+        square[k : k + SLAB] = np.einsum("ij,ij->i", wide, wide)
+        peak[k : k + SLAB] = np.abs(wide).max(1)
         turns[k : k + SLAB] = ((pcm[:, 1:] < 0) != (pcm[:, :-1] < 0)).sum(1)
-    at = np.cumsum([0, *counts[:-1]])
-    return list(zip(np.add.reduceat(square, at).tolist(), np.maximum.reduceat(peak, at).tolist(), np.add.reduceat(turns, at).tolist(), strict=True))
+    at = np.cumsum(counts) - counts
+    return np.add.reduceat(square, at), np.maximum.reduceat(peak, at), np.add.reduceat(turns, at)
+
+
+def _pcm_feature(kind: int, block: int, data, rate: int) -> str:
+    """Digest, root mean square, peak and sign changes of the samples at twice the rate, a stretch at a time.
+
+    A stretch ends with the first sample of the next, which interpolation needs and which isn't counted.
+    """
+    crc = square = peak = turns = n = 0
+    last = None
+    for at in range(0, len(data), SAMPLES):
+        part = pcm_of(kind, block, data[at : at + SAMPLES + 1])
+        more = at + SAMPLES < len(data)
+        pcm = resample(part, rate, 2 * rate)
+        pcm = pcm[: 2 * (len(part) - 1)] if more else pcm
+        crc = zlib.crc32(pcm, crc)
+        wide = pcm.astype(np.int64)
+        square, peak, n = square + int(wide @ wide), max(peak, int(np.abs(wide).max())), n + len(pcm)
+        signs = pcm < 0
+        turns += int(np.count_nonzero(signs[1:] != signs[:-1])) + (last is not None and bool(signs[0]) != last)
+        last = bool(signs[-1])
+    return f"pcm:{crc:08x}:rms={(square / n) ** 0.5:.1f}:peak={peak}:turns={turns}"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for b in batches:
-        for k in range(0, b.num_rows, 1000):
-            part = b.slice(k, 1000)
-            rows, raws = [], []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()), strict=True):
-                text = text.as_py() or b""
-                media = wav(MULAW, payload(text))
-                kind, rate, block, data = read_wav(media)
-                raws.append(np.frombuffer(data, np.uint8))
-                pcm = resample(pcm_of(kind, block, data), rate, 2 * rate)
-                wide = pcm.astype(np.float32)
-                feature = f"pcm:{zlib.crc32(pcm):08x}:rms={(float(wide @ wide) / len(pcm)) ** 0.5:.1f}:peak={int(np.abs(wide).max())}:turns={int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))}"
-                rows.append([doc_id, len(text), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature])
-            for row, (square, peak, turns) in zip(rows, _ima_sums(raws), strict=True):
-                row[-1] += f";adpcm:rms={(square / (row[2] // BLOCK * 121)) ** 0.5:.1f}:peak={peak}:turns={turns}"
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    for part in (part for batch in batches for part in slices(batch, 1, TEXT_SLICE)):
+        rows, raws = [], []
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()), strict=True):
+            text = text.as_py() or b""
+            media = wav(MULAW, payload(text))
+            kind, rate, block, data = read_wav(media)
+            raws.append(np.frombuffer(data, np.uint8))
+            rows.append([doc_id, len(text), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), _pcm_feature(kind, block, data, rate)])
+        if not rows:
+            continue
+        for row, square, peak, turns in zip(rows, *_ima_sums(np.concatenate(raws), np.array([len(r) // BLOCK for r in raws])), strict=True):
+            row[-1] += f";adpcm:rms={(int(square) / (row[2] // BLOCK * 121)) ** 0.5:.1f}:peak={peak}:turns={turns}"
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
