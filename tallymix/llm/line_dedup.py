@@ -40,6 +40,8 @@ MIN_CHARS, MIN_DOCS = 20, 3
 SHARDS = 64
 FILTER_BYTES = 64 << 20
 SLOTS, KICKS = 4, 500
+#: Keys gathered by a task before it counts them again.
+MERGE_KEYS = 1 << 19
 
 _VALUES = [random_u64(256, s) | U64(1) for s in (101, 202)]
 for _v in _VALUES:
@@ -108,6 +110,7 @@ def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per key of this partition: its documents counted, and their largest id."""
     release()
     parts: list[tuple[np.ndarray, ...]] = []
+    since = 0
 
     def merged() -> tuple[np.ndarray, ...]:
         h1, h2, n, top = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -122,6 +125,9 @@ def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, x, y = text[order], h1[order], h2[order]
         first = np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         parts.append((x[first], y[first], np.ones(int(first.sum()), np.int64), _ids(b.column(0))[t[first]]))
+        since += len(parts[-1][0])
+        if since >= MERGE_KEYS:
+            parts, since = [merged()], 0
     if parts:
         h1, h2, n, top = merged()
         for k in range(0, len(n), 50_000):
@@ -308,7 +314,7 @@ class LineIndex:
         return self.filters.sparkSession.sparkContext.broadcast({(r.shard, r.piece): bytes(r.filter) for r in rows} | {"pieces": max((r.pieces for r in rows), default=1)})
 
     def dropped_keys(self, docs: DataFrame) -> DataFrame:
-        """(id, keys): for each doc_id the keys whose lines it loses; keys are (h1, h2)."""
+        """(id, row, keys): for each doc_id and hash of its text the keys whose lines it loses; keys are (h1, h2)."""
         sent = self._sent()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,11 +333,11 @@ class LineIndex:
                 order = np.lexsort((h2, h1, text))
                 t, x, y = text[order], h1[order], h2[order]
                 first = np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(t) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column(0))[t[first]]), pa.array(x[first].view(np.int64)), pa.array(y[first].view(np.int64))], ["id", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column(0))[t[first]]), pa.array(np.asarray(b.column(2))[t[first]]), pa.array(x[first].view(np.int64)), pa.array(y[first].view(np.int64))], ["id", "row", "h1", "h2"])
 
-        lines = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "id long, h1 long, h2 long")
+        lines = docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "xxhash64(text) row").mapInArrow(run, "id long, row long, h1 long, h2 long")
         lost = lines.join(self.counts.where(f"refs >= {MIN_DOCS}"), ["h1", "h2"]).where("id <> keeper")
-        return lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
+        return lost.groupBy("id", "row").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
 
 
 def _kept(text: bytes | None, keys) -> tuple[bytes, int, int]:
@@ -356,9 +362,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """The documents without the lines they lose, other columns as they were, plus n_lines and n_dropped."""
     index = index or LineIndex.build(docs)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "keys_")]
-    lost = index.dropped_keys(docs).withColumnRenamed("keys", "keys_").withColumnRenamed("id", "id_")
+    lost = index.dropped_keys(docs).select(F.col("id").alias("id_"), F.col("row").alias("row_"), F.col("keys").alias("keys_"))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))
-    joined = docs.select(*columns).join(lost, ids == F.col("id_"), "left").select(*columns, "keys_")
+    joined = docs.select(*columns).join(lost, (ids == F.col("id_")) & (F.xxhash64("text") == F.col("row_")), "left").select(*columns, "keys_")
     schema = joined.drop("keys_").withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
