@@ -6,16 +6,18 @@ source each document expects target / source size copies.  These are summed up
 in a fixed order, one offset from the seed is added, and a document is taken
 once for each whole number that its stretch of the sum crosses.
 
-The order is (size class, cell, doc_id, size), with as many cells as keep one
-below some ten thousand rows.  So the prefix sums need no task to hold a source: sums
-within cells by window, sums of the cells by a window over one row per cell.
+The order is (size class, cell, doc_id, size, hash of the text), with as many
+cells as keep one below some ten thousand rows.  So the prefix sums need no task
+to hold a source: sums within cells by window, sums of a class's cells by a
+window over one row per cell, sums of a source's classes by one over these.
 Size classes (the whole root of the size) stratify the draw, which holds each
 source's taken words near its target.  All sums are of whole numbers (copies in
 units of 2^-30), so the result depends neither on partitions nor on reruns.
 
 Edge cases: a null text has size 0; documents of size 0 are drawn like others;
 a null source is a source of its own, last in order; a null doc_id comes first
-in its cell; repeated rows draw one after the other; an empty table gives an
+in its cell; repeated rows draw one after the other, rows of one doc_id and size
+in an order of their texts; an empty table gives an
 empty result.
 """
 
@@ -71,7 +73,7 @@ def offset_units(source: Column, seed: str) -> Column:
 
 def copies(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies; and the columns ``keep``."""
-    sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
+    sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie_"), *keep)
     n_cells = max(1, -(-df.count() // CELL_ROWS))
     cells = sized.withColumns({
         "class": F.floor(F.sqrt("size")).cast("long"),
@@ -83,15 +85,18 @@ def copies(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         F.col("source"), "source_size", "target",
         F.coalesce(F.round(F.expr("try_divide(target, source_size)") * UNIT), F.lit(0)).cast("long").alias("rate"),
     )
-    up_to = W.partitionBy("source").orderBy("class", "cell").rowsBetween(W.unboundedPreceding, -1)
-    prefix = totals.withColumn("rows_before", F.coalesce(F.sum("cell_rows").over(up_to), F.lit(0)))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    classes = totals.groupBy("source", "class").agg(F.sum("cell_rows").alias("class_rows"))
+    classes = classes.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), before(W.partitionBy("source").orderBy("class"), "class_rows").alias("class_before"))
+    in_class = totals.withColumn("cell_before", before(W.partitionBy("source", "class").orderBy("cell"), "cell_rows"))
+    prefix = in_class.join(classes, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class"))).withColumn("rows_before", F.col("class_before") + F.col("cell_before"))
     t, r = prefix.alias("t"), rates.alias("r")
     offsets = t.join(r, F.col("t.source").eqNullSafe(F.col("r.source"))).select(
         F.col("t.source").alias("o_source"), F.col("t.class").alias("o_class"), F.col("t.cell").alias("o_cell"), "source_size", "target", "rate",
         # only the part below a whole copy matters for the cell
         F.expr(f"cast(pmod(cast(rows_before as decimal(38,0)) * cast(rate as decimal(20,0)), {UNIT}) as bigint)").alias("start"),
     )
-    within = W.partitionBy("source", "class", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "size")
+    within = W.partitionBy("source", "class", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "size", "tie_")
     numbered = cells.withColumn("rank", F.row_number().over(within).cast("long"))
     d = numbered.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("class") == F.col("o_class")) & (F.col("cell") == F.col("o_cell")))
     base = F.col("start") + offset_units(F.col("source"), seed)
