@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -168,6 +169,31 @@ def test_dealt_cells_lose_no_link(spark, level):
     assert got_components(jaccard_join.named_components(sets, linked, folder)) == brute_components(rows)
 
 
+def test_hidden_clusters_in_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 1 << 12)
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared, rows = [word() for _ in range(40)], []
+    for k in range(12):  # groups that share a passage and are near within themselves only
+        own = [word() for _ in range(30)]
+        for j in range(12):
+            own[j % 30] = word() if j % 3 == 0 else own[j % 30]
+            rows.append((100 * k + j, " ".join(shared + own)))
+    rows += [(5000 + k, " ".join(shared + [word() for _ in range(30)])) for k in range(60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got_components(jaccard_join.near_duplicates(df)) == brute_components(rows)
+
+
+def test_rounds_end_or_raise(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_LINKS", 0)
+    monkeypatch.setattr(common, "ROUNDS", 2)
+    monkeypatch.setattr(common, "TREES", 2)
+    links = spark.createDataFrame([(i, i + 1) for i in range(64)], "u long, v long").repartition(16)
+    with pytest.raises(RuntimeError):
+        common.components(links, common.shared_folder(spark))
+
+
 def test_boundary_by_cost():
     assert jaccard_join.boundary({}, 1.0) >= jaccard_join.LEAST - 1
     few, many = jaccard_join.boundary(dict.fromkeys(range(3, 65), 10), 1.0), jaccard_join.boundary(dict.fromkeys(range(3, 65), 10), 20.0)
@@ -177,14 +203,39 @@ def test_boundary_by_cost():
 # --- op 2 ---
 
 
-def test_quality_learns(spark, sf):
+def test_quality_held_out(spark, sf):
+    folder = sf.replace("sf0.001", "sf0.01")
+    got = quality.op2_quality(spark, folder)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema.fields] == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    out = got.toPandas().merge(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality").toPandas(), on="doc_id")
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out and r.predicted == (r.score >= 0.3) for r in out.itertuples())
+    out = out[out.held_out & out.quality.notna()]
+    good, bad = out.score[out.quality == 1], out.score[out.quality == 0]
+    assert len(good) > 20 and len(bad) > 5
+    assert (good.to_numpy()[:, None] > bad.to_numpy()[None]).mean() > 0.95 and (out.predicted == out.quality).mean() > 0.9
+
+
+def test_quality_does_not_depend_on_partitions(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = quality.fit(docs, labels)
-    rows = quality.score(docs, model).join(labels, "doc_id").select("score", "quality").toPandas()
-    good, bad = rows.score[rows.quality == 1], rows.score[rows.quality == 0]
-    assert (good.to_numpy()[:, None] > bad.to_numpy()[None]).mean() > 0.95
-    again = quality.fit(docs.repartition(5), labels)
-    assert np.allclose(again.network.weights[0], model.network.weights[0])
+    one, two = quality.fit(docs, labels), quality.fit(docs.repartition(5), labels)
+    assert np.array_equal(one.vectors, two.vectors) and np.allclose(one.network.weights[0], two.network.weights[0])
+
+
+def test_neighbours_equal_plain(spark, monkeypatch):
+    texts = ["a b c a b", "x", "", "b c d. E f7 a a a", None, "c " * 50]
+    index = quality.index_vectors()
+    sums, seen = np.zeros((quality.BUCKETS, quality.DIMS)), np.zeros(quality.BUCKETS)
+    for t in texts:
+        for b in quality.word_buckets(*common.flat_text(pa.array([t or ""])))[:2]:
+            for i in range(len(b)):
+                for j in range(max(0, i - quality.WINDOW), min(len(b), i + quality.WINDOW + 1)):
+                    if j != i:
+                        sums[b[i]] += index[b[j]]
+                        seen[b[i]] += 1
+    got = quality.random_indexing(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.allclose(got, quality.word_vectors(sums, seen))
+    big = np.array([[0, -40000], [1 << 40, 3]])
+    assert np.array_equal(quality._unpacked(quality._packed(big), big.shape), big)
 
 
 def test_quality_awkward(spark, awkward, empty):
@@ -272,15 +323,79 @@ def test_gradients_equal_differences():
 
 def test_tagger_adds_what_patterns_miss():
     tagger = private.default_tagger()
-    codes, tags = private.windows_of(private.labelled_texts(200, 99))
-    path, _ = tagger.decode(codes)
-    assert (path == tags)[tags > 0].mean() > 0.85 and (path == tags).mean() > 0.97
     text = "the anor (266) 555-7228 ther " + "and the ortion " * 40 + "mail joe.smith (at) example.org please"
     added = private.added_spans([text], [[]], tagger)[0]
     assert {(k, text[a:b]) for k, a, b in added} == {("phone", "(266) 555-7228"), ("email", "joe.smith (at) example.org")}
     assert private.added_spans(["no marks at all here", 'token = "3e5cb3f9186ce4f749644b4847d287be561795be" 303453'], [[], []], tagger) == [[], []]
 
 
+class EveryAllowedPlace:
+    """Stands for a tagger that tags all it may."""
+
+    def decode(self, codes, allowed):
+        path = np.where(allowed[:, :, 1], 1, np.where(allowed[:, :, 4], 4, 0))
+        return path, np.ones(codes.shape, np.float32)
+
+
+def test_spans_of_any_length_stay_whole():
+    for n in (1, 20, 40, 60, 100, 300, 1000):
+        for lead in (0, 7, 40, 95):
+            text = "m" * lead + " " + "a" * n + " (at) example" + ".x" * n + ", 030/1234 56789 end"
+            got = {(k, text[a:b]) for k, a, b in private.added_spans([text], [[]], EveryAllowedPlace())[0]}
+            assert got == {("email", text[lead + 1 : text.index(",")]), ("phone", "030/1234 56789")}
+
+
+def test_held_out_spans_by_kind():
+    tagger, texts = private.default_tagger(), private.labelled_texts(700, 99)
+    base = [private.base_spans(t) for t, _ in texts]
+    added = private.added_spans([t for t, _ in texts], base, tagger)
+    for kind in private.KINDS:
+        want = {(n, *s) for n, (_, spans) in enumerate(texts) for s in spans if s[0] == kind}
+        got = {(n, *s) for n, spans in enumerate(added) for s in spans if s[0] == kind}
+        have = got | {(n, *s) for n, spans in enumerate(base) for s in spans if s[0] == kind}
+        assert len(want & have) >= 0.9 * len(want) > 50, kind
+        assert len(got & want) >= 0.9 * len(got), kind
+
+
+def plain_decode(e, allowed, moves, first):
+    """The best path by trying, for each tag, all that come before."""
+    e = np.where(allowed, e, private.MASKED)
+    best = [(first[j] + e[0, j], [j]) for j in range(e.shape[1])]
+    for t in range(1, len(e)):
+        best = [max(((v + moves[i, j] + e[t, j], [*p, j]) for i, (v, p) in enumerate(best)), key=lambda x: x[0]) for j in range(e.shape[1])]
+    return max(best, key=lambda x: x[0])[1]
+
+
+def test_masked_decoding_equals_plain():
+    tagger, rng = private.default_tagger(), np.random.default_rng(3)
+    codes = private.windows_of(private.labelled_texts(5, 7))[0][:6]
+    allowed = rng.random((*codes.shape, private.TAGS)) < 0.7
+    allowed[:, :, 0] = True
+    path, _ = tagger.decode(codes, allowed)
+    e = tagger.emissions(codes)
+    for k in range(len(codes)):
+        assert path[k].tolist() == plain_decode(e[:, k].astype(float), allowed[k], tagger.p["moves"], tagger.p["first"])
+
+
+def test_windows_cover_each_character_once():
+    for length in (0, 1, private.WINDOW - 1, private.WINDOW, private.WINDOW + 1, 500, 1000):
+        last = max(0, -(-(length - private.WINDOW) // private.STEP))
+        cut = [private.middle(k, last, length) for k in range(last + 1)]
+        assert cut[0][0] == 0 and cut[-1][1] == length and all(a[1] == b[0] for a, b in zip(cut, cut[1:], strict=False))
+        assert all(k * private.STEP <= a <= b <= k * private.STEP + private.WINDOW for k, (a, b) in enumerate(cut))
+
+
+def test_very_long_numbers():
+    for t in ("0" * 5000 + "1.2.3.4", "9" * 5000 + ".2.3.4", "1" * 9000, "(" * 9000 + "+" * 9000 + "@" * 9000, "1.2.3." + "0" * 6000 + "255"):
+        assert private.base_spans(t) == [s for s in plain_long_spans(t)]
+        private.added_spans([t], [private.base_spans(t)], private.default_tagger())
+
+
+def plain_long_spans(t):
+    ok = lambda x: len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255
+    return [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(ok(x) for x in m[0].split("."))]
+
+
 def test_private_awkward(spark, awkward, empty):
     rows = private.find_private(awkward.union(awkward.limit(1).select(F.lit(11).cast("long"), F.lit("a@b.de x"), "lang", "source", "n_chars", "component_id"))).collect()
     assert {r.doc_id: r.redacted for r in rows}[11] == "[EMAIL] x" and {r.doc_id: r.spans for r in rows}[1] == []
@@ -300,15 +415,52 @@ def test_likeness_estimates_jaccard():
         assert fingerprints.likeness(a, b) == pytest.approx(len(x & y) / len(x | y), abs=0.2)
 
 
-def test_followers(spark, awkward, tmp_path):
-    rows = [(i, f"text {i} " * (i % 7)) for i in random.Random(7).sample(range(10**9), 300)] + [(5, None)]
-    folder = table_folder(tmp_path, spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
-    got = {r.doc_id: r for r in fingerprints.op5_fingerprints(spark, folder).collect()}
-    order = sorted(((i, t or "") for i, t in rows), reverse=True)
-    assert len(got) == len(rows)
+def plain_followers(rows):
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    out = []
     for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
         k = len(t) // 3
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest() and got[i].n_chars == len(t)
+        new = t[: len(t) - k] + n[:k]
+        a, b, c = fingerprints.signatures_of([t, new, n])
+        out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprints.hexadecimal(a), fingerprints.hexadecimal(b), float(fingerprints.likeness(a, b)), float(fingerprints.likeness(a, c))))
+    return Counter(out)
+
+
+def follower_rows():
+    rng = random.Random(7)
+    rows = [(i, f"text {i} " * (i % 7)) for i in rng.sample(range(10**9), 300)] + [(5, None), (2**62, "far away"), (-(2**62), "on the other side")]
+    rows += [(None, f"{rng.random()} no id at all") for _ in range(200)] + [(77, f"é{rng.random()} one id") for _ in range(100)]
+    return rows + [(78, "the same text for all") for _ in range(60)] + [(None, "the same text for all") for _ in range(40)]
+
+
+@pytest.mark.parametrize("cell_bytes", [1 << 10, 1 << 24])
+def test_followers(spark, cell_bytes):
+    rows = follower_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprints.with_followers(docs, fingerprints.near_duplicates(docs), cell_bytes).drop("component_id")
+    assert Counter(map(tuple, got.collect())) == plain_followers(rows)
+
+
+def test_cells_spread_whatever_the_ids_are(spark):
+    rows = follower_rows() + [(10**18 + 1, "an outlier")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cells = fingerprints.cells_of(docs, 256)
+    packs = fingerprints.packed(docs, cells).collect()
+    sizes = Counter()
+    for r in packs:
+        sizes[r.cell] += sum(pa.ipc.open_stream(bytes(r["data"])).read_all().column("n").to_pylist())
+    assert sum(sizes.values()) == len(rows) and len(sizes) == len(cells) and len(cells) > 30
+    assert sum(n > 60 for n in sizes.values()) <= 1 and max(sizes.values()) < 150
+
+
+def test_fingerprints_name_components(spark, sf):
+    got = fingerprints.op5_fingerprints(spark, sf).toPandas()
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {i: c for i, _, c in brute_components(rows)}
+    right = sum(want[r.doc_id] == r.component_id for r in got.itertuples())
+    assert len(got) == len(rows) and right >= 0.98 * len(rows)
+    linked = [r for r in got.itertuples() if want[r.doc_id] != r.doc_id]
+    assert sum(want[r.doc_id] == r.component_id for r in linked) >= 0.95 * len(linked) > 0
 
 
 def test_fingerprints_awkward(spark, awkward, empty, tmp_path):
@@ -342,6 +494,29 @@ def test_ids_equal_the_tokenizer():
         assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, packing.END]
 
 
+def test_ids_of_any_letters_and_marks():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    plain, rng = Tokenizer.from_file(path), random.Random(14)
+    letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM"]
+    odd = ["İ", "\u0958", "\u0959", "\u09df", "\u0b5c", "\ufb36", "#", "!", "H\u0331", "\u1e96", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "|", "\u00a0", "\x0b", "'s", "'S", "ſ", "\u212a", "1", "٣"]
+    for _ in range(20):
+        texts = ["".join(rng.choice(letters) if rng.random() < 0.3 else rng.choice(odd) if rng.random() < 0.5 else rng.choice("abABzZ .,!#'|0") for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+        want = [[*e.ids, packing.END] for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in packing.token_ids(texts, path)] == want
+
+
+def test_packing_spreads_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(600)], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = packing.pack(docs, group_rows=50).groupBy(F.shiftright("sequence_id", 32).alias("group")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["count"] for r in got) == 600 and max(r["count"] for r in got) < 150
+
+
 def test_first_fit_decreasing():
     rng = random.Random(10)
     sizes = np.array([rng.randint(1, 100) for _ in range(400)])
@@ -456,15 +631,60 @@ def test_language_held_out(spark, sf):
 
 def test_kneser_ney_sums_to_one():
     texts = ["der schnelle braune fuchs", "die katze und der hund", "das haus am see"] * 3
-    classes = language.class_table(Counter("".join(texts).replace(" ", "")))
-    code, _, _ = language.gram_codes(texts, classes)
+    code, _, _ = language.gram_codes(texts)
     model = language.KneserNey(code)
-    contexts = np.unique(code >> language.BITS)[:50]
+    contexts = np.unique(code >> np.uint64(language.BITS))[:50]
     for c in [*contexts.tolist(), 0x2A5A5]:
-        p = model.probabilities((np.uint32(c) << np.uint32(language.BITS)) + np.arange(language.CLASSES, dtype=np.uint32))
+        p = model.probabilities((np.uint64(c) << np.uint64(language.BITS)) + np.arange(language.SYMBOLS, dtype=np.uint64))
         assert p.sum() == pytest.approx(1, abs=1e-5) and (p > 0).all()
 
 
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney with dictionaries over tuples of characters; -ln p of each character of a text."""
+    grams = lambda t: [(" " * 3 + t)[k : k + 4] for k in range(len(t))]
+    clean = lambda t: " " + re.sub(r"[^\W\d_]", lambda c: c[0].lower()[0], " ".join(re.findall(r"[^\W\d_]+", t)) + (" " if t and not t[-1].isalpha() else ""))
+    counts = [Counter(g for t in texts for g in grams(clean(t)))]
+    for n in (3, 2, 1):
+        counts.append(Counter(g[1:] for g in counts[-1]))
+    discounts, totals, kinds = [], [], []
+    for c in counts:
+        one, two = (sum(v == x for v in c.values()) for x in (1, 2))
+        discounts.append(min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.1)
+        totals.append(Counter())
+        kinds.append(Counter(g[:-1] for g in c))
+        for g, v in c.items():
+            totals[-1][g[:-1]] += v
+
+    def p(g, level):
+        if level == 4:
+            return 1 / 65536
+        low, t = p(g[1:], level + 1), totals[level][g[:-1]]
+        return (max(counts[level][g] - discounts[level], 0) + discounts[level] * kinds[level][g[:-1]] * low) / t if t else low
+
+    return lambda t: np.array([-np.log(p(g, 0)) for g in grams(clean(t))])
+
+
+def test_kneser_ney_equals_plain():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdeß я ωñ-3 ") for _ in range(60)) for _ in range(20)] + ["Русский ТЕКСТ, 12 και ελληνικά!", "ภาษาไทย 한국어"]
+    rates, model = plain_kneser_ney(texts), language.KneserNey(language.gram_codes(texts)[0])
+    for t in ["abc ßя", "x", "ТЕКСТ русский", "zz Ωmega 7", "12 a", *texts[:3]]:
+        code, _, _ = language.gram_codes([t])
+        assert -np.log(model.probabilities(code)) == pytest.approx(rates(t), rel=1e-4)
+
+
+def test_scripts_are_told_apart(spark):
+    words = {"ru": "это русский язык который нельзя путать", "uk": "це українська мова яку не можна плутати", "bg": "това е български език който не бива да се бърка", "el": "αυτή είναι η ελληνική γλώσσα που δεν πρέπει"}
+    rng = random.Random(13)
+    text = lambda name: " ".join(rng.choice(words[name].split()) for _ in range(30))
+    rows = [(k, text(name), name) for k, name in enumerate(list(words) * 40)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = [(text(name), name) for name in list(words) * 5]
+    got = model.scorer().judge([t for t, _ in new])
+    assert [g[0] for g in got] == [name for _, name in new] and not any(g[2] for g in got)
+    assert np.isfinite(model.limit) and model.scorer().judge(["中文 文字 沒有 人 知道 怎麼 說 這個 東西 是 什麼"])[0][2]
+
+
 def test_language_does_not_depend_on_neighbours(spark, sf):
     model = language.fit(spark.read.parquet(f"{sf}/documents.parquet"))
     texts = ["der hund und", "x", None, "Été là-bas", "12", "the other nation"] * 2
@@ -497,6 +717,16 @@ def test_laws_and_adpcm():
     assert np.array_equal(one, audio.ima_blocks(blocks))
 
 
+def test_feature_does_not_depend_on_stretches(monkeypatch):
+    data = bytes(random.Random(16).randrange(256) for _ in range(2000))
+    whole = audio._pcm_feature(audio.MULAW, 1, data, audio.RATE)
+    pcm = audio.resample(audio.MULAW_PCM[np.frombuffer(data, np.uint8)], 8000, 16000)
+    assert whole.startswith(f"pcm:{zlib.crc32(pcm):08x}:rms={(pcm.astype(float) ** 2).mean() ** 0.5:.1f}:peak={np.abs(pcm.astype(int)).max()}:")
+    for n in (1, 7, 64, 1999, 2000):
+        monkeypatch.setattr(audio, "SAMPLES", n)
+        assert audio._pcm_feature(audio.MULAW, 1, data, audio.RATE) == whole
+
+
 def test_decode_column(spark):
     pcm = (np.sin(np.arange(800) / 9) * 9000).astype(np.int16)
     media = [audio.wav(audio.MULAW, audio.encode_law(pcm, audio.MULAW_PCM).tobytes()), audio.wav(audio.IMA, audio.ima_encode(pcm).tobytes(), block=audio.BLOCK), audio.wav(audio.PCM, pcm.tobytes()), b"no file", None, b""]
@@ -539,6 +769,66 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.where("false"), url_filter.default_model()).count() == 0
 
 
+def test_odd_urls_have_the_same_grams(spark):
+    urls = ["http://x.net", "", "a", "http://a\nb\u0085c\u2028d/\r\ne", "https://\U0001f600\U00010400.org/\U0001f4a9\n", "://", "http://ÄÖ.de/é?x", "h://" + "ab" * 3000, "http://\x00\x01.net/\t"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for _ in range(3):
+        got = {r.url: list(r.g) for r in df.select("url", url_filter.gram_buckets(*url_filter.host_path(F.col("url"))).alias("g")).collect()}
+        assert got == {u: url_filter.labelled_grams(u) for u in urls}
+
+
+def test_url_model_held_out(spark):
+    model, rows = url_filter.fit(url_filter.labelled_urls(False)), url_filter.labelled_urls(True)
+    df = spark.createDataFrame([(k, u, y) for k, (u, y) in enumerate(rows)], "page_id long, url string, y int")
+    got = [(r.y, r.verdict == "block") for r in url_filter.judge_urls(df, model, rules=()).collect()]
+    right, blocked, bad = sum(y and b for y, b in got), sum(b for _, b in got), sum(y for y, _ in got)
+    assert right >= 0.95 * blocked and right >= 0.8 * bad > 20
+    plain = [None, "", "http://x.net", "https://github.com/apache/spark", "https://wikipedia.org/wiki/Berlin", "https://berlin.de/rathaus", "https://arxiv.org/abs/1"]
+    df = spark.createDataFrame(list(enumerate(plain)), "page_id long, url string")
+    assert {r.verdict for r in url_filter.judge_urls(df, url_filter.default_model(), rules=()).collect()} == {"allow"}
+
+
+# --- queries ---
+
+COLUMNS = {
+    "op1_jaccard_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op4_private_data": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op6_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_queries_equal_plain(spark, sf, name):
+    df = catalog.queries()[name](spark, sf)
+    assert {f.name: f.dataType.simpleString() for f in df.schema.fields} == COLUMNS[name]
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = df.toPandas()
+    if name.startswith("op1"):
+        assert sorted(got.itertuples(index=False, name=None)) == sorted(brute_components(docs.items()))
+    elif name.startswith("op4"):
+        assert len(got) == len(docs)
+        for r in got.itertuples():
+            base = sorted(plain_spans(docs[r.doc_id]), key=lambda s: (private.KINDS.index(s[0]), s[1]))
+            text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+            assert hashlib.sha256(text.encode()).hexdigest() == r.base_sha256 and set(filter(None, text.split(","))) <= set(r.spans.split(","))
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in private.KINDS]
+            every = [(private.KINDS.index(k), int(a)) for k, a, _ in (x.split(":") for x in r.spans.split(",") if x)]
+            assert every == sorted(every)
+    else:
+        from tokenizers import Tokenizer
+
+        plain = Tokenizer.from_file(packing.vocabulary_path())
+        want = Counter()
+        for i, t in docs.items():
+            ids = [*plain.encode(t, add_special_tokens=False).ids, packing.END]
+            for s in range(0, len(ids), packing.CAPACITY):
+                part = ids[s : s + packing.CAPACITY]
+                want[i, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += 1
+        assert Counter(got[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False, name=None)) == want
+        for _, g in got.sort_values("offset").groupby("sequence_id"):
+            assert g.length.sum() <= packing.CAPACITY and (g.offset.to_numpy() == np.concatenate([[0], g.length.cumsum()[:-1]])).all()
+
+
 # --- pipeline ---
 
 
