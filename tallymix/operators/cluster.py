@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .likelihood import best_center, nb_ll, poisson_dist_mat, poisson_ll, zip_ll
 from .matrix import CountMatrix
 from .prep import log_norm
+from .store import stored
 
 EPS = 1e-10
 
@@ -22,23 +23,18 @@ def poisson_assign(m: CountMatrix, centers: DataFrame) -> DataFrame:
 def cluster_means(m: CountMatrix, labels: DataFrame, k: int) -> DataFrame:
     """(gene_id, k, m) over all cells of a cluster, zeros included; a cluster without cells gets one cell's values.
 
-    That cell is drawn by a hash of its id.
+    That cell has the least md5 of its id.
     """
     sizes = labels.groupBy(F.col("cluster").alias("k")).agg(F.count("*").alias("n"))
     sums = m.entries.join(labels, "cell_id").groupBy("gene_id", F.col("cluster").alias("k")).agg(F.sum("value").alias("s"))
     grid = m.genes.select("gene_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
     rows = grid.join(sizes, "k", "left").join(sums, ["gene_id", "k"], "left")
     out = rows.select("gene_id", "k", F.col("n").isNull().alias("empty"), (F.coalesce("s", F.lit(0.0)) / F.coalesce("n", F.lit(1))).alias("m"))
-    spare = m.cells.agg(F.min_by("cell_id", F.xxhash64("cell_id")).alias("cell_id"))
+    spare = m.cells.agg(F.min_by("cell_id", F.md5(F.col("cell_id").cast("string"))).alias("cell_id"))
     other = m.entries.join(spare, "cell_id").select("gene_id", F.col("value").alias("other"))
     return out.join(other, "gene_id", "left").select("gene_id", "k", F.when(F.col("empty"), F.coalesce("other", F.lit(0.0))).otherwise(F.col("m")).alias("m"))
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """A small table of centers or labels without its lineage: by the driver, one row per gene and cluster or per cell."""
-    return df.sparkSession.createDataFrame(df.toArrow())
-
-
 def kmeans_pp(m: CountMatrix, k: int, centers: DataFrame | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Poisson k-means++: (centers (gene_id, k, m), labels (cell_id, cluster)).
 
@@ -52,12 +48,13 @@ def kmeans_pp(m: CountMatrix, k: int, centers: DataFrame | None = None, seed: in
         return m.genes.join(own, "gene_id", "left").select("gene_id", F.lit(j).alias("k"), F.when(F.col("value") > 0, F.col("value")).otherwise(EPS).alias("m"))
 
     def unit(j: int):
-        return (F.pmod(F.xxhash64("cell_id", F.lit(seed), F.lit(j)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+        text = F.concat_ws(":", F.col("cell_id"), F.lit(seed), F.lit(j))
+        return (F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("long") + 1) / float((1 << 40) + 1)
 
     known, taken = 0, []
     if centers is None:
         first = m.cells.agg(F.min_by("cell_id", F.struct(unit(-1), "cell_id"))).first()[0]
-        taken, centers, known = [first], _held(cell(first, 0)), 1
+        taken, centers, known = [first], stored(cell(first, 0)), 1
     else:
         known = centers.agg(F.max("k")).first()[0] + 1
     for j in range(known, k):
@@ -65,7 +62,7 @@ def kmeans_pp(m: CountMatrix, k: int, centers: DataFrame | None = None, seed: in
         race = F.when(F.col("d") > 0, -F.log(unit(j)) / (F.col("d") * F.col("d")))
         pick = near.agg(F.min_by("cell_id", F.struct(F.coalesce(race, F.lit(math.inf)), "cell_id"))).first()[0]
         taken.append(pick)
-        centers = _held(centers.unionByName(cell(pick, j)))
+        centers = stored(centers.unionByName(cell(pick, j)))
     return centers, poisson_assign(m, centers)
 
 
@@ -77,10 +74,10 @@ def em_step(m: CountMatrix, labels: DataFrame, k: int) -> DataFrame:
 def poisson_cluster(m: CountMatrix, k: int, init: DataFrame | None = None, max_iters: int = 100, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Hard EM until no label changes: (labels (cell_id, cluster), centers (gene_id, k, m))."""
     centers, labels = kmeans_pp(m, k, init, seed)
-    labels = _held(labels)
+    labels = stored(labels)
     for _ in range(max_iters):
-        centers = _held(cluster_means(m, labels, k))
-        new = _held(poisson_assign(m, centers))
+        centers = stored(cluster_means(m, labels, k))
+        new = stored(poisson_assign(m, centers))
         changed = new.alias("a").join(labels.alias("b"), "cell_id").where("a.cluster <> b.cluster").limit(1).count()
         labels = new
         if not changed:
@@ -105,16 +102,16 @@ def _within(m: CountMatrix, labels: DataFrame, k: int) -> DataFrame:
     return m.genes.crossJoin(sizes).join(sums, ["gene_id", "k"], "left").fillna(0.0, ["s1", "s2"])  # one row per cluster
 
 
-def zip_cluster(m: CountMatrix, k: int, max_iters: int = 100, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Hard EM with zero-inflated Poisson genes: (labels, params (gene_id, k, m, z))."""
-    _, labels = kmeans_pp(m, k, seed=seed)
-    labels, params = _held(labels), None
+def zip_cluster(m: CountMatrix, k: int, max_iters: int = 100, seed: int = 0, init: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hard EM with zero-inflated Poisson genes, from k-means++ or from labels ``init``: (labels, params (gene_id, k, m, z))."""
+    labels = kmeans_pp(m, k, seed=seed)[1] if init is None else init
+    labels, params = stored(labels), None
     for _ in range(max_iters):
         s = _within(m, labels, k).withColumns({"mean": F.col("s1") / F.col("n"), "var": F.col("s2") / F.col("n") - F.pow(F.col("s1") / F.col("n"), 2)})
         z = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.expr("try_divide(var - mean, mean * mean + var - mean)"), F.lit(0.0))))
         rate = F.greatest(F.lit(0.0), F.coalesce(F.expr("mean + try_divide(var, mean) - 1"), F.lit(0.0)))
-        params = _held(s.select("gene_id", "k", rate.alias("m"), z.alias("z")))
-        new = _held(best_center(zip_ll(m, params), "ll"))
+        params = stored(s.select("gene_id", "k", rate.alias("m"), z.alias("z")))
+        new = stored(best_center(zip_ll(m, params), "ll"))
         changed = new.alias("a").join(labels.alias("b"), "cell_id").where("a.cluster <> b.cluster").limit(1).count()
         labels = new
         if not changed:
@@ -122,26 +119,26 @@ def zip_cluster(m: CountMatrix, k: int, max_iters: int = 100, seed: int = 0) ->
     return labels, params
 
 
-def nb_cluster(m: CountMatrix, k: int, max_iters: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def nb_cluster(m: CountMatrix, k: int, max_iters: int = 10, seed: int = 0, init: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Hard EM, negative binomial for genes over-dispersed in every cluster, Poisson for the rest: (labels, params (gene_id, k, p, r, m)).
 
-    Poisson genes have p = 0 and an infinite r.
+    Poisson genes have p = 0 and an infinite r.  ``init`` may give the first labels.
     """
-    _, labels = kmeans_pp(m, k, seed=seed)
-    labels, params = _held(labels), None
+    labels = kmeans_pp(m, k, seed=seed)[1] if init is None else init
+    labels, params = stored(labels), None
     for _ in range(max_iters):
         s = _within(m, labels, k).withColumns({"mean": F.col("s1") / F.col("n"), "var": F.col("s2") / F.col("n") - F.pow(F.col("s1") / F.col("n"), 2)})
         s = s.withColumn("nb", (F.col("mean") < 0.9 * F.col("var")) & (F.col("mean") > 0))
         every = s.groupBy("gene_id").agg(F.bool_and("nb").alias("every"))
         p = F.expr("1 - try_divide(mean, var)")
         s = s.join(every, "gene_id").withColumns({"p": F.when(F.col("every"), p).otherwise(0.0), "r": F.when(F.col("every"), F.col("mean") * (1 - p) / p).otherwise(F.lit(math.inf))})
-        params = _held(s.select("gene_id", "k", "p", "r", F.col("mean").alias("m")))
+        params = stored(s.select("gene_id", "k", "p", "r", F.col("mean").alias("m")))
         over, rest = params.where("p > 0"), params.where("p = 0")
         genes = lambda rows: rows.select("gene_id").distinct()
         a = nb_ll(m.select_genes(genes(over)), over).withColumnRenamed("ll", "a")
         b = poisson_ll(m.select_genes(genes(rest)), rest).withColumnRenamed("ll", "b")
         both = a.join(b, ["cell_id", "k"], "full").select("cell_id", "k", (F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("ll"))
-        new = _held(best_center(both, "ll"))
+        new = stored(best_center(both, "ll"))
         changed = new.alias("a").join(labels.alias("b"), "cell_id").where("a.cluster <> b.cluster").limit(1).count()
         labels = new
         if not changed:
@@ -188,7 +185,7 @@ def reduced(m: CountMatrix, seed: int = 0) -> DataFrame:
     """(cell_id, vec): log-normalised cells on at most 8 singular vectors."""
     from .factor import truncated_svd
 
-    return truncated_svd(log_norm(m), min(8, max(1, m.n_genes() - 1)), seed)[0].persist()
+    return stored(truncated_svd(log_norm(m), min(8, max(1, m.n_genes() - 1)), seed)[0])
 
 
 def select_k(m: CountMatrix, k_min: int = 1, k_max: int = 50, n_reference: int = 5, skip: int = 5, seed: int = 0) -> int:
@@ -233,7 +230,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5) -> DataFram
     labels = core.select("cell_id", F.col("cell_id").alias("cluster"))
     while True:
         best = links.join(labels.withColumnRenamed("cell_id", "other"), "other").groupBy("cell_id").agg(F.min("cluster").alias("cluster"))
-        new = _held(best)
+        new = stored(best)
         changed = new.alias("a").join(labels.alias("b"), "cell_id").where("a.cluster <> b.cluster").limit(1).count()
         labels = new
         if not changed:
@@ -265,7 +262,7 @@ def _balanced(m: CountMatrix, rounds: int = 1) -> CountMatrix:
     for _ in range(rounds):
         genes, cells = gene_totals(out).withColumnRenamed("total", "tg"), cell_totals(out).withColumnRenamed("total", "tc")
         rows = out.entries.join(genes, "gene_id").join(cells, "cell_id").select("gene_id", "cell_id", (F.col("value") / F.sqrt(F.col("tg") * F.col("tc"))).alias("value"))
-        out = CountMatrix(rows.persist(), m.genes, m.cells)
+        out = CountMatrix(stored(rows), m.genes, m.cells)
     return out
 
 
@@ -303,6 +300,6 @@ def cocluster(m: CountMatrix, k: int, seed: int = 0) -> tuple[DataFrame, DataFra
         return rows.select((F.col(key) * 2 + side).alias("cell_id"), F.transform("vec", lambda v: F.when(F.col("length") > 0, v / F.col("length")).otherwise(0.0)).alias("vec"))
 
     both = scaled(cells, cell_totals(m), "cell_id", 0).unionByName(scaled(genes, gene_totals(m), "gene_id", 1))
-    labels = kmeans_labels(both, k, seed).persist()
+    labels = kmeans_labels(both, k, seed)
     side = lambda s, name: labels.where(F.pmod("cell_id", F.lit(2)) == s).select(((F.col("cell_id") - s) / 2).cast("long").alias(name), "cluster")
     return side(0, "cell_id"), side(1, "gene_id")

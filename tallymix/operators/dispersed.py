@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma_np, lgamma_np
-from .factor import Estimate, Layout, _array_of, dimension, initial_factors
+from .factor import Estimate, Layout, Steps, _swapped, _to_one, initial_factors
 from .matrix import CountMatrix
 from .prep import gene_mean_var, nb_genes
+from .store import stored
 
 
 def nb_moments(m: CountMatrix) -> DataFrame:
@@ -91,46 +92,87 @@ def zip_fit(m: CountMatrix) -> DataFrame:
     return _per_gene(m, zip_mle, ("lam", "pi"))
 
 
+#: Bytes of one dense array of cells x genes: rows are worked on in so many at a time.
+DENSE_BYTES = 16 << 20
+
+
+def _dense_slices(idx, val, offs, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, end, values) of runs of rows, as dense arrays of bounded size."""
+    step = max(1, DENSE_BYTES // (8 * max(1, width)))
+    for a in range(0, len(offs) - 1, step):
+        b = min(a + step, len(offs) - 1)
+        dense, part = np.zeros((b - a, width)), slice(offs[a], offs[b])
+        np.add.at(dense, (np.repeat(np.arange(b - a), np.diff(offs[a : b + 1])), idx[part]), val[part])
+        yield a, b, dense
+
+
 def _nb_sweeps(idx, val, offs, f, x, r_fixed, r_moving, n: int):
     """Multiplicative updates that don't raise sum (X + R) ln(D + R) - X ln D; R belongs to genes, so to one of the two sides."""
-    size = np.diff(offs)
-    row = np.repeat(np.arange(len(size)), size)
-    for _ in range(n):
-        d = x @ f.T + 1e-10
-        r = r_fixed[None, :] if r_fixed is not None else r_moving[:, None]
-        dense = np.zeros_like(d)
-        np.add.at(dense, (row, idx), val)
-        x = x * ((dense / d) @ f) / (((dense + r) / (d + r)) @ f + 1e-12)
-    return x
-
-
-def nb_estimate_state(m: CountMatrix, k: int, r: DataFrame | None = None, max_iters: int = 10, inner_max_iters: int = 40, normalize: bool = True, seed: int = 0, initialization: str = "tsvd") -> tuple[Estimate, DataFrame]:
-    """(estimate, r (gene_id, r)): a mixture with negative binomial genes of fixed dispersion; genes that aren't over-dispersed go."""
+    out = np.empty_like(x)
+    for a, b, dense in _dense_slices(idx, val, offs, len(f)):
+        y = x[a:b]
+        r = r_fixed[None, :] if r_fixed is not None else r_moving[a:b, None]
+        for _ in range(n):
+            d = y @ f.T + 1e-10
+            y = y * ((dense / d) @ f) / (((dense + r) / (d + r)) @ f + 1e-12)
+        out[a:b] = y
+    return out
+
+
+def nb_estimate_state(m: CountMatrix, k: int, r: DataFrame | None = None, max_iters: int = 10, inner_max_iters: int = 40, normalize: bool = True, seed: int = 0, initialization: str = "tsvd", init_weights: DataFrame | None = None) -> tuple[Estimate, DataFrame]:
+    """(estimate, r (gene_id, r)): a mixture with negative binomial genes of fixed dispersion; genes that aren't over-dispersed go.
+
+    A cell meets all genes in every update, so the fixed factor must be below FACTOR_BYTES.
+    """
     if r is None:
-        m = m.select_genes(nb_genes(m).where("is_nb").select("gene_id").persist())
-        r = nb_fit(m).select("gene_id", F.coalesce("r", F.lit(1e6)).alias("r")).persist()
-    genes, cells = dimension(m.genes, "gene_id"), dimension(m.cells, "cell_id")
-    rows = r.toPandas()  # one row per gene
-    rr = np.full(len(genes), 1e6)
-    rr[np.searchsorted(genes, rows["gene_id"].to_numpy())] = rows["r"].to_numpy()
-    start_m, start_w = initial_factors(m, k, initialization, seed)
-    mm, ww = _array_of(start_m, "gene_id", "m", genes), _array_of(start_w, "cell_id", "w", cells)
-    by_cell, by_gene = Layout.of(m, cells, genes), Layout.of(m.T, genes, cells)
+        m = m.select_genes(stored(nb_genes(m).where("is_nb").select("gene_id")))
+        r = stored(nb_fit(m).select("gene_id", F.coalesce("r", F.lit(1e6)).alias("r")))
+    steps, by_cell, by_gene = Steps(m.cells.sparkSession), Layout(m), Layout(m.T)
+    start_m, start_w = initial_factors(m, k, initialization, seed, labels=init_weights)
+    means, weights = steps.keep("m", start_m), steps.keep("w", start_w)
+    # the genes' own dispersions ride along as a last column
+    with_r = lambda mm: mm.join(r, "gene_id", "left").select("gene_id", F.concat("m", F.array(F.coalesce("r", F.lit(1e6)))).alias("m"))
+
+    def checked(df: DataFrame | None) -> DataFrame:
+        if df is None:
+            raise ValueError("factors beyond FACTOR_BYTES: the negative binomial mixture holds one side in memory")
+        return df
+
     for _ in range(max_iters):
-        ww = by_cell.step(mm, ww, lambda idx, val, offs, f, x: _nb_sweeps(idx, val, offs, f, x, rr, None, inner_max_iters))
-        # the genes' own dispersions ride along as a last column that is cut off again
-        out = by_gene.step(ww, np.column_stack([mm, rr]), lambda idx, val, offs, f, x: np.column_stack([_nb_sweeps(idx, val, offs, f, x[:, :-1], None, x[:, -1], inner_max_iters), x[:, -1]]))
-        mm = out[:, :-1]
+        weights = steps.keep("w", checked(by_cell.step(with_r(means), weights, lambda idx, val, offs, f, x: _nb_sweeps(idx, val, offs, f[:, :-1], x, f[:, -1], None, inner_max_iters))))
+        out = checked(by_gene.step(_swapped(weights), _swapped(with_r(means)), lambda idx, val, offs, f, x: _nb_sweeps(idx, val, offs, f, x[:, :-1], None, x[:, -1], inner_max_iters)))
+        means = steps.keep("m", _swapped(out))
 
     def logs(idx, val, offs, f, x):
-        d = x @ f.T + 1e-10
-        dense = np.zeros_like(d)
-        np.add.at(dense, (np.repeat(np.arange(len(offs) - 1), np.diff(offs)), idx), val)
-        out = np.zeros_like(x)
-        out[:, 0] = ((dense + rr) * np.log(d + rr) - dense * np.log(d)).sum(1)
+        out, r = np.zeros((len(x), 1)), f[:, -1]
+        for a, b, dense in _dense_slices(idx, val, offs, len(f)):
+            d = x[a:b] @ f[:, :-1].T + 1e-10
+            out[a:b, 0] = ((dense + r) * np.log(d + r) - dense * np.log(d)).sum(1)
         return out
 
     if normalize:
-        ww = ww / np.maximum(ww.sum(1, keepdims=True), 1e-300)
-    cost = float(by_cell.step(mm, ww, logs)[:, 0].sum() / len(genes))
-    return Estimate(m.cells.sparkSession, genes, cells, mm, ww, cost), r
+        weights = steps.keep("w", weights.select("cell_id", _to_one("w").alias("w")))
+    cost = checked(by_cell.step(with_r(means), weights, logs)).agg(F.sum(F.get("w", F.lit(0)))).first()[0] or 0.0
+    by_cell.free()
+    by_gene.free()
+    return Estimate(means, weights, float(cost) / max(1, m.n_genes())), r
+
+
+def nb_objective(m: CountMatrix, means: DataFrame, weights: DataFrame, r: DataFrame) -> DataFrame:
+    """One row (cost): (sum over all genes and cells of (X + R) ln(MW + R) - X ln MW) / genes, of long factors (gene_id, k, m), (cell_id, k, w).
+
+    The dense sum is what the model asks for: every cell meets every gene once, by a join on the components.
+    """
+    product = means.join(weights, "k").groupBy("gene_id", "cell_id").agg((F.sum(F.col("m") * F.col("w")) + 1e-10).alias("d"))
+    rows = product.join(m.entries, ["gene_id", "cell_id"], "left").fillna(0.0, ["value"]).join(r, "gene_id")
+    term = (F.col("value") + F.col("r")) * F.log(F.col("d") + F.col("r")) - F.col("value") * F.log("d")
+    return rows.agg(F.sum(term).alias("s")).crossJoin(m.genes.agg(F.count("*").alias("n"))).select((F.col("s") / F.col("n")).alias("cost"))
+
+
+def zip_objective(m: CountMatrix, means: DataFrame, weights: DataFrame, z: DataFrame, eps: float = 1e-10) -> DataFrame:
+    """One row (cost): minus the log-likelihood of the zero-inflated mixture, over genes; z (gene_id, z) is each gene's inflation, the factorial is left out."""
+    product = means.join(weights, "k").groupBy("gene_id", "cell_id").agg(F.sum(F.col("m") * F.col("w")).alias("d"))
+    rows = product.join(m.entries, ["gene_id", "cell_id"], "left").fillna(0.0, ["value"]).join(z, "gene_id")
+    hit = F.log(1 - F.col("z") + eps) + F.col("value") * F.log(F.col("d") + eps) - F.col("d")
+    zero = F.log(F.col("z") + (1 - F.col("z")) * F.exp(-F.col("d")) + eps)
+    return rows.agg((-F.sum(F.when(F.col("value") > 0, hit).otherwise(zero))).alias("s")).crossJoin(m.genes.agg(F.count("*").alias("n"))).select((F.col("s") / F.col("n")).alias("cost"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import stored
+
 
 def contingency(pred: DataFrame, true: DataFrame, key: str = "cell_id", pred_col: str = "cluster", true_col: str = "label") -> DataFrame:
     """(cluster, label, n)"""
@@ -76,13 +78,27 @@ def nearest_label_accuracy(points: DataFrame, key: str, vec: str, label: str, bl
     return best.agg(F.avg((F.col("la") == F.col("lb")).cast("double")).alias("nne"))
 
 
+def mean_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds each row's rank by a column, averaged over ties.
+
+    Distinct values are dealt by ranges; a window numbers them within a range,
+    and the ranges' totals, one row each, give what lies before.
+    """
+    values = rows.groupBy(F.col(column).alias("v_")).agg(F.count("*").alias("n_"))
+    values = stored(values.repartitionByRange("v_").withColumn("part_", F.spark_partition_id()))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = values.groupBy("part_").agg(F.sum("n_").alias("all_")).withColumn("lower_", before(W.orderBy("part_"), "all_")).select("part_", "lower_")
+    ranked = values.join(parts, "part_").withColumn(name, F.col("lower_") + before(W.partitionBy("part_").orderBy("v_"), "n_") + (F.col("n_") + 1) / 2)
+    return rows.join(ranked.select("v_", name), F.col(column) == F.col("v_")).drop("v_")
+
+
 def imputation_error(rows: DataFrame, true: str = "value", guess: str = "mw") -> DataFrame:
     """One row (rmse, relative_rmse, pearson, spearman) of guesses at held-out entries; ranks are averaged over ties."""
-    w = lambda c: W.orderBy(c)
-    ranked = rows.withColumns({f"r_{c}": F.rank().over(w(c)) + (F.count("*").over(W.partitionBy(c)) - 1) / 2 for c in (true, guess)})
+    rows = stored(rows.select(F.col(true).alias("true_"), F.col(guess).alias("guess_")))
+    ranked = mean_ranks(mean_ranks(rows, "true_", "r_true"), "guess_", "r_guess")
     return ranked.agg(
-        F.sqrt(F.avg(F.pow(F.col(true) - F.col(guess), 2))).alias("rmse"),
-        F.sqrt(F.avg(F.pow((F.col(true) - F.col(guess)) / F.col(true), 2))).alias("relative_rmse"),
-        F.corr(true, guess).alias("pearson"),
-        F.corr(f"r_{true}", f"r_{guess}").alias("spearman"),
+        F.sqrt(F.avg(F.pow(F.col("true_") - F.col("guess_"), 2))).alias("rmse"),
+        F.sqrt(F.avg(F.pow((F.col("true_") - F.col("guess_")) / F.col("true_"), 2))).alias("relative_rmse"),
+        F.corr("true_", "guess_").alias("pearson"),
+        F.corr("r_true", "r_guess").alias("spearman"),
     )

@@ -1,28 +1,33 @@
 """Convex mixture models: Poisson state estimation by multiplicative sweeps, NMF, LDA, imputation.
 
-One sweep updates each cell by its own entries and the means alone, so all
-sweeps of a step run inside one Arrow kernel per batch of packed cells, without
-a shuffle; the step for the means is the same over packed genes.  The factor
-that is held fixed is broadcast while it is below ``FACTOR_BYTES``; beyond that
-``sweep`` does one update as joins and aggregates.
+Factors are tables: means (gene_id, m) and weights (cell_id, w), one array a
+row, stored between steps in the shared folder; the one that a step moves never
+comes to the driver.  One sweep updates each cell by its own entries and the
+means alone, so all sweeps of a step run inside one Arrow kernel per batch of
+packed cells, without a shuffle; the step for the means is the same over packed
+genes.  The factor that is held fixed is broadcast while it is below
+``FACTOR_BYTES``; beyond that each sweep is done as joins and aggregates, with
+the same results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalized, soft_one_hot
 from .cluster import cluster_means, kmeans_pp, poisson_assign
 from .matrix import CountMatrix, long_factor
 from .prep import cell_normalize, cell_totals, log_norm
+from .store import dropped, shared_folder, stored
 
 EPS = 1e-10
 FACTOR_BYTES = 256 << 20
@@ -31,17 +36,21 @@ FACTOR_BYTES = 256 << 20
 # --- one sweep as joins ----------------------------------------------------------------------
 
 
-def sweep(m: CountMatrix, means: DataFrame, weights: DataFrame, k: int, regularization: float = 0.0) -> DataFrame:
-    """One multiplicative update of weights (cell_id, w) with means (gene_id, m), both arrays of length ``k``."""
+def sweep(m: CountMatrix, means: DataFrame, weights: DataFrame, k: int, regularization: float = 0.0, masked: bool = False) -> DataFrame:
+    """One multiplicative update of weights (cell_id, w) with means (gene_id, m), both arrays of length ``k``.
+
+    ``masked`` counts only present entries (zero-inflated model).
+    """
     dot = F.aggregate(F.zip_with("m", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     rows = m.entries.join(means, "gene_id").join(weights, "cell_id").withColumn("ratio", F.col("value") / (dot + EPS))
-    pulls = rows.groupBy("cell_id").agg(*(F.sum(F.get("m", F.lit(j)) * F.col("ratio")).alias(f"c{j}") for j in range(k)))
+    pulls = rows.groupBy("cell_id").agg(*(F.sum(F.get("m", F.lit(j)) * F.col("ratio")).alias(f"c{j}") for j in range(k)), *(F.sum(F.get("m", F.lit(j))).alias(f"p{j}") for j in range(k)))
     sums = means.agg(*(F.sum(F.get("m", F.lit(j))).alias(f"s{j}") for j in range(k)))
     cells = weights.join(cell_totals(m), "cell_id").join(pulls, "cell_id", "left").crossJoin(F.broadcast(sums))  # one row
 
     def updated(j: int):
         w = F.get("w", F.lit(j))
-        divisor = 1 + w / (2 * F.col("total") + 1e-8) * (regularization + F.col(f"s{j}") - F.coalesce(f"c{j}", F.lit(0.0)))
+        push = F.coalesce(f"p{j}", F.lit(0.0)) if masked else F.col(f"s{j}")
+        divisor = 1 + w / (2 * F.col("total") + 1e-8) * (regularization + push - F.coalesce(f"c{j}", F.lit(0.0)))
         return F.when(divisor > 0, w / divisor).otherwise(0.0)
 
     return cells.select("cell_id", F.array(*(updated(j) for j in range(k))).alias("w"))
@@ -84,65 +93,174 @@ def objective_gradient(x: np.ndarray, m: np.ndarray, w: np.ndarray, eps: float =
     return float((d - x * np.log(d)).sum() / len(x)), (m.sum(0)[:, None] - m.T @ (x / d)) / len(x)
 
 
-@dataclass
-class Layout:
-    """Packed rows of one side, persisted; ids in the order of the factor's rows."""
+def row_gradients(val: np.ndarray, row: np.ndarray, at: np.ndarray, full: np.ndarray, mi: np.ndarray, sums: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the Poisson cost sum(mw) - sum(x ln mw) and its gradient by w."""
+    mw = np.einsum("ij,ij->i", mi, w[row]) + EPS
+    cost, grad = w @ sums, np.broadcast_to(sums, w.shape).copy()
+    if len(full):
+        cost[full] -= np.add.reduceat(val * np.log(mw), at)
+        grad[full] -= np.add.reduceat(mi * (val / mw)[:, None], at, axis=0)
+    return cost, grad
 
-    packed: DataFrame
-    ids: np.ndarray
-    others: np.ndarray
 
-    @classmethod
-    def of(cls, m: CountMatrix, ids: np.ndarray, others: np.ndarray) -> Layout:
-        return cls(m.packed_cells().persist(), ids, others)
+def quasi_newton(idx: np.ndarray, val: np.ndarray, offs: np.ndarray, m: np.ndarray, w: np.ndarray, n: int, memory: int = 5) -> np.ndarray:
+    """Up to ``n`` steps of L-BFGS with bounds at 0 over packed rows, each row by itself, all at a time.
+
+    Variables at their bound with the gradient pointing out are held; the others
+    move along the two-loop direction, projected, halved until the cost falls.
+    """
+    size = np.diff(offs)
+    row, full = np.repeat(np.arange(len(size)), size), np.flatnonzero(size)
+    at, mi, sums = offs[:-1][full], m[idx], m.sum(0)
+    value = lambda x: row_gradients(val, row, at, full, mi, sums, x)
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+    cost, grad = value(w)
+    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for _ in range(n):
+        free = ~((w <= 0) & (grad > 0))
+        q, used = np.where(free, grad, 0.0), []
+        for s, y, rho in reversed(steps):
+            a = rho * dot(s, q)
+            q = q - a[:, None] * y
+            used.append(a)
+        if steps:
+            s, y, rho = steps[-1]
+            gain = np.where(rho > 0, 1 / np.maximum(rho * dot(y, y), 1e-300), 1.0)
+            q = q * gain[:, None]
+        else:
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1.0) * np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-3)
+        for (s, y, rho), a in zip(steps, reversed(used), strict=True):
+            q = q + (a - rho * dot(y, q))[:, None] * s
+        q = np.where(free, q, 0.0)
+        bad = dot(q, grad) <= 0
+        q[bad] = np.where(free, grad, 0.0)[bad]
+        length, new, new_cost, new_grad = np.ones(len(w)), w, cost, grad
+        for _ in range(30):
+            new = np.maximum(w - length[:, None] * q, 0.0)
+            new_cost, new_grad = value(new)
+            high = new_cost > cost + 1e-4 * dot(grad, new - w) + 1e-12 * np.abs(cost)
+            if not high.any():
+                break
+            length[high] *= 0.5
+        worse = new_cost > cost
+        new, new_cost, new_grad = np.where(worse[:, None], w, new), np.where(worse, cost, new_cost), np.where(worse[:, None], grad, new_grad)
+        s, y = new - w, new_grad - grad
+        curve = dot(s, y)
+        steps = [*steps, (s, y, np.where(curve > 1e-12, 1 / np.where(curve > 1e-12, curve, 1.0), 0.0))][-memory:]
+        still = np.abs(new - w).max(initial=0) <= 1e-10 * max(1.0, np.abs(w).max(initial=0))
+        w, cost, grad = new, new_cost, new_grad
+        if still:
+            break
+    return w
+
+
+def _sent(factor: DataFrame, key: str, array: str):
+    """A factor's sorted ids and rows, broadcast, or None if they are beyond FACTOR_BYTES."""
+    k = factor.select(F.size(array).alias("k")).first()
+    if k is None or factor.count() * (k.k + 1) * 8 > FACTOR_BYTES:
+        return None if k else factor.sparkSession.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros((0, 0))))
+    return factor.sparkSession.sparkContext.broadcast(arrays_of(factor, key, array))
 
-    def step(self, fixed: np.ndarray, moving: np.ndarray, kernel: Callable[..., np.ndarray]) -> np.ndarray:
-        """Applies the kernel to all packed rows; the result in the order of ``ids``."""
-        spark = self.packed.sparkSession
-        if fixed.nbytes + moving.nbytes > FACTOR_BYTES:
-            raise ValueError("factors beyond FACTOR_BYTES: use sweep(), which joins them")
-        sent = spark.sparkContext.broadcast((self.ids, self.others, fixed, moving))
+
+def arrays_of(factor: DataFrame, key: str, array: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids and rows of a factor that the caller knows to be small."""
+    t = factor.select(key, array).toArrow()
+    ids, rows = np.asarray(t.column(key)).astype(np.int64), t.column(array).combine_chunks()
+    x = np.asarray(rows.flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
+
+
+class Layout:
+    """A matrix's packed cells, persisted when first used, and the steps over them."""
+
+    def __init__(self, m: CountMatrix):
+        self.m, self.kept = m, None
+
+    @property
+    def packed(self) -> DataFrame:
+        if self.kept is None:
+            self.kept = self.m.packed_cells().persist()
+        return self.kept
+
+    def free(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+            self.kept = None
+
+    def step(self, fixed: DataFrame, moving: DataFrame, kernel: Callable[..., np.ndarray]) -> DataFrame | None:
+        """Rows (cell_id, w) of ``moving`` after the kernel, with ``fixed`` (gene_id, m) sent to all tasks; None if that is too large to send."""
+        sent = _sent(fixed, "gene_id", "m")
+        if sent is None:
+            return None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, others, m, w = sent.value
+            others, m = sent.value
             for b in batches:
-                lists, values = b.column("idx"), b.column("val")
+                lists, rows = b.column("idx"), b.column("w")
                 offs = np.asarray(lists.offsets) - lists.offsets[0].as_py()
                 idx = np.searchsorted(others, np.asarray(lists.flatten()))
-                own = np.searchsorted(ids, np.asarray(b.column("cell_id")))
-                out = kernel(idx, np.asarray(values.flatten()), offs, m, w[own])
+                w = np.asarray(rows.flatten()).reshape(b.num_rows, -1).astype(float)
+                out = kernel(idx, np.asarray(b.column("val").flatten()), offs, m, w)
                 yield pa.RecordBatch.from_arrays([b.column("cell_id"), pa.array(list(out), pa.list_(pa.float64()))], ["cell_id", "w"])
 
-        rows = self.packed.mapInArrow(run, "cell_id long, w array<double>").toPandas()
-        sent.unpersist()
-        out = np.zeros_like(moving)
-        if len(rows):
-            out[np.searchsorted(self.ids, rows["cell_id"].to_numpy())] = np.stack(rows["w"].to_list())
+        return self.packed.join(moving, "cell_id").select("cell_id", "idx", "val", "w").mapInArrow(run, "cell_id long, w array<double>")
+
+
+class Steps:
+    """Stores what each step makes, by side, and removes what no later step reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths, self.count = spark, shared_folder(spark), {}, 0
+
+    def keep(self, side: str, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{side}-{self.count}"
+        out = stored(df, path)
+        if side in self.paths:
+            dropped(self.spark, self.paths[side])
+        self.paths[side] = path
         return out
 
 
+def _swapped(df: DataFrame) -> DataFrame:
+    """Means as the weights of the transposed matrix, or the other way round."""
+    if "m" in df.columns:
+        return df.select(F.col("gene_id").alias("cell_id"), F.col("m").alias("w"))
+    return df.select(F.col("cell_id").alias("gene_id"), F.col("w").alias("m"))
+
+
 @dataclass
 class Estimate:
-    """Means (gene_id, m) and weights (cell_id, w) as arrays, and the cost that they minimise."""
+    """Means (gene_id, m) and weights (cell_id, w) as arrays, and the cost that they minimise.
 
-    spark: SparkSession
-    genes: np.ndarray
-    cells: np.ndarray
-    m: np.ndarray
-    w: np.ndarray
+    ``m``, ``w``, ``genes`` and ``cells`` bring them to the driver, for factors of evaluation sizes.
+    """
+
+    means: DataFrame
+    weights: DataFrame
     cost: float
 
-    def _frame(self, key: str, ids: np.ndarray, name: str, x: np.ndarray) -> DataFrame:
-        t = pa.table({key: pa.array(ids, pa.int64()), name: pa.array(list(x), pa.list_(pa.float64()))})
-        return self.spark.createDataFrame(t)
+    @classmethod
+    def of(cls, spark: SparkSession, genes: np.ndarray, cells: np.ndarray, m: np.ndarray, w: np.ndarray, cost: float) -> Estimate:
+        return cls(frame_of(spark, "gene_id", genes, "m", m), frame_of(spark, "cell_id", cells, "w", w), cost)
+
+    @cached_property
+    def _m(self) -> tuple[np.ndarray, np.ndarray]:
+        return arrays_of(self.means, "gene_id", "m")
 
-    @property
-    def means(self) -> DataFrame:
-        return self._frame("gene_id", self.genes, "m", self.m)
+    @cached_property
+    def _w(self) -> tuple[np.ndarray, np.ndarray]:
+        return arrays_of(self.weights, "cell_id", "w")
+
+    genes = property(lambda self: self._m[0])
+    m = property(lambda self: self._m[1])
+    cells = property(lambda self: self._w[0])
+    w = property(lambda self: self._w[1])
 
     @property
-    def weights(self) -> DataFrame:
-        return self._frame("cell_id", self.cells, "w", self.w)
+    def spark(self) -> SparkSession:
+        return self.means.sparkSession
 
     def imputed_at(self, places: DataFrame) -> DataFrame:
         """MW at the given (gene_id, cell_id)."""
@@ -151,34 +269,51 @@ class Estimate:
         return reconstruction_at(places, self.means, self.weights)
 
 
+def frame_of(spark: SparkSession, key: str, ids: np.ndarray, name: str, x: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({key: pa.array(ids, pa.int64()), name: pa.array(list(x), pa.list_(pa.float64()))}))
+
+
 def dimension(df: DataFrame, key: str) -> np.ndarray:
-    """Sorted ids of a list of genes or cells; one row of a factor each, hence below FACTOR_BYTES."""
-    return np.sort(df.select(key).toPandas()[key].to_numpy(np.int64))
+    """Sorted ids of a list of genes that is to be held in memory; an error beyond FACTOR_BYTES."""
+    if df.count() * 8 > FACTOR_BYTES:
+        raise ValueError("genes beyond FACTOR_BYTES: transpose the matrix so that the longer side are the cells")
+    return np.sort(np.asarray(df.select(key).toArrow().column(key)).astype(np.int64))
 
 
-def _cost(layout: Layout, m: np.ndarray, w: np.ndarray) -> float:
-    logs = layout.step(m, w, lambda idx, val, offs, mm, ww: _row_logs(idx, val, offs, mm, ww))
-    return float((m.sum(0) @ w.sum(0) - logs[:, 0].sum()) / len(m))
+def _dot(a: str = "m", b: str = "w") -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _row_logs(idx, val, offs, m, w) -> np.ndarray:
-    out, size = np.zeros_like(w), np.diff(offs)
-    full = np.flatnonzero(size)
-    if len(full):
-        mw = np.einsum("ij,ij->i", m[idx], w[np.repeat(np.arange(len(size)), size)])
-        out[full, 0] = np.add.reduceat(val * np.log(mw + EPS), offs[:-1][full])
-    return out
+def _sums(df: DataFrame, array: str) -> np.ndarray:
+    """The sum of a factor's rows."""
+    rows = df.select(F.posexplode(array).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("s")).collect()  # one row per component
+    return np.array([r.s for r in sorted(rows, key=lambda r: r.k)])
+
 
+def poisson_cost(m: CountMatrix, means: DataFrame, weights: DataFrame) -> float:
+    """(sum of MW - sum over entries of x ln MW) / genes."""
+    logs = m.entries.join(means, "gene_id").join(weights, "cell_id").agg(F.sum(F.col("value") * F.log(_dot() + EPS))).first()[0] or 0.0
+    return float((_sums(means, "m") @ _sums(weights, "w") - logs) / max(1, m.n_genes()))
 
-def truncated_svd(m: CountMatrix, n: int, seed: int = 0, passes: int = 5) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(scores (cell_id, vec), right vectors (genes, n), singular values), uncentred.
+
+def truncated_svd(m: CountMatrix, n: int, seed: int = 0, passes: int = 5, centred: bool = False) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(scores (cell_id, vec), right vectors (genes, n), singular values); of cells less their mean if ``centred``.
 
     Subspace iteration: each pass sums a'(aq) over the cells of a partition, so
-    only genes x n numbers per task meet on the driver.
+    only genes x n numbers per task meet on the driver.  The mean enters as a
+    correction of rank one; rows stay sparse.
     """
     genes = dimension(m.genes, "gene_id")
-    packed = m.packed_cells().persist()
+    packed = stored(m.packed_cells())
     n = max(1, min(n, len(genes)))
+    if len(genes) * n * 8 > FACTOR_BYTES:
+        raise ValueError("genes x vectors beyond FACTOR_BYTES: transpose the matrix or take fewer vectors")
+    mean, n_cells = np.zeros(len(genes)), m.n_cells()
+    if centred:
+        from .prep import gene_mean_var
+
+        t = gene_mean_var(m).select("gene_id", "mean").toArrow()
+        mean[np.searchsorted(genes, np.asarray(t.column("gene_id")))] = np.asarray(t.column("mean"))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(genes), n)))[0]
     sc = packed.sparkSession.sparkContext
 
@@ -194,7 +329,9 @@ def truncated_svd(m: CountMatrix, n: int, seed: int = 0, passes: int = 5) -> tup
                 np.add.at(total, idx, scores[row] * val[:, None])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
 
-        return sum(np.frombuffer(r.sum if not callable(r.sum) else r["sum"]).reshape(q.shape) for r in packed.mapInArrow(run, "sum binary").toLocalIterator())
+        total = sum(np.frombuffer(r["sum"]).reshape(q.shape) for r in packed.mapInArrow(run, "sum binary").toLocalIterator())
+        sent.unpersist()
+        return total - n_cells * np.outer(mean, mean @ q)
 
     values = np.zeros(n)
     for _ in range(passes):
@@ -204,13 +341,14 @@ def truncated_svd(m: CountMatrix, n: int, seed: int = 0, passes: int = 5) -> tup
     e, v = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-e)
     q, values = q @ v[:, order], np.sqrt(np.maximum(e[order], 0))
+    shift = mean @ q
     sent = sc.broadcast((genes, q))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, qq = sent.value
         for b in batches:
             idx, val, _, size = _flat(b, ids)
-            yield pa.RecordBatch.from_arrays([b.column("cell_id"), pa.array(list(_row_sums(qq[idx] * val[:, None], size)), pa.list_(pa.float64()))], ["cell_id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("cell_id"), pa.array(list(_row_sums(qq[idx] * val[:, None], size) - shift), pa.list_(pa.float64()))], ["cell_id", "vec"])
 
     return packed.mapInArrow(scores, "cell_id long, vec array<double>"), q, values
 
@@ -231,7 +369,9 @@ def kmeans_labels(scores: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(cell_id, cluster) by k-means on array vectors."""
     data = scores.select("cell_id", array_to_vector("vec").alias("features")).persist()
     model = KMeans(k=k, seed=seed, maxIter=50).fit(data)
-    return model.transform(data).select("cell_id", F.col("prediction").alias("cluster"))
+    out = stored(model.transform(data).select("cell_id", F.col("prediction").alias("cluster")))
+    data.unpersist()
+    return out
 
 
 def initial_factors(m: CountMatrix, k: int, initialization: str = "tsvd", seed: int = 0, max_assign_weight: float = 0.75, use_log_norm: bool = True, labels: DataFrame | None = None, means: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -257,7 +397,7 @@ def initial_factors(m: CountMatrix, k: int, initialization: str = "tsvd", seed:
         own = m.entries.where(F.col("cell_id").isin(rows)).select("gene_id", place.alias("k"), F.col("value").alias("m"))
         labels = poisson_assign(m, _dense(m, own, k))
         means = _arrays(_dense(m, own, k).withColumn("m", F.col("m") + 1e-8))
-    labels = labels.persist()
+    labels = stored(labels)
     if means is None:
         means = _arrays(cluster_means(m, labels, k).withColumn("m", F.col("m") + 1e-8))
     return means, labels.select("cell_id", soft_one_hot(F.col("cluster"), k, max_assign_weight).alias("w"))
@@ -273,14 +413,6 @@ def _arrays(rows: DataFrame) -> DataFrame:
     return rows.groupBy("gene_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("m"))
 
 
-def _array_of(df: DataFrame, key: str, value: str, ids: np.ndarray) -> np.ndarray:
-    rows = df.select(key, value).toPandas()
-    x = np.stack(rows[value].to_list()).astype(float)
-    out = np.zeros((len(ids), x.shape[1]))
-    out[np.searchsorted(ids, rows[key].to_numpy())] = x
-    return out
-
-
 def poisson_estimate_state(
     m: CountMatrix, k: int, init_means: DataFrame | None = None, init_weights: DataFrame | None = None, max_iters: int = 30, tol: float = 0.0, inner_max_iters: int = 100, normalize: bool = True,
     initialization: str = "tsvd", max_assign_weight: float = 0.75, run_w_first: bool = True, constrain_w: bool = False, regularization: float = 0.0, seed: int = 0, on_iteration: Callable[[int], None] | None = None, masked: bool = False, use_log_norm: bool = True, method: str = "NoLips",
@@ -289,36 +421,53 @@ def poisson_estimate_state(
 
     ``init_weights`` may be arrays (cell_id, w) or labels (cell_id, cluster).
     ``masked`` counts only present entries: the zero-inflated variant.
-    Any ``method`` is done by multiplicative sweeps, as sparse data asks for.
+    ``method`` is NoLips (multiplicative sweeps) or L-BFGS-B (``quasi_newton``),
+    which needs the fixed factor below FACTOR_BYTES and knows no regularization.
     """
     if method not in ("NoLips", "L-BFGS-B"):
         raise ValueError(f"unknown method {method!r}")
+    if method == "L-BFGS-B" and (masked or regularization):
+        raise ValueError("L-BFGS-B is for the plain Poisson model")
     labels = init_weights if init_weights is not None and "cluster" in init_weights.columns else None
     start_m, start_w = initial_factors(m, k, initialization, seed, max_assign_weight, use_log_norm, labels, init_means)
     if init_weights is not None and labels is None:
         start_w = init_weights
-    genes, cells = dimension(m.genes, "gene_id"), dimension(m.cells, "cell_id")
-    mm, ww = _array_of(start_m, "gene_id", "m", genes), _array_of(start_w, "cell_id", "w", cells)
-    by_cell, by_gene = Layout.of(m, cells, genes), Layout.of(m.T, genes, cells)
-    kernel = lambda reg: lambda idx, val, offs, f, x: sweeps(idx, val, offs, f, x, inner_max_iters, reg, tol, masked)
+    steps, by_cell, by_gene = Steps(m.cells.sparkSession), Layout(m), Layout(m.T)
+    means, weights = steps.keep("m", start_m.select("gene_id", "m")), steps.keep("w", start_w.select("cell_id", "w"))
+
+    def moved(side: str, layout: Layout, fixed: DataFrame, moving: DataFrame, reg: float) -> DataFrame:
+        if method == "L-BFGS-B":
+            out = layout.step(fixed, moving, lambda idx, val, offs, f, x: quasi_newton(idx, val, offs, f, x, inner_max_iters))
+            if out is None:
+                raise ValueError("factors beyond FACTOR_BYTES: use NoLips")
+            return out
+        out = layout.step(fixed, moving, lambda idx, val, offs, f, x: sweeps(idx, val, offs, f, x, inner_max_iters, reg, tol, masked))
+        for _ in range(inner_max_iters if out is None else 0):
+            moving = out = steps.keep(f"{side}-sweep", sweep(layout.m, fixed, moving, k, reg, masked))
+        return out if out is not None else moving
+
     try:
         for it in range(max_iters):
             for side in ("w", "m") if run_w_first else ("m", "w"):
                 if side == "w":
-                    ww = by_cell.step(mm, ww, kernel(regularization))
-                    if constrain_w:
-                        ww = ww / np.maximum(ww.sum(1, keepdims=True), 1e-300)
+                    new = moved("w", by_cell, means, weights, regularization)
+                    weights = steps.keep("w", new.select("cell_id", _to_one("w").alias("w")) if constrain_w else new)
                 else:
-                    mm = by_gene.step(ww, mm, kernel(0.0))
+                    means = steps.keep("m", _swapped(moved("m", by_gene, _swapped(weights), _swapped(means), 0.0)))
             if on_iteration:
                 on_iteration(it)
         if normalize:
-            total = ww.sum(1, keepdims=True)
-            ww = np.where(total > 0, ww / np.where(total > 0, total, 1), 1.0 / k)
-        return Estimate(m.cells.sparkSession, genes, cells, mm, ww, _cost(by_cell, mm, ww))
+            even = F.transform("w", lambda _: F.lit(1.0 / k))
+            weights = steps.keep("w", weights.select("cell_id", F.when(F.aggregate("w", F.lit(0.0), lambda s, v: s + v) > 0, _to_one("w")).otherwise(even).alias("w")))
+        return Estimate(means, weights, poisson_cost(m, means, weights))
     finally:
-        by_cell.packed.unpersist()
-        by_gene.packed.unpersist()
+        by_cell.free()
+        by_gene.free()
+
+
+def _to_one(array: str) -> Column:
+    total = F.aggregate(array, F.lit(0.0), lambda s, v: s + v)
+    return F.transform(array, lambda v: v / F.greatest(total, F.lit(1e-300)))
 
 
 def update_m_init(m: CountMatrix, old_means: DataFrame, weights: DataFrame) -> DataFrame:
@@ -332,42 +481,92 @@ def update_m_init(m: CountMatrix, old_means: DataFrame, weights: DataFrame) -> D
 
 def update_m(m: CountMatrix, old: Estimate, inner_max_iters: int = 100) -> Estimate:
     """Means of all genes with the weights held: the start above, then sweeps for every gene."""
-    spark = m.cells.sparkSession
-    start = _arrays(update_m_init(m, long_factor(old.means, "gene_id", "m"), long_factor(old.weights, "cell_id", "w")))
-    genes = dimension(m.genes, "gene_id")
-    mm = _array_of(start, "gene_id", "m", genes)
-    by_gene = Layout.of(m.T, genes, old.cells)
-    mm = by_gene.step(old.w, mm, lambda idx, val, offs, f, x: sweeps(idx, val, offs, f, x, inner_max_iters))
-    by_cell = Layout.of(m, old.cells, genes)
-    return Estimate(spark, genes, old.cells, mm, old.w, _cost(by_cell, mm, old.w))
-
-
-def nmf(m: CountMatrix, k: int, init_means: np.ndarray | None = None, init_weights: np.ndarray | None = None, max_iters: int = 100, normalize_w: bool = True, seed: int = 0, update_weights: bool = True) -> Estimate:
-    """Least squares with non-negative factors by multiplicative updates; each side's update is one pass over its packed rows."""
-    genes, cells = dimension(m.genes, "gene_id"), dimension(m.cells, "cell_id")
-    rng = np.random.default_rng(seed)
-    mm = init_means if init_means is not None else rng.random((len(genes), k)) + 0.1
-    ww = init_weights if init_weights is not None else rng.random((len(cells), k)) + 0.1
-    by_cell, by_gene = Layout.of(m, cells, genes), Layout.of(m.T, genes, cells)
-
-    def inner(idx, val, offs, f, x, n=5):
-        top, gram = _row_sums(f[idx] * val[:, None], np.diff(offs)), f.T @ f
-        for _ in range(n):
-            x = x * top / (x @ gram + 1e-12)
-        return x
-
-    for _ in range(max(1, max_iters // 5)):
+    steps, by_gene = Steps(m.cells.sparkSession), Layout(m.T)
+    k = old.weights.select(F.size("w")).first()[0]
+    means = steps.keep("m", _arrays(update_m_init(m, long_factor(old.means, "gene_id", "m"), long_factor(old.weights, "cell_id", "w"))))
+    fixed, moving = _swapped(old.weights), _swapped(means)
+    new = by_gene.step(fixed, moving, lambda idx, val, offs, f, x: sweeps(idx, val, offs, f, x, inner_max_iters))
+    for _ in range(inner_max_iters if new is None else 0):
+        moving = steps.keep("m-sweep", sweep(m.T, fixed, moving, k))
+    means = steps.keep("m", _swapped(moving if new is None else new))
+    by_gene.free()
+    return Estimate(means, old.weights, poisson_cost(m, means, old.weights))
+
+
+def _random_factor(ids: DataFrame, key: str, name: str, k: int, seed: int) -> DataFrame:
+    """Uniform on 0.1 .. 1.1 by a hash of the id."""
+    unit = lambda j: F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(j)), F.lit(1 << 40)) / float(1 << 40)
+    return ids.select(key, F.array(*(unit(j) + 0.1 for j in range(k))).alias(name))
+
+
+def _least_squares(m: CountMatrix, means: DataFrame, weights: DataFrame, k: int, inner: int) -> DataFrame:
+    """``inner`` multiplicative updates of the weights: entries join the means once, then rows need k x k numbers only."""
+    parts = [F.sum(F.col("value") * F.get("m", F.lit(j))) for j in range(k)]
+    tops = m.entries.join(means, "gene_id").groupBy("cell_id").agg(F.array(*parts).alias("top"))
+    gram = _gram(means, "m", k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column("w").flatten()).reshape(-1, k)
+            top = np.asarray(b.column("top").flatten()).reshape(-1, k)
+            for _ in range(inner):
+                x = x * top / (x @ gram + 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column("cell_id"), pa.array(list(x), pa.list_(pa.float64()))], ["cell_id", "w"])
+
+    none = F.array(*[F.lit(0.0)] * k)
+    return weights.join(tops, "cell_id", "left").select("cell_id", "w", F.coalesce("top", none).alias("top")).mapInArrow(run, "cell_id long, w array<double>")
+
+
+def _gram(df: DataFrame, array: str, k: int) -> np.ndarray:
+    """k x k products of a factor's components."""
+    row = df.agg(*(F.sum(F.get(array, F.lit(i)) * F.get(array, F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1))).first()
+    out = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i + 1):
+            out[i, j] = out[j, i] = row[f"g{i}_{j}"] or 0.0
+    return out
+
+
+def nmf(m: CountMatrix, k: int, init_means: DataFrame | None = None, init_weights: DataFrame | None = None, max_iters: int = 100, normalize_w: bool = True, seed: int = 0, update_weights: bool = True, inner: int = 5) -> Estimate:
+    """Least squares with non-negative factors by multiplicative updates, ``inner`` for each side in turn."""
+    steps = Steps(m.cells.sparkSession)
+    means = steps.keep("m", init_means if init_means is not None else _random_factor(m.genes, "gene_id", "m", k, 2 * seed))
+    weights = steps.keep("w", init_weights if init_weights is not None else _random_factor(m.cells, "cell_id", "w", k, 2 * seed + 1))
+    for _ in range(max(1, max_iters // inner)):
         if update_weights:
-            ww = by_cell.step(mm, ww, inner)
-        mm = by_gene.step(ww, mm, inner)
-    squares = m.entries.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
-    cross = by_cell.step(mm, ww, lambda idx, val, offs, f, x: _row_sums(f[idx] * val[:, None], np.diff(offs)) * x).sum()
-    cost = 0.5 * (squares - 2 * cross + ((mm.T @ mm) * (ww.T @ ww)).sum())
-    by_cell.packed.unpersist()
-    by_gene.packed.unpersist()
+            weights = steps.keep("w", _least_squares(m, means, weights, k, inner))
+        means = steps.keep("m", _swapped(_least_squares(m.T, _swapped(weights), _swapped(means), k, inner)))
+    both = m.entries.join(means, "gene_id").join(weights, "cell_id").agg(F.sum(F.col("value") * F.col("value")).alias("xx"), F.sum(F.col("value") * _dot()).alias("xp")).first()
+    cost = 0.5 * ((both.xx or 0.0) - 2 * (both.xp or 0.0) + float((_gram(means, "m", k) * _gram(weights, "w", k)).sum()))
     if normalize_w:
-        ww = ww / np.maximum(ww.sum(1, keepdims=True), 1e-300)
-    return Estimate(m.cells.sparkSession, genes, cells, mm, ww, float(cost))
+        weights = steps.keep("w", weights.select("cell_id", _to_one("w").alias("w")))
+    return Estimate(means, weights, float(cost))
+
+
+def nmf_start(m: CountMatrix, labels: DataFrame, k: int, kind: str = "enhanced", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(means (gene_id, m), weights (cell_id, w)) from labels: means of the clusters; weights 'basic' (nearly one-hot),
+    'enhanced' (by distances to the means, as ``fuzzy_weights``) or 'nmf' (one NMF's weights with these means)."""
+    from .likelihood import poisson_dist_mat
+    from .matrix import packed_factor
+
+    centers = stored(cluster_means(m, labels, k))
+    means = _arrays(centers)
+    if kind == "basic":
+        return means, labels.select("cell_id", F.transform(soft_one_hot(F.col("cluster"), k, 1.0), lambda v: v + 1e-4).alias("w"))
+    if kind == "enhanced":
+        return means, packed_factor(fuzzy_weights(poisson_dist_mat(m, centers)), "cell_id", "w")
+    if kind == "nmf":
+        held = means.select("gene_id", F.transform("m", lambda v: v + 1e-6).alias("m"))
+        return means, nmf(m, k, held, max_iters=5, seed=seed).weights
+    raise ValueError(f"unknown start {kind!r}")
+
+
+def nearest_weights(m: CountMatrix, means: DataFrame, k: int, use_log_norm: bool = False, weight: float = 0.75) -> DataFrame:
+    """(cell_id, w): most of the weight on the component whose means (gene_id, k, m) are nearest by Poisson distance; values log-normalised first if asked."""
+    from .likelihood import best_center, poisson_dist_mat
+
+    labels = best_center(poisson_dist_mat(log_norm(m) if use_log_norm else m, means), "dist", largest=False)
+    return labels.select("cell_id", soft_one_hot(F.col("cluster"), k, weight).alias("w"))
 
 
 def log_norm_nmf(m: CountMatrix, k: int, **options) -> Estimate:
@@ -386,24 +585,21 @@ def fuzzy_weights(distances: DataFrame, eps: float = 1e-10) -> DataFrame:
 
 
 def lda_estimate_state(m: CountMatrix, k: int, alpha: float = 0.05, beta: float = 0.01, max_iters: int = 50, seed: int = 0) -> Estimate:
-    """Topics as means, scaled to the data's mean total, and documents' topics as weights."""
+    """Topics as means, scaled to the data's mean total, and documents' topics as weights; topics are genes x k numbers, which LDA holds on the driver."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    genes, cells = dimension(m.genes, "gene_id"), dimension(m.cells, "cell_id")
+    spark, genes = m.cells.sparkSession, dimension(m.genes, "gene_id")
     vector = F.udf(lambda idx, val: SparseVector(len(genes), dict(zip(np.searchsorted(genes, idx).tolist(), val, strict=True))), VectorUDT())
     data = m.packed_cells().select("cell_id", vector("idx", "val").alias("features")).persist()
     model = LDA(k=k, maxIter=max_iters, seed=seed, docConcentration=[alpha] * k, topicConcentration=max(beta, 1e-9), optimizer="online").fit(data)
     topics = model.topicsMatrix().toArray()
     topics = topics / np.maximum(topics.sum(0), 1e-300)
-    rows = model.transform(data).select("cell_id", "topicDistribution").collect() if len(cells) * k * 8 <= FACTOR_BYTES else []
-    ww = np.zeros((len(cells), k))
-    for r in rows:
-        ww[np.searchsorted(cells, r.cell_id)] = r.topicDistribution.toArray()
+    weights = stored(model.transform(data).select("cell_id", vector_to_array("topicDistribution").alias("w")).select("cell_id", _to_one("w").alias("w")))
+    data.unpersist()
     mean_total = cell_totals(m).agg(F.avg("total")).first()[0] or 0.0
-    ww = ww / np.maximum(ww.sum(1, keepdims=True), 1e-300)
-    mm = topics * mean_total
-    return Estimate(m.cells.sparkSession, genes, cells, mm, ww, _cost(Layout.of(m, cells, genes), mm, ww))
+    means = stored(frame_of(spark, "gene_id", genes, "m", topics * mean_total))
+    return Estimate(means, weights, poisson_cost(m, means, weights))
 
 
 def plda_estimate_state(m: CountMatrix, k: int, max_iters: int = 150, seed: int = 0) -> Estimate:
@@ -451,9 +647,8 @@ def run_state_estimation(m: CountMatrix, k: int, dist: str = "Poiss", reps: int
 
 def run_baseline(m: CountMatrix, k: int, seed: int = 0) -> Estimate:
     """The start alone: truncated SVD without log normalization, k-means, weight 0.95; cost 0."""
-    start_m, start_w = initial_factors(m, k, "tsvd", seed, 0.95, False)
-    genes, cells = dimension(m.genes, "gene_id"), dimension(m.cells, "cell_id")
-    return Estimate(m.cells.sparkSession, genes, cells, _array_of(start_m, "gene_id", "m", genes), _array_of(start_w, "cell_id", "w", cells), 0.0)
+    means, weights = initial_factors(m, k, "tsvd", seed, 0.95, False)
+    return Estimate(stored(means), stored(weights), 0.0)
 
 
-__all__ = ["Estimate", "fuzzy_weights", "lda_estimate_state", "log_norm_nmf", "nmf", "norm_nmf", "normalized", "plda_estimate_state", "poisson_estimate_state", "run_baseline", "run_state_estimation", "sweep", "sweeps", "truncated_svd", "update_m", "update_m_init"]
+__all__ = ["Estimate", "Layout", "fuzzy_weights", "lda_estimate_state", "log_norm_nmf", "nearest_weights", "nmf", "nmf_start", "norm_nmf", "normalized", "plda_estimate_state", "poisson_estimate_state", "run_baseline", "run_state_estimation", "sweep", "sweeps", "truncated_svd", "update_m", "update_m_init"]

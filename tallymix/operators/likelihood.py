@@ -53,6 +53,15 @@ def zip_ll(m: CountMatrix, params: DataFrame) -> DataFrame:
     return _by_center(m, params, lambda: zero, lambda: hit - zero, "ll")
 
 
+def zinb_ll(m: CountMatrix, params: DataFrame) -> DataFrame:
+    """(cell_id, k, ll) with params (gene_id, k, p, r, z): negative binomial as in ``nb_ll``, zero-inflated by z."""
+    p, r, z = F.col("p"), F.col("r"), F.col("z")
+    none = r * F.log(1 - p)
+    zero = F.when(z <= 0, none).otherwise(F.log(z + (1 - z) * F.exp(none)))
+    hit = F.log(F.greatest(1 - z, F.lit(EPS))) + lgamma(r + F.col("value")) - lgamma(r) + F.col("value") * F.log(p) + none
+    return _by_center(m, params, lambda: zero, lambda: hit - zero, "ll")
+
+
 def best_center(scores: DataFrame, value: str, largest: bool = True) -> DataFrame:
     """(cell_id, cluster): the center with the best value rounded to 9 places, the least index on ties."""
     v = F.round(F.col(value), 9)
@@ -100,4 +109,4 @@ def mdl(ll: float, k: int, m: CountMatrix) -> float:
     return ll + (genes * cells + cells * k) * math.log(total / (genes * k))
 
 
-__all__ = ["best_center", "frobenius_cost", "log_ncr", "mdl", "nb_ll", "poisson_dist_mat", "poisson_ll", "poisson_objective", "poisson_test", "zip_ll"]
+__all__ = ["best_center", "frobenius_cost", "log_ncr", "mdl", "nb_ll", "poisson_dist_mat", "poisson_ll", "poisson_objective", "poisson_test", "zinb_ll", "zip_ll"]

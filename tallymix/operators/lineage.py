@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax
 from .reduce import mds
+from .store import stored
 
 
 def fit_polynomial(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
@@ -84,25 +90,49 @@ def curve_edges(points: DataFrame, coord: str = "coord") -> DataFrame:
 
 
 def nearest_links(points: DataFrame, x: str = "fx", y: str = "fy") -> DataFrame:
-    """(src, dst): for each cluster the closest pair with a cell of another one."""
-    a = points.select(F.col("cell_id").alias("src"), F.col("cluster").alias("ca"), F.col(x).alias("xa"), F.col(y).alias("ya"))
-    b = points.select(F.col("cell_id").alias("dst"), F.col("cluster").alias("cb"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    d = F.round(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2), 9)
-    pairs = a.join(b, F.col("ca") != F.col("cb")).groupBy("ca").agg(F.min(F.struct(d.alias("d"), "src", "dst")).alias("e"))
-    return pairs.select("e.src", "e.dst")
+    """(src, dst): for each cluster the closest pair with a cell of another one.
+
+    Cells meet in the squares of a grid and the squares beside them, so a pair
+    not farther apart than the squares are wide is found.  The squares start so
+    small that a cell has few neighbours; clusters that find none that near go on
+    with squares twice as wide.
+    """
+    ends = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n")).first()
+    whole = max((ends.x1 or 0) - (ends.x0 or 0), (ends.y1 or 0) - (ends.y0 or 0)) or 1.0
+    width, rest, out = whole / max(1.0, math.sqrt(ends.n)), points, []
+    while True:
+        cell = lambda c, low: F.floor((F.col(c) - F.lit(low)) / width)  # noqa: B023, E731
+        at = lambda p, a, b: p.select(F.col("cell_id").alias(a), F.col("cluster").alias(f"c_{a}"), F.col(x).alias(f"x_{a}"), F.col(y).alias(f"y_{a}"), *b)
+        gx, gy = cell(x, ends.x0), cell(y, ends.y0)
+        steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        left = at(rest, "src", (gx.alias("gx"), gy.alias("gy")))
+        right = at(points, "dst", (gx.alias("hx"), gy.alias("hy"))).withColumn("s", F.explode(steps)).withColumns({"gx": F.col("hx") + F.col("s.i"), "gy": F.col("hy") + F.col("s.j")})
+        d = F.round(F.pow(F.col("x_src") - F.col("x_dst"), 2) + F.pow(F.col("y_src") - F.col("y_dst"), 2), 9)
+        found = left.join(right, ["gx", "gy"]).where("c_src <> c_dst").groupBy("c_src").agg(F.min(F.struct(d.alias("d"), "src", "dst")).alias("e"))
+        if width < whole:
+            found = found.where(F.col("e.d") <= width * width)
+        out.append(stored(found.select(F.col("c_src").alias("cluster"), "e.src", "e.dst")))
+        rest = rest.join(out[-1], "cluster", "left_anti")
+        if width >= whole or rest.isEmpty():
+            break
+        width = min(whole, 2 * width)
+    links = out[0]
+    for more in out[1:]:
+        links = links.union(more)
+    return links.select("src", "dst")
 
 
 def run_lineage(means: DataFrame, weights: DataFrame, curve: str = "poly", dimensions: int = 6) -> tuple[DataFrame, DataFrame]:
     """(points on their curves, edges (src, dst))."""
     places = mds(means, weights, 2).join(weights.select("cell_id", argmax(F.col("w")).alias("cluster")), "cell_id")
-    points = fitted_curves(places.select("cell_id", "cluster", F.get("x", F.lit(0)).alias("x"), F.coalesce(F.get("x", F.lit(1)), F.lit(0.0)).alias("y")), curve, dimensions).persist()
+    points = stored(fitted_curves(places.select("cell_id", "cluster", F.get("x", F.lit(0)).alias("x"), F.coalesce(F.get("x", F.lit(1)), F.lit(0.0)).alias("y")), curve, dimensions))
     return points, curve_edges(points).unionByName(nearest_links(points)).distinct()
 
 
 def pseudotime(start: int, edges: DataFrame, points: DataFrame, x: str = "fx", y: str = "fy") -> DataFrame:
     """(cell_id, time): the least sum of squared lengths from ``start``, null where no path leads.
 
-    Relaxation over all edges at once, by a combinable minimum, until nothing shrinks.
+    See ``graph_distances``.
     """
     at = lambda name: points.select(F.col("cell_id").alias(name), F.col(x).alias(f"x_{name}"), F.col(y).alias(f"y_{name}"))
     length = F.pow(F.col("x_src") - F.col("x_dst"), 2) + F.pow(F.col("y_src") - F.col("y_dst"), 2)
@@ -110,18 +140,72 @@ def pseudotime(start: int, edges: DataFrame, points: DataFrame, x: str = "fx", y
     return graph_distances(start, one, points.select("cell_id")).withColumnRenamed("distance", "time")
 
 
+#: Directed edges that one task may hold.
+CORE_EDGES = 1_000_000
+
+
 def graph_distances(start: int, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(cell_id, distance) over undirected edges (src, dst, d)."""
-    both = edges.select("src", "dst", "d").union(edges.select("dst", "src", "d")).persist()
-    spark = nodes.sparkSession
-    times = spark.createDataFrame([(start, 0.0)], "cell_id long, time double")
-    before = None
+    """(cell_id, distance) over undirected edges (src, dst, d).
+
+    While there are more than ``CORE_EDGES`` edges, nodes of one or two
+    neighbours are taken out, none beside another, and their edges joined into
+    one: a curve of n cells shrinks in about log n rounds.  What is left is
+    walked by one task, or, if it stays larger, relaxed by joins.  Then the nodes
+    taken out get their distances from their neighbours, the last ones first.
+    """
+    both = edges.select("src", "dst", "d").union(edges.select("dst", "src", "d")).where("src <> dst")
+    both, taken, number = stored(both.groupBy("src", "dst").agg(F.min("d").alias("d"))), [], 0
+    while both.count() > CORE_EDGES:
+        number += 1
+        ends = both.groupBy("src").agg(F.count("*").alias("n"), F.min(F.struct("dst", "d")).alias("a"), F.max(F.struct("dst", "d")).alias("b"))
+        free = ends.where((F.col("n") <= 2) & (F.col("src") != start)).withColumn("turn", F.xxhash64("src", F.lit(number)))
+        beside = both.join(free.select(F.col("src").alias("dst"), F.col("turn").alias("other")), "dst").groupBy("src").agg(F.min("other").alias("other"))
+        out = free.join(beside, "src", "left").where("other is null or turn < other")
+        out = stored(out.select("src", "n", F.col("a.dst").alias("a"), F.col("a.d").alias("da"), F.col("b.dst").alias("b"), F.col("b.d").alias("db")))
+        if out.isEmpty():
+            break
+        taken.append(out)
+        gone = out.select("src")
+        joined = out.where("n = 2").select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("da") + F.col("db")).alias("d"))
+        kept = both.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst", "d")
+        both = stored(kept.union(joined).union(joined.select("dst", "src", "d")).groupBy("src", "dst").agg(F.min("d").alias("d")))
+    times = _walked(start, both) if both.count() <= CORE_EDGES else _relaxed(start, both)
+    for out in reversed(taken):
+        at = lambda c: times.select(F.col("cell_id").alias(c), F.col("time").alias(f"t_{c}"))  # noqa: B023, E731
+        new = out.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.col("src").alias("cell_id"), F.least(F.col("t_a") + F.col("da"), F.col("t_b") + F.col("db")).alias("time"))
+        times = stored(times.union(new.where("time is not null")))
+    return nodes.join(times, "cell_id", "left").select("cell_id", F.col("time").alias("distance"))
+
+
+def _walked(start: int, both: DataFrame) -> DataFrame:
+    """(cell_id, time) by Dijkstra's algorithm in one task; the start alone if it has no edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[int, list[tuple[int, float]]] = {}
+        for b in batches:
+            for s, t, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                near.setdefault(s, []).append((t, d))
+        done: dict[int, float] = {}
+        heap = [(0.0, start)]
+        while heap:
+            time, node = heapq.heappop(heap)
+            if node not in done:
+                done[node] = time
+                for t, d in near.get(node, ()):
+                    if t not in done:
+                        heapq.heappush(heap, (time + d, t))
+        yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64()), pa.array(list(done.values()), pa.float64())], ["cell_id", "time"])
+
+    return stored(both.select("src", "dst", "d").coalesce(1).mapInArrow(run, "cell_id long, time double").groupBy("cell_id").agg(F.min("time").alias("time")))
+
+
+def _relaxed(start: int, both: DataFrame) -> DataFrame:
+    """(cell_id, time) by relaxing all edges at once until nothing shrinks."""
+    times, before = both.sparkSession.createDataFrame([(start, 0.0)], "cell_id long, time double"), None
     while True:
         new = both.join(times.withColumnRenamed("cell_id", "src"), "src").select(F.col("dst").alias("cell_id"), (F.col("time") + F.col("d")).alias("time"))
-        times = spark.createDataFrame(times.union(new).groupBy("cell_id").agg(F.min("time").alias("time")).toArrow())  # one row per node of the graph
+        times = stored(times.union(new).groupBy("cell_id").agg(F.min("time").alias("time")))
         now = tuple(times.agg(F.count("*"), F.round(F.sum("time"), 9)).first())
         if now == before:
-            break
+            return times
         before = now
-    both.unpersist()
-    return nodes.join(times, "cell_id", "left").select("cell_id", F.col("time").alias("distance"))

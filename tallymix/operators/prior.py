@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.special import normal_cdf
 from .cluster import cluster_means, poisson_assign
 from .matrix import CountMatrix
+from .store import stored
 
 
 def missing_genes(q: DataFrame) -> DataFrame:
@@ -28,7 +29,8 @@ def two_means(values: np.ndarray, gaussian: bool = False) -> tuple[float, float,
     """(low, high, assignment to high) of one gene's values in two groups: the best cut of the sorted values.
 
     In one dimension the optimum of Poisson (or squared-error) 2-means is a cut,
-    so all cuts are tried by prefix sums.  low and high are the groups' medians.
+    so all cuts are tried by prefix sums, the first of the best (to 9 places) is
+    taken.  low and high are the groups' medians.
     """
     order = np.argsort(values, kind="stable")
     x = values[order]
@@ -43,7 +45,7 @@ def two_means(values: np.ndarray, gaussian: bool = False) -> tuple[float, float,
         logs = lambda s, mean: s * np.log(mean + 1e-10)
         gain = logs(sums, left) + logs(x.sum() - sums, right)
     gain[x[1:] == x[:-1]] = -np.inf
-    cut = int(np.argmax(gain)) + 1
+    cut = int(np.argmax(np.round(gain, 9))) + 1
     high = np.zeros(n, bool)
     high[order[cut:]] = True
     return float(np.median(x[:cut])), float(np.median(x[cut:])), high
@@ -78,11 +80,11 @@ def qual_norm(m: CountMatrix, q: DataFrame, gaussian: bool = False) -> DataFrame
     the gene's mean where a cluster stays empty."""
     missing = missing_genes(q)
     known = q.join(missing, "gene_id", "left_anti")
-    out = output_from_levels(known, gene_levels(m, known.select("gene_id").distinct(), gaussian)).persist()
+    out = stored(output_from_levels(known, gene_levels(m, known.select("gene_id").distinct(), gaussian)))
     if missing.isEmpty():
         return out
     k = q.agg(F.max("k")).first()[0] + 1
-    labels = poisson_assign(m.select_genes(known.select("gene_id").distinct()), out).persist()
+    labels = stored(poisson_assign(m.select_genes(known.select("gene_id").distinct()), out))
     sizes = labels.groupBy(F.col("cluster").alias("k")).count()
     rest = m.select_genes(missing)
     n = m.n_cells()
@@ -98,7 +100,7 @@ def qual_norm_gaussian(m: CountMatrix, q: DataFrame) -> DataFrame:
 def qual_norm_filter_genes(m: CountMatrix, q: DataFrame, pval_threshold: float = 0.05, eps: float = 1e-5) -> tuple[DataFrame, DataFrame]:
     """(means (gene_id, k, m) of the genes kept, p-values (gene_id, p)): genes whose two groups differ by the Poisson test."""
     known = q.join(missing_genes(q), "gene_id", "left_anti")
-    levels = gene_levels(m, known.select("gene_id").distinct()).withColumn("p", 1 - normal_cdf(F.col("w2"))).persist()
+    levels = stored(gene_levels(m, known.select("gene_id").distinct()).withColumn("p", 1 - normal_cdf(F.col("w2"))))
     kept = levels.where(F.col("p") <= pval_threshold)
     return output_from_levels(known.join(kept, "gene_id", "left_semi"), kept, eps), levels.select("gene_id", "p")
 

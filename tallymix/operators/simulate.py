@@ -118,6 +118,7 @@ def downsample(m: CountMatrix, share: float, seed: int = 0) -> CountMatrix:
 
 
 def hold_out(m: CountMatrix, share: float, seed: int = 0) -> tuple[CountMatrix, DataFrame]:
-    """(matrix without them, held-out entries): entries whose hash falls into the share."""
-    h = F.pmod(F.xxhash64("gene_id", "cell_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    """(matrix without them, held-out entries): entries whose md5 falls into the share."""
+    text = F.concat_ws(":", "gene_id", "cell_id", F.lit(seed))
+    h = F.pmod(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"), F.lit(1_000_000)) < int(share * 1_000_000)
     return CountMatrix(m.entries.where(~h), m.genes, m.cells), m.entries.where(h)
