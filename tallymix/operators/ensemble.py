@@ -70,33 +70,33 @@ def _weights_of_runs(runs: list[DataFrame], m: CountMatrix, k: int) -> CountMatr
     return CountMatrix.of(rows, m.cells.sparkSession.range(len(runs) * k).withColumnRenamed("id", "gene_id"), m.cells)
 
 
-def _restart(m: CountMatrix, k: int, runs: list[DataFrame], seed: int) -> Estimate:
+def _restart(m: CountMatrix, k: int, runs: list[DataFrame], seed: int, **options) -> Estimate:
     """The runs' weights are factored, and that factor starts one more run."""
-    factor = nmf(_weights_of_runs(runs, m, k), k, seed=seed, normalize_w=False).weights
-    return nmf(m, k, init_weights=factor.select("cell_id", F.transform("w", lambda v: v + 1e-9).alias("w")), seed=seed)
+    factor = nmf(_weights_of_runs(runs, m, k), k, seed=seed, normalize_w=False, **options).weights
+    return nmf(m, k, init_weights=factor.select("cell_id", F.transform("w", lambda v: v + 1e-9).alias("w")), seed=seed, **options)
 
 
-def nmf_ensemble(m: CountMatrix, k: int, n_runs: int = 10, seed: int = 0) -> Estimate:
+def nmf_ensemble(m: CountMatrix, k: int, n_runs: int = 10, seed: int = 0, **options) -> Estimate:
     """The stacked weights of several runs are factored, and their factor starts one more run."""
-    return _restart(m, k, [nmf(m, k, seed=seed + j).weights for j in range(n_runs)], seed)
+    return _restart(m, k, [nmf(m, k, seed=seed + j, **options).weights for j in range(n_runs)], seed, **options)
 
 
-def nmf_kfold(m: CountMatrix, k: int, n_runs: int = 10, seed: int = 0) -> Estimate:
+def nmf_kfold(m: CountMatrix, k: int, n_runs: int = 10, seed: int = 0, **options) -> Estimate:
     """As ``nmf_ensemble``, each run fitted without one fold of cells (by a hash) whose weights then follow from its means."""
     parts = []
     for j in range(n_runs):
         fold = F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(n_runs)) == j
-        fit = nmf(m.select_cells(m.cells.where(~fold)), k, seed=seed + j)
+        fit = nmf(m.select_cells(m.cells.where(~fold)), k, seed=seed + j, **options)
         parts.append(nmf(m, k, init_means=fit.means, max_iters=5, seed=seed + j).weights)
-    return _restart(m, k, parts, seed)
+    return _restart(m, k, parts, seed, **options)
 
 
-def residual_nmf(m: CountMatrix, k: int, ks: int = 1, seed: int = 0) -> Estimate:
+def residual_nmf(m: CountMatrix, k: int, ks: int = 1, seed: int = 0, **options) -> Estimate:
     """``k`` rounds of a small NMF, each on what the ones before leave (negative rests as 0)."""
     means, weights, rest, last = None, None, m, None
     side = lambda a, b, key, c: b if a is None else a.withColumnRenamed(c, "before").join(b, key).select(key, F.concat("before", c).alias(c))
     for j in range(k):
-        last = nmf(rest, ks, seed=seed + j, normalize_w=False)
+        last = nmf(rest, ks, seed=seed + j, normalize_w=False, **options)
         means, weights = stored(side(means, last.means, "gene_id", "m")), stored(side(weights, last.weights, "cell_id", "w"))
         left = last.imputed_at(rest.entries).withColumn("value", F.greatest(F.lit(0.0), F.col("value") - F.col("mw"))).select("gene_id", "cell_id", "value").where("value > 0")
         rest = CountMatrix(stored(left), m.genes, m.cells)

@@ -1,23 +1,27 @@
 """The queries over the driver's tables and the SQL that checks them.
 
-The count matrix is parts by suppliers.  One-step queries use fixed factors:
-means 1 + (7 g + 3 k) mod 11 and weights 0.75 for the component c mod 3, else
-0.125.  Real results are rounded to 6 places.
+The count matrix is parts by suppliers, whole.  Queries that SQL checks use fixed
+factors: means 1 + (7 g + 3 k) mod 11 and weights 0.75 for the component c mod
+3, else 0.125; iterative ones make one or two rounds from there.  Queries
+without SQL draw their starts and run on the same matrix.  Real results are
+rounded to 6 places.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special, vectors
 from ..operators import cluster, dispersed, ensemble, evaluate, experiment, factor, fitdist, likelihood, lineage, matrix, prep, prior, reduce, simulate
+from ..operators.store import shared_folder
 from ..sources import tables, text
 
 K = 3
-_CACHE: dict[str, object] = {}
 
 
 def _x(spark: SparkSession, d: str) -> matrix.CountMatrix:
@@ -109,86 +113,170 @@ def _fit_errors(spark: SparkSession, d: str) -> DataFrame:
     return _r(fitdist.fit_errors(_x(spark, d)), "poiss", "norm", "lognorm")
 
 
-def _estimate(spark: SparkSession, d: str) -> factor.Estimate:
-    """The flagship's model, kept by folder while the session lives."""
-    key = f"{id(spark)}:{d}"
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = factor.poisson_estimate_state(_x(spark, d), K, max_iters=5, inner_max_iters=30, initialization="random")
-    return _CACHE[key]
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State estimation of suppliers by ordered parts: each supplier's weights and its largest component."""
-    e = _estimate(spark, sf_dir)
+    e = factor.poisson_estimate_state(_x(spark, sf_dir), K, max_iters=5, inner_max_iters=30, initialization="random")
     return e.weights.select("cell_id", vectors.argmax(F.col("w")).alias("cluster"), "w").orderBy("cell_id")
 
 
-def _recovery(spark: SparkSession, d: str) -> tuple[matrix.CountMatrix, DataFrame]:
-    """A simulated matrix of three separate clusters, as many cells as there are suppliers, 150 at least."""
-    centers = [[1, 10, 20], [1, 11, 1], [50, 1, 100], [5, 30, 2], [2, 3, 40], [25, 4, 6]]
-    import numpy as np
+def flagship_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the default of 30 times 100 sweeps."""
+    return factor.poisson_estimate_state(_x(spark, sf_dir), K, initialization="random").weights
+
+
+def _fixed(m: matrix.CountMatrix) -> factor.Estimate:
+    return factor.Estimate(_am(m), _aw(m), 0.0)
+
+
+def _spread(m: matrix.CountMatrix) -> DataFrame:
+    """Weights (cell_id, w) that differ from cell to cell."""
+    raw = m.cells.select("cell_id", F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda j: (1 + F.pmod(F.col("cell_id") * 7 + j * 5, F.lit(13))).cast("double")).alias("w"))
+    return raw.select("cell_id", vectors.normalized(F.col("w")).alias("w"))
+
+
+def _two(m: matrix.CountMatrix, **options) -> factor.Estimate:
+    """Two rounds of one sweep each from the fixed labels."""
+    return factor.run_state_estimation(m, K, init_weights=_labels(m), max_iters=2, inner_max_iters=1, **options)
+
+
+def _nb_params(m: matrix.CountMatrix) -> DataFrame:
+    return _means(m).select("gene_id", "k", F.lit(0.3).alias("p"), F.col("m").alias("r"))
+
+
+def _labelled(labels: DataFrame) -> DataFrame:
+    return labels.select("cell_id", F.col("cluster").cast("int").alias("cluster"))
+
+
+def _params(df: DataFrame, *names: str) -> DataFrame:
+    return _r(df.select("gene_id", "k", *names), *names)
+
+
+def _experiment(spark: SparkSession, m: matrix.CountMatrix) -> DataFrame:
+    one = experiment.Clusterer("em", lambda x, k, seed: cluster.em_step(x, _labels(x), k))
+    return _r(experiment.run_experiment([(experiment.IDENTITY, one)], m, K, _true(m), n_runs=1).select("run", "method", "metric", "value"), "value")
+
 
-    n = max(150, min(2000, tables.table(spark, d, "supplier").count()))
-    return simulate.poisson_data(spark, np.array(centers, float), n, seed=7)
+def _written(lines: DataFrame) -> str:
+    path = shared_folder(lines.sparkSession)
+    text.write_lines(lines, path)
+    return path
 
 
-def _metrics(spark, labels: DataFrame, true: DataFrame) -> DataFrame:
-    t = evaluate.contingency(labels, true).persist()
-    return evaluate.purity(t).crossJoin(evaluate.nmi(t)).crossJoin(evaluate.ari(t))  # one row each
+def _by_line(df: DataFrame, m: matrix.CountMatrix) -> DataFrame:
+    """Line numbers as the cells that were written in order of their ids."""
+    ranks = m.cells.select(F.col("cell_id").alias("cell"), (F.row_number().over(W.orderBy("cell_id")) - 1).alias("cell_id"))  # one row per cell
+    return df.join(ranks, "cell_id").drop("cell_id").withColumnRenamed("cell", "cell_id")
+
+
+def _matrix_market(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark)
+    text.write_matrix_market(_x(spark, d), path)
+    return _entries(text.read_matrix_market(spark, path))
+
+
+def _dense_text(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight parts' values of each supplier, written as a white-space matrix and read again."""
+    m = _x(spark, d)
+    rows = m.cells.join(m.entries.where("gene_id between 1 and 8"), "cell_id", "left").groupBy("cell_id").pivot("gene_id", list(range(1, 9))).agg(F.first("value"))
+    lines = rows.select("cell_id", F.concat_ws(" ", *(F.coalesce(F.col(str(g)), F.lit(0.0)).cast("string") for g in range(1, 9))).alias("line"))
+    back = text.read_dense(spark, _written(lines)).T.entries
+    return _r(_by_line(back, m).select((F.col("gene_id") + 1).alias("gene_id"), "cell_id", "value"), "value")
 
 
 def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Operators beyond SQL; the repository's tests hold them against plain versions and recovery bounds."""
+    """Iterative operators on the whole matrix."""
 
     def on(fn):
-        return lambda s, d: fn(s, *_recovery(s, d))
+        return lambda s, d: fn(s, _x(s, d))
 
-    weights = lambda e: e.weights
     return {
+        # one or two rounds from a fixed start, for SQL
+        "kmeans_pp": on(lambda s, m: _labelled(cluster.kmeans_pp(m, K, seed=1)[1])),
+        "poisson_cluster": on(lambda s, m: _labelled(cluster.poisson_cluster(m, K, _means(m), 2)[0])),
+        "zip_cluster": on(lambda s, m: _labelled(cluster.zip_cluster(m, K, 2, init=_labels(m))[0])),
+        "zip_cluster_params": on(lambda s, m: _params(cluster.zip_cluster(m, K, 1, init=_labels(m))[1], "m", "z")),
+        "nb_cluster": on(lambda s, m: _labelled(cluster.nb_cluster(m, K, 2, init=_labels(m))[0])),
+        "run_state_estimation": on(lambda s, m: _w_long(_two(m).weights)),
+        "state_means": on(lambda s, m: _w_long(_two(m).means, "gene_id", "m")),
+        "zip_state_estimation": on(lambda s, m: _w_long(_two(m, dist="zip").weights)),
+        "nb_state_estimation": on(lambda s, m: _w_long(dispersed.nb_estimate_state(m, K, m.genes.select("gene_id", (1.0 + F.pmod("gene_id", F.lit(5))).alias("r")), 1, 1, init_weights=_labels(m))[0].weights)),
+        "norm_nmf": on(lambda s, m: _w_long(factor.norm_nmf(m, K, init_means=_am(m), init_weights=_aw(m), max_iters=1, inner=2).weights)),
+        "log_norm_nmf": on(lambda s, m: _w_long(factor.log_norm_nmf(m, K, init_means=_am(m), init_weights=_aw(m), max_iters=1, inner=2).weights)),
+        "update_m": on(lambda s, m: _w_long(factor.update_m(m, _fixed(m), 1).means, "gene_id", "m")),
+        "mds": on(lambda s, m: _w_long(reduce.mds(_means(m), _spread(m)), value="x")),
+        "diffusion_mds": on(lambda s, m: _w_long(reduce.diffusion_mds(_means(m), _spread(m), rounds=2), value="x")),
+        "zip_fit": on(lambda s, m: _r(dispersed.zip_fit(m), "lam", "pi")),
+        "dist_fit_best": lambda s, d: fitdist.best_distribution(_x(s, d)),
+        "qual_norm_levels": on(lambda s, m: _r(prior.gene_levels(m, m.genes), "low", "high", "w2")),
+        "qual_norm_filter_genes": on(lambda s, m: _r(prior.qual_norm_filter_genes(m, _prior(m))[0], "m")),
+        "hold_out": on(lambda s, m: _r(simulate.hold_out(m, 0.1)[1].select("gene_id", "cell_id", "value"), "value")),
+        "dbscan": lambda s, d: cluster.dbscan(_points(s, d).select("cell_id", F.array("fx", "fy").alias("vec")), 0.05, 5),
+        "run_experiment": on(_experiment),
+        "nearest_weights": on(lambda s, m: _w_long(factor.nearest_weights(m, _means(m), K))),
+        "nmf_start": on(lambda s, m: _w_long(factor.nmf_start(m, _labels(m), K)[1])),
+        "nb_objective": on(lambda s, m: _one(dispersed.nb_objective(m, _means(m), _weights(m), m.genes.select("gene_id", (1.0 + F.pmod("gene_id", F.lit(5))).alias("r"))))),
+        "zip_objective": on(lambda s, m: _one(dispersed.zip_objective(m, _means(m), _weights(m), m.genes.select("gene_id", (F.pmod("gene_id", F.lit(5)) / 10.0).alias("z"))))),
+        "zinb_ll": on(lambda s, m: _r(likelihood.zinb_ll(m, _nb_params(m).withColumn("z", F.col("k") * 0.2)), "ll")),
+        # drawn starts, run to their end
         "poisson_state_estimation": flagship,
-        "kmeans_pp": lambda s, d: cluster.kmeans_pp(_x(s, d), K, seed=1)[1],
-        "poisson_cluster": on(lambda s, m, y: _metrics(s, cluster.poisson_cluster(m, 3)[0], y)),
-        "zip_cluster": on(lambda s, m, y: _metrics(s, cluster.zip_cluster(m, 3, 10)[0], y)),
-        "nb_cluster": on(lambda s, m, y: _metrics(s, cluster.nb_cluster(m, 3, 5)[0], y)),
-        "run_state_estimation": on(lambda s, m, y: factor.run_state_estimation(m, 3, "poisson", max_iters=3, inner_max_iters=20).weights),
-        "zip_state_estimation": on(lambda s, m, y: factor.run_state_estimation(m, 3, "zip", max_iters=3, inner_max_iters=20).weights),
-        "nb_state_estimation": on(lambda s, m, y: factor.run_state_estimation(m, 3, "nb", max_iters=2, inner_max_iters=20).weights),
-        "run_baseline": on(lambda s, m, y: weights(factor.run_baseline(m, 3))),
-        "update_m": lambda s, d: factor.update_m(_x(s, d), _estimate(s, d), 20).means,
-        "norm_nmf": on(lambda s, m, y: factor.norm_nmf(m, 3, max_iters=30).weights),
-        "log_norm_nmf": on(lambda s, m, y: factor.log_norm_nmf(m, 3, max_iters=30).weights),
-        "lda_state_estimation": on(lambda s, m, y: factor.lda_estimate_state(m, 3, max_iters=10).weights),
-        "gap_statistic": on(lambda s, m, y: s.createDataFrame([(k, *cluster.gap(cluster.reduced(m), k, 2)) for k in (1, 3)], "k int, gap double, s double")),
-        "truncated_svd": on(lambda s, m, y: factor.truncated_svd(prep.log_norm(m), 3)[0]),
-        "pca": on(lambda s, m, y: reduce.pca(prep.log_norm(m), 2)),
-        "tsne": on(lambda s, m, y: reduce.embed_tsne(factor.truncated_svd(prep.log_norm(m), 3)[0].withColumnRenamed("vec", "w").orderBy("cell_id"))),
-        "mds": lambda s, d: reduce.mds(_estimate(s, d).means.select("gene_id", F.posexplode("m").alias("k", "m")), _estimate(s, d).weights),
-        "diffusion_mds": lambda s, d: reduce.diffusion_mds(_estimate(s, d).means.select("gene_id", F.posexplode("m").alias("k", "m")), _estimate(s, d).weights),
-        "diffusion_impute": on(lambda s, m, y: reduce.diffusion_impute(m, 3, 2, 10, 5)),
-        "run_lineage": lambda s, d: lineage.run_lineage(_estimate(s, d).means.select("gene_id", F.posexplode("m").alias("k", "m")), _estimate(s, d).weights)[1],
+        "run_baseline": on(lambda s, m: factor.run_baseline(m, K).weights),
+        "lbfgs_state_estimation": on(lambda s, m: factor.poisson_estimate_state(m, K, max_iters=2, inner_max_iters=20, initialization="random", method="L-BFGS-B").weights),
+        "lda_state_estimation": on(lambda s, m: factor.lda_estimate_state(m, K, max_iters=10).weights),
+        "gap_statistic": on(lambda s, m: s.createDataFrame([(k, *cluster.gap(cluster.reduced(m), k, 2)) for k in (1, 3)], "k int, gap double, s double")),
+        "select_k": on(lambda s, m: s.createDataFrame([(cluster.select_k(m, 1, 7, 2, 3),)], "k int")),
+        "truncated_svd": on(lambda s, m: factor.truncated_svd(prep.log_norm(m), 3)[0]),
+        "pca": on(lambda s, m: reduce.pca(prep.log_norm(m), 2)),
+        "tsne": on(lambda s, m: reduce.embed_tsne(_spread(m))),
+        "diffusion_impute": on(lambda s, m: reduce.diffusion_impute(m, 3, 2, 10, 5)),
+        "run_lineage": on(lambda s, m: lineage.run_lineage(_means(m), _spread(m))[1]),
         "nb_fit": lambda s, d: dispersed.nb_fit(_x(s, d)),
-        "zip_fit": lambda s, d: dispersed.zip_fit(_x(s, d)),
         "qual_norm": lambda s, d: prior.qual_norm(_x(s, d), _prior(_x(s, d))),
         "qual_norm_gaussian": lambda s, d: prior.qual_norm_gaussian(_x(s, d), _prior(_x(s, d))),
-        "qual_norm_filter_genes": lambda s, d: prior.qual_norm_filter_genes(_x(s, d), _prior(_x(s, d)))[0],
-        "dist_fit_best": lambda s, d: fitdist.best_distribution(_x(s, d)),
-        "simulate_poisson": on(lambda s, m, y: m.entries),
+        "simulate_poisson": on(lambda s, m: simulate.poisson_data(s, np.array([[2, 14, 31], [3, 17, 2], [60, 4, 90], [7, 25, 5]], float), m.n_cells(), seed=7)[0].entries),
+        "nmf_kfold": on(lambda s, m: _w_long(ensemble.nmf_kfold(m, K, 2, max_iters=5).weights)),
         "simulate_states": lambda s, d: simulate.state_data(s, *simulate.poisson_states(3, 100, 50)).entries,
         "simulate_lineage": lambda s, d: simulate.state_data(s, *simulate.poisson_lineage(3, 30, 20)).entries,
-        "downsample": lambda s, d: simulate.downsample(_x(s, d), 0.1).entries,
-        "hold_out": lambda s, d: simulate.hold_out(_x(s, d), 0.1)[1],
-        "dbscan": lambda s, d: cluster.dbscan(_points(s, d).select("cell_id", F.array("fx", "fy").alias("vec")), 0.05, 5),
-        "bicluster": on(lambda s, m, y: _metrics(s, cluster.bicluster(m, 3, 2)[0], y)),
-        "cocluster": on(lambda s, m, y: _metrics(s, cluster.cocluster(m, 3)[0], y)),
-        "consensus": on(lambda s, m, y: cluster.consensus(ensemble.stacked([cluster.poisson_cluster(m, 3, seed=j)[0] for j in range(3)]), 3)),
-        "poisson_consensus": on(lambda s, m, y: ensemble.poisson_consensus(m, 3, 2, max_iters=2, inner_max_iters=10).weights),
-        "nmf_ensemble": on(lambda s, m, y: ensemble.nmf_ensemble(m, 3, 2).weights),
-        "residual_nmf": on(lambda s, m, y: ensemble.residual_nmf(m, 3).weights),
-        "run_experiment": on(lambda s, m, y: experiment.run_experiment([(experiment.IDENTITY, experiment.POISSON), ([experiment.LOG_NORM, experiment.svd(3)], experiment.KMEANS)], m, 3, y, n_runs=1).select("run", "method", "metric", "value")),
+        "downsample": on(lambda s, m: simulate.downsample(m, 0.1).entries),
+        "bicluster": on(lambda s, m: cluster.bicluster(m, K, 2)[0]),
+        "cocluster": on(lambda s, m: cluster.cocluster(m, K)[0]),
+        "consensus": on(lambda s, m: cluster.consensus(ensemble.stacked([_labels(m), cluster.em_step(m, _labels(m), K), cluster.poisson_assign(m, _means(m))]), K)),
+        "poisson_consensus": on(lambda s, m: ensemble.poisson_consensus(m, K, 2, max_iters=1, inner_max_iters=10).weights),
+        "nmf_ensemble": on(lambda s, m: _w_long(ensemble.nmf_ensemble(m, K, 2, max_iters=10).weights)),
+        "residual_nmf": on(lambda s, m: _w_long(ensemble.residual_nmf(m, K, max_iters=15).weights)),
     }
 
 
+def _columns() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Sources, sinks and small transformations."""
+    m = lambda fn: lambda s, d: fn(_x(s, d))
+    return {
+        "read_matrix_market": _matrix_market,
+        "read_dense": _dense_text,
+        "read_word_counts": m(lambda x: _r(_by_line(text.read_word_counts(x.cells.sparkSession, _written(text.word_lines(x))), x).select("gene_id", "cell_id", "value"), "value")),
+        "word_lines_dense": m(lambda x: text.word_lines(x.select_genes(x.genes.where("gene_id <= 20")), include_zeros=True)),
+        "model_lines": m(lambda x: text.model_lines(_am(x).withColumn("m", F.transform("m", lambda v: v - 3)), "gene_id", "m").withColumnRenamed("cell_id", "gene_id")),
+        "dictionary_lines": m(lambda x: text.dictionary_lines(x.cells.sparkSession, x.n_genes()).withColumnRenamed("cell_id", "gene_id")),
+        "read_topic_lines": m(lambda x: _r(text.read_topic_lines(x.cells.sparkSession, _written(text.model_lines(_am(x), "gene_id", "m"))), "value")),
+        "read_word_topics": m(lambda x: _r(text.read_word_topics(x.cells.sparkSession, _written(_am(x).select(F.col("gene_id").alias("cell_id"), F.concat(F.lit("G"), F.col("gene_id").cast("string"), F.lit(" "), F.array_join(F.col("m").cast("array<string>"), " ")).alias("line")))), "value")),
+        "read_document_topics": m(lambda x: _r(_by_line(text.read_document_topics(x.cells.sparkSession, _written(_aw(x).select("cell_id", F.array_join(F.col("w").cast("array<string>"), " ").alias("line")))), x).select("cell_id", "k", "value"), "value")),
+        "cell_subset": m(lambda x: _entries(x.select_cells(x.cells.where("cell_id % 3 = 1")))),
+        "exp10": m(lambda x: _r(prep.exp10(x.with_values(F.col("value") / 100)).entries, "value")),
+        "relu": m(lambda x: _entries(x.with_values(vectors.relu(F.col("value") - 25)).without_zeros())),
+        "packed_round_trip": m(lambda x: _r(matrix.unpacked(x.packed_cells()).select("gene_id", "cell_id", "value"), "value")),
+        "distinct_labels": m(lambda x: _true(x).select("label").distinct()),
+        "nb_genes_of_all_clusters": m(lambda x: reduce_and([prep.nb_genes(x.select_cells(_labels(x).where(F.col("cluster") == j).select("cell_id"))) for j in range(K)])),
+        "zip_row_ll": m(lambda x: _r(likelihood.zip_ll(x.T, x.cells.select(F.col("cell_id").alias("gene_id"), F.lit(0).alias("k"), F.lit(4.0).alias("m"), F.lit(0.25).alias("z"))).select(F.col("cell_id").alias("gene_id"), "ll"), "ll")),
+    }
+
+
+def reduce_and(masks: list[DataFrame]) -> DataFrame:
+    """(gene_id, is_nb): genes that all masks hold true."""
+    out = masks[0]
+    for more in masks[1:]:
+        out = out.union(more)
+    return out.groupBy("gene_id").agg(F.bool_and("is_nb").alias("is_nb"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     m = lambda fn: lambda s, d: fn(_x(s, d))
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -252,7 +340,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "event_counts": lambda s, d: _entries(tables.event_user(s, d)),
         "argmax_weights": m(lambda x: _am(x).select("gene_id", vectors.argmax(F.col("m")).alias("top"))),
     }
-    return out | _iterative()
+    return out | _iterative() | _columns()
 
 
 _X = """x AS (SELECT l_partkey AS g, l_suppkey AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
@@ -287,6 +375,131 @@ FROM w JOIN tot ON tot.c = w.c JOIN (SELECT k, sum(m) AS sm FROM m GROUP BY k) s
 LEFT JOIN (SELECT mw.c, m.k, sum(m * v / (mw + 1e-10)) AS pull FROM mw JOIN m ON m.g = mw.g GROUP BY 1, 2) p ON p.c = w.c AND p.k = w.k"""
 
 
+_POISSON = ("-m", "v * ln(m + 1e-10)")
+
+
+def _means_sql(labels: str) -> str:
+    """(g, k, m) of the clusters of a table (c, cluster); an empty one has the cell of least md5."""
+    return f"""(SELECT m.g, m.k, CASE WHEN z.n IS NULL THEN coalesce(o.v, 0) ELSE coalesce(s, 0) / z.n END AS m FROM m
+LEFT JOIN (SELECT cluster AS k, count(*) AS n FROM {labels} GROUP BY 1) z ON z.k = m.k
+LEFT JOIN (SELECT g, cluster AS k, sum(v) AS s FROM x JOIN {labels} l ON l.c = x.c GROUP BY 1, 2) t ON t.g = m.g AND t.k = m.k
+LEFT JOIN (SELECT g, v FROM x WHERE c = (SELECT arg_min(c, md5(CAST(c AS VARCHAR))) FROM cells)) o ON o.g = m.g)"""
+
+
+def _assigned(scores: str) -> str:
+    return f"(SELECT c, CAST(arg_max(k, (round(ll, 9), -k)) AS INTEGER) AS cluster FROM {scores} GROUP BY c)"
+
+
+def _moments_sql(labels: str) -> str:
+    """(g, k, mean, var) within each cluster that has cells."""
+    return f"""(SELECT genes.g, z.k, coalesce(s1, 0) / n AS mean, coalesce(s2, 0) / n - (coalesce(s1, 0) / n) * (coalesce(s1, 0) / n) AS var
+FROM genes, (SELECT cluster AS k, count(*)::DOUBLE AS n FROM {labels} GROUP BY 1) z
+LEFT JOIN (SELECT g, cluster AS k, sum(v) AS s1, sum(v * v) AS s2 FROM x JOIN {labels} l ON l.c = x.c GROUP BY 1, 2) t ON t.g = genes.g AND t.k = z.k)"""
+
+
+def _zip_sql(labels: str) -> str:
+    return f"""(SELECT g, k, greatest(0.0, coalesce(mean + var / nullif(mean, 0) - 1, 0)) AS m,
+ least(1.0, greatest(0.0, coalesce((var - mean) / nullif(mean * mean + var - mean, 0), 0))) AS z FROM {_moments_sql(labels)})"""
+
+
+_ZIP = ("CASE WHEN z <= 0 THEN -m ELSE ln(z + (1 - z) * exp(-m)) END", "ln(greatest(1 - z, 1e-10)) + v * ln(m + 1e-10) - m - CASE WHEN z <= 0 THEN -m ELSE ln(z + (1 - z) * exp(-m)) END")
+
+
+def _nb_sql(labels: str) -> str:
+    """(g, k, m, p, r, nb): negative binomial where every cluster is over-dispersed."""
+    return f"""(SELECT g, k, mean AS m, 1 - mean / nullif(var, 0) AS p, mean * (1 - (1 - mean / nullif(var, 0))) / nullif(1 - mean / nullif(var, 0), 0) AS r,
+ bool_and(mean < 0.9 * var AND mean > 0) OVER (PARTITION BY g) AS nb FROM {_moments_sql(labels)})"""
+
+
+_NB = ("CASE WHEN nb THEN r * ln(1 - p) ELSE -m END", "CASE WHEN nb THEN lgamma(r + v) - lgamma(r) + v * ln(p) ELSE v * ln(m + 1e-10) END")
+
+
+def _rounds_sql(first: str, step: Callable[[str], str], score: tuple[str, str], rounds: int) -> str:
+    """CTEs l0, p1, l1, ...: labels, parameters from labels, labels from parameters."""
+    out = [f"l0 AS {first}"]
+    for j in range(1, rounds + 1):
+        out += [f"p{j} AS MATERIALIZED {step(f'l{j - 1}')}", f"l{j} AS MATERIALIZED {_assigned(_center_sql(*score, f'p{j}'))}"]
+    return ",\n" + ",\n".join(out)
+
+
+def _moved_w(mc: str, wc: str, masked: bool = False) -> str:
+    """(c, k, w) after one sweep."""
+    push = "coalesce(push, 0)" if masked else "sm"
+    d = f"(1 + w / (2 * total + 1e-8) * ({push} - coalesce(pull, 0)))"
+    return f"""(SELECT a.c, a.k, CASE WHEN {d} > 0 THEN w / {d} ELSE 0 END AS w FROM {wc} a JOIN tot ON tot.c = a.c JOIN (SELECT k, sum(m) AS sm FROM {mc} GROUP BY k) s ON s.k = a.k
+LEFT JOIN (SELECT e.c, q.k, sum(q.m * e.v / (e.mw + 1e-10)) AS pull, sum(q.m) AS push FROM (SELECT x.g, x.c, any_value(v) AS v, sum(m * w) AS mw FROM x JOIN {mc} i ON i.g = x.g JOIN {wc} j ON j.c = x.c AND j.k = i.k GROUP BY 1, 2) e JOIN {mc} q ON q.g = e.g GROUP BY 1, 2) p ON p.c = a.c AND p.k = a.k)"""
+
+
+def _moved_m(mc: str, wc: str, masked: bool = False) -> str:
+    """(g, k, m) after one sweep."""
+    push = "coalesce(push, 0)" if masked else "sw"
+    d = f"(1 + m / (2 * coalesce(t, 0) + 1e-8) * ({push} - coalesce(pull, 0)))"
+    return f"""(SELECT a.g, a.k, CASE WHEN {d} > 0 THEN m / {d} ELSE 0 END AS m FROM {mc} a JOIN (SELECT k, sum(w) AS sw FROM {wc} GROUP BY k) s ON s.k = a.k LEFT JOIN (SELECT g, sum(v) AS t FROM x GROUP BY 1) z ON z.g = a.g
+LEFT JOIN (SELECT e.g, q.k, sum(q.w * e.v / (e.mw + 1e-10)) AS pull, sum(q.w) AS push FROM (SELECT x.g, x.c, any_value(v) AS v, sum(m * w) AS mw FROM x JOIN {mc} i ON i.g = x.g JOIN {wc} j ON j.c = x.c AND j.k = i.k GROUP BY 1, 2) e JOIN {wc} q ON q.c = e.c GROUP BY 1, 2) p ON p.g = a.g AND p.k = a.k)"""
+
+
+def _two_sql(masked: bool) -> str:
+    """CTEs m0, w0, ... w2, m2: two rounds of one sweep from the fixed labels."""
+    parts = [f"m0 AS MATERIALIZED (SELECT g, k, m + 1e-8 AS m FROM {_means_sql('lab')})", "w0 AS (SELECT c, k, w FROM w)"]
+    for j in (1, 2):
+        parts += [f"w{j} AS MATERIALIZED {_moved_w(f'm{j - 1}', f'w{j - 1}', masked)}", f"m{j} AS MATERIALIZED {_moved_m(f'm{j - 1}', f'w{j}', masked)}"]
+    return ",\n" + ",\n".join(parts)
+
+
+_NORMAL_W = "round(CASE WHEN sum(w) OVER (PARTITION BY c) > 0 THEN w / sum(w) OVER (PARTITION BY c) ELSE 1.0 / 3 END, 6) + 0.0"
+
+
+def _nmf_sql(value: str) -> str:
+    """Two updates of the weights, then they are scaled (the means' updates come after and don't matter)."""
+    up = lambda a, b: f"{b} AS MATERIALIZED (SELECT a.c, a.k, any_value(a.w) * any_value(coalesce(t.top, 0)) / (sum(o.w * g.s) + 1e-12) AS w FROM {a} a JOIN {a} o ON o.c = a.c JOIN gram g ON g.i = a.k AND g.j = o.k LEFT JOIN tops t ON t.c = a.c AND t.k = a.k GROUP BY a.c, a.k)"
+    return f""",
+y AS (SELECT x.g, x.c, {value} AS v FROM x JOIN tot ON tot.c = x.c, (SELECT median(total) AS mid FROM tot)),
+tops AS (SELECT y.c, m.k, sum(v * m) AS top FROM y JOIN m ON m.g = y.g GROUP BY 1, 2), gram AS (SELECT a.k AS i, b.k AS j, sum(a.m * b.m) AS s FROM m a JOIN m b ON a.g = b.g GROUP BY 1, 2),
+{up("w", "u1")}, {up("u1", "u2")}
+SELECT c AS cell_id, k, round(w / greatest(sum(w) OVER (PARTITION BY c), 1e-300), 6) + 0.0 AS value FROM u2"""
+
+
+def _mds_sql(power: int) -> str:
+    """Classical scaling of the three states in closed form, and cells by their weights to this power."""
+    minors = "b00 * b11 - b01 * b01 + b00 * b22 - b02 * b02 + b11 * b22 - b12 * b12"
+    vector = "SELECT *, [b01 * b12 - b02 * (b11 - e), b02 * b01 - (b00 - e) * b12, (b00 - e) * (b11 - e) - b01 * b01] AS v FROM"
+    return f""",
+dd AS (SELECT a.k AS i, b.k AS j, sum((a.m - b.m) * (ln(a.m + 1e-10) - ln(b.m + 1e-10))) ** 2 AS q FROM m a JOIN m b ON a.g = b.g GROUP BY 1, 2),
+bb AS (SELECT i, j, -0.5 * (q - avg(q) OVER (PARTITION BY i) - avg(q) OVER (PARTITION BY j) + avg(q) OVER ()) AS b FROM dd),
+flat AS (SELECT max(b) FILTER (WHERE i = 0 AND j = 0) AS b00, max(b) FILTER (WHERE i = 0 AND j = 1) AS b01, max(b) FILTER (WHERE i = 0 AND j = 2) AS b02, max(b) FILTER (WHERE i = 1 AND j = 1) AS b11, max(b) FILTER (WHERE i = 1 AND j = 2) AS b12, max(b) FILTER (WHERE i = 2 AND j = 2) AS b22 FROM bb),
+eig AS (SELECT *, 0 AS d, ((b00 + b11 + b22) + sqrt((b00 + b11 + b22) ** 2 - 4 * ({minors}))) / 2 AS e FROM flat UNION ALL SELECT *, 1 AS d, ((b00 + b11 + b22) - sqrt((b00 + b11 + b22) ** 2 - 4 * ({minors}))) / 2 AS e FROM flat),
+vec AS ({vector} eig),
+un AS (SELECT d, e, v, sqrt(v[1] ** 2 + v[2] ** 2 + v[3] ** 2) AS len, list_aggregate(list_transform(v, lambda y: abs(y)), 'max') AS top FROM vec),
+st AS (SELECT d, unnest(range(3)) AS k, unnest(v) / len * sqrt(greatest(e, 0)) * CASE WHEN list_contains(v, top) THEN 1 ELSE -1 END AS x FROM un),
+raw AS (SELECT c, k, ((1 + (c * 7 + k * 5) % 13)::DOUBLE) AS r FROM cells, ks), sw AS (SELECT c, k, r ** {power} / sum(r ** {power}) OVER (PARTITION BY c) AS w FROM raw)
+SELECT c AS cell_id, CAST(d AS INTEGER) AS k, round(sum(w * x), 6) + 0.0 AS value FROM sw JOIN st ON st.k = sw.k GROUP BY 1, 2"""
+
+
+def _kmeans_sql(seed: int) -> str:
+    """k-means++ by the race of exponentials, then the cells' centers."""
+    unit = lambda j: f"(CAST('0x' || substr(md5(c || ':{seed}:{j}'), 1, 10) AS BIGINT) + 1) / 1099511627777.0::DOUBLE"
+    cell = lambda pick, j: f"SELECT genes.g, {j}::INTEGER AS k, CASE WHEN v > 0 THEN v ELSE 1e-10 END::DOUBLE AS m FROM genes LEFT JOIN (SELECT g, v FROM x WHERE c = (SELECT c FROM {pick})) o ON o.g = genes.g"
+    far = ("(0 - m) * (ln(1e-10) - ln(m + 1e-10))", "(v - m) * (ln(v + 1e-10) - ln(m + 1e-10)) - (0 - m) * (ln(1e-10) - ln(m + 1e-10))")
+    out = [f"k0 AS MATERIALIZED (SELECT arg_min(c, ({unit(-1)}, c)) AS c FROM cells)", f"s0 AS MATERIALIZED ({cell('k0', 0)})"]
+    for j in (1, 2):
+        taken = " UNION ALL ".join(f"SELECT c FROM k{i}" for i in range(j))
+        out += [
+            f"n{j} AS MATERIALIZED (SELECT c, min(ll) AS d FROM {_center_sql(*far, f's{j - 1}')} WHERE c NOT IN ({taken}) GROUP BY c)",
+            f"k{j} AS MATERIALIZED (SELECT arg_min(c, (CASE WHEN d > 0 THEN -ln({unit(j)}) / (d * d) ELSE 'infinity'::DOUBLE END, c)) AS c FROM n{j})",
+            f"s{j} AS MATERIALIZED (SELECT * FROM s{j - 1} UNION ALL {cell(f'k{j}', j)})",
+        ]
+    return ",\n" + ",\n".join(out) + f"\nSELECT c AS cell_id, cluster FROM {_assigned(_center_sql(*_POISSON, 's2'))}"
+
+
+_LEVELS = """,
+dn AS (SELECT genes.g, cells.c, coalesce(v, 0)::DOUBLE AS v FROM genes, cells LEFT JOIN x ON x.g = genes.g AND x.c = cells.c),
+so AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) AS i, count(*) OVER (PARTITION BY g) AS n, sum(v) OVER (PARTITION BY g) AS t, lead(v) OVER (PARTITION BY g ORDER BY v) AS nx, sum(v) OVER (PARTITION BY g ORDER BY v ROWS UNBOUNDED PRECEDING) AS s FROM dn),
+cu AS (SELECT g, arg_max(i, (round(s * ln(s / i + 1e-10) + (t - s) * ln((t - s) / (n - i) + 1e-10), 9), -i)) AS cut FROM so WHERE i < n AND nx <> v GROUP BY g),
+lv AS (SELECT so.g, coalesce(median(v) FILTER (WHERE cut IS NULL OR i <= cut), 0) AS low, coalesce(median(v) FILTER (WHERE cut IS NULL OR i > cut), 0) AS high,
+ sum(v + 1e-5) FILTER (WHERE i <= cut) AS a, sum(v + 1e-5) FILTER (WHERE i > cut) AS b, count(*) FILTER (WHERE i <= cut)::DOUBLE AS ka, count(*) FILTER (WHERE i > cut)::DOUBLE AS kb FROM so LEFT JOIN cu ON cu.g = so.g GROUP BY so.g),
+le AS (SELECT g, low, high, coalesce((b - a * kb / ka) / sqrt((a + b) * kb / ka), 0) AS w2 FROM lv)"""
+
+
 def oracle_sql() -> dict[str, str]:
     dist = _center_sql("(0 - m) * (ln(1e-10) - ln(m + 1e-10))", "(v - m) * (ln(v + 1e-10) - ln(m + 1e-10)) - (0 - m) * (ln(1e-10) - ln(m + 1e-10))")
     table = "(SELECT cluster, label, count(*) AS n FROM lab GROUP BY 1, 2)"
@@ -367,6 +580,66 @@ SELECT round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0 END), 6) AS nne FROM (SELECT
         "missing_genes": "SELECT g AS gene_id FROM prior GROUP BY 1 HAVING max(q) = -1 AND min(q) = -1",
         "mean_normalized_prior": "SELECT g AS gene_id, k, round(q / sum(q) OVER (PARTITION BY k) * 100.0, 6) AS m FROM prior WHERE q >= 0",
         "qual_norm_output": "SELECT g AS gene_id, k, CASE WHEN q > lo + (hi - lo) / 2 THEN g % 7 + 5 ELSE g % 5 END::DOUBLE AS m FROM (SELECT *, min(q) OVER (PARTITION BY g) AS lo, max(q) OVER (PARTITION BY g) AS hi FROM prior)",
+        "kmeans_pp": _kmeans_sql(1),
+        "poisson_cluster": _rounds_sql(_assigned(_center_sql(*_POISSON)), _means_sql, _POISSON, 2) + "\nSELECT c AS cell_id, cluster FROM l2",
+        "zip_cluster": _rounds_sql("(SELECT c, cluster FROM lab)", _zip_sql, _ZIP, 2) + "\nSELECT c AS cell_id, cluster FROM l2",
+        "zip_cluster_params": f"SELECT g AS gene_id, k, round(m, 6) + 0.0 AS m, round(z, 6) + 0.0 AS z FROM {_zip_sql('lab')}",
+        "nb_cluster": _rounds_sql("(SELECT c, cluster FROM lab)", _nb_sql, _NB, 2) + "\nSELECT c AS cell_id, cluster FROM l2",
+        "run_state_estimation": _two_sql(False) + f"\nSELECT c AS cell_id, k, {_NORMAL_W} AS value FROM w2",
+        "state_means": _two_sql(False) + "\nSELECT g AS gene_id, k, round(m, 6) + 0.0 AS value FROM m2",
+        "zip_state_estimation": _two_sql(True) + f"\nSELECT c AS cell_id, k, {_NORMAL_W} AS value FROM w2",
+        "nb_state_estimation": f""",
+m0 AS MATERIALIZED (SELECT g, k, m + 1e-8 AS m FROM {_means_sql("lab")}), d0 AS (SELECT m0.g, w.c, sum(m * w) + 1e-10 AS d, 1.0 + m0.g % 5 AS r FROM m0 JOIN w ON w.k = m0.k GROUP BY 1, 2),
+t0 AS (SELECT d0.g, d0.c, coalesce(v, 0) / d AS a, (coalesce(v, 0) + r) / (d + r) AS b FROM d0 LEFT JOIN x ON x.g = d0.g AND x.c = d0.c),
+f0 AS (SELECT t0.c, m0.k, sum(a * m) AS a, sum(b * m) AS b FROM t0 JOIN m0 ON m0.g = t0.g GROUP BY 1, 2), w1 AS (SELECT w.c, w.k, w * a / (b + 1e-12) AS w FROM w JOIN f0 ON f0.c = w.c AND f0.k = w.k)
+SELECT c AS cell_id, k, round(w / greatest(sum(w) OVER (PARTITION BY c), 1e-300), 6) + 0.0 AS value FROM w1""",
+        "norm_nmf": _nmf_sql("v / total * mid"),
+        "log_norm_nmf": _nmf_sql("ln(1 + v / total * mid)"),
+        "update_m": ",\nw0 AS (SELECT c, k, w FROM w)\nSELECT g AS gene_id, k, round(m, 6) + 0.0 AS value FROM " + _moved_m("m", "w0"),
+        "mds": _mds_sql(1),
+        "diffusion_mds": _mds_sql(4),
+        "zip_fit": """, st AS (SELECT genes.g, count(v) AS np, coalesce(sum(v), 0) AS t, (SELECT count(*) FROM cells)::DOUBLE AS n FROM genes LEFT JOIN x ON x.g = genes.g GROUP BY 1),
+walk AS (SELECT g, np, t, n, 0 AS step, CASE WHEN np = 0 THEN 0 ELSE t / np END::DOUBLE AS lam, CASE WHEN np = 0 THEN 1 ELSE 0.5 * (1 - np / n) END::DOUBLE AS pi FROM st
+ UNION ALL SELECT g, np, t, n, step + 1, CASE WHEN np = 0 THEN 0 ELSE t / greatest(n - pi / (pi + (1 - pi) * exp(-lam)) * (n - np), 1e-12) END, CASE WHEN np = 0 THEN 1 ELSE pi / (pi + (1 - pi) * exp(-lam)) * (n - np) / n END FROM walk WHERE step < 200)
+SELECT g AS gene_id, round(lam, 6) + 0.0 AS lam, round(pi, 6) + 0.0 AS pi FROM walk WHERE step = 200""",
+        "qual_norm_levels": _LEVELS + "\nSELECT g AS gene_id, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, round(w2, 6) + 0.0 AS w2 FROM le",
+        "qual_norm_filter_genes": _LEVELS + """, pe AS (SELECT g, k, q > min(q) OVER (PARTITION BY g) + (max(q) OVER (PARTITION BY g) - min(q) OVER (PARTITION BY g)) / 2 AS up, g % 17 = 0 AS gone FROM prior)
+SELECT pe.g AS gene_id, k, round(CASE WHEN up THEN high ELSE low + 1e-5 END, 6) + 0.0 AS m FROM pe JOIN le ON le.g = pe.g WHERE NOT gone AND w2 >= 1.6448536269514722""",
+        "hold_out": "SELECT g AS gene_id, c AS cell_id, round(v, 6) AS value FROM x WHERE CAST('0x' || substr(md5(g || ':' || c || ':0'), 1, 12) AS BIGINT) % 1000000 < 100000",
+        "dbscan": """, near AS MATERIALIZED (SELECT a.cell_id, b.cell_id AS other FROM pts a JOIN pts b ON (a.fx - b.fx) ** 2 + (a.fy - b.fy) ** 2 <= 0.05 * 0.05),
+core AS MATERIALIZED (SELECT cell_id FROM near GROUP BY 1 HAVING count(*) >= 5), link AS MATERIALIZED (SELECT * FROM near WHERE cell_id IN (FROM core) AND other IN (FROM core)),
+walk AS (SELECT cell_id, cell_id AS root FROM core UNION SELECT link.other, walk.root FROM walk JOIN link ON link.cell_id = walk.cell_id), lb AS (SELECT cell_id, min(root) AS cluster FROM walk GROUP BY 1),
+bd AS (SELECT near.cell_id, min(lb.cluster) AS cluster FROM near JOIN lb ON lb.cell_id = near.other WHERE near.cell_id NOT IN (FROM core) GROUP BY 1)
+SELECT pts.cell_id, coalesce(lb.cluster, bd.cluster, -1) AS cluster FROM pts LEFT JOIN lb ON lb.cell_id = pts.cell_id LEFT JOIN bd ON bd.cell_id = pts.cell_id""",
+        "run_experiment": _rounds_sql("(SELECT c, cluster FROM lab)", _means_sql, _POISSON, 1) + """,
+jt AS (SELECT l1.cluster, lab.label FROM l1 JOIN lab ON lab.c = l1.c), ct AS (SELECT cluster, label, count(*) AS n FROM jt GROUP BY 1, 2),
+tc AS (SELECT *, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY cluster) AS nc, sum(n) OVER (PARTITION BY label) AS nl FROM ct),
+en AS (SELECT (SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM jt) AS p FROM jt GROUP BY cluster)) AS hc, (SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM jt) AS p FROM jt GROUP BY label)) AS hl, (SELECT sum(n / t * ln(n * t / (nc * nl))) FROM tc) AS mi),
+ra AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM ct) AS s, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM jt GROUP BY cluster)) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM jt GROUP BY label)) AS b, (SELECT count(*) * (count(*) - 1) / 2 FROM jt) AS t)
+SELECT 0 AS run, 'none_em' AS method, metric, round(value, 6) + 0.0 AS value FROM (
+ SELECT 'purity' AS metric, (SELECT sum(top) / sum(al) FROM (SELECT max(n) AS top, sum(n) AS al FROM ct GROUP BY cluster)) AS value
+ UNION ALL SELECT 'nmi', mi / ((hc + hl) / 2) FROM en UNION ALL SELECT 'ari', (s - a * b / t) / ((a + b) / 2 - a * b / t) FROM ra)""",
+        "nearest_weights": f"WITH nd AS {dist}, nw AS (SELECT c, arg_min(k, (round(ll, 9), k)) AS top FROM nd GROUP BY c) SELECT c AS cell_id, k, CASE WHEN top = k THEN 0.75 ELSE 0.125 END::DOUBLE AS value FROM nw, ks",
+        "nmf_start": f"WITH m0 AS MATERIALIZED {_means_sql('lab')} SELECT c AS cell_id, k, round(1 / greatest(ll, 1e-10) ** 2 / sum(1 / greatest(ll, 1e-10) ** 2) OVER (PARTITION BY c), 6) + 0.0 AS value FROM {_center_sql('(0 - m) * (ln(1e-10) - ln(m + 1e-10))', '(v - m) * (ln(v + 1e-10) - ln(m + 1e-10)) - (0 - m) * (ln(1e-10) - ln(m + 1e-10))', 'm0')}",
+        "nb_objective": "SELECT round(sum((coalesce(v, 0) + r) * ln(d + r) - coalesce(v, 0) * ln(d)) / (SELECT count(*) FROM genes), 6) AS cost FROM (SELECT m.g, w.c, sum(m * w) + 1e-10 AS d, 1.0 + m.g % 5 AS r FROM m JOIN w ON w.k = m.k GROUP BY 1, 2) a LEFT JOIN x ON x.g = a.g AND x.c = a.c",
+        "zip_objective": "SELECT round(-sum(CASE WHEN v > 0 THEN ln(1 - z + 1e-10) + v * ln(d + 1e-10) - d ELSE ln(z + (1 - z) * exp(-d) + 1e-10) END) / (SELECT count(*) FROM genes), 6) AS cost FROM (SELECT m.g, w.c, sum(m * w) AS d, (m.g % 5) / 10.0::DOUBLE AS z FROM m JOIN w ON w.k = m.k GROUP BY 1, 2) a LEFT JOIN x ON x.g = a.g AND x.c = a.c",
+        "zinb_ll": f"""WITH z AS (SELECT g, k, m, k * 0.2 AS z FROM m) SELECT c AS cell_id, k, round(ll, 6) AS ll FROM {_center_sql("CASE WHEN z <= 0 THEN m * ln(0.7) ELSE ln(z + (1 - z) * exp(m * ln(0.7))) END", "ln(greatest(1 - z, 1e-10)) + lgamma(m + v) - lgamma(m) + v * ln(0.3) + m * ln(0.7) - CASE WHEN z <= 0 THEN m * ln(0.7) ELSE ln(z + (1 - z) * exp(m * ln(0.7))) END", "z")}""",
+        "read_matrix_market": "SELECT g AS gene_id, c AS cell_id, round(v, 6) AS value FROM x",
+        "read_word_counts": "SELECT g AS gene_id, c AS cell_id, round(v, 6) AS value FROM x",
+        "read_dense": "SELECT g AS gene_id, c AS cell_id, round(v, 6) AS value FROM x WHERE g BETWEEN 1 AND 8",
+        "packed_round_trip": "SELECT g AS gene_id, c AS cell_id, round(v, 6) AS value FROM x",
+        "word_lines_dense": "SELECT cells.c AS cell_id, string_agg('G' || genes.g || ' ' || CAST(coalesce(v, 0) AS BIGINT) || ' ', '' ORDER BY genes.g) AS line FROM cells JOIN genes ON genes.g <= 20 LEFT JOIN x ON x.c = cells.c AND x.g = genes.g GROUP BY 1",
+        "model_lines": "SELECT g AS gene_id, g || ' ' || coalesce(string_agg(k || ':' || CAST(m - 3 AS VARCHAR) || ' ', '' ORDER BY k) FILTER (WHERE m >= 3), '') AS line FROM m GROUP BY g",
+        "dictionary_lines": "SELECT i AS gene_id, i || chr(9) || 'G' || i || chr(9) || (i + 1) AS line FROM (SELECT unnest(range((SELECT count(*) FROM genes))) AS i)",
+        "read_topic_lines": "SELECT g AS gene_id, k, round(m, 6) AS value FROM m",
+        "read_word_topics": "SELECT g AS gene_id, k, round(m, 6) AS value FROM m",
+        "read_document_topics": "SELECT c AS cell_id, k, round(w, 6) AS value FROM w",
+        "cell_subset": "SELECT g AS gene_id, c AS cell_id, round(v, 6) AS value FROM x WHERE c % 3 = 1",
+        "exp10": "SELECT g AS gene_id, c AS cell_id, round(10 ** (v / 100) - 1, 6) + 0.0 AS value FROM x",
+        "relu": "SELECT g AS gene_id, c AS cell_id, round(v - 25, 6) AS value FROM x WHERE v > 25",
+        "distinct_labels": "SELECT DISTINCT label FROM lab",
+        "nb_genes_of_all_clusters": f"SELECT g AS gene_id, bool_and(mean < 0.9 * var) AS is_nb FROM {_moments_sql('lab')} GROUP BY 1",
+        "zip_row_ll": "SELECT genes.g AS gene_id, round((SELECT count(*) FROM cells) * ln(0.25 + 0.75 * exp(-4.0)) + coalesce(sum(ln(0.75) + v * ln(4 + 1e-10) - 4 - ln(0.25 + 0.75 * exp(-4.0))), 0), 6) AS ll FROM genes LEFT JOIN x ON x.g = genes.g GROUP BY 1",
         "dist_fit_errors": """, nn AS (SELECT count(*)::DOUBLE AS n FROM cells),
 st AS (SELECT genes.g, coalesce(sum(v), 0) / n AS mu, sqrt(greatest((coalesce(sum(v * v), 0) - coalesce(sum(v), 0) ** 2 / n) / (n - 1), 0)) AS sd,
  coalesce(sum(ln(1 + v)), 0) / n AS lmu, sqrt(greatest((coalesce(sum(ln(1 + v) ** 2), 0) - coalesce(sum(ln(1 + v)), 0) ** 2 / n) / (n - 1), 0)) AS lsd, coalesce(max(v), 0) AS top, n - count(v) AS zeros FROM genes LEFT JOIN x ON x.g = genes.g, nn GROUP BY genes.g, n),
@@ -384,6 +657,10 @@ SELECT g AS gene_id, round(sqrt(sum((f - coalesce(pp, 0)) ** 2)), 6) AS poiss, r
         "event_counts": "SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS BIGINT) AS gene_id, user_id AS cell_id, count(*)::DOUBLE AS value FROM events GROUP BY event_type, user_id",
         "argmax_weights": "SELECT g AS gene_id, CAST(arg_max(k, (m, -k)) AS INTEGER) AS top FROM m GROUP BY 1",
     }
+    errors = body["dist_fit_errors"]
+    best = "CASE WHEN poiss <= least(norm, lognorm) THEN 'poiss' WHEN norm <= lognorm THEN 'norm' ELSE 'lognorm' END AS dist"
+    head, _, tail = errors.rpartition("SELECT g AS gene_id")
+    body["dist_fit_best"] = f"{head}SELECT gene_id, {best} FROM (SELECT g AS gene_id{tail})"
     return {name: _complete(sql) for name, sql in body.items()}
 
 

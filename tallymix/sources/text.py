@@ -14,10 +14,19 @@ from pyspark.sql import functions as F
 from ..operators.matrix import CountMatrix
 
 
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): each line with its place; a folder's files go by name, whatever order Spark reads them in."""
+    rows = spark.read.text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) by the order of the file."""
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    return rows.select((F.row_number().over(W.orderBy("at")) - 1).cast("long").alias("line"), "value")
+    """(line, value) by the order of the files: numbers within a block, and the blocks' counts, one row each, for what lies before."""
+    rows = _placed_lines(spark, path)
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = blocks.select("file", "block", F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = rows.withColumn("own", F.row_number().over(W.partitionBy("file", "block").orderBy("at")) - 1)
+    return own.join(before, ["file", "block"]).select((F.col("before") + F.col("own")).cast("long").alias("line"), "value")
 
 
 def _words(c: str = "value"):
@@ -33,11 +42,11 @@ def read_dense(spark: SparkSession, path: str) -> CountMatrix:
 
 def read_matrix_market(spark: SparkSession, path: str) -> CountMatrix:
     """Coordinate format: ``%`` comments, a line of sizes, then 1-based row, column and value (1 for a pattern file)."""
-    lines = spark.read.text(path).where("value not like '\\\\%%' and trim(value) <> ''")
-    words = lines.withColumn("at", F.monotonically_increasing_id()).select("at", _words().alias("w"))
-    head = words.orderBy("at").select("at", "w").first()
+    lines = _placed_lines(spark, path).where("value not like '\\\\%%' and trim(value) <> ''")
+    words = lines.select(F.struct("file", "block", "at").alias("at"), _words().alias("w"))
+    head = words.orderBy("at").first()
     genes, cells = int(head.w[0]), int(head.w[1])
-    body = words.where(F.col("at") != head.at).select((F.col("w")[0].cast("long") - 1).alias("gene_id"), (F.col("w")[1].cast("long") - 1).alias("cell_id"), F.coalesce(F.get("w", F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))
+    body = words.where((F.col("at.file") != head["at"].file) | (F.col("at.block") != head["at"].block) | (F.col("at.at") != head["at"]["at"])).select((F.col("w")[0].cast("long") - 1).alias("gene_id"), (F.col("w")[1].cast("long") - 1).alias("cell_id"), F.coalesce(F.get("w", F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))
     ids = lambda n, name: spark.range(n).withColumnRenamed("id", name)
     return CountMatrix.of(body, ids(genes, "gene_id"), ids(cells, "cell_id"))
 

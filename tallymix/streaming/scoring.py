@@ -8,14 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..operators.factor import sweeps
+from ..operators.factor import FACTOR_BYTES, sweeps
 
 
 def score_cells(packed: DataFrame, genes: np.ndarray, means: np.ndarray, n_sweeps: int = 100) -> DataFrame:
     """(cell_id, w), summing to 1, of packed cells (cell_id, idx, val); stateless, so it runs on streams as on tables.
 
-    Entries of genes without means are left out.
+    Entries of genes without means are left out.  The means are sent to all
+    tasks and must be below FACTOR_BYTES.
     """
+    if means.nbytes + genes.nbytes > FACTOR_BYTES:
+        raise ValueError("means beyond FACTOR_BYTES: score a table by poisson_estimate_state, which joins them")
     sent = packed.sparkSession.sparkContext.broadcast((genes, means))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
