@@ -234,29 +234,49 @@ def word_hashes(data: np.ndarray, ws: np.ndarray, lower: bool = True) -> np.ndar
     return mix64(out)
 
 
+def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words in a row, and their offsets by text."""
+    ws, wo = word_spans(data, offs)
+    return word_hashes(data, ws), wo
+
+
 def shingles(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its 5-word shingles.
 
     Fewer words make one shingle of all of them; no word makes none.
     """
-    ws, wo = word_spans(data, offs)
-    h = word_hashes(data, ws)
+    return (s for s, _ in shingles_of(*words_of(data, offs)))
+
+
+def shingles_of(h: np.ndarray, wo: np.ndarray, level: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The same from words, and, where words have levels, for each shingle the least of its words'."""
     factors = random_u64(SHINGLE_WORDS, 23) | U64(1)
     n, k = len(h), SHINGLE_WORDS
-    full = np.zeros(max(0, n - k + 1), U64)
+    size = max(0, n - k + 1)
+    full = np.zeros(size, U64)
+    least = None if level is None else level[:size].copy()
     with np.errstate(over="ignore"):
-        for j in range(k if len(full) else 0):
-            full += h[j : j + len(full)] * factors[j]
+        for j in range(k if size else 0):
+            full += h[j : j + size] * factors[j]
+            if least is not None:
+                np.minimum(least, level[j : j + size], out=least)
         full = mix64(full)
-        for i in range(len(offs) - 1):
+        for i in range(len(wo) - 1):
             a, b = wo[i], wo[i + 1]
             if b - a >= k:
-                s = np.sort(full[a : b - k + 1])
-                yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
+                if least is None:
+                    s, low = np.sort(full[a : b - k + 1]), None
+                else:
+                    order = np.argsort(full[a : b - k + 1])
+                    s, low = full[a : b - k + 1][order], least[a : b - k + 1][order]
+                if len(s) > 1:
+                    new = np.concatenate(([True], s[1:] != s[:-1]))
+                    s, low = s[new], None if low is None else low[new]
+                yield s, low
             elif b > a:
-                yield mix64(np.array([(h[a:b] * factors[: b - a]).sum(dtype=U64) + U64(b - a) * GOLDEN], U64))
+                yield mix64(np.array([(h[a:b] * factors[: b - a]).sum(dtype=U64) + U64(b - a) * GOLDEN], U64)), None if level is None else level[a:b].min(keepdims=True)
             else:
-                yield np.zeros(0, U64)
+                yield np.zeros(0, U64), None if level is None else level[:0]
 
 
 def set_key(s: np.ndarray) -> int:

@@ -6,10 +6,14 @@ global order, so each small set enumerates the 2-subsets of these, and equal
 subsets meet.  Pairs with a *large* set meet on inverted lists of single
 shingles, again only of each set's first ones.  The boundary is where
 enumerating gets dearer than scanning, by the sizes and list lengths of the
-corpus.  The global order puts frequent shingles last: a table of fixed size
-holds, by hash, the order of magnitude of document counts over all documents.
-Its collisions may cost time, never a pair: any order that all sets share is
-right, and a slot that says "in one set only" is never wrong.
+corpus.  The global order puts frequent shingles last.  Two tables hold, by hash,
+the order of magnitude of document counts over all documents: one of shingles,
+one of words, since a shingle is in no more documents than the rarest of its
+words.  A shingle's level is the lesser of the two.  The tables' sizes are
+bounded; where shingles fill the first one, as on a very large corpus, words,
+which are far fewer, still tell rare from frequent.  Collisions may cost time,
+never a pair: any order that all sets share is right, and a slot that says "in
+one set only" is never wrong.
 
 Equal sets are one node from the start.  Short lists give all their pairs.
 Long ones (groups of near copies) give pairs with a few pivots; after the
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Sent, components, flat_text, mix64, partitions, release, set_key, shared_folder, shingles, slices, stored, table
+from .common import GOLDEN, U64, Sent, components, flat_text, mix64, partitions, release, set_key, shared_folder, shingles, shingles_of, slices, stored, table, words_of
 
 #: Linked from 75 of 100.
 SHARE = 75
@@ -47,6 +51,8 @@ LEAST = 3
 SMALL_MOST = 64
 #: The table of levels has 2^bits slots of a byte, about as many as shingles, within these limits.
 LEAST_BITS, MOST_BITS = 16, 24
+#: The same for words, by the number of shingles over 2^WORD_SHARE.
+WORD_SHARE, MOST_WORD_BITS = 3, 22
 #: Lists up to this length give all their pairs.
 SHORT = 12
 PIVOTS = 8
@@ -74,14 +80,22 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
 
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """Each set of the partition that may link with another, once."""
+def _distinct_sets(batches: Iterator[pa.RecordBatch], levels: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """Each set of the partition that may link with another, once: its key, shingles and, for each of these, its rarest word's level by that table; without a table the words instead."""
     seen: set[int] = set()
-    for _, sets in _sets(batches):
-        for s in sets:
-            if len(s) >= LEAST and (k := set_key(s)) not in seen:
-                seen.add(k)
-                yield k, s
+    release()
+    for batch in batches:
+        for b in slices(batch):
+            h, wo = words_of(*flat_text(b.column("text")))
+            own = None if levels is None else levels[slot_of(h, levels)]
+            for i, (s, low) in enumerate(shingles_of(h, wo, own)):
+                if len(s) >= LEAST and (k := set_key(s)) not in seen:
+                    seen.add(k)
+                    yield k, s, np.unique(h[wo[i] : wo[i + 1]]) if levels is None else low
+
+
+def slot_of(hashes: np.ndarray, table_of_levels: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(65 - len(table_of_levels).bit_length())).astype(np.int64)
 
 
 def needed(size):
@@ -104,33 +118,38 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint32), counts
 
 
-def document_levels(docs: DataFrame, shingles_in_all: int) -> tuple[np.ndarray, float]:
-    """For each slot the largest log2 of its shingles' document counts, and the mean length of a shingle's list up to SHORT.
+def document_levels(docs: DataFrame, shingles_in_all: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """For each slot the largest log2 of its shingles' document counts, the same for words, and the mean length of a shingle's list up to SHORT.
 
-    0 says that no shingle of the slot is in two sets.  Tasks count their own
+    0 says that nothing of the slot is in two sets.  Tasks count their own
     sets first; what they send is packed by ranges of the hash.
     """
     bits = max(4, min(12, (partitions(docs.sparkSession) - 1).bit_length()))
-    slot_bits = max(LEAST_BITS, min(MOST_BITS, max(1, shingles_in_all).bit_length() - 1))
+    size_bits = max(1, shingles_in_all).bit_length() - 1
+    slot_bits = max(LEAST_BITS, min(MOST_BITS, size_bits))
+    word_bits = max(LEAST_BITS, min(MOST_WORD_BITS, size_bits - WORD_SHARE))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
 
         def flush() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            at = np.searchsorted(values, np.arange(0, (1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
-            rows = [(k, _pack(values[a:b], n[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-            held.clear()
+            rows = []
+            for kind, parts in enumerate(held):
+                values, n = np.unique(np.concatenate(parts), return_counts=True)
+                at = np.searchsorted(values, np.arange(0, (1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
+                rows += [((kind << bits) + k, _pack(values[a:b], n[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+                parts.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
         size = 0
-        for _, s in _distinct_sets(batches):
-            held.append((s >> U64(32)).astype(np.uint32))
+        for _, s, words in _distinct_sets(batches):
+            for part, x in zip(held, (s, words), strict=True):
+                part.append((x >> U64(32)).astype(np.uint32))
             size += len(s)
             if size >= FLUSH:
                 size = 0
                 yield flush()
-        if held:
+        if held[0]:
             yield flush()
 
     def total(t: pa.Table) -> pa.Table:
@@ -139,17 +158,19 @@ def document_levels(docs: DataFrame, shingles_in_all: int) -> tuple[np.ndarray,
         values = values[order]
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         sums = np.add.reduceat(n[order].astype(np.int64), first)
-        shared, light = sums > 1, sums[sums <= SHORT].astype(float)
-        levels = np.zeros(1 << (slot_bits - bits), np.uint8)
-        np.maximum.at(levels, (values[first][shared] >> np.uint32(32 - slot_bits)) & np.uint32(len(levels) - 1), np.log2(sums[shared]).astype(np.uint8))
+        words = t.column("bucket")[0].as_py() >> bits
+        own_bits = word_bits if words else slot_bits
+        shared, light = sums > 1, sums[sums <= SHORT].astype(float) * (not words)
+        levels = np.zeros(1 << (own_bits - bits), np.uint8)
+        np.maximum.at(levels, (values[first][shared] >> np.uint32(32 - own_bits)) & np.uint32(len(levels) - 1), np.log2(sums[shared]).astype(np.uint8))
         return pa.table({"bucket": t.column("bucket")[:1], "levels": [zlib.compress(levels.tobytes(), 1)], "n": [float(light.sum())], "n2": [float((light**2).sum())]}, schema=pa.schema([("bucket", pa.int32()), ("levels", pa.binary()), ("n", pa.float64()), ("n2", pa.float64())]))
 
     rows = docs.select("doc_id", "text").mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInArrow(total, "bucket int, levels binary, n double, n2 double").collect()
-    out = np.zeros((1 << bits, 1 << (slot_bits - bits)), np.uint8)
+    out = [np.zeros((1 << bits, 1 << (own - bits)), np.uint8) for own in (slot_bits, word_bits)]
     for r in rows:
-        out[r.bucket] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
+        out[r.bucket >> bits][r.bucket & ((1 << bits) - 1)] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
     n = sum(r.n for r in rows)
-    return out.ravel(), sum(r.n2 for r in rows) / n if n else 1.0
+    return out[0].ravel(), out[1].ravel(), sum(r.n2 for r in rows) / n if n else 1.0
 
 
 def boundary(sizes: dict[int, int], list_length: float) -> int:
@@ -166,12 +187,15 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 # --- candidates ------------------------------------------------------------------------------
 
 
-def entries_of(key: int, s: np.ndarray, levels: np.ndarray, small: int) -> Iterator[np.ndarray]:
+def entries_of(key: int, s: np.ndarray, levels: np.ndarray, small: int, rarest: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """What one set enters into the index: subsets if small, single shingles if a large set may look for it.
 
-    Shingles that are in no other set keep their place in the order, but aren't entered.
+    ``rarest`` is the level of each shingle's rarest word.  Shingles that are in
+    no other set keep their place in the order, but aren't entered.
     """
-    level = levels[(s >> U64(65 - len(levels).bit_length())).astype(np.int64)]
+    level = levels[slot_of(s, levels)]
+    if rarest is not None:
+        level = np.minimum(level, rarest)
     if level.any():
         order = np.argsort(level, kind="stable")
         s, level = s[order], level[order]
@@ -211,9 +235,9 @@ def index_entries(docs: DataFrame, levels: Sent, small: int, buckets: int) -> Da
             ends = np.append(at[1:], len(b))
             return pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([e[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary())], ["bucket", "data"])
 
-        size, table_of_levels = 0, levels.value
-        for key, s in _distinct_sets(batches):
-            for e in entries_of(key, s, table_of_levels, small):
+        size, (of_shingles, of_words) = 0, levels.value
+        for key, s, rarest in _distinct_sets(batches, of_words):
+            for e in entries_of(key, s, of_shingles, small, rarest):
                 if len(e):
                     held.append(e)
                     size += len(e)
@@ -407,7 +431,7 @@ def set_links(docs: DataFrame, sets: DataFrame, folder: str) -> tuple[DataFrame,
     """
     spark = docs.sparkSession
     sizes = sets.where(f"n_shingles >= {LEAST}").groupBy(F.least("n_shingles", F.lit(SMALL_MOST + 1)).alias("size")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all")).collect()
-    levels, list_length = document_levels(docs, sum(r["all"] for r in sizes))
+    *levels, list_length = document_levels(docs, sum(r["all"] for r in sizes))
     small = boundary({r.size: r.n for r in sizes}, list_length)
     buckets = max(16, sum(r["all"] for r in sizes) // (4 * ENTRIES) + 1)
     return links_of_index(index_entries(docs, Sent(spark, levels), small, buckets), docs, sets, small, folder)
