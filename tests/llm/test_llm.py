@@ -169,6 +169,29 @@ def test_dealt_cells_lose_no_link(spark, level):
     assert got_components(jaccard_join.named_components(sets, linked, folder)) == brute_components(rows)
 
 
+def test_levels_bound_document_counts(spark):
+    rng = random.Random(18)
+    rows = [(k, " ".join(rng.choice(["often", "some", "rare", "x" + str(rng.randrange(300))]) for _ in range(rng.randint(7, 40)))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shingle_levels, word_levels, _ = jaccard_join.document_levels(docs, 3000)
+    sets, words = Counter(), Counter()
+    per_text = {t: (list(common.shingles(*common.flat_text(pa.array([t]))))[0], np.unique(common.words_of(*common.flat_text(pa.array([t])))[0])) for _, t in rows}
+    for s, w in per_text.values():
+        sets.update(s.tolist())
+        words.update(w.tolist())
+    for counts, table in ((sets, shingle_levels), (words, word_levels)):
+        h = np.array(list(counts), np.uint64)
+        assert all(table[k] >= int(np.log2(n)) for k, n in zip(jaccard_join.slot_of(h, table), counts.values(), strict=True))
+
+
+def test_order_by_words_alone(spark, monkeypatch):
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "LEAST_BITS", 4)
+    monkeypatch.setattr(jaccard_join, "MOST_BITS", 4)  # a table that says nothing, as where shingles fill it
+    assert got_components(jaccard_join.near_duplicates(df)) == brute_components(rows)
+
+
 def test_hidden_clusters_in_long_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 1 << 12)
     rng = random.Random(15)
