@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, fingerprints, jaccard_join, language, line_dedup, mixing, packing, private, quality, url_filter
+from . import audio, fingerprints, jaccard_join, language, line_dedup, mixing, packing, private, quality, resampling, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language.op8_language_id,
         "op9_media_audio": audio.op9_media_audio,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_toxicity": toxicity.op11_toxicity,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_mix_sources": mixing.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op10_url_filter": url_filter.oracle_sql(url_filter.default_model()),
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
+        "op13_importance_resampling": resampling.ORACLE_SQL,
     }
