@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .neighbours import nearest
 from .store import stored
 
 
@@ -44,38 +43,12 @@ def ari(table: DataFrame) -> DataFrame:
     return sums.select(F.when(spread != 0, (F.col("same") - expected) / F.when(spread != 0, spread)).otherwise(1.0).alias("ari"))
 
 
-def nearest_label_accuracy(points: DataFrame, key: str, vec: str, label: str, block: int = 512) -> DataFrame:
-    """One row (nne): the share of points whose nearest other point has their label; ties go to the least key.
-
-    Points are dealt into blocks by a hash; each pair of blocks is one matrix
-    product, which gives every point its nearest in the other block, and a
-    combinable least struct the nearest of all.
-    """
-    blocks = max(1, -(-points.count() // block))
-    p = points.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("string").alias("l")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sides = p.select(F.col("b").alias("i"), others.alias("j"), F.lit(True).alias("asks"), "id", "v", "l").unionByName(p.select(others.alias("i"), F.col("b").alias("j"), F.lit(False).alias("asks"), "id", "v", "l"))
-
-    def nearest(t: pa.Table) -> pa.Table:
-        asks = np.asarray(t.column("asks"))
-        ids, labels = np.asarray(t.column("id")), np.array(t.column("l").to_pylist(), object)
-        x = np.array(t.column("v").to_pylist(), float)
-        order = np.argsort(ids[~asks], kind="stable")
-        ai, bi, bl = ids[asks], ids[~asks][order], labels[~asks][order]
-        a, b = x[asks], x[~asks][order]
-        if not len(ai) or not len(bi):
-            ai, a = ai[:0], a[:0]
-            best, d = np.zeros(0, np.int64), np.zeros(0)
-        else:
-            square = np.round(((a[:, None, :] - b[None]) ** 2).sum(-1), 9) if a.size * len(b) < 1 << 22 else np.round(np.stack([((row - b) ** 2).sum(-1) for row in a]), 9)
-            square[ai[:, None] == bi[None]] = np.inf
-            best = square.argmin(1)
-            d = square[np.arange(len(ai)), best]
-        return pa.table({"a": pa.array(ai, pa.int64()), "la": pa.array(labels[asks][: len(ai)].tolist(), pa.string()), "d": pa.array(d, pa.float64()), "b": pa.array(bi[best] if len(ai) else ai, pa.int64()), "lb": pa.array(bl[best].tolist() if len(ai) else [], pa.string())})
-
-    found = sides.groupBy("i", "j").applyInArrow(nearest, "a long, la string, d double, b long, lb string").where("not isnan(d) and d < double('infinity')")
-    best = found.groupBy("a", "la").agg(F.min_by("lb", F.struct("d", "b")).alias("lb"))
-    return best.agg(F.avg((F.col("la") == F.col("lb")).cast("double")).alias("nne"))
+def nearest_label_accuracy(points: DataFrame, key: str, vec: str, label: str) -> DataFrame:
+    """One row (nne): the share of points whose nearest other point has their label; ties go to the least key."""
+    labels = points.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("l"))
+    near = nearest(points, 1, key, vec).select("id", "other")
+    both = near.join(labels, "id").join(labels.select(F.col("id").alias("other"), F.col("l").alias("lb")), "other")
+    return both.agg(F.avg((F.col("l") == F.col("lb")).cast("double")).alias("nne"))
 
 
 def mean_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:

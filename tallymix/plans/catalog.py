@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special, vectors
-from ..operators import cluster, dispersed, ensemble, evaluate, experiment, factor, fitdist, likelihood, lineage, matrix, prep, prior, reduce, simulate
+from ..operators import cluster, dispersed, ensemble, evaluate, experiment, factor, fitdist, likelihood, lineage, matrix, neighbours, prep, prior, reduce, simulate
 from ..operators.store import shared_folder
 from ..sources import tables, text
 
@@ -78,6 +78,11 @@ def _points(spark, d) -> DataFrame:
     return tables.embedding_points(spark, d).select("cell_id", F.col("label").cast("int").alias("cluster"), F.round(F.get("vec", F.lit(0)), 6).alias("fx"), F.round(F.get("vec", F.lit(1)), 6).alias("fy"))
 
 
+def _places(spark, d) -> DataFrame:
+    """Embeddings' first two dimensions with their labels."""
+    return tables.embedding_points(spark, d).select("cell_id", F.slice("vec", 1, 2).alias("vec"), "label")
+
+
 def _prior(m: matrix.CountMatrix) -> DataFrame:
     """A qualitative prior of four types; genes that divide by 17 are missing."""
     rows = m.genes.select("gene_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
@@ -328,6 +333,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "purity": m(lambda x: _one(evaluate.purity(evaluate.contingency(_labels(x), _true(x))))),
         "nmi": m(lambda x: _one(evaluate.nmi(evaluate.contingency(_labels(x), _true(x))))),
         "ari": m(lambda x: _one(evaluate.ari(evaluate.contingency(_labels(x), _true(x))))),
+        "nearest_neighbours": lambda s, d: _r(neighbours.nearest(_places(s, d), 5), "square"),
+        "nne_projected": lambda s, d: _one(evaluate.nearest_label_accuracy(_places(s, d), "cell_id", "vec", "label")),
         "nne_1nn": lambda s, d: _one(evaluate.nearest_label_accuracy(tables.embedding_points(s, d), "cell_id", "vec", "label")),
         "binarize": m(lambda x: prior.binarize(_prior(x))),
         "missing_genes": m(lambda x: prior.missing_genes(_prior(x))),
@@ -500,6 +507,13 @@ lv AS (SELECT so.g, coalesce(median(v) FILTER (WHERE cut IS NULL OR i <= cut), 0
 le AS (SELECT g, low, high, coalesce((b - a * kb / ka) / sqrt((a + b) * kb / ka), 0) AS w2 FROM lv)"""
 
 
+_NEAR_SQL = """, pl AS (SELECT vec_id AS a, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+near AS (
+  SELECT p.a, q.a AS b, p.label AS la, q.label AS lb, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d,
+         row_number() OVER (PARTITION BY p.a ORDER BY (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y), q.a) AS rank
+  FROM pl p JOIN pl q ON p.a <> q.a)"""
+
+
 def oracle_sql() -> dict[str, str]:
     dist = _center_sql("(0 - m) * (ln(1e-10) - ln(m + 1e-10))", "(v - m) * (ln(v + 1e-10) - ln(m + 1e-10)) - (0 - m) * (ln(1e-10) - ln(m + 1e-10))")
     table = "(SELECT cluster, label, count(*) AS n FROM lab GROUP BY 1, 2)"
@@ -573,6 +587,8 @@ SELECT n.id AS cell_id, round(min(t), 6) AS time FROM n LEFT JOIN walk ON walk.i
         "ari": f"""SELECT round((s - a * b / t) / ((a + b) / 2 - a * b / t), 6) + 0.0 AS ari FROM (SELECT
  (SELECT sum(n * (n - 1) / 2) FROM {table}) AS s, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM lab GROUP BY cluster)) AS a,
  (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM lab GROUP BY label)) AS b, (SELECT count(*) * (count(*) - 1) / 2 FROM lab) AS t)""",
+        "nearest_neighbours": f"{_NEAR_SQL}\nSELECT a AS id, b AS other, round(d, 6) + 0.0 AS square, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 5",
+        "nne_projected": f"{_NEAR_SQL}\nSELECT round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0 END), 6) AS nne FROM near WHERE rank = 1",
         "nne_1nn": """, u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS i FROM embeddings),
 d AS (SELECT a.vec_id AS a, b.vec_id AS b, any_value(a.label) AS la, any_value(b.label) AS lb, round(sum((a.e - b.e) ** 2), 9) AS d FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY 1, 2)
 SELECT round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0 END), 6) AS nne FROM (SELECT a, any_value(la) AS la, arg_min(lb, (d, b)) AS lb FROM d GROUP BY a)""",
