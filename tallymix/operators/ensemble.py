@@ -12,7 +12,7 @@ from .cluster import consensus, poisson_cluster
 from .factor import Estimate, _to_one, kmeans_labels, nmf, poisson_estimate_state, truncated_svd
 from .matrix import CountMatrix
 from .prep import cell_normalize, log1p, log_norm
-from .reduce import embed_tsne
+from .embed import embed_tsne
 from .store import stored
 
 

@@ -16,7 +16,8 @@ from .evaluate import ari, contingency, nearest_label_accuracy, nmi, purity
 from .factor import kmeans_labels, lda_estimate_state, log_norm_nmf, nmf, poisson_estimate_state, truncated_svd
 from .matrix import CountMatrix
 from .prep import log1p, log_norm
-from .reduce import embed_tsne, pca
+from .embed import embed_tsne
+from .reduce import pca
 
 Vectors = DataFrame
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special, vectors
-from ..operators import cluster, dispersed, ensemble, evaluate, experiment, factor, fitdist, likelihood, lineage, matrix, neighbours, prep, prior, reduce, simulate
+from ..operators import cluster, dispersed, embed, ensemble, evaluate, experiment, factor, fitdist, likelihood, lineage, matrix, neighbours, prep, prior, reduce, simulate
 from ..operators.store import shared_folder
 from ..sources import tables, text
 
@@ -188,6 +188,10 @@ def _dense_text(spark: SparkSession, d: str) -> DataFrame:
     return _r(_by_line(back, m).select((F.col("gene_id") + 1).alias("gene_id"), "cell_id", "value"), "value")
 
 
+def _landmarks(m: matrix.CountMatrix, n: int) -> DataFrame:
+    return m.cells.orderBy("cell_id").limit(n)
+
+
 def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Iterative operators on the whole matrix."""
 
@@ -231,7 +235,10 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "select_k": on(lambda s, m: s.createDataFrame([(cluster.select_k(m, 1, 7, 2, 3),)], "k int")),
         "truncated_svd": on(lambda s, m: factor.truncated_svd(prep.log_norm(m), 3)[0]),
         "pca": on(lambda s, m: reduce.pca(prep.log_norm(m), 2)),
-        "tsne": on(lambda s, m: reduce.embed_tsne(_spread(m))),
+        "tsne": on(lambda s, m: embed.embed_tsne(_two(m).weights, perplexity=10.0, iterations=100)),
+        "landmark_distances": on(lambda s, m: _r(reduce.landmark_distances(m, _landmarks(m, 16)), "d")),
+        "landmark_axis": on(lambda s, m: _w_long(reduce.dim_reduce_data(m, 1, _landmarks(m, 2)), value="x")),
+        "dim_reduce_data": on(lambda s, m: reduce.dim_reduce_data(m, 2)),
         "diffusion_impute": on(lambda s, m: reduce.diffusion_impute(m, 3, 2, 10, 5)),
         "run_lineage": on(lambda s, m: lineage.run_lineage(_means(m), _spread(m))[1]),
         "nb_fit": lambda s, d: dispersed.nb_fit(_x(s, d)),
@@ -507,6 +514,14 @@ lv AS (SELECT so.g, coalesce(median(v) FILTER (WHERE cut IS NULL OR i <= cut), 0
 le AS (SELECT g, low, high, coalesce((b - a * kb / ka) / sqrt((a + b) * kb / ka), 0) AS w2 FROM lv)"""
 
 
+def _landmark_sql(n: int) -> str:
+    """Poisson distances of all cells to the first n, all genes."""
+    return f"""lm AS (SELECT c AS l FROM cells ORDER BY c LIMIT {n}),
+ld AS (
+  SELECT cells.c, lm.l, sum((coalesce(a.v, 0) - coalesce(b.v, 0)) * ln((coalesce(a.v, 0) + 1e-10) / (coalesce(b.v, 0) + 1e-10))) AS d
+  FROM cells CROSS JOIN lm CROSS JOIN genes LEFT JOIN x a ON a.g = genes.g AND a.c = cells.c LEFT JOIN x b ON b.g = genes.g AND b.c = lm.l GROUP BY 1, 2)"""
+
+
 _NEAR_SQL = """, pl AS (SELECT vec_id AS a, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 near AS (
   SELECT p.a, q.a AS b, p.label AS la, q.label AS lb, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d,
@@ -589,6 +604,8 @@ SELECT n.id AS cell_id, round(min(t), 6) AS time FROM n LEFT JOIN walk ON walk.i
  (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM lab GROUP BY label)) AS b, (SELECT count(*) * (count(*) - 1) / 2 FROM lab) AS t)""",
         "nearest_neighbours": f"{_NEAR_SQL}\nSELECT a AS id, b AS other, round(d, 6) + 0.0 AS square, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 5",
         "nne_projected": f"{_NEAR_SQL}\nSELECT round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0 END), 6) AS nne FROM near WHERE rank = 1",
+        "landmark_distances": f", {_landmark_sql(16)}\nSELECT c AS cell_id, l AS landmark, round(d, 6) + 0.0 AS d FROM ld",
+        "landmark_axis": f", {_landmark_sql(2)}\nSELECT p.c AS cell_id, 0 AS k, round((q.d ** 2 - p.d ** 2) / (2 * (SELECT max(d) FROM ld WHERE c IN (SELECT l FROM lm))), 6) + 0.0 AS value FROM ld p JOIN ld q ON p.c = q.c AND p.l < q.l",
         "nne_1nn": """, u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS i FROM embeddings),
 d AS (SELECT a.vec_id AS a, b.vec_id AS b, any_value(a.label) AS la, any_value(b.label) AS lb, round(sum((a.e - b.e) ** 2), 9) AS d FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY 1, 2)
 SELECT round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0 END), 6) AS nne FROM (SELECT a, any_value(la) AS la, arg_min(lb, (d, b)) AS lb FROM d GROUP BY a)""",

@@ -136,12 +136,6 @@ def test_pca_is_centred(spark):
     assert np.allclose(np.linalg.norm(got, axis=0), np.linalg.svd(c)[1][:2], rtol=1e-6) and np.allclose(got.mean(0), 0, atol=1e-9)
 
 
-def test_data_level_mds(spark):
-    x = np.random.default_rng(9).poisson(4, (5, 8)).astype(float)
-    got = reduce.dim_reduce_data(matrix(spark, x), 2).collect()
-    assert len(got) == 8 and all(len(r.x) == 2 for r in got)
-
-
 def test_update_m_keeps_weights(spark, sim):
     m = sim[0]
     part = m.select_genes(m.genes.where("gene_id < 2"))
