@@ -96,3 +96,15 @@ def digamma_np(x: np.ndarray) -> np.ndarray:
         z = np.where(low, z + 1, z)
     w = 1 / (z * z)
     return shift + np.log(z) - 0.5 / z - w * (1 / 12 - w * (1 / 120 - w * (1 / 252 - w / 240)))
+
+
+def trigamma_np(x: np.ndarray) -> np.ndarray:
+    """The derivative of digamma, by its recurrence and the series for large arguments."""
+    x = np.asarray(x, float)
+    shift, z = np.zeros_like(x), x.copy()
+    for _ in range(12):
+        low = z < 12
+        shift = shift + np.where(low, 1 / (z * z), 0.0)
+        z = np.where(low, z + 1, z)
+    w = 1 / (z * z)
+    return shift + 1 / z + w / 2 + w / z * (1 / 6 - w * (1 / 30 - w * (1 / 42 - w / 30)))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import digamma_np, lgamma_np
+from ..functions.special import digamma_np, lgamma_np, trigamma_np
 from .factor import Estimate, Layout, Steps, _swapped, _to_one, initial_factors
 from .matrix import CountMatrix
 from .prep import gene_mean_var, nb_genes
@@ -28,68 +28,101 @@ def nb_row_ll(r: float, p: float, x: np.ndarray, zeros: int) -> float:
     return float((lgamma_np(r + x) - lgamma_np(np.array(r)) - lgamma_np(x + 1) + x * np.log(p)).sum() + (len(x) + zeros) * r * np.log1p(-p))
 
 
-def nb_mle(x: np.ndarray, n: int, r: float, steps: int = 60) -> tuple[float, float]:
-    """(p, r): the profile likelihood in r, with p = mean / (r + mean), is climbed by bisection of its derivative in ln r."""
-    mean = x.sum() / n
-
-    def slope(r: float) -> float:
-        return float(digamma_np(r + x).sum() + (n - len(x)) * digamma_np(np.array(r)) - n * digamma_np(np.array(r)) + n * np.log(r / (r + mean)))
-
-    lo, hi = np.log(max(r, 1e-6)) - 6, np.log(max(r, 1e-6)) + 6
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if slope(float(np.exp(mid))) > 0 else (lo, mid)
-    r = float(np.exp((lo + hi) / 2))
-    return float(mean / (r + mean)), r
-
-
-def zip_mle(x: np.ndarray, n: int, steps: int = 200) -> tuple[float, float]:
-    """(lam, pi) of one gene's positive entries among n cells, by EM."""
-    if not len(x):
-        return 0.0, 1.0
-    total, lam, pi = x.sum(), float(x.mean()), 0.5 * (1 - len(x) / n)
-    for _ in range(steps):
-        zero = pi / (pi + (1 - pi) * np.exp(-lam)) * (n - len(x)) if pi > 0 else 0.0
-        new = zero / n, total / max(n - zero, 1e-12)
-        done = abs(new[0] - pi) + abs(new[1] - lam) < 1e-10
-        pi, lam = new
-        if done:
-            break
-    return float(lam), float(pi)
-
-
 def zip_row_ll(lam: float, pi: float, x: np.ndarray, zeros: int) -> float:
     """Log-likelihood of one gene's positive entries x and of so many zeros."""
     return float(np.log((1 - pi) * np.exp(x * np.log(lam) - lam - lgamma_np(x + 1)) + 1e-10).sum() + zeros * np.log(pi + (1 - pi) * np.exp(-lam) + 1e-10))
 
 
-def _per_gene(m: CountMatrix, fit, names: tuple[str, str]) -> DataFrame:
-    n = m.n_cells()
+#: Steps of a fit at most, how far ln r may go from the moments' start, and the step of ln r that ends it.
+NB_STEPS, NB_REACH, NB_CLOSE = 60, 6.0, 1e-9
+
+
+def nb_slopes(histogram: DataFrame, r: DataFrame) -> DataFrame:
+    """(gene_id, first, second): over a gene's entries the sums of digamma(r + x) - digamma(r) and of its derivative.
+
+    ``histogram`` is (gene_id, value, n), ``r`` (gene_id, r).  A gene's values
+    may lie in many tasks: each adds up its own, and Spark the tasks' sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [fit(np.array(v, float), n) for v in b.column("val").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("gene_id"), *(pa.array([g[j] for g in got], pa.float64()) for j in (0, 1))], ["gene_id", *names])
+            genes, at = np.unique(np.asarray(b.column("gene_id")), return_inverse=True)
+            r, x, n = (np.asarray(b.column(c)).astype(float) for c in ("r", "value", "n"))
+            sums = [np.bincount(at, n * (f(r + x) - f(r)), minlength=len(genes)) for f in (digamma_np, trigamma_np)]
+            yield pa.RecordBatch.from_arrays([pa.array(genes), *map(pa.array, sums)], ["gene_id", "first", "second"])
 
-    return m.packed_genes().mapInArrow(run, f"gene_id long, {names[0]} double, {names[1]} double")
+    return histogram.join(r, "gene_id").mapInArrow(run, "gene_id long, first double, second double").groupBy("gene_id").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
 
 
 def nb_fit(m: CountMatrix) -> DataFrame:
-    """(gene_id, p, r): maximum likelihood from the moments' start; null where the variance isn't above the mean."""
+    """(gene_id, p, r): maximum likelihood from the moments' start; null where the variance isn't above the mean.
 
-    def fit(x: np.ndarray, n: int) -> tuple[float | None, float | None]:
-        mean, var = x.sum() / n, (x**2).sum() / n - (x.sum() / n) ** 2
-        if not var > mean or mean <= 0:
-            return None, None
-        p = 1 - mean / var
-        return nb_mle(x, n, mean * (1 - p) / p)
+    With p = mean / (r + mean) the likelihood's slope in r needs a gene's
+    (value, number) table only, of which zeros drop out.  All genes take Newton
+    steps in ln r at once, halving the bracket where a step would leave it, until
+    none moves; a step is one pass over these tables.  A gene whose slope has one
+    sign over the whole bracket is at that end of it.
+    """
+    n = m.n_cells()
+    stats = stored(gene_mean_var(m).select("gene_id", "mean", "var"))
+    start = F.log(F.greatest(F.col("mean") ** 2 / (F.col("var") - F.col("mean")), F.lit(1e-6)))
+    now = stats.where("var > mean and mean > 0").select("gene_id", "mean", start.alias("at"), (start - NB_REACH).alias("lo"), (start + NB_REACH).alias("hi"), F.lit(False).alias("done"))
+    now = stored(now)
+    histogram = stored(m.entries.join(now.select("gene_id"), "gene_id", "left_semi").groupBy("gene_id", "value").agg(F.count("*").alias("n")))
+    for end, sign in (("hi", 1), ("lo", -1)):
+        outer = nb_slopes(histogram, now.where("not done").select("gene_id", F.exp(end).alias("r"))).select("gene_id", "first")
+        r = F.exp(end)
+        beyond = sign * (F.col("first") + n * F.log(r / (r + F.col("mean")))) >= 0
+        rows = now.join(outer, "gene_id", "left").withColumn("beyond", ~F.col("done") & F.coalesce(beyond, F.lit(False)))
+        now = stored(rows.select("gene_id", "mean", F.when(F.col("beyond"), F.col(end)).otherwise(F.col("at")).alias("at"), "lo", "hi", (F.col("done") | F.col("beyond")).alias("done")))
+    for _ in range(NB_STEPS):
+        moving = now.where("not done")
+        if moving.isEmpty():
+            break
+        rows = moving.join(nb_slopes(histogram, moving.select("gene_id", F.exp("at").alias("r"))), "gene_id")
+        r = F.exp("at")
+        slope = F.col("first") + n * F.log(r / (r + F.col("mean")))
+        # the slope's derivative by ln r
+        curve = r * (F.col("second") + n * (1 / r - 1 / (r + F.col("mean"))))
+        rows = rows.withColumns({"slope": slope, "curve": curve})
+        rows = rows.withColumns({"lo": F.when(F.col("slope") > 0, F.col("at")).otherwise(F.col("lo")), "hi": F.when(F.col("slope") > 0, F.col("hi")).otherwise(F.col("at"))})
+        newton = F.col("at") - F.col("slope") / F.when(F.col("curve") != 0, F.col("curve"))
+        rows = rows.withColumn("next", F.when(newton.between(F.col("lo"), F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2))
+        ended = F.abs(F.col("next") - F.col("at")) <= NB_CLOSE
+        now = stored(now.where("done").unionByName(rows.select("gene_id", "mean", F.col("next").alias("at"), "lo", "hi", ended.alias("done"))))
+    r = F.exp("at")
+    fitted = now.select("gene_id", (F.col("mean") / (r + F.col("mean"))).alias("p"), r.alias("r"))
+    return m.genes.join(fitted, "gene_id", "left")
+
+
+def zip_fit(m: CountMatrix, steps: int = 200) -> DataFrame:
+    """(gene_id, lam, pi) by maximum likelihood: EM needs a gene's number of entries and their sum only, and takes all genes of a batch at once."""
+    n = m.n_cells()
+    stats = m.genes.join(m.entries.groupBy("gene_id").agg(F.count("*").cast("double").alias("some"), F.sum("value").alias("total")), "gene_id", "left").fillna(0.0)
 
-    return _per_gene(m, fit, ("p", "r"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some, total = (np.asarray(b.column(c)) for c in ("some", "total"))
+            lam, pi = zip_em(some, total, n, steps)
+            yield pa.RecordBatch.from_arrays([b.column("gene_id"), pa.array(lam), pa.array(pi)], ["gene_id", "lam", "pi"])
+
+    return stats.mapInArrow(run, "gene_id long, lam double, pi double")
 
 
-def zip_fit(m: CountMatrix) -> DataFrame:
-    """(gene_id, lam, pi) by maximum likelihood."""
-    return _per_gene(m, zip_mle, ("lam", "pi"))
+def zip_em(some: np.ndarray, total: np.ndarray, n: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """(lam, pi) of genes with so many positive entries among n cells; without any, 0 and 1."""
+    full = some > 0
+    lam, pi = total / np.maximum(some, 1), np.where(full, 0.5 * (1 - some / n), 1.0)
+    moving = full.copy()
+    for _ in range(steps):
+        if not moving.any():
+            break
+        zero = np.where(pi > 0, pi / np.maximum(pi + (1 - pi) * np.exp(-lam), 1e-300) * (n - some), 0.0)
+        new_pi, new_lam = zero / n, total / np.maximum(n - zero, 1e-12)
+        change = np.abs(new_pi - pi) + np.abs(new_lam - lam)
+        pi, lam = np.where(moving, new_pi, pi), np.where(moving, new_lam, lam)
+        moving &= change >= 1e-10
+    return np.where(full, lam, 0.0), pi
 
 
 #: Bytes of one dense array of cells x genes: rows are worked on in so many at a time.

@@ -24,19 +24,19 @@ def stacked(runs: list[DataFrame]) -> DataFrame:
 def poisson_consensus(m: CountMatrix, k: int, n_runs: int = 10, seed: int = 0, **options) -> Estimate:
     """State estimation from the consensus of Poisson clusterings."""
     runs = stacked([poisson_cluster(m, k, seed=seed + j)[0] for j in range(n_runs)])
-    return poisson_estimate_state(m, k, init_weights=stored(consensus(runs, k, seed)), seed=seed, **options)
+    return poisson_estimate_state(m, k, init_weights=stored(consensus(runs, k)), seed=seed, **options)
 
 
 def poisson_multiclust(m: CountMatrix, k: int, seed: int = 0, **options) -> Estimate:
     """State estimation from the consensus of k-means on {raw, log, norm, log-norm} times {many, k} singular vectors."""
     forms = (m, log1p(m), cell_normalize(m), log_norm(m))
     runs = [kmeans_labels(truncated_svd(f, n, seed)[0], k, seed) for f in forms for n in (min(50, max(1, m.n_genes() - 1)), k)]
-    return poisson_estimate_state(m, k, init_weights=stored(consensus(stacked(runs), k, seed)), seed=seed, **options)
+    return poisson_estimate_state(m, k, init_weights=stored(consensus(stacked(runs), k)), seed=seed, **options)
 
 
 def _by_tsne(m: CountMatrix, k: int, estimates: list[Estimate], seed: int) -> DataFrame:
     runs = [kmeans_labels(embed_tsne(e.weights, seed=seed + j).withColumnRenamed("x", "vec"), k, seed) for j, e in enumerate(estimates)]
-    return stored(consensus(stacked(runs), k, seed))
+    return stored(consensus(stacked(runs), k))
 
 
 def poisson_tsne(m: CountMatrix, k: int, n_runs: int = 10, seed: int = 0, **options) -> Estimate:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_cdf
@@ -25,54 +22,81 @@ def binarize(q: DataFrame) -> DataFrame:
     return q.join(ends, "gene_id").select("gene_id", "k", (F.col("q") > F.col("lo") + (F.col("hi") - F.col("lo")) / 2).cast("int").alias("high"))
 
 
-def two_means(values: np.ndarray, gaussian: bool = False) -> tuple[float, float, np.ndarray]:
-    """(low, high, assignment to high) of one gene's values in two groups: the best cut of the sorted values.
+def value_runs(m: CountMatrix, genes: DataFrame) -> DataFrame:
+    """(gene_id, value, n): how many cells have each value of a gene, its zeros as one run."""
+    chosen = m.select_genes(genes)
+    runs = chosen.entries.groupBy("gene_id", "value").agg(F.count("*").alias("n"))
+    full = chosen.genes.join(runs.groupBy("gene_id").agg(F.sum("n").alias("some")), "gene_id", "left")
+    zeros = full.select("gene_id", F.lit(0.0).alias("value"), (F.lit(m.n_cells()) - F.coalesce("some", F.lit(0))).alias("n"))
+    return runs.unionByName(zeros.where("n > 0"))
+
+
+def with_prefixes(runs: DataFrame) -> DataFrame:
+    """Adds to each run the cells up to it and their sum, and the gene's cells and sum: count, total, n_all, t_all.
 
-    In one dimension the optimum of Poisson (or squared-error) 2-means is a cut,
-    so all cuts are tried by prefix sums, the first of the best (to 9 places) is
-    taken.  low and high are the groups' medians.
+    Runs are dealt by ranges of (gene, value), so no gene is gathered: a window
+    adds up within a range, and one over a gene's ranges what lies before.
     """
-    order = np.argsort(values, kind="stable")
-    x = values[order]
-    n = len(x)
-    if n < 2 or x[0] == x[-1]:
-        return (float(np.median(x)),) * 2 + (np.zeros(n, bool),) if n else (0.0, 0.0, np.zeros(0, bool))
-    sums, k = np.cumsum(x)[:-1], np.arange(1, n)
-    left, right = sums / k, (x.sum() - sums) / (n - k)
-    if gaussian:
-        gain = sums * left + (x.sum() - sums) * right
-    else:
-        logs = lambda s, mean: s * np.log(mean + 1e-10)
-        gain = logs(sums, left) + logs(x.sum() - sums, right)
-    gain[x[1:] == x[:-1]] = -np.inf
-    cut = int(np.argmax(np.round(gain, 9))) + 1
-    high = np.zeros(n, bool)
-    high[order[cut:]] = True
-    return float(np.median(x[:cut])), float(np.median(x[cut:])), high
+    dealt = stored(runs.repartitionByRange("gene_id", "value").withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("gene_id", "part").agg(F.sum("n").alias("n_part"), F.sum(F.col("value") * F.col("n")).alias("t_part"))
+    upto, gene = W.partitionBy("gene_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("gene_id")
+    parts = parts.select("gene_id", "part", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in ("n_part", "t_part")), F.sum("n_part").over(gene).alias("n_all"), F.sum("t_part").over(gene).alias("t_all"))
+    own = W.partitionBy("gene_id", "part").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    summed = dealt.withColumns({"count_": F.sum("n").over(own), "total_": F.sum(F.col("value") * F.col("n")).over(own)})
+    return summed.join(parts, ["gene_id", "part"]).select("gene_id", "value", "n", (F.col("count_") + F.col("n_part_before")).alias("count"), (F.col("total_") + F.col("t_part_before")).alias("total"), "n_all", "t_all")
 
 
 def gene_levels(m: CountMatrix, genes: DataFrame, gaussian: bool = False) -> DataFrame:
-    """(gene_id, low, high, w2): medians of a gene's two groups over all cells, zeros included, and the Poisson test between them."""
-    n = m.n_cells()
+    """(gene_id, low, high, w2): the levels of a gene's two groups over all cells, zeros included, and the Poisson test between them.
+
+    In one dimension the optimum of Poisson (or squared-error) 2-means is a cut
+    of the sorted values, so all cuts are tried by prefix sums and the first of
+    the best (to 9 places) is taken.  Levels are the groups' medians, or their
+    means if ``gaussian``; a gene of one value has it for both.
+    """
+    rows = stored(with_prefixes(value_runs(m, genes)))
+    left, right = F.col("total") / F.col("count"), (F.col("t_all") - F.col("total")) / (F.col("n_all") - F.col("count"))
+    rest = F.col("t_all") - F.col("total")
+    gain = F.col("total") * left + rest * right if gaussian else F.col("total") * F.log(left + 1e-10) + rest * F.log(right + 1e-10)
+    cuts = rows.where("count < n_all").groupBy("gene_id").agg(F.max_by("count", F.struct(F.round(gain, 9), -F.col("count"))).alias("cut"))
+    both = rows.join(cuts, "gene_id", "left")
+    low = F.col("count") <= F.coalesce("cut", "n_all")
+    # a run's cells have the places count - n + 1 to count
+    at = lambda place: F.min(F.when(F.col("count") >= place, F.col("value")))
+    middle = lambda first, last: (at(F.floor((first + last) / 2)) + at(F.ceil((first + last) / 2))) / 2
+    one, cut, last = F.lit(1), F.coalesce("cut", "n_all"), F.col("n_all")
+    start = F.when(F.col("cut").isNull(), one).otherwise(F.col("cut") + 1)
+    out = both.groupBy("gene_id").agg(
+        middle(one, cut).alias("low"), middle(start, last).alias("high"),
+        F.sum(F.when(low, F.col("value") * F.col("n"))).alias("a"), F.sum(F.when(~low, F.col("value") * F.col("n"))).alias("c"),
+        F.sum(F.when(low, F.col("n"))).alias("ka"), F.sum(F.when(~low, F.col("n"))).alias("kc"),
+    )
+    a, c, ratio = F.col("a") + 1e-5 * F.col("ka"), F.col("c") + 1e-5 * F.col("kc"), F.col("kc") / F.col("ka")
+    w2 = F.coalesce((c - a * ratio) / F.sqrt((a + c) * ratio), F.lit(0.0))
+    if gaussian:
+        return out.select("gene_id", (F.col("a") / F.col("ka")).alias("low"), F.coalesce(F.col("c") / F.col("kc"), F.col("a") / F.col("ka")).alias("high"), w2.alias("w2"))
+    return out.select("gene_id", "low", "high", w2.alias("w2"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for val in b.column("val").to_pylist():
-                x = np.concatenate([np.zeros(n - len(val)), np.array(val, float)])
-                low, high, up = two_means(x, gaussian)
-                a, c, ka, kc = x[~up].sum() + 1e-5 * (~up).sum(), x[up].sum() + 1e-5 * up.sum(), (~up).sum(), up.sum()
-                rows.append((low, high, float((c - a * kc / ka) / np.sqrt((a + c) * kc / ka)) if ka and kc else 0.0))
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column("gene_id"), *(pa.array(c, pa.float64()) for c in cols)], ["gene_id", "low", "high", "w2"])
 
-    return m.select_genes(genes).packed_genes().mapInArrow(run, "gene_id long, low double, high double, w2 double")
+def output_from_levels(q: DataFrame, levels: DataFrame, eps: float = 0.0, from_least: bool = True) -> DataFrame:
+    """(gene_id, k, m): the gene's high level where the prior says high, else its low one.
+
+    High is above the middle between the gene's least and largest q; without
+    ``from_least``, above half of what lies between them.
+    """
+    ends = q.groupBy("gene_id").agg(F.min("q").alias("lo_"), F.max("q").alias("hi_"))
+    limit = (F.col("hi_") - F.col("lo_")) / 2 + (F.col("lo_") if from_least else F.lit(0.0))
+    rows = q.join(ends, "gene_id").join(levels, "gene_id")
+    return rows.select("gene_id", "k", F.when(F.col("q") > limit, F.col("high")).otherwise(F.col("low") + eps).alias("m"))
 
 
-def output_from_levels(q: DataFrame, levels: DataFrame, eps: float = 0.0) -> DataFrame:
-    """(gene_id, k, m): the gene's high level where the prior says high, else its low one."""
-    rows = binarize(q).withColumnRenamed("high", "up").join(levels, "gene_id")
-    return rows.select("gene_id", "k", F.when(F.col("up") == 1, F.col("high")).otherwise(F.col("low") + eps).alias("m"))
+def nearest_centers(m: CountMatrix, means: DataFrame) -> DataFrame:
+    """(cell_id, cluster) by squared distance to centers (gene_id, k, m), to 9 places; ties to the least k."""
+    base = means.groupBy("k").agg(F.sum(F.col("m") * F.col("m")).alias("base"))
+    dots = m.entries.join(means, "gene_id").groupBy("cell_id", "k").agg(F.sum(F.col("value") * F.col("m")).alias("dot"))
+    rows = m.cells.crossJoin(F.broadcast(base)).join(dots, ["cell_id", "k"], "left")  # one row per center
+    d = F.round(F.col("base") - 2 * F.coalesce("dot", F.lit(0.0)), 9)
+    return rows.groupBy("cell_id").agg(F.min_by("k", F.struct(d, "k")).cast("int").alias("cluster"))
 
 
 def qual_norm(m: CountMatrix, q: DataFrame, gaussian: bool = False) -> DataFrame:
@@ -80,11 +104,11 @@ def qual_norm(m: CountMatrix, q: DataFrame, gaussian: bool = False) -> DataFrame
     the gene's mean where a cluster stays empty."""
     missing = missing_genes(q)
     known = q.join(missing, "gene_id", "left_anti")
-    out = stored(output_from_levels(known, gene_levels(m, known.select("gene_id").distinct(), gaussian)))
+    out = stored(output_from_levels(known, gene_levels(m, known.select("gene_id").distinct(), gaussian), from_least=not gaussian))
     if missing.isEmpty():
         return out
     k = q.agg(F.max("k")).first()[0] + 1
-    labels = stored(poisson_assign(m.select_genes(known.select("gene_id").distinct()), out))
+    labels = stored((nearest_centers if gaussian else poisson_assign)(m.select_genes(known.select("gene_id").distinct()), out))
     sizes = labels.groupBy(F.col("cluster").alias("k")).count()
     rest = m.select_genes(missing)
     n = m.n_cells()
@@ -94,6 +118,7 @@ def qual_norm(m: CountMatrix, q: DataFrame, gaussian: bool = False) -> DataFrame
 
 
 def qual_norm_gaussian(m: CountMatrix, q: DataFrame) -> DataFrame:
+    """The same by squared error: levels are means, cells go to the nearest center, and high is above half the prior's range."""
     return qual_norm(m, q, gaussian=True)
 
 

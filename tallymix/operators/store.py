@@ -26,6 +26,18 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session sets fewer.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark cut Arrow batches by bytes, where rows are packed."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None) or ""
+    if not own.rstrip("b").isdigit() or int(own.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Removes a table that ``stored`` has written."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special, vectors
 from ..operators import cluster, dispersed, embed, ensemble, evaluate, experiment, factor, fitdist, likelihood, lineage, matrix, neighbours, prep, prior, reduce, simulate
-from ..operators.store import shared_folder
+from ..operators.store import shared_folder, stored
 from ..sources import tables, text
 
 K = 3
@@ -188,6 +188,14 @@ def _dense_text(spark: SparkSession, d: str) -> DataFrame:
     return _r(_by_line(back, m).select((F.col("gene_id") + 1).alias("gene_id"), "cell_id", "value"), "value")
 
 
+def _noisy_runs(m: matrix.CountMatrix, n: int = 5) -> DataFrame:
+    """Clusterings that name the clusters of one EM step differently, each wrong for another seventh of the cells."""
+    base = stored(cluster.em_step(m, _labels(m), K))
+    runs = base.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("run"), "cell_id", "cluster")
+    wrong = (F.pmod(F.col("cell_id") + 2 * F.col("run"), F.lit(7)) == 0).cast("int")
+    return runs.select("run", "cell_id", F.pmod(F.col("cluster") + F.col("run") + wrong, F.lit(K)).cast("int").alias("cluster"))
+
+
 def _landmarks(m: matrix.CountMatrix, n: int) -> DataFrame:
     return m.cells.orderBy("cell_id").limit(n)
 
@@ -241,9 +249,9 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dim_reduce_data": on(lambda s, m: reduce.dim_reduce_data(m, 2)),
         "diffusion_impute": on(lambda s, m: reduce.diffusion_impute(m, 3, 2, 10, 5)),
         "run_lineage": on(lambda s, m: lineage.run_lineage(_means(m), _spread(m))[1]),
-        "nb_fit": lambda s, d: dispersed.nb_fit(_x(s, d)),
-        "qual_norm": lambda s, d: prior.qual_norm(_x(s, d), _prior(_x(s, d))),
-        "qual_norm_gaussian": lambda s, d: prior.qual_norm_gaussian(_x(s, d), _prior(_x(s, d))),
+        "nb_fit": lambda s, d: _r(dispersed.nb_fit(_x(s, d)).select("gene_id", "p", F.log("r").alias("log_r")), "p", "log_r"),
+        "qual_norm": lambda s, d: _r(prior.qual_norm(_x(s, d), _prior(_x(s, d))), "m"),
+        "qual_norm_gaussian": lambda s, d: _r(prior.qual_norm_gaussian(_x(s, d), _prior(_x(s, d))), "m"),
         "simulate_poisson": on(lambda s, m: simulate.poisson_data(s, np.array([[2, 14, 31], [3, 17, 2], [60, 4, 90], [7, 25, 5]], float), m.n_cells(), seed=7)[0].entries),
         "nmf_kfold": on(lambda s, m: _w_long(ensemble.nmf_kfold(m, K, 2, max_iters=5).weights)),
         "simulate_states": lambda s, d: simulate.state_data(s, *simulate.poisson_states(3, 100, 50)).entries,
@@ -251,7 +259,8 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "downsample": on(lambda s, m: simulate.downsample(m, 0.1).entries),
         "bicluster": on(lambda s, m: cluster.bicluster(m, K, 2)[0]),
         "cocluster": on(lambda s, m: cluster.cocluster(m, K)[0]),
-        "consensus": on(lambda s, m: cluster.consensus(ensemble.stacked([_labels(m), cluster.em_step(m, _labels(m), K), cluster.poisson_assign(m, _means(m))]), K)),
+        "consensus": on(lambda s, m: cluster.consensus(_noisy_runs(m), K)),
+        "cluster_overlaps": on(lambda s, m: cluster.cluster_overlaps(_noisy_runs(m))),
         "poisson_consensus": on(lambda s, m: ensemble.poisson_consensus(m, K, 2, max_iters=1, inner_max_iters=10).weights),
         "nmf_ensemble": on(lambda s, m: _w_long(ensemble.nmf_ensemble(m, K, 2, max_iters=10).weights)),
         "residual_nmf": on(lambda s, m: _w_long(ensemble.residual_nmf(m, K, max_iters=15).weights)),
@@ -522,6 +531,45 @@ ld AS (
   FROM cells CROSS JOIN lm CROSS JOIN genes LEFT JOIN x a ON a.g = genes.g AND a.c = cells.c LEFT JOIN x b ON b.g = genes.g AND b.c = lm.l GROUP BY 1, 2)"""
 
 
+def _qual_sql(gaussian: bool) -> str:
+    """(gene_id, k, m): levels by the prior, and of missing genes the means of one assignment by the others."""
+    levels, limit = _LEVELS, "lo + (hi - lo) / 2"
+    if gaussian:
+        limit = "(hi - lo) / 2"
+        levels = levels.replace("round(s * ln(s / i + 1e-10) + (t - s) * ln((t - s) / (n - i) + 1e-10), 9)", "round(s * (s / i) + (t - s) * ((t - s) / (n - i)), 9)")
+        levels = levels.replace("coalesce(median(v) FILTER (WHERE cut IS NULL OR i <= cut), 0) AS low", "avg(v) FILTER (WHERE cut IS NULL OR i <= cut) AS low")
+        levels = levels.replace("coalesce(median(v) FILTER (WHERE cut IS NULL OR i > cut), 0) AS high", "avg(v) FILTER (WHERE cut IS NULL OR i > cut) AS high")
+    scores = "(SELECT c, k, -ll AS ll FROM " + _center_sql("m * m", "-2 * v * m", "ql") + ")" if gaussian else _center_sql("-m", "v * ln(m + 1e-10)", "ql")
+    return levels + f""",
+pe AS (SELECT g, k, q, min(q) OVER (PARTITION BY g) AS lo, max(q) OVER (PARTITION BY g) AS hi FROM prior),
+ql AS MATERIALIZED (SELECT pe.g, pe.k, CASE WHEN q > {limit} THEN high ELSE low END AS m FROM pe JOIN le ON le.g = pe.g WHERE NOT (lo = -1 AND hi = -1)),
+l1 AS MATERIALIZED {_assigned(scores)},
+z1 AS (SELECT cluster AS k, count(*) AS n FROM l1 GROUP BY 1),
+s1 AS (SELECT g, cluster AS k, sum(v) AS s FROM x JOIN l1 ON l1.c = x.c GROUP BY 1, 2),
+g1 AS (SELECT genes.g, coalesce(sum(v), 0) / (SELECT count(*) FROM cells) AS mean FROM genes LEFT JOIN x ON x.g = genes.g GROUP BY 1)
+SELECT g AS gene_id, k, round(m, 6) + 0.0 AS m FROM ql UNION ALL
+SELECT pe.g, pe.k, round(CASE WHEN n IS NULL THEN mean ELSE coalesce(s, 0) / n END, 6) + 0.0 FROM pe JOIN g1 ON g1.g = pe.g LEFT JOIN z1 ON z1.k = pe.k LEFT JOIN s1 ON s1.g = pe.g AND s1.k = pe.k WHERE lo = -1 AND hi = -1"""
+
+
+#: The likelihood's slope in r at the middle of each gene's bracket in ln r, halved 48 times; digamma(r + x) - digamma(r) is a sum of x terms.
+_NB_FIT_SQL = """,
+st AS (SELECT genes.g, coalesce(sum(v), 0) / t.n AS mean, coalesce(sum(v * v), 0) / t.n - (coalesce(sum(v), 0) / t.n) ** 2 AS var, any_value(t.n) AS n FROM genes LEFT JOIN x ON x.g = genes.g, (SELECT count(*)::DOUBLE AS n FROM cells) t GROUP BY genes.g, t.n),
+more AS (SELECT g, i, count(*)::DOUBLE AS c FROM (SELECT g, unnest(range(CAST(v AS BIGINT))) AS i FROM x) GROUP BY 1, 2),
+terms AS (SELECT g, list(c ORDER BY i) AS cs FROM more GROUP BY g),
+b0 AS (SELECT st.g, mean, n, cs, ln(greatest(mean ** 2 / (var - mean), 1e-6)) AS u FROM st JOIN terms ON terms.g = st.g WHERE var > mean AND mean > 0),
+walk AS (
+  SELECT g, u - 6.0 AS lo, u + 6.0 AS hi, 0 AS steps FROM b0 UNION ALL
+  SELECT g, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, steps + 1
+  FROM (SELECT w.g, lo, hi, steps, (lo + hi) / 2 AS mid, list_sum(list_transform(cs, lambda c, i: c / (exp((lo + hi) / 2) + i - 1))) + n * ln(exp((lo + hi) / 2) / (exp((lo + hi) / 2) + mean)) > 0 AS up FROM walk w JOIN b0 ON b0.g = w.g WHERE steps < 48))
+SELECT genes.g AS gene_id, round(mean / (exp((lo + hi) / 2) + mean), 6) AS p, round((lo + hi) / 2, 6) + 0.0 AS log_r FROM genes LEFT JOIN (SELECT walk.*, mean FROM walk JOIN b0 ON b0.g = walk.g WHERE steps = 48) f ON f.g = genes.g"""
+
+_NOISY_SQL = f""",
+cmx AS MATERIALIZED {_means_sql("lab")},
+base AS MATERIALIZED {_assigned(_center_sql(*_POISSON, centers="cmx"))},
+runs AS MATERIALIZED (SELECT run, c, CAST((cluster + run + CASE WHEN (c + 2 * run) % 7 = 0 THEN 1 ELSE 0 END) % 3 AS INTEGER) AS cluster FROM base, (SELECT unnest(range(5))::INTEGER AS run)),
+ov AS MATERIALIZED (SELECT a.run, a.cluster, b.run AS other_run, b.cluster AS other, count(*) AS n FROM runs a JOIN runs b ON a.c = b.c GROUP BY 1, 2, 3, 4)"""
+
+
 _NEAR_SQL = """, pl AS (SELECT vec_id AS a, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 near AS (
   SELECT p.a, q.a AS b, p.label AS la, q.label AS lb, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d,
@@ -604,6 +652,16 @@ SELECT n.id AS cell_id, round(min(t), 6) AS time FROM n LEFT JOIN walk ON walk.i
  (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM lab GROUP BY label)) AS b, (SELECT count(*) * (count(*) - 1) / 2 FROM lab) AS t)""",
         "nearest_neighbours": f"{_NEAR_SQL}\nSELECT a AS id, b AS other, round(d, 6) + 0.0 AS square, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 5",
         "nne_projected": f"{_NEAR_SQL}\nSELECT round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0 END), 6) AS nne FROM near WHERE rank = 1",
+        "qual_norm": _qual_sql(False),
+        "qual_norm_gaussian": _qual_sql(True),
+        "nb_fit": _NB_FIT_SQL,
+        "cluster_overlaps": _NOISY_SQL + "\nSELECT * FROM ov",
+        # each cluster joins the cluster of the first run that it is likest to; those are the groups of so clear runs
+        "consensus": _NOISY_SQL + """,
+own AS (SELECT run, cluster, n FROM ov WHERE run = other_run AND cluster = other),
+likest AS (SELECT ov.run, ov.cluster, arg_max(ov.other, round(ov.n / (a.n + b.n - ov.n), 9)) AS grp FROM ov JOIN own a ON a.run = ov.run AND a.cluster = ov.cluster JOIN own b ON b.run = ov.other_run AND b.cluster = ov.other WHERE ov.other_run = 0 GROUP BY 1, 2),
+sh AS (SELECT c, grp, count(*) AS n FROM runs JOIN likest ON likest.run = runs.run AND likest.cluster = runs.cluster GROUP BY 1, 2)
+SELECT c AS cell_id, arg_max(grp, (n, -grp)) AS cluster FROM sh GROUP BY c""",
         "landmark_distances": f", {_landmark_sql(16)}\nSELECT c AS cell_id, l AS landmark, round(d, 6) + 0.0 AS d FROM ld",
         "landmark_axis": f", {_landmark_sql(2)}\nSELECT p.c AS cell_id, 0 AS k, round((q.d ** 2 - p.d ** 2) / (2 * (SELECT max(d) FROM ld WHERE c IN (SELECT l FROM lm))), 6) + 0.0 AS value FROM ld p JOIN ld q ON p.c = q.c AND p.l < q.l",
         "nne_1nn": """, u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS i FROM embeddings),

@@ -204,11 +204,37 @@ def test_nb_and_zip_fits(spark):
     assert got[0] == pytest.approx((5, 0.3), abs=0.2) and got[1] == pytest.approx((2, 0.6), abs=0.2)
 
 
+def two_means(values: np.ndarray, gaussian: bool = False) -> tuple[float, float, np.ndarray]:
+    """(low, high, assignment to high) of one gene's values in two groups: the best cut of the sorted values.
+
+    In one dimension the optimum of Poisson (or squared-error) 2-means is a cut,
+    so all cuts are tried by prefix sums, the first of the best (to 9 places) is
+    taken.  low and high are the groups' medians.
+    """
+    order = np.argsort(values, kind="stable")
+    x = values[order]
+    n = len(x)
+    if n < 2 or x[0] == x[-1]:
+        return (float(np.median(x)),) * 2 + (np.zeros(n, bool),) if n else (0.0, 0.0, np.zeros(0, bool))
+    sums, k = np.cumsum(x)[:-1], np.arange(1, n)
+    left, right = sums / k, (x.sum() - sums) / (n - k)
+    if gaussian:
+        gain = sums * left + (x.sum() - sums) * right
+    else:
+        logs = lambda s, mean: s * np.log(mean + 1e-10)
+        gain = logs(sums, left) + logs(x.sum() - sums, right)
+    gain[x[1:] == x[:-1]] = -np.inf
+    cut = int(np.argmax(np.round(gain, 9))) + 1
+    high = np.zeros(n, bool)
+    high[order[cut:]] = True
+    return float(np.median(x[:cut])), float(np.median(x[cut:])), high
+
+
 def test_two_means_finds_best_cut():
     x = np.array([1, 30, 0, 2, 28, 31], float)
-    low, high, up = prior.two_means(x)
+    low, high, up = two_means(x)
     assert (low, high) == (1, 30) and up.tolist() == [False, True, False, False, True, True]
-    assert prior.two_means(np.array([3.0, 3.0]))[:2] == (3.0, 3.0)
+    assert two_means(np.array([3.0, 3.0]))[:2] == (3.0, 3.0)
 
 
 def test_qual_norm_fills_missing(spark, sim):
@@ -336,3 +362,80 @@ def test_objective_gradient():
 
 def test_zip_row_ll():
     assert dispersed.zip_row_ll(2.0, 0.3, np.array([1.0, 3.0]), 4) == pytest.approx(sum(math.log(0.7 * math.exp(-2) * 2**k / math.factorial(k)) for k in (1, 3)) + 4 * math.log(0.3 + 0.7 * math.exp(-2)), abs=1e-6)
+
+
+@pytest.mark.parametrize("gaussian", [False, True])
+def test_levels_by_runs_equal_the_best_cut(spark, gaussian):
+    """Prefix sums over runs against sorted dense values: few and many values, one value, only zeros, ties of the gain."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.poisson(3, 60), rng.poisson(40, 60) * (rng.random(60) < 0.4), np.full(60, 2), np.zeros(60), np.arange(60) % 2, rng.random(60) * 9]).astype(float)
+    m = matrix(spark, x)
+    got = {r.gene_id: r for r in prior.gene_levels(m, m.genes, gaussian).collect()}
+    for g in range(len(x)):
+        low, high, up = two_means(x[g], gaussian)
+        if gaussian:
+            low, high = x[g][~up].mean(), x[g][up].mean() if up.any() else x[g].mean()
+        assert (got[g].low, got[g].high) == pytest.approx((low, high))
+
+
+def plain_nb(x: np.ndarray) -> float:
+    """ln r where the likelihood's slope over all cells changes its sign, by halving."""
+    mean, var = x.mean(), x.var()
+    start = np.log(max(mean**2 / (var - mean), 1e-6))
+    lo, hi = start - 6, start + 6
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        r = np.exp(mid)
+        slope = sum((1 / (r + np.arange(int(v)))).sum() for v in x) + len(x) * np.log(r / (r + mean))
+        lo, hi = (mid, hi) if slope > 0 else (lo, mid)
+    return (lo + hi) / 2
+
+
+def test_nb_fit_is_at_the_plain_solution(spark):
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.negative_binomial(2, 0.3, 200), rng.negative_binomial(30, 0.7, 200), rng.poisson(2, 200) * (rng.random(200) < 0.1), np.zeros(200), np.full(200, 3)]).astype(float)
+    got = {r.gene_id: r for r in dispersed.nb_fit(matrix(spark, x)).collect()}
+    assert len(got) == 5 and got[3].r is None and got[4].r is None
+    for g in range(3):
+        assert x[g].var() > x[g].mean() and math.log(got[g].r) == pytest.approx(plain_nb(x[g]), abs=1e-6)
+        assert got[g].p == pytest.approx(x[g].mean() / (got[g].r + x[g].mean()))
+
+
+def test_hot_gene_is_a_table_of_its_values(spark):
+    """Two million entries of one gene: the fit and the levels see some hundred (value, number) rows."""
+    n = 2_000_000
+    entries = spark.range(n).select(F.lit(0).alias("gene_id"), F.col("id").alias("cell_id"), (F.pmod(F.xxhash64("id"), F.lit(9)) * F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9))).cast("double").alias("value"))
+    m = CountMatrix(entries.where("value > 0"), spark.range(1).withColumnRenamed("id", "gene_id"), spark.range(n).withColumnRenamed("id", "cell_id"))
+    assert dispersed.nb_fit(m).first().r > 0
+    levels = prior.gene_levels(m, m.genes).first()
+    assert 0 <= levels.low < levels.high
+
+
+def test_trigamma():
+    x = np.array([0.05, 1.0, 3.5, 40.0])
+    h = 1e-5
+    assert np.allclose(special.trigamma_np(x), (special.digamma_np(x + h) - special.digamma_np(x - h)) / (2 * h), rtol=1e-5)
+    assert special.trigamma_np(np.array([1.0]))[0] == pytest.approx(math.pi**2 / 6, abs=1e-12)
+
+
+def test_consensus_of_noisy_runs(spark):
+    """Runs with other names and a fifth of the cells wrong: the consensus is the truth but for names, and empty runs give nothing."""
+    rng = np.random.default_rng(5)
+    truth = rng.integers(0, 4, 300)
+    rows = []
+    for run in range(9):
+        name, seen = rng.permutation(4), np.where(rng.random(300) < 0.2, rng.integers(0, 4, 300), truth)
+        rows += [(run, c, int(name[seen[c]])) for c in range(300)]
+    df = spark.createDataFrame(rows, "run int, cell_id long, cluster int")
+    got = {r.cell_id: r.cluster for r in cluster.consensus(df, 4).collect()}
+    named = [np.bincount([got[c] for c in range(300) if truth[c] == t], minlength=4) for t in range(4)]
+    assert len(got) == 300 and len({int(n.argmax()) for n in named}) == 4 and sum(n.max() for n in named) >= 295
+    assert cluster.consensus(df.limit(0), 4).count() == 0
+
+
+def test_linkages_by_hand():
+    likeness = np.array([[1, 0.9, 0.5, 0.0], [0.9, 1, 0.0, 0.0], [0.5, 0.0, 1, 0.3], [0.0, 0.0, 0.3, 1]])
+    assert cluster.linked_groups(likeness, 2, "mean").tolist() == [0, 0, 1, 1]  # 0-1, then 2-3 (0.3) before 01-2 (0.25)
+    assert cluster.linked_groups(likeness, 2, "greatest").tolist() == [0, 0, 0, 1]
+    assert cluster.linked_groups(likeness, 2, "least").tolist() == [0, 0, 1, 1]
+    assert cluster.linked_groups(likeness, 9, "mean").tolist() == [0, 1, 2, 3]
