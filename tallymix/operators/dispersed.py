@@ -49,7 +49,7 @@ def nb_slopes(histogram: DataFrame, r: DataFrame) -> DataFrame:
             genes, at = np.unique(np.asarray(b.column("gene_id")), return_inverse=True)
             r, x, n = (np.asarray(b.column(c)).astype(float) for c in ("r", "value", "n"))
             sums = [np.bincount(at, n * (f(r + x) - f(r)), minlength=len(genes)) for f in (digamma_np, trigamma_np)]
-            yield pa.RecordBatch.from_arrays([pa.array(genes), *map(pa.array, sums)], ["gene_id", "first", "second"])
+            yield pa.RecordBatch.from_arrays([pa.array(genes.astype(np.int64)), *map(pa.array, sums)], ["gene_id", "first", "second"])
 
     return histogram.join(r, "gene_id").mapInArrow(run, "gene_id long, first double, second double").groupBy("gene_id").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
 
