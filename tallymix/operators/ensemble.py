@@ -105,7 +105,7 @@ def residual_nmf(m: CountMatrix, k: int, ks: int = 1, seed: int = 0, **options)
 
 def poisson_lda_tsne(m: CountMatrix, k: int, n_runs: int = 10, seed: int = 0, max_iters: int = 50, **options) -> Estimate:
     """State estimation from the consensus of k-means on t-SNE maps of several topic models' weights."""
-    from .factor import lda_estimate_state
+    from .lda import lda_estimate_state
 
     labels = _by_tsne(m, k, [lda_estimate_state(m, k, seed=seed + j, max_iters=max_iters) for j in range(n_runs)], seed)
     return poisson_estimate_state(m, k, init_weights=labels, seed=seed, **options)

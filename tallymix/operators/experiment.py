@@ -13,10 +13,11 @@ from ..functions.vectors import argmax
 from .cluster import bicluster, cocluster, consensus, dbscan, poisson_cluster
 from .ensemble import stacked
 from .evaluate import ari, contingency, nearest_label_accuracy, nmi, purity
-from .factor import kmeans_labels, lda_estimate_state, log_norm_nmf, nmf, poisson_estimate_state, truncated_svd
+from .factor import kmeans_labels, log_norm_nmf, nmf, poisson_estimate_state, truncated_svd
 from .matrix import CountMatrix
 from .prep import log1p, log_norm
 from .embed import embed_tsne
+from .lda import lda_estimate_state
 from .reduce import pca
 
 Vectors = DataFrame

@@ -584,28 +584,6 @@ def fuzzy_weights(distances: DataFrame, eps: float = 1e-10) -> DataFrame:
     return inverse.join(sums, "cell_id").select("cell_id", "k", (F.col("i") / F.col("s")).alias("w"))
 
 
-def lda_estimate_state(m: CountMatrix, k: int, alpha: float = 0.05, beta: float = 0.01, max_iters: int = 50, seed: int = 0) -> Estimate:
-    """Topics as means, scaled to the data's mean total, and documents' topics as weights; topics are genes x k numbers, which LDA holds on the driver."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    spark, genes = m.cells.sparkSession, dimension(m.genes, "gene_id")
-    vector = F.udf(lambda idx, val: SparseVector(len(genes), dict(zip(np.searchsorted(genes, idx).tolist(), val, strict=True))), VectorUDT())
-    data = m.packed_cells().select("cell_id", vector("idx", "val").alias("features")).persist()
-    model = LDA(k=k, maxIter=max_iters, seed=seed, docConcentration=[alpha] * k, topicConcentration=max(beta, 1e-9), optimizer="online").fit(data)
-    topics = model.topicsMatrix().toArray()
-    topics = topics / np.maximum(topics.sum(0), 1e-300)
-    weights = stored(model.transform(data).select("cell_id", vector_to_array("topicDistribution").alias("w")).select("cell_id", _to_one("w").alias("w")))
-    data.unpersist()
-    mean_total = cell_totals(m).agg(F.avg("total")).first()[0] or 0.0
-    means = stored(frame_of(spark, "gene_id", genes, "m", topics * mean_total))
-    return Estimate(means, weights, poisson_cost(m, means, weights))
-
-
-def plda_estimate_state(m: CountMatrix, k: int, max_iters: int = 150, seed: int = 0) -> Estimate:
-    return lda_estimate_state(m, k, alpha=0.1, beta=0.01, max_iters=max_iters, seed=seed)
-
-
 DISTRIBUTIONS = {
     "poiss": "poisson", "poisson": "poisson", "nb": "nb", "zip": "zip",
     "lognorm": "lognorm", "log-normal": "lognorm", "lognormal": "lognorm", "gaussian": "gaussian", "norm": "gaussian", "normal": "gaussian", "none": "none",
@@ -651,4 +629,4 @@ def run_baseline(m: CountMatrix, k: int, seed: int = 0) -> Estimate:
     return Estimate(stored(means), stored(weights), 0.0)
 
 
-__all__ = ["Estimate", "Layout", "fuzzy_weights", "lda_estimate_state", "log_norm_nmf", "nearest_weights", "nmf", "nmf_start", "norm_nmf", "normalized", "plda_estimate_state", "poisson_estimate_state", "run_baseline", "run_state_estimation", "sweep", "sweeps", "truncated_svd", "update_m", "update_m_init"]
+__all__ = ["Estimate", "Layout", "fuzzy_weights", "log_norm_nmf", "nearest_weights", "nmf", "nmf_start", "norm_nmf", "normalized", "poisson_estimate_state", "run_baseline", "run_state_estimation", "sweep", "sweeps", "truncated_svd", "update_m", "update_m_init"]

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special, vectors
-from ..operators import cluster, dispersed, embed, ensemble, evaluate, experiment, factor, fitdist, likelihood, lineage, matrix, neighbours, prep, prior, reduce, simulate
+from ..operators import cluster, dispersed, embed, ensemble, evaluate, experiment, factor, fitdist, lda, likelihood, lineage, matrix, neighbours, prep, prior, reduce, simulate
 from ..operators.store import shared_folder, stored
 from ..sources import tables, text
 
@@ -196,6 +196,18 @@ def _noisy_runs(m: matrix.CountMatrix, n: int = 5) -> DataFrame:
     return runs.select("run", "cell_id", F.pmod(F.col("cluster") + F.col("run") + wrong, F.lit(K)).cast("int").alias("cluster"))
 
 
+def _lda_tokens(spark: SparkSession, m: matrix.CountMatrix) -> DataFrame:
+    """Tokens of each gene and each cell after three passes: sampling moves them between topics only."""
+    state = stored(lda.sampled(m, K, 0.05, 0.01, 3, 2))
+    both = [lda.topic_counts(state, key, K).select(F.lit(side).alias("side"), F.col(key).alias("id"), F.aggregate("nw", F.lit(0).cast("long"), lambda s, v: s + v).alias("tokens")) for side, key in (("gene", "gene_id"), ("cell", "cell_id"))]
+    return both[0].unionByName(both[1])
+
+
+def _certain(m: matrix.CountMatrix) -> DataFrame:
+    """Weights that put a cell wholly into the component c mod 3."""
+    return m.cells.select("cell_id", F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda j: (F.pmod("cell_id", F.lit(3)) == j).cast("double")).alias("w"))
+
+
 def _landmarks(m: matrix.CountMatrix, n: int) -> DataFrame:
     return m.cells.orderBy("cell_id").limit(n)
 
@@ -238,7 +250,9 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "poisson_state_estimation": flagship,
         "run_baseline": on(lambda s, m: factor.run_baseline(m, K).weights),
         "lbfgs_state_estimation": on(lambda s, m: factor.poisson_estimate_state(m, K, max_iters=2, inner_max_iters=20, initialization="random", method="L-BFGS-B").weights),
-        "lda_state_estimation": on(lambda s, m: factor.lda_estimate_state(m, K, max_iters=10).weights),
+        "lda_state_estimation": on(lambda s, m: lda.lda_estimate_state(m, K, max_iters=10).weights),
+        "lda_tokens": on(_lda_tokens),
+        "lda_warm_start": on(lambda s, m: _w_long(lda.lda_estimate_state(m, K, max_iters=0, init_means=_am(m), init_weights=_certain(m)).weights)),
         "gap_statistic": on(lambda s, m: s.createDataFrame([(k, *cluster.gap(cluster.reduced(m), k, 2)) for k in (1, 3)], "k int, gap double, s double")),
         "select_k": on(lambda s, m: s.createDataFrame([(cluster.select_k(m, 1, 7, 2, 3),)], "k int")),
         "truncated_svd": on(lambda s, m: factor.truncated_svd(prep.log_norm(m), 3)[0]),
@@ -652,6 +666,9 @@ SELECT n.id AS cell_id, round(min(t), 6) AS time FROM n LEFT JOIN walk ON walk.i
  (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM lab GROUP BY label)) AS b, (SELECT count(*) * (count(*) - 1) / 2 FROM lab) AS t)""",
         "nearest_neighbours": f"{_NEAR_SQL}\nSELECT a AS id, b AS other, round(d, 6) + 0.0 AS square, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 5",
         "nne_projected": f"{_NEAR_SQL}\nSELECT round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0 END), 6) AS nne FROM near WHERE rank = 1",
+        "lda_tokens": "SELECT 'gene' AS side, g AS id, CAST(sum(v) AS BIGINT) AS tokens FROM x GROUP BY g UNION ALL SELECT 'cell', c, CAST(sum(v) AS BIGINT) FROM x GROUP BY c",
+        # all tokens of a cell start in its component
+        "lda_warm_start": "SELECT cells.c AS cell_id, k, round((CASE WHEN cells.c % 3 = k THEN coalesce(t, 0) ELSE 0 END + 0.05) / (coalesce(t, 0) + 0.15), 6) + 0.0 AS value FROM cells CROSS JOIN (SELECT unnest(range(3))::INTEGER AS k) LEFT JOIN (SELECT c, sum(v) AS t FROM x GROUP BY c) s ON s.c = cells.c",
         "qual_norm": _qual_sql(False),
         "qual_norm_gaussian": _qual_sql(True),
         "nb_fit": _NB_FIT_SQL,

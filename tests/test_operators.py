@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymix.functions import special, vectors
-from tallymix.operators import cluster, dispersed, evaluate, factor, lineage, prep, prior, reduce, simulate
+from tallymix.operators import cluster, dispersed, evaluate, factor, lda, lineage, prep, prior, reduce, simulate
 from tallymix.operators.matrix import CountMatrix, unpacked
 from tallymix.sources import text
 from tallymix.streaming import scoring
@@ -114,7 +114,7 @@ def test_lbfgs_method(spark, sim):
 
 
 def test_topics_beyond_the_driver_keep_their_weights(sim, monkeypatch):
-    e = factor.lda_estimate_state(sim[0], 3, max_iters=5)
+    e = lda.lda_estimate_state(sim[0], 3, max_iters=5)
     assert np.allclose(e.w.sum(1), 1) and e.w.shape == (240, 3)
 
 
