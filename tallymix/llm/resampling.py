@@ -355,7 +355,7 @@ def resample(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     which the count may end, of whose rows any as many are taken.
     """
     columns = docs.columns
-    ranks = stored(importance_ranks(docs.select("doc_id", "text"), target, **options), shared_folder(docs.sparkSession))
+    ranks = stored(importance_ranks(docs.select("doc_id", "text"), target, **options), shared_folder(docs.sparkSession), "ranks")
     drawn = ranks.where("rank is not null").groupBy(F.col("doc_id").alias("d_"), F.col("tie").alias("t_")).agg(F.count("*").alias("n_"))
     last = ranks.where("rank is not null").orderBy(F.desc("rank")).select("doc_id", "tie", "score").first()
     if last is None:
