@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -296,18 +297,26 @@ def poisson_cost(m: CountMatrix, means: DataFrame, weights: DataFrame) -> float:
     return float((_sums(means, "m") @ _sums(weights, "w") - logs) / max(1, m.n_genes()))
 
 
-def truncated_svd(m: CountMatrix, n: int, seed: int = 0, passes: int = 5, centred: bool = False) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+#: Genes whose sums travel in one row between tasks, and first-level groups of tasks.
+SUM_GENES, SUM_GROUPS = 1024, 64
+
+
+def truncated_svd(m: CountMatrix, n: int, seed: int = 0, passes: int = 5, centred: bool = False) -> tuple[DataFrame, np.ndarray | DataFrame, np.ndarray]:
     """(scores (cell_id, vec), right vectors (genes, n), singular values); of cells less their mean if ``centred``.
 
-    Subspace iteration: each pass sums a'(aq) over the cells of a partition, so
-    only genes x n numbers per task meet on the driver.  The mean enters as a
-    correction of rank one; rows stay sparse.
+    Subspace iteration: each pass sums a'(aq) over the cells of a partition;
+    tasks' sums are added by blocks of genes in two levels, and only genes x n
+    numbers meet on the driver.  The mean enters as a correction of rank one;
+    rows stay sparse.  If the right vectors are beyond ``FACTOR_BYTES`` both
+    sides are tables instead, and the right vectors come as (gene_id, vec).
     """
+    if m.n_genes() * n * 8 > FACTOR_BYTES:
+        from .tall import svd_tables
+
+        return svd_tables(m, n, seed, passes, centred)
     genes = dimension(m.genes, "gene_id")
     packed = stored(m.packed_cells())
     n = max(1, min(n, len(genes)))
-    if len(genes) * n * 8 > FACTOR_BYTES:
-        raise ValueError("genes x vectors beyond FACTOR_BYTES: transpose the matrix or take fewer vectors")
     mean, n_cells = np.zeros(len(genes)), m.n_cells()
     if centred:
         from .prep import gene_mean_var
@@ -315,7 +324,7 @@ def truncated_svd(m: CountMatrix, n: int, seed: int = 0, passes: int = 5, centre
         t = gene_mean_var(m).select("gene_id", "mean").toArrow()
         mean[np.searchsorted(genes, np.asarray(t.column("gene_id")))] = np.asarray(t.column("mean"))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(genes), n)))[0]
-    sc = packed.sparkSession.sparkContext
+    sc, tasks = packed.sparkSession.sparkContext, packed.rdd.getNumPartitions()
 
     def product(q: np.ndarray) -> np.ndarray:
         sent = sc.broadcast((genes, q))
@@ -327,9 +336,19 @@ def truncated_svd(m: CountMatrix, n: int, seed: int = 0, passes: int = 5, centre
                 idx, val, row, size = _flat(b, ids)
                 scores = _row_sums(qq[idx] * val[:, None], size)
                 np.add.at(total, idx, scores[row] * val[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
-
-        total = sum(np.frombuffer(r["sum"]).reshape(q.shape) for r in packed.mapInArrow(run, "sum binary").toLocalIterator())
+            starts, group = range(0, len(total), SUM_GENES), TaskContext.get().partitionId() % SUM_GROUPS
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([group] * len(starts), pa.int32()), pa.array([total[a : a + SUM_GENES].tobytes() for a in starts], pa.binary())], ["start", "part", "sum"])
+
+        def add(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_py()) for x in t.column("sum"))
+            return pa.table({"start": t.column("start")[:1], "part": t.column("part")[:1], "sum": pa.array([total.tobytes()], pa.binary())})
+
+        kind, total = "start long, part int, sum binary", np.zeros_like(q)
+        once = packed.mapInArrow(run, kind)
+        if tasks > SUM_GROUPS:
+            once = once.groupBy("start", "part").applyInArrow(add, kind)
+        for r in once.groupBy("start").applyInArrow(add, kind).collect():  # one row per block of genes
+            total[r.start : r.start + SUM_GENES] = np.frombuffer(r["sum"]).reshape(-1, n)
         sent.unpersist()
         return total - n_cells * np.outer(mean, mean @ q)
 

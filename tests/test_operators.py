@@ -439,3 +439,29 @@ def test_linkages_by_hand():
     assert cluster.linked_groups(likeness, 2, "greatest").tolist() == [0, 0, 0, 1]
     assert cluster.linked_groups(likeness, 2, "least").tolist() == [0, 0, 1, 1]
     assert cluster.linked_groups(likeness, 9, "mean").tolist() == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("centred", [False, True])
+def test_svd_with_both_sides_as_tables(spark, monkeypatch, centred):
+    """The same singular values and spaces with FACTOR_BYTES at 1 KB."""
+    x = np.random.default_rng(5).poisson(3, (40, 60)).astype(float) + 5 * np.outer(np.arange(40) % 3, np.arange(60) % 4)
+    monkeypatch.setattr(factor, "FACTOR_BYTES", 1 << 10)
+    scores, right, values = factor.truncated_svd(matrix(spark, x), 4, passes=8, centred=centred)
+    u, s, vt = np.linalg.svd(x - x.mean(1, keepdims=True) * centred)
+    got = np.array([r.vec for r in scores.orderBy("cell_id").collect()])
+    genes = np.array([r.vec for r in right.orderBy("gene_id").collect()])
+    assert np.isclose(values[0], s[0], rtol=1e-6) and np.isclose(values[1], s[1], rtol=1e-2) and np.allclose(genes.T @ genes, np.eye(4), atol=1e-9)
+    assert np.allclose(np.abs(got[:, 0]), np.abs(vt[0] * s[0]), atol=1e-3 * s[0]) and np.allclose(np.abs(genes[:, 0]), np.abs(u[:, 0]), atol=1e-3)
+
+
+def test_orthonormal_of_dependent_columns(spark):
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+    from tallymix.operators import tall
+
+    x = np.random.default_rng(1).normal(size=(30, 3))
+    x[:, 2] = x[:, 0] + x[:, 1]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], StructType([StructField("gene_id", LongType()), StructField("vec", ArrayType(DoubleType()))]))
+    q = np.array([r.vec for r in tall.orthonormal(df, "gene_id", 3).orderBy("gene_id").collect()])
+    e = np.linalg.eigvalsh(q.T @ q)
+    assert np.allclose(e, [0, 1, 1], atol=1e-9)
