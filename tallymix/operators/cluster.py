@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .density import dbscan
 from .likelihood import best_center, nb_ll, poisson_dist_mat, poisson_ll, zip_ll
 from .matrix import CountMatrix
 from .prep import log_norm
@@ -212,34 +213,6 @@ def select_k(m: CountMatrix, k_min: int = 1, k_max: int = 50, n_reference: int =
     return k
 
 
-def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5) -> DataFrame:
-    """(cell_id, cluster) of points (cell_id, vec): -1 is noise, other clusters carry their least core cell_id.
-
-    Candidate neighbours meet in cells of a grid over the first two dimensions
-    (width eps, each point also in the adjacent ones); clusters are the
-    components of core points within eps, by repeated least labels.
-    """
-    dims = F.least(F.size("vec"), F.lit(2))
-    at = lambda j: F.when(dims > j, F.floor(F.get("vec", F.lit(j)) / eps)).otherwise(0)
-    p = points.select("cell_id", "vec", at(0).alias("gx"), at(1).alias("gy"))
-    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    q = p.select(F.col("cell_id").alias("other"), F.col("vec").alias("v2"), "gx", "gy", F.explode(steps).alias("s")).select("other", "v2", (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"))
-    square = F.aggregate(F.zip_with("vec", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = p.join(q, ["gx", "gy"]).where(square <= eps * eps).select("cell_id", "other").persist()
-    core = near.groupBy("cell_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("cell_id").persist()
-    links = near.join(core, "cell_id").join(core.select(F.col("cell_id").alias("other")), "other").persist()
-    labels = core.select("cell_id", F.col("cell_id").alias("cluster"))
-    while True:
-        best = links.join(labels.withColumnRenamed("cell_id", "other"), "other").groupBy("cell_id").agg(F.min("cluster").alias("cluster"))
-        new = stored(best)
-        changed = new.alias("a").join(labels.alias("b"), "cell_id").where("a.cluster <> b.cluster").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    border = near.join(labels.withColumnRenamed("cell_id", "other"), "other").groupBy("cell_id").agg(F.min("cluster").alias("cluster"))
-    return points.select("cell_id").join(labels.union(border.join(core, "cell_id", "left_anti")), "cell_id", "left").fillna(-1, ["cluster"])
-
-
 def cluster_overlaps(runs: DataFrame) -> DataFrame:
     """(run, cluster, other_run, other, n): how many cells two clusters of any runs share, each with itself included.
 

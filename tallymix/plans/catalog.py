@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special, vectors
-from ..operators import cluster, dispersed, embed, ensemble, evaluate, experiment, factor, fitdist, lda, likelihood, lineage, matrix, neighbours, prep, prior, reduce, simulate
+from ..operators import cluster, density, dispersed, embed, ensemble, evaluate, experiment, factor, fitdist, lda, likelihood, lineage, matrix, neighbours, prep, prior, reduce, simulate
 from ..operators.store import shared_folder, stored
 from ..sources import tables, text
 
@@ -239,7 +239,7 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "qual_norm_levels": on(lambda s, m: _r(prior.gene_levels(m, m.genes), "low", "high", "w2")),
         "qual_norm_filter_genes": on(lambda s, m: _r(prior.qual_norm_filter_genes(m, _prior(m))[0], "m")),
         "hold_out": on(lambda s, m: _r(simulate.hold_out(m, 0.1)[1].select("gene_id", "cell_id", "value"), "value")),
-        "dbscan": lambda s, d: cluster.dbscan(_points(s, d).select("cell_id", F.array("fx", "fy").alias("vec")), 0.05, 5),
+        "dbscan": lambda s, d: density.dbscan(_points(s, d).select("cell_id", F.array("fx", "fy").alias("vec")), 0.05, 5),
         "run_experiment": on(_experiment),
         "nearest_weights": on(lambda s, m: _w_long(factor.nearest_weights(m, _means(m), K))),
         "nmf_start": on(lambda s, m: _w_long(factor.nmf_start(m, _labels(m), K)[1])),
