@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,33 +88,55 @@ def curve_edges(points: DataFrame, coord: str = "coord") -> DataFrame:
     return points.select(F.col("cell_id").alias("src"), after.alias("dst")).where("dst is not null")
 
 
+#: Halvings of the whole width that are tried for the first squares, and how many places one of these may hold on average.
+LEVELS, FIRST_ROWS = 48, 4
+
+
+def first_level(points: DataFrame, whole: float, x0: float, y0: float, x: str, y: str) -> int:
+    """How often the whole width is halved until squares hold few places each.
+
+    The squares in use are counted at all levels in one pass, so that points far
+    out, which widen the box, don't widen the squares of the others.
+    """
+    square = lambda j: F.struct(*(F.floor((F.col(c) - F.lit(low)) / F.lit(whole / 2**j)) for c, low in ((x, x0), (y, y0))))
+    counts = points.agg(*(F.approx_count_distinct(square(j)).alias(f"l{j}") for j in range(0, LEVELS, 2)), F.count("*").alias("n")).first()
+    return next((j for j in range(0, LEVELS, 2) if counts[f"l{j}"] * FIRST_ROWS >= counts["n"]), LEVELS - 2)
+
+
 def nearest_links(points: DataFrame, x: str = "fx", y: str = "fy") -> DataFrame:
     """(src, dst): for each cluster the closest pair with a cell of another one.
 
-    Cells meet in the squares of a grid and the squares beside them, so a pair
-    not farther apart than the squares are wide is found.  The squares start so
-    small that a cell has few neighbours; clusters that find none that near go on
-    with squares twice as wide.
+    Cells meet in squares and the squares beside them, so a pair not farther
+    apart than the squares are wide is found.  The squares start so small that
+    most hold few places, wherever the outermost cells lie; only those are joined
+    that have two clusters in or beside them, and of a cluster's cells at one
+    place the least id.  Clusters that find none that near go on with squares
+    four times as wide.
     """
-    ends = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n")).first()
+    places = stored(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy("cluster", x, y).agg(F.min("cell_id").alias("cell_id")))
+    ends = places.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    if places.select("cluster").distinct().limit(2).count() < 2:
+        return places.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst")).limit(0)
     whole = max((ends.x1 or 0) - (ends.x0 or 0), (ends.y1 or 0) - (ends.y0 or 0)) or 1.0
-    width, rest, out = whole / max(1.0, math.sqrt(ends.n)), points, []
+    width, rest, out = whole / 2 ** first_level(places, whole, ends.x0 or 0.0, ends.y0 or 0.0, x, y), places, []
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     while True:
-        cell = lambda c, low: F.floor((F.col(c) - F.lit(low)) / width)  # noqa: B023, E731
-        at = lambda p, a, b: p.select(F.col("cell_id").alias(a), F.col("cluster").alias(f"c_{a}"), F.col(x).alias(f"x_{a}"), F.col(y).alias(f"y_{a}"), *b)
-        gx, gy = cell(x, ends.x0), cell(y, ends.y0)
-        steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        left = at(rest, "src", (gx.alias("gx"), gy.alias("gy")))
-        right = at(points, "dst", (gx.alias("hx"), gy.alias("hy"))).withColumn("s", F.explode(steps)).withColumns({"gx": F.col("hx") + F.col("s.i"), "gy": F.col("hy") + F.col("s.j")})
+        cell = lambda c, low: F.floor((F.col(c) - F.lit(low)) / F.lit(width))  # noqa: B023, E731
+        at = lambda p, a: p.select(F.col("cell_id").alias(a), F.col("cluster").alias(f"c_{a}"), F.col(x).alias(f"x_{a}"), F.col(y).alias(f"y_{a}"), cell(x, ends.x0).alias("gx"), cell(y, ends.y0).alias("gy"))  # noqa: B023, E731
+        around = lambda df: df.withColumn("s", steps).withColumns({"gx": F.col("gx") + F.col("s.i"), "gy": F.col("gy") + F.col("s.j")}).drop("s")
+        left, right = at(rest, "src"), at(places, "dst")
+        # squares that have two clusters in or beside them
+        seen = around(right.groupBy("gx", "gy").agg(F.min("c_dst").alias("c0"), F.max("c_dst").alias("c1")))
+        mixed = seen.groupBy("gx", "gy").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 < c1").select("gx", "gy")
         d = F.round(F.pow(F.col("x_src") - F.col("x_dst"), 2) + F.pow(F.col("y_src") - F.col("y_dst"), 2), 9)
-        found = left.join(right, ["gx", "gy"]).where("c_src <> c_dst").groupBy("c_src").agg(F.min(F.struct(d.alias("d"), "src", "dst")).alias("e"))
+        found = left.join(mixed, ["gx", "gy"], "left_semi").join(around(right), ["gx", "gy"]).where("c_src <> c_dst").groupBy("c_src").agg(F.min(F.struct(d.alias("d"), "src", "dst")).alias("e"))
         if width < whole:
             found = found.where(F.col("e.d") <= width * width)
         out.append(stored(found.select(F.col("c_src").alias("cluster"), "e.src", "e.dst")))
         rest = rest.join(out[-1], "cluster", "left_anti")
         if width >= whole or rest.isEmpty():
             break
-        width = min(whole, 2 * width)
+        width = min(whole, 4 * width)
     links = out[0]
     for more in out[1:]:
         links = links.union(more)

@@ -296,6 +296,20 @@ def test_nearest_links_equal_all_pairs(spark):
     assert lineage.nearest_links(one).count() == 0 and lineage.nearest_links(one.where("false")).count() == 0
 
 
+def test_one_far_cell_does_not_widen_the_squares(spark):
+    """Two clusters of 20 000 cells that nearly touch and one cell far out; without small squares all would pair with all."""
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.random((20_000, 2)), rng.random((20_000, 2)) + [1.0005, 0], [[1e9, 1e9]]])
+    rows = [(i, min(i // 20_000, 2), float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    got = dict(map(tuple, lineage.nearest_links(spark.createDataFrame(rows, "cell_id long, cluster int, fx double, fy double").repartition(4)).collect()))
+    a, b = xy[:20_000], xy[20_000:40_000]
+    edge_a, edge_b = np.argsort(-a[:, 0])[:1500], np.argsort(b[:, 0])[:1500]
+    d = ((a[edge_a][:, None] - b[edge_b][None]) ** 2).sum(-1)
+    i, j = divmod(int(d.argmin()), 1500)
+    assert got[int(edge_a[i])] == int(edge_b[j]) + 20_000 and got[int(edge_b[j]) + 20_000] == int(edge_a[i])
+    assert 40_000 in got and len(got) == 3
+
+
 def test_text_round_trips(spark, sim, tmp_path):
     m = sim[0]
     text.write_matrix_market(m, str(tmp_path / "m"))
