@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax
 from .cluster import bicluster, cocluster, consensus, dbscan, poisson_cluster
+from .embed import embed_tsne
 from .ensemble import stacked
 from .evaluate import ari, contingency, nearest_label_accuracy, nmi, purity
 from .factor import kmeans_labels, log_norm_nmf, nmf, poisson_estimate_state, truncated_svd
-from .matrix import CountMatrix
-from .prep import log1p, log_norm
-from .embed import embed_tsne
 from .lda import lda_estimate_state
-from .reduce import pca
+from .matrix import CountMatrix, long_factor
+from .prep import log1p, log_norm
+from .reduce import mds, pca
+from .store import stored
 
 Vectors = DataFrame
 
@@ -76,6 +77,26 @@ def ensemble_step(estimate: Callable, **options) -> Step:
     return Step(estimate.__name__, lambda m, k: _weights(estimate(m, k, **options)))
 
 
+def means_step(**options) -> Step:
+    """The states themselves as points: (cell_id, vec) is a state's number and its means."""
+
+    def run(m: CountMatrix, k: int) -> Vectors:
+        rows = poisson_estimate_state(m, k, **options).means.select("gene_id", F.posexplode("m").alias("cell_id", "v"))
+        return rows.groupBy(F.col("cell_id").cast("long").alias("cell_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("gene_id", "v"))), lambda s: s["v"]).alias("vec"))  # k rows
+
+    return Step("poisson_m", run)
+
+
+def mds_step(dimensions: int = 2, **options) -> Step:
+    """Cells by the states' places."""
+
+    def run(m: CountMatrix, k: int) -> Vectors:
+        e = poisson_estimate_state(m, k, **options)
+        return mds(long_factor(e.means, "gene_id", "m"), e.weights, dimensions).withColumnRenamed("x", "vec")
+
+    return Step("poisson_mds", run)
+
+
 def imputed_step(**options) -> Step:
     """The matrix as its states reconstruct it at its own entries."""
 
@@ -101,7 +122,7 @@ POISSON = Clusterer("poisson", lambda m, k, seed: poisson_cluster(m, k, seed=see
 def run_experiment(methods: list[tuple[Step | list[Step], Clusterer | list[Clusterer]]], m: CountMatrix, k: int, labels: DataFrame, n_runs: int = 10, use_nmi: bool = True, use_ari: bool = True, use_nne: bool = False, with_consensus: bool = False) -> DataFrame:
     """(run, method, metric, value, seconds) for labels (cell_id, label).
 
-    The output of each chain of steps is persisted and shared by its clusterers.
+    The output of each chain of steps is stored and shared by its clusterers.
     """
     spark, out, kept = m.cells.sparkSession, [], {}
     for run in range(n_runs):
@@ -111,12 +132,12 @@ def run_experiment(methods: list[tuple[Step | list[Step], Clusterer | list[Clust
             for step in steps:
                 data = step.run(data, k)
             if isinstance(data, DataFrame):
-                data = data.persist()
+                data = stored(data)
             took = time.time() - began
             for clusterer in clusterers if isinstance(clusterers, list) else [clusterers]:
                 began, name = time.time(), "_".join([*(s.name for s in steps), clusterer.name])
-                found = clusterer.run(data, k, run).persist()
-                table = contingency(found, labels).persist()
+                found = stored(clusterer.run(data, k, run))
+                table = stored(contingency(found, labels))
                 scores = {"purity": purity(table).first()[0]}
                 if use_nmi:
                     scores["nmi"] = nmi(table).first()[0]

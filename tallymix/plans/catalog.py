@@ -161,6 +161,19 @@ def _experiment(spark: SparkSession, m: matrix.CountMatrix) -> DataFrame:
     return _r(experiment.run_experiment([(experiment.IDENTITY, one)], m, K, _true(m), n_runs=1).select("run", "method", "metric", "value"), "value")
 
 
+def _chains(spark: SparkSession, m: matrix.CountMatrix) -> DataFrame:
+    """Five chains of a step and a clusterer from fixed starts, scored against one set of labels."""
+    make = experiment.Clusterer
+    hard = [
+        make("em", lambda x, k, seed: cluster.em_step(x, _labels(x), k)),
+        make("em2", lambda x, k, seed: cluster.em_step(x, stored(cluster.em_step(x, _labels(x), k)), k)),
+        make("zip", lambda x, k, seed: cluster.zip_cluster(x, k, 2, init=_labels(x))[0]),
+        make("nb", lambda x, k, seed: cluster.nb_cluster(x, k, 2, init=_labels(x))[0]),
+    ]
+    states = experiment.Step("states", lambda x, k: _two(x).weights.withColumnRenamed("w", "vec"))
+    return _r(experiment.run_experiment([(experiment.IDENTITY, hard), (states, experiment.ARGMAX)], m, K, _true(m), n_runs=1).select("run", "method", "metric", "value"), "value")
+
+
 def _written(lines: DataFrame) -> str:
     path = shared_folder(lines.sparkSession)
     text.write_lines(lines, path)
@@ -241,6 +254,7 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hold_out": on(lambda s, m: _r(simulate.hold_out(m, 0.1)[1].select("gene_id", "cell_id", "value"), "value")),
         "dbscan": lambda s, d: density.dbscan(_points(s, d).select("cell_id", F.array("fx", "fy").alias("vec")), 0.05, 5),
         "run_experiment": on(_experiment),
+        "run_experiment_chains": on(_chains),
         "nearest_weights": on(lambda s, m: _w_long(factor.nearest_weights(m, _means(m), K))),
         "nmf_start": on(lambda s, m: _w_long(factor.nmf_start(m, _labels(m), K)[1])),
         "nb_objective": on(lambda s, m: _one(dispersed.nb_objective(m, _means(m), _weights(m), m.genes.select("gene_id", (1.0 + F.pmod("gene_id", F.lit(5))).alias("r"))))),
@@ -459,6 +473,18 @@ def _rounds_sql(first: str, step: Callable[[str], str], score: tuple[str, str],
     return ",\n" + ",\n".join(out)
 
 
+def _scored_sql(method: str, ctes: str, labels: str, top: bool = False) -> str:
+    """The metrics of one method's labels (c, cluster) against ``lab``'s; as the whole query or as a part of one."""
+    return f"""{ctes if top else "WITH " + ctes.lstrip(", ")},
+jt AS (SELECT q.cluster, lab.label FROM {labels} q JOIN lab ON lab.c = q.c), ct AS (SELECT cluster, label, count(*) AS n FROM jt GROUP BY 1, 2),
+tc AS (SELECT *, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY cluster) AS nc, sum(n) OVER (PARTITION BY label) AS nl FROM ct),
+en AS (SELECT (SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM jt) AS p FROM jt GROUP BY cluster)) AS hc, (SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM jt) AS p FROM jt GROUP BY label)) AS hl, (SELECT sum(n / t * ln(n * t / (nc * nl))) FROM tc) AS mi),
+ra AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM ct) AS s, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM jt GROUP BY cluster)) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM jt GROUP BY label)) AS b, (SELECT count(*) * (count(*) - 1) / 2 FROM jt) AS t)
+SELECT 0 AS run, '{method}' AS method, metric, round(value, 6) + 0.0 AS value FROM (
+ SELECT 'purity' AS metric, (SELECT sum(top) / sum(al) FROM (SELECT max(n) AS top, sum(n) AS al FROM ct GROUP BY cluster)) AS value
+ UNION ALL SELECT 'nmi', mi / ((hc + hl) / 2) FROM en UNION ALL SELECT 'ari', (s - a * b / t) / ((a + b) / 2 - a * b / t) FROM ra)"""
+
+
 def _moved_w(mc: str, wc: str, masked: bool = False) -> str:
     """(c, k, w) after one sweep."""
     push = "coalesce(push, 0)" if masked else "sm"
@@ -719,14 +745,14 @@ core AS MATERIALIZED (SELECT cell_id FROM near GROUP BY 1 HAVING count(*) >= 5),
 walk AS (SELECT cell_id, cell_id AS root FROM core UNION SELECT link.other, walk.root FROM walk JOIN link ON link.cell_id = walk.cell_id), lb AS (SELECT cell_id, min(root) AS cluster FROM walk GROUP BY 1),
 bd AS (SELECT near.cell_id, min(lb.cluster) AS cluster FROM near JOIN lb ON lb.cell_id = near.other WHERE near.cell_id NOT IN (FROM core) GROUP BY 1)
 SELECT pts.cell_id, coalesce(lb.cluster, bd.cluster, -1) AS cluster FROM pts LEFT JOIN lb ON lb.cell_id = pts.cell_id LEFT JOIN bd ON bd.cell_id = pts.cell_id""",
-        "run_experiment": _rounds_sql("(SELECT c, cluster FROM lab)", _means_sql, _POISSON, 1) + """,
-jt AS (SELECT l1.cluster, lab.label FROM l1 JOIN lab ON lab.c = l1.c), ct AS (SELECT cluster, label, count(*) AS n FROM jt GROUP BY 1, 2),
-tc AS (SELECT *, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY cluster) AS nc, sum(n) OVER (PARTITION BY label) AS nl FROM ct),
-en AS (SELECT (SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM jt) AS p FROM jt GROUP BY cluster)) AS hc, (SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM jt) AS p FROM jt GROUP BY label)) AS hl, (SELECT sum(n / t * ln(n * t / (nc * nl))) FROM tc) AS mi),
-ra AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM ct) AS s, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM jt GROUP BY cluster)) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM jt GROUP BY label)) AS b, (SELECT count(*) * (count(*) - 1) / 2 FROM jt) AS t)
-SELECT 0 AS run, 'none_em' AS method, metric, round(value, 6) + 0.0 AS value FROM (
- SELECT 'purity' AS metric, (SELECT sum(top) / sum(al) FROM (SELECT max(n) AS top, sum(n) AS al FROM ct GROUP BY cluster)) AS value
- UNION ALL SELECT 'nmi', mi / ((hc + hl) / 2) FROM en UNION ALL SELECT 'ari', (s - a * b / t) / ((a + b) / 2 - a * b / t) FROM ra)""",
+        "run_experiment": _scored_sql("none_em", _rounds_sql("(SELECT c, cluster FROM lab)", _means_sql, _POISSON, 1), "l1", True),
+        "run_experiment_chains": "".join(", " + part for part in (
+            "r1 AS (" + _scored_sql("none_em", _rounds_sql("(SELECT c, cluster FROM lab)", _means_sql, _POISSON, 1), "l1") + ")",
+            "r2 AS (" + _scored_sql("none_em2", _rounds_sql("(SELECT c, cluster FROM lab)", _means_sql, _POISSON, 2), "l2") + ")",
+            "r3 AS (" + _scored_sql("none_zip", _rounds_sql("(SELECT c, cluster FROM lab)", _zip_sql, _ZIP, 2), "l2") + ")",
+            "r4 AS (" + _scored_sql("none_nb", _rounds_sql("(SELECT c, cluster FROM lab)", _nb_sql, _NB, 2), "l2") + ")",
+            "r5 AS (" + _scored_sql("states_argmax", _two_sql(False), "(SELECT c, CAST(arg_max(k, w) AS INTEGER) AS cluster FROM w2 GROUP BY c)") + ")",
+        )) + "\nSELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5",
         "nearest_weights": f"WITH nd AS {dist}, nw AS (SELECT c, arg_min(k, (round(ll, 9), k)) AS top FROM nd GROUP BY c) SELECT c AS cell_id, k, CASE WHEN top = k THEN 0.75 ELSE 0.125 END::DOUBLE AS value FROM nw, ks",
         "nmf_start": f"WITH m0 AS MATERIALIZED {_means_sql('lab')} SELECT c AS cell_id, k, round(1 / greatest(ll, 1e-10) ** 2 / sum(1 / greatest(ll, 1e-10) ** 2) OVER (PARTITION BY c), 6) + 0.0 AS value FROM {_center_sql('(0 - m) * (ln(1e-10) - ln(m + 1e-10))', '(v - m) * (ln(v + 1e-10) - ln(m + 1e-10)) - (0 - m) * (ln(1e-10) - ln(m + 1e-10))', 'm0')}",
         "nb_objective": "SELECT round(sum((coalesce(v, 0) + r) * ln(d + r) - coalesce(v, 0) * ln(d)) / (SELECT count(*) FROM genes), 6) AS cost FROM (SELECT m.g, w.c, sum(m * w) + 1e-10 AS d, 1.0 + m.g % 5 AS r FROM m JOIN w ON w.k = m.k GROUP BY 1, 2) a LEFT JOIN x ON x.g = a.g AND x.c = a.c",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymix.functions import special, vectors
-from tallymix.operators import cluster, dispersed, evaluate, factor, lda, lineage, prep, prior, reduce, simulate
+from tallymix.operators import cluster, dispersed, evaluate, experiment, factor, lda, lineage, prep, prior, reduce, simulate
 from tallymix.operators.matrix import CountMatrix, unpacked
 from tallymix.sources import text
 from tallymix.streaming import scoring
@@ -479,3 +479,12 @@ def test_orthonormal_of_dependent_columns(spark):
     q = np.array([r.vec for r in tall.orthonormal(df, "gene_id", 3).orderBy("gene_id").collect()])
     e = np.linalg.eigvalsh(q.T @ q)
     assert np.allclose(e, [0, 1, 1], atol=1e-9)
+
+
+def test_states_as_points_and_places(sim):
+    m, _ = sim
+    options = {"max_iters": 2, "inner_max_iters": 5, "initialization": "kmpp"}
+    states = experiment.means_step(**options).run(m, 3).orderBy("cell_id").collect()
+    assert [r.cell_id for r in states] == [0, 1, 2] and all(len(r.vec) == 3 for r in states)
+    places = experiment.mds_step(2, **options).run(m, 3).collect()
+    assert len(places) == 240 and all(len(r.vec) == 2 and np.isfinite(r.vec).all() for r in places)
