@@ -282,8 +282,10 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "qual_norm_gaussian": lambda s, d: _r(prior.qual_norm_gaussian(_x(s, d), _prior(_x(s, d))), "m"),
         "simulate_poisson": on(lambda s, m: simulate.poisson_data(s, np.array([[2, 14, 31], [3, 17, 2], [60, 4, 90], [7, 25, 5]], float), m.n_cells(), seed=7)[0].entries),
         "nmf_kfold": on(lambda s, m: _w_long(ensemble.nmf_kfold(m, K, 2, max_iters=5).weights)),
-        "simulate_states": lambda s, d: simulate.state_data(s, *simulate.poisson_states(3, 100, 50)).entries,
-        "simulate_lineage": lambda s, d: simulate.state_data(s, *simulate.poisson_lineage(3, 30, 20)).entries,
+        "simulate_states": on(lambda s, m: simulate.state_data(s, simulate.poisson_states(K, 1, 50)[0], _two(m).weights).entries),
+        "simulate_zip_states": on(lambda s, m: simulate.state_data(s, simulate.poisson_states(K, 1, 50)[0], simulate.even_weights(m.cells, K), inflation=np.full(50, 0.3)).entries),
+        "simulate_nb_states": on(lambda s, m: simulate.state_data(s, simulate.poisson_states(K, 1, 50)[0], simulate.even_weights(m.cells, K), r=np.full(50, 4.0)).entries),
+        "simulate_lineage": on(lambda s, m: simulate.state_data(s, simulate.poisson_states(K, 1, 20)[0] * 3, simulate.lineage_weights(s, K, m.n_cells() // K)).entries),
         "downsample": on(lambda s, m: simulate.downsample(m, 0.1).entries),
         "bicluster": on(lambda s, m: cluster.bicluster(m, K, 2)[0]),
         "cocluster": on(lambda s, m: cluster.cocluster(m, K)[0]),

@@ -24,14 +24,15 @@ def score_cells(packed: DataFrame, genes: np.ndarray, means: np.ndarray, n_sweep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = sent.value
         for b in batches:
-            rows = []
-            for idx, val in zip(b.column("idx").to_pylist(), b.column("val").to_pylist(), strict=True):
-                g, v = np.array(idx or [], np.int64), np.array(val or [], float)
-                at = np.minimum(np.searchsorted(ids, g), len(ids) - 1)
-                known = ids[at] == g
-                w = sweeps(at[known], v[known], np.array([0, int(known.sum())]), m, np.full((1, m.shape[1]), 1 / m.shape[1]), n_sweeps)[0]
-                rows.append(w / w.sum() if w.sum() > 0 else np.full(m.shape[1], 1 / m.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column("cell_id"), pa.array(rows, pa.list_(pa.float64()))], ["cell_id", "w"])
+            lengths, g, v = np.asarray(b.column("idx").value_lengths().fill_null(0)), np.asarray(b.column("idx").flatten()), np.asarray(b.column("val").flatten())
+            at = np.minimum(np.searchsorted(ids, g), len(ids) - 1)
+            known = ids[at] == g
+            size = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[known], minlength=len(lengths))
+            even = np.full((len(lengths), m.shape[1]), 1 / m.shape[1])
+            w = sweeps(at[known], v[known], np.concatenate([[0], np.cumsum(size)]), m, even.copy(), n_sweeps)
+            total = w.sum(1, keepdims=True)
+            w = np.where(total > 0, w / np.where(total > 0, total, 1), even)
+            yield pa.RecordBatch.from_arrays([b.column("cell_id"), pa.array(list(w), pa.list_(pa.float64()))], ["cell_id", "w"])
 
     return packed.select("cell_id", "idx", "val").mapInArrow(run, "cell_id long, w array<double>")
 

@@ -488,3 +488,17 @@ def test_states_as_points_and_places(sim):
     assert [r.cell_id for r in states] == [0, 1, 2] and all(len(r.vec) == 3 for r in states)
     places = experiment.mds_step(2, **options).run(m, 3).collect()
     assert len(places) == 240 and all(len(r.vec) == 2 and np.isfinite(r.vec).all() for r in places)
+
+
+def test_weights_as_tables_give_the_same_cells(spark):
+    """Arrays and tables of weights, whatever the partitions; lineages and even weights made where they are used."""
+    means, weights = simulate.poisson_lineage(3, 7, 5, seed=2)
+    rows = lambda m: sorted(map(tuple, m.entries.collect()))
+    made = simulate.lineage_weights(spark, 3, 7)
+    assert np.allclose(np.array([r.w for r in made.orderBy("cell_id").collect()]).T, weights)
+    table = spark.createDataFrame([(c, [float(v) for v in weights[:, c]]) for c in range(21)], "cell_id long, w array<double>")
+    assert rows(simulate.state_data(spark, means, weights, 3)) == rows(simulate.state_data(spark, means, table.repartition(4), 3))
+    even = np.array([r.w for r in simulate.even_weights(spark.range(4000).withColumnRenamed("id", "cell_id"), 3, 1).collect()])
+    assert np.allclose(even.sum(1), 1) and np.allclose(even.mean(0), 1 / 3, atol=0.02) and np.allclose(even.var(0), 1 / 18, atol=0.006)
+    with pytest.raises(ValueError):
+        simulate.state_data(spark, means, np.zeros((3, simulate.WEIGHT_BYTES // 24 + 1)))
