@@ -1,6 +1,7 @@
 """Operators for preparing training corpora.
 
-Ten operators over tables of documents and urls, each in a module of its own.
+Thirteen operators over tables of documents, vectors and urls, each in a module
+of its own.
 Nothing else in the package imports this subpackage; ``catalog`` lists its
 queries for ``__spark_entry__.py``.
 """
