@@ -134,11 +134,22 @@ def _fixed(m: matrix.CountMatrix) -> factor.Estimate:
 
 
 def _spread(m: matrix.CountMatrix) -> DataFrame:
-    """Weights (cell_id, w) that differ from cell to cell."""
-    raw = m.cells.select("cell_id", F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda j: (1 + F.pmod(F.col("cell_id") * 7 + j * 5, F.lit(13))).cast("double")).alias("w"))
+    """Weights (cell_id, w): the shares that the genes 0, 1 and 2 mod 3 have in a cell's counts, each with one count more."""
+    sums = m.entries.groupBy("cell_id").agg(*(F.sum(F.when(F.pmod("gene_id", F.lit(K)) == j, F.col("value"))).alias(f"s{j}") for j in range(K)))
+    raw = m.cells.join(sums, "cell_id", "left").select("cell_id", F.array(*(F.coalesce(f"s{j}", F.lit(0.0)) + 1 for j in range(K))).alias("w"))
     return raw.select("cell_id", vectors.normalized(F.col("w")).alias("w"))
 
 
+def _thousandths(df: DataFrame) -> DataFrame:
+    """Places in the hundreds, whose closed form in SQL keeps fewer digits than the eigenvectors."""
+    return df.withColumn("value", F.round("value", 3) + 0.0)
+
+
+def _state_means(m: matrix.CountMatrix) -> DataFrame:
+    """The means of the fixed labels' clusters."""
+    return cluster.cluster_means(m, _labels(m), K)
+
+
 def _two(m: matrix.CountMatrix, **options) -> factor.Estimate:
     """Two rounds of one sweep each from the fixed labels."""
     return factor.run_state_estimation(m, K, init_weights=_labels(m), max_iters=2, inner_max_iters=1, **options)
@@ -245,8 +256,8 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "norm_nmf": on(lambda s, m: _w_long(factor.norm_nmf(m, K, init_means=_am(m), init_weights=_aw(m), max_iters=1, inner=2).weights)),
         "log_norm_nmf": on(lambda s, m: _w_long(factor.log_norm_nmf(m, K, init_means=_am(m), init_weights=_aw(m), max_iters=1, inner=2).weights)),
         "update_m": on(lambda s, m: _w_long(factor.update_m(m, _fixed(m), 1).means, "gene_id", "m")),
-        "mds": on(lambda s, m: _w_long(reduce.mds(_means(m), _spread(m)), value="x")),
-        "diffusion_mds": on(lambda s, m: _w_long(reduce.diffusion_mds(_means(m), _spread(m), rounds=2), value="x")),
+        "mds": on(lambda s, m: _thousandths(_w_long(reduce.mds(_state_means(m), _spread(m)), value="x"))),
+        "diffusion_mds": on(lambda s, m: _thousandths(_w_long(reduce.diffusion_mds(_state_means(m), _spread(m), rounds=2), value="x"))),
         "zip_fit": on(lambda s, m: _r(dispersed.zip_fit(m), "lam", "pi")),
         "dist_fit_best": lambda s, d: fitdist.best_distribution(_x(s, d)),
         "qual_norm_levels": on(lambda s, m: _r(prior.gene_levels(m, m.genes), "low", "high", "w2")),
@@ -276,7 +287,7 @@ def _iterative() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "landmark_axis": on(lambda s, m: _w_long(reduce.dim_reduce_data(m, 1, _landmarks(m, 2)), value="x")),
         "dim_reduce_data": on(lambda s, m: reduce.dim_reduce_data(m, 2)),
         "diffusion_impute": on(lambda s, m: reduce.diffusion_impute(m, 3, 2, 10, 5)),
-        "run_lineage": on(lambda s, m: lineage.run_lineage(_means(m), _spread(m))[1]),
+        "run_lineage": on(lambda s, m: lineage.run_lineage(_state_means(m), _spread(m))[1]),
         "nb_fit": lambda s, d: _r(dispersed.nb_fit(_x(s, d)).select("gene_id", "p", F.log("r").alias("log_r")), "p", "log_r"),
         "qual_norm": lambda s, d: _r(prior.qual_norm(_x(s, d), _prior(_x(s, d))), "m"),
         "qual_norm_gaussian": lambda s, d: _r(prior.qual_norm_gaussian(_x(s, d), _prior(_x(s, d))), "m"),
@@ -529,15 +540,16 @@ def _mds_sql(power: int) -> str:
     minors = "b00 * b11 - b01 * b01 + b00 * b22 - b02 * b02 + b11 * b22 - b12 * b12"
     vector = "SELECT *, [b01 * b12 - b02 * (b11 - e), b02 * b01 - (b00 - e) * b12, (b00 - e) * (b11 - e) - b01 * b01] AS v FROM"
     return f""",
-dd AS (SELECT a.k AS i, b.k AS j, sum((a.m - b.m) * (ln(a.m + 1e-10) - ln(b.m + 1e-10))) ** 2 AS q FROM m a JOIN m b ON a.g = b.g GROUP BY 1, 2),
+cmx AS MATERIALIZED {_means_sql("lab")},
+dd AS (SELECT a.k AS i, b.k AS j, sum((a.m - b.m) * (ln(a.m + 1e-10) - ln(b.m + 1e-10))) ** 2 AS q FROM cmx a JOIN cmx b ON a.g = b.g GROUP BY 1, 2),
 bb AS (SELECT i, j, -0.5 * (q - avg(q) OVER (PARTITION BY i) - avg(q) OVER (PARTITION BY j) + avg(q) OVER ()) AS b FROM dd),
 flat AS (SELECT max(b) FILTER (WHERE i = 0 AND j = 0) AS b00, max(b) FILTER (WHERE i = 0 AND j = 1) AS b01, max(b) FILTER (WHERE i = 0 AND j = 2) AS b02, max(b) FILTER (WHERE i = 1 AND j = 1) AS b11, max(b) FILTER (WHERE i = 1 AND j = 2) AS b12, max(b) FILTER (WHERE i = 2 AND j = 2) AS b22 FROM bb),
 eig AS (SELECT *, 0 AS d, ((b00 + b11 + b22) + sqrt((b00 + b11 + b22) ** 2 - 4 * ({minors}))) / 2 AS e FROM flat UNION ALL SELECT *, 1 AS d, ((b00 + b11 + b22) - sqrt((b00 + b11 + b22) ** 2 - 4 * ({minors}))) / 2 AS e FROM flat),
 vec AS ({vector} eig),
 un AS (SELECT d, e, v, sqrt(v[1] ** 2 + v[2] ** 2 + v[3] ** 2) AS len, list_aggregate(list_transform(v, lambda y: abs(y)), 'max') AS top FROM vec),
 st AS (SELECT d, unnest(range(3)) AS k, unnest(v) / len * sqrt(greatest(e, 0)) * CASE WHEN list_contains(v, top) THEN 1 ELSE -1 END AS x FROM un),
-raw AS (SELECT c, k, ((1 + (c * 7 + k * 5) % 13)::DOUBLE) AS r FROM cells, ks), sw AS (SELECT c, k, r ** {power} / sum(r ** {power}) OVER (PARTITION BY c) AS w FROM raw)
-SELECT c AS cell_id, CAST(d AS INTEGER) AS k, round(sum(w * x), 6) + 0.0 AS value FROM sw JOIN st ON st.k = sw.k GROUP BY 1, 2"""
+raw AS (SELECT cells.c, ks.k, coalesce(sum(v), 0)::DOUBLE + 1 AS r FROM cells CROSS JOIN ks LEFT JOIN x ON x.c = cells.c AND x.g % 3 = ks.k GROUP BY 1, 2), sw AS (SELECT c, k, r ** {power} / sum(r ** {power}) OVER (PARTITION BY c) AS w FROM raw)
+SELECT c AS cell_id, CAST(d AS INTEGER) AS k, round(round(sum(w * x), 6), 3) + 0.0 AS value FROM sw JOIN st ON st.k = sw.k GROUP BY 1, 2"""
 
 
 def _kmeans_sql(seed: int) -> str:
