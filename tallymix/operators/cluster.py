@@ -171,6 +171,7 @@ def gap(scores: DataFrame, k: int, n_reference: int = 5, seed: int = 0) -> tuple
 
             r = df.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s")).first().s
             cost = float(r.variance.toArray().sum()) * (r["count"] - 1)
+        df.unpersist()
         return math.log(max(cost, 1e-300))
 
     own = inertia(data, seed)

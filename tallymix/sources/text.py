@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.matrix import CountMatrix
+from ..operators.store import stored
 
 
 def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +37,7 @@ def _words(c: str = "value"):
 def read_dense(spark: SparkSession, path: str) -> CountMatrix:
     """White-space matrix, one gene per line, one column per cell."""
     rows = numbered_lines(spark, path).where("trim(value) <> ''").withColumn("line", F.row_number().over(W.orderBy("line")) - 1)
-    long = rows.select(F.col("line").cast("long").alias("gene_id"), F.posexplode(_words()).alias("cell_id", "v")).select("gene_id", F.col("cell_id").cast("long"), F.col("v").cast("double").alias("value")).persist()
+    long = stored(rows.select(F.col("line").cast("long").alias("gene_id"), F.posexplode(_words()).alias("cell_id", "v")).select("gene_id", F.col("cell_id").cast("long"), F.col("v").cast("double").alias("value")))
     return CountMatrix.of(long, long.select("gene_id").distinct(), long.select("cell_id").distinct())
 
 
