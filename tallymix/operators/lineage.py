@@ -88,19 +88,25 @@ def curve_edges(points: DataFrame, coord: str = "coord") -> DataFrame:
     return points.select(F.col("cell_id").alias("src"), after.alias("dst")).where("dst is not null")
 
 
-#: Halvings of the whole width that are tried for the first squares, and how many places one of these may hold on average.
-LEVELS, FIRST_ROWS = 48, 4
+#: Halvings of squares' area that are tried for the first ones, in strides, and how many places a used one may hold on average.
+LEVELS, STRIDE, FIRST_ROWS = 96, 8, 2
 
 
 def first_level(points: DataFrame, whole: float, x0: float, y0: float, x: str, y: str) -> int:
-    """How often the whole width is halved until squares hold few places each.
+    """How often the area of the whole is halved until squares hold few places each.
 
-    The squares in use are counted at all levels in one pass, so that points far
+    The squares in use are counted at many levels in one pass, and in another at
+    those between the last that is too coarse and the next, so that points far
     out, which widen the box, don't widen the squares of the others.
     """
-    square = lambda j: F.struct(*(F.floor((F.col(c) - F.lit(low)) / F.lit(whole / 2**j)) for c, low in ((x, x0), (y, y0))))
-    counts = points.agg(*(F.approx_count_distinct(square(j)).alias(f"l{j}") for j in range(0, LEVELS, 2)), F.count("*").alias("n")).first()
-    return next((j for j in range(0, LEVELS, 2) if counts[f"l{j}"] * FIRST_ROWS >= counts["n"]), LEVELS - 2)
+    square = lambda j: F.struct(*(F.floor((F.col(c) - F.lit(low)) / F.lit(whole / 2 ** (j / 2))) for c, low in ((x, x0), (y, y0))))
+
+    def first(levels: range) -> int:
+        counts = points.agg(*(F.approx_count_distinct(square(j)).alias(f"l{j}") for j in levels), F.count("*").alias("n")).first()
+        return next((j for j in levels if counts[f"l{j}"] * FIRST_ROWS >= counts["n"]), levels[-1])
+
+    found = first(range(0, LEVELS, STRIDE))
+    return first(range(found - STRIDE + 1, found + 1)) if found else 0
 
 
 def nearest_links(points: DataFrame, x: str = "fx", y: str = "fy") -> DataFrame:
@@ -111,14 +117,14 @@ def nearest_links(points: DataFrame, x: str = "fx", y: str = "fy") -> DataFrame:
     most hold few places, wherever the outermost cells lie; only those are joined
     that have two clusters in or beside them, and of a cluster's cells at one
     place the least id.  Clusters that find none that near go on with squares
-    four times as wide.
+    twice as wide.
     """
     places = stored(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy("cluster", x, y).agg(F.min("cell_id").alias("cell_id")))
     ends = places.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
     if places.select("cluster").distinct().limit(2).count() < 2:
         return places.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst")).limit(0)
     whole = max((ends.x1 or 0) - (ends.x0 or 0), (ends.y1 or 0) - (ends.y0 or 0)) or 1.0
-    width, rest, out = whole / 2 ** first_level(places, whole, ends.x0 or 0.0, ends.y0 or 0.0, x, y), places, []
+    width, rest, out = whole / 2 ** (first_level(places, whole, ends.x0 or 0.0, ends.y0 or 0.0, x, y) / 2), places, []
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     while True:
         cell = lambda c, low: F.floor((F.col(c) - F.lit(low)) / F.lit(width))  # noqa: B023, E731
@@ -136,7 +142,7 @@ def nearest_links(points: DataFrame, x: str = "fx", y: str = "fy") -> DataFrame:
         rest = rest.join(out[-1], "cluster", "left_anti")
         if width >= whole or rest.isEmpty():
             break
-        width = min(whole, 4 * width)
+        width = min(whole, 2 * width)
     links = out[0]
     for more in out[1:]:
         links = links.union(more)
