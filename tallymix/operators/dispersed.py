@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma_np, lgamma_np, trigamma_np
 from .factor import Estimate, Layout, Steps, _swapped, _to_one, initial_factors
-from .matrix import CountMatrix
+from .matrix import CountMatrix, components, full_factor
 from .prep import gene_mean_var, nb_genes
 from .store import stored
 
@@ -191,21 +191,76 @@ def nb_estimate_state(m: CountMatrix, k: int, r: DataFrame | None = None, max_it
     return Estimate(means, weights, float(cost) / max(1, m.n_genes())), r
 
 
+#: Distinct rows of a factor in one packed row, and products in one array.
+BLOCK_ROWS, BLOCK_PRODUCTS = 4096, 1 << 20
+
+
+def _blocks(rows: DataFrame, array: str, extra: str | None = None) -> DataFrame:
+    """(vec, extra, n): distinct rows of a factor and how often each occurs, some thousand to a packed row, stored."""
+    keys = [array, extra] if extra else [array]
+    counted = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(at, BLOCK_ROWS)
+                r = np.asarray(part.column(extra)).astype(float) if extra else np.zeros(part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (np.asarray(part.column(array).flatten()), r, np.asarray(part.column("n")))], ["vec", "extra", "n"])
+
+    return stored(counted.mapInArrow(pack, "vec binary, extra binary, n binary"))
+
+
+def sum_over_pairs(by_gene: DataFrame, by_cell: DataFrame, term: Callable[[np.ndarray, np.ndarray], np.ndarray], extra: str) -> DataFrame:
+    """One row (dense): the sum over all genes and cells of term(MW, the gene's ``extra``), of (gene_id, m, extra) and (cell_id, w).
+
+    Equal rows are counted and their products made once.  The others are made
+    in blocks that stay in their tasks: no row per gene and cell, and nothing of
+    that size is shuffled.
+    """
+    genes = _blocks(by_gene, "m", extra).repartition(4 * by_gene.sparkSession.sparkContext.defaultParallelism)
+    cells = _blocks(by_cell, "w").select(F.col("vec").alias("other"), F.col("n").alias("times"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for row in (r for b in batches for r in b.to_pylist()):
+            r, n, times = (np.frombuffer(row[c]) for c in ("extra", "n", "times"))
+            m, w = np.frombuffer(row["vec"]).reshape(len(n), -1), np.frombuffer(row["other"]).reshape(len(times), -1)
+            step = max(1, BLOCK_PRODUCTS // len(w))
+            for a in range(0, len(m), step):
+                z = slice(a, a + step)
+                total += float(n[z] @ (term(m[z] @ w.T, r[z, None]) @ times))
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["s"])
+
+    return genes.crossJoin(cells).mapInArrow(run, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("dense"))
+
+
+def _objective(m: CountMatrix, means: DataFrame, weights: DataFrame, by_gene: DataFrame, extra: str, absent: Callable, present: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """One row (cost): the terms of absent entries over all genes and cells, and what entries differ from them, over genes."""
+    ks = components(means, weights)
+    gene_rows = stored(full_factor(means, "gene_id", "m", ks).join(by_gene, "gene_id"))
+    cell_rows = stored(full_factor(weights, "cell_id", "w", ks))
+    dot = F.aggregate(F.zip_with("m", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    rows = m.entries.join(gene_rows, "gene_id").join(cell_rows, "cell_id").select("value", extra, dot.alias("d"))
+    some = rows.agg(F.coalesce(F.sum(present(F.col("value"), F.col("d"), F.col(extra))), F.lit(0.0)).alias("some"))
+    both = sum_over_pairs(gene_rows, cell_rows, absent, extra).crossJoin(some).crossJoin(m.genes.agg(F.count("*").alias("n")))
+    return both.select(((F.col("dense") + F.col("some")) / F.col("n")).alias("cost"))
+
+
 def nb_objective(m: CountMatrix, means: DataFrame, weights: DataFrame, r: DataFrame) -> DataFrame:
     """One row (cost): (sum over all genes and cells of (X + R) ln(MW + R) - X ln MW) / genes, of long factors (gene_id, k, m), (cell_id, k, w).
 
-    The dense sum is what the model asks for: every cell meets every gene once, by a join on the components.
+    The dense sum is what the model asks for; see ``sum_over_pairs``.
     """
-    product = means.join(weights, "k").groupBy("gene_id", "cell_id").agg((F.sum(F.col("m") * F.col("w")) + 1e-10).alias("d"))
-    rows = product.join(m.entries, ["gene_id", "cell_id"], "left").fillna(0.0, ["value"]).join(r, "gene_id")
-    term = (F.col("value") + F.col("r")) * F.log(F.col("d") + F.col("r")) - F.col("value") * F.log("d")
-    return rows.agg(F.sum(term).alias("s")).crossJoin(m.genes.agg(F.count("*").alias("n"))).select((F.col("s") / F.col("n")).alias("cost"))
+    absent = lambda d, r: r * np.log(d + 1e-10 + r)
+    present = lambda x, d, r: x * (F.log(d + 1e-10 + r) - F.log(d + 1e-10))
+    return _objective(m, means, weights, r, "r", absent, present)
 
 
 def zip_objective(m: CountMatrix, means: DataFrame, weights: DataFrame, z: DataFrame, eps: float = 1e-10) -> DataFrame:
     """One row (cost): minus the log-likelihood of the zero-inflated mixture, over genes; z (gene_id, z) is each gene's inflation, the factorial is left out."""
-    product = means.join(weights, "k").groupBy("gene_id", "cell_id").agg(F.sum(F.col("m") * F.col("w")).alias("d"))
-    rows = product.join(m.entries, ["gene_id", "cell_id"], "left").fillna(0.0, ["value"]).join(z, "gene_id")
-    hit = F.log(1 - F.col("z") + eps) + F.col("value") * F.log(F.col("d") + eps) - F.col("d")
-    zero = F.log(F.col("z") + (1 - F.col("z")) * F.exp(-F.col("d")) + eps)
-    return rows.agg((-F.sum(F.when(F.col("value") > 0, hit).otherwise(zero))).alias("s")).crossJoin(m.genes.agg(F.count("*").alias("n"))).select((F.col("s") / F.col("n")).alias("cost"))
+
+    def present(x: Column, d: Column, z: Column) -> Column:
+        zero = F.log(z + (1 - z) * F.exp(-d) + eps)
+        return F.when(x > 0, zero - (F.log(1 - z + eps) + x * F.log(d + eps) - d)).otherwise(0.0)
+
+    return _objective(m, means, weights, z, "z", lambda d, z: -np.log(z + (1 - z) * np.exp(-d) + eps), present)

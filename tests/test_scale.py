@@ -1,9 +1,10 @@
 """What larger tables showed: rules and forms that must not depend on the size of the input."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_operators import matrix
 
-from tallymix.operators import fitdist
+from tallymix.operators import dispersed, fitdist, likelihood
 
 
 def test_least_error_counts_to_six_places(spark):
@@ -14,3 +15,33 @@ def test_least_error_counts_to_six_places(spark):
     e = fitdist.fit_errors(m).first()
     assert e.norm < e.poiss and round(e.norm, 6) == round(e.poiss, 6)
     assert [r.dist for r in fitdist.best_distribution(m).collect()] == ["poiss"]
+
+
+def _long(spark, x, key, value):
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(x) for j, v in enumerate(row)], f"{key} long, k int, {value} double")
+
+
+def test_dense_objectives_by_blocks(spark, monkeypatch):
+    """The sums over all genes and cells, with equal rows counted and small blocks, against dense arrays."""
+    monkeypatch.setattr(dispersed, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(dispersed, "BLOCK_PRODUCTS", 8)
+    rng = np.random.default_rng(4)
+    x, mm, w = rng.poisson(0.7, (13, 9)).astype(float), rng.random((13, 3)) + 0.1, rng.random((9, 3))
+    mm[5:9], w[3:6] = mm[5], w[3]
+    r, z = 1.0 + np.arange(13) % 3, (np.arange(13) % 3) / 10
+    m, means, weights = matrix(spark, x), _long(spark, mm, "gene_id", "m"), _long(spark, w, "cell_id", "w")
+    side = lambda v, name: spark.createDataFrame([(g, float(y)) for g, y in enumerate(v)], f"gene_id long, {name} double")
+    d, rr, zz = mm @ w.T, r[:, None], z[:, None]
+    want = ((x + rr) * np.log(d + rr + 1e-10) - x * np.log(d + 1e-10)).sum() / 13
+    assert np.isclose(dispersed.nb_objective(m, means, weights, side(r, "r")).first().cost, want, rtol=1e-12)
+    want = -np.where(x > 0, np.log(1 - zz + 1e-10) + x * np.log(d + 1e-10) - d, np.log(zz + (1 - zz) * np.exp(-d) + 1e-10)).sum() / 13
+    assert np.isclose(dispersed.zip_objective(m, means, weights, side(z, "z")).first().cost, want, rtol=1e-12)
+    assert dispersed._blocks(means.groupBy("gene_id").agg(F.collect_list("m").alias("m")), "m").count() >= 3
+
+
+def test_poisson_objective_makes_no_row_per_entry_and_component(spark):
+    x = np.arange(12.0).reshape(4, 3)
+    means, weights = _long(spark, np.ones((4, 2)), "gene_id", "m"), _long(spark, np.full((3, 2), 0.5), "cell_id", "w")
+    df = likelihood.poisson_objective(matrix(spark, x), means, weights)
+    assert np.isclose(df.first().cost, 12 / 4, atol=1e-8)
+    assert "first(value" not in df._jdf.queryExecution().optimizedPlan().toString()
