@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_operators import matrix
 
-from tallymix.operators import dispersed, fitdist, likelihood
+from tallymix.operators import dispersed, factor, fitdist, likelihood, reduce
 
 
 def test_least_error_counts_to_six_places(spark):
@@ -45,3 +45,21 @@ def test_poisson_objective_makes_no_row_per_entry_and_component(spark):
     df = likelihood.poisson_objective(matrix(spark, x), means, weights)
     assert np.isclose(df.first().cost, 12 / 4, atol=1e-8)
     assert "first(value" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_imputing_walk_is_sent_or_joined(spark, monkeypatch):
+    """Genes walked inside their tasks, in small slices, equal the joins; nothing as large as the result is stored."""
+    rng = np.random.default_rng(8)
+    m = matrix(spark, rng.poisson(0.4, (15, 40)))
+    rows = lambda df: {(r.gene_id, r.cell_id): r.value for r in df.collect()}
+    monkeypatch.setattr(reduce, "WALK_PLACES", 100)
+    monkeypatch.setattr(reduce, "WALK_MOVES", 17)
+    calls = []
+    keep = reduce.stored
+    monkeypatch.setattr(reduce, "stored", lambda df, *a: calls.append(df.columns) or keep(df, *a))
+    one = rows(reduce.diffusion_impute(m, 3, 2, 5, 3))
+    assert ["gene_id", "cell_id", "value"] not in calls
+    monkeypatch.setattr(factor, "FACTOR_BYTES", 1000)
+    other = rows(reduce.diffusion_impute(m, 3, 2, 5, 3))
+    assert ["gene_id", "cell_id", "value"] in calls
+    assert one.keys() == other.keys() and np.allclose([one[k] for k in one], [other[k] for k in one], rtol=1e-9)
