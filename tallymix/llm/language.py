@@ -12,9 +12,9 @@ numbers of the private-use area, which has no letters.
 
 Counts are made over all labelled texts but those held back (one in
 ``HOLD_BACK``, by a hash of the text, so that copies stay together): tasks count
-their own n-grams, sums are by hash ranges.  N-grams rarer than one in ``RARE``
-symbols of their language are left out, which bounds a model whatever the
-corpus has.
+their own n-grams, sums are by hash ranges.  Every n-gram counts, however rare
+and however large the corpus; a model is as large as its language has different
+n-grams.
 
 A text is rejected if its best rate, less four standard errors of so many
 characters, is above a limit.  The limit is set on all texts held back: at the
@@ -43,7 +43,6 @@ ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
 PRIVATE, PRIVATE_SIZE = 0xE000, 6400
 HOLD_BACK = 10
-RARE = 1 << 27
 KEPT_SHARE, FOREIGN_SHARE = 0.999, 0.05
 #: What is tried for the sharpness of scores; the middle one holds where nothing is held back.
 SHARPNESS = tuple(float(x) for x in np.geomspace(1, 400, 25))
@@ -228,7 +227,6 @@ def _held_back() -> Column:
 
 def gram_counts(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """For each language its n-grams and their counts over all texts (lang, text)."""
-    sizes = {r.lang: r.n or 0 for r in docs.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).collect()}
     parts = 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +254,7 @@ def gram_counts(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         values, n = np.zeros(0, U64), np.zeros(0, np.int64)
         for g, m in zip(t.column("grams"), t.column("n"), strict=True):
             values, n = merged([(values, n), (np.frombuffer(g.as_buffer(), U64), np.frombuffer(m.as_buffer(), np.int64))])
-        keep = n >= sizes.get(name, 0) / RARE
-        return pa.table({"lang": [name], "part": t.column("part")[:1], "grams": pa.array([values[keep].tobytes()], pa.binary()), "n": pa.array([n[keep].astype("<i8").tobytes()], pa.binary())})
+        return pa.table({"lang": [name], "part": t.column("part")[:1], "grams": pa.array([values.tobytes()], pa.binary()), "n": pa.array([n.astype("<i8").tobytes()], pa.binary())})
 
     schema = "lang string, part int, grams binary, n binary"
     rows = docs.select("lang", "text").mapInArrow(count, schema).groupBy("lang", "part").applyInArrow(total, schema).collect()
