@@ -63,3 +63,18 @@ def test_imputing_walk_is_sent_or_joined(spark, monkeypatch):
     other = rows(reduce.diffusion_impute(m, 3, 2, 5, 3))
     assert ["gene_id", "cell_id", "value"] in calls
     assert one.keys() == other.keys() and np.allclose([one[k] for k in one], [other[k] for k in one], rtol=1e-9)
+
+
+def test_singular_vectors_go_by_the_shorter_side(spark, monkeypatch):
+    """With more genes than cells only cells x n numbers meet; scores, right vectors and values are numpy's."""
+    sizes, times = [], factor._gram_times
+    monkeypatch.setattr(factor, "_gram_times", lambda packed, ids, q, *a: sizes.append(q.shape) or times(packed, ids, q, *a))
+    x = np.random.default_rng(2).poisson(1.5, (50, 9)).astype(float)
+    for centred in (False, True):
+        a = x.T - (x.T.mean(0) if centred else 0)
+        left, values, right = np.linalg.svd(a, full_matrices=False)
+        got, vectors, sigma = factor.truncated_svd(matrix(spark, x), 9, passes=2, centred=centred)
+        scores = np.array([r.vec for r in got.orderBy("cell_id").collect()])
+        assert np.allclose(sigma[:8], values[:8]) and np.allclose(np.abs(scores[:, :8]), np.abs(left * values)[:, :8], atol=1e-6)
+        assert np.allclose(np.abs([r.vec for r in vectors.orderBy("gene_id").collect()])[:, :8], np.abs(right[:8].T), atol=1e-6)
+        assert set(sizes) == {(9, 9)}
