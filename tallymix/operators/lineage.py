@@ -88,69 +88,58 @@ def curve_edges(points: DataFrame, coord: str = "coord") -> DataFrame:
     return points.select(F.col("cell_id").alias("src"), after.alias("dst")).where("dst is not null")
 
 
-#: Halvings of squares' area that are tried for the first ones, in strides, and how many places a used one may hold on average.
-LEVELS, STRIDE, FIRST_ROWS = 96, 8, 2
-
-
-def first_level(points: DataFrame, whole: float, x0: float, y0: float, x: str, y: str) -> int:
-    """How often the area of the whole is halved until squares hold few places each.
-
-    The squares in use are counted at many levels in one pass, and in another at
-    those between the last that is too coarse and the next, so that points far
-    out, which widen the box, don't widen the squares of the others.
-    """
-    square = lambda j: F.struct(*(F.floor((F.col(c) - F.lit(low)) / F.lit(whole / 2 ** (j / 2))) for c, low in ((x, x0), (y, y0))))
-
-    def first(levels: range) -> int:
-        counts = points.agg(*(F.approx_count_distinct(square(j)).alias(f"l{j}") for j in levels), F.count("*").alias("n")).first()
-        return next((j for j in levels if counts[f"l{j}"] * FIRST_ROWS >= counts["n"]), levels[-1])
-
-    found = first(range(0, LEVELS, STRIDE))
-    return first(range(found - STRIDE + 1, found + 1)) if found else 0
+#: Halvings of the squares' width at most and at a time, and pairs of places for each place that are few enough to look at.
+LEVELS, STRIDE, PAIRS = 48, 2, 8
 
 
 def nearest_links(points: DataFrame, x: str = "fx", y: str = "fy") -> DataFrame:
     """(src, dst): for each cluster the closest pair with a cell of another one.
 
-    Cells meet in squares and the squares beside them, so a pair not farther
-    apart than the squares are wide is found.  The squares start so small that
-    most hold few places, wherever the outermost cells lie; only those are joined
-    that have two clusters in or beside them, and of a cluster's cells at one
-    place the least id.  Clusters that find none that near go on with squares
-    twice as wide.
+    Squares of a cluster meet squares that hold another one.  No pair of places
+    is nearer than its squares' boxes, and the least distance of the cells that
+    stand for squares bounds the cluster's closest pair, so pairs of squares
+    farther apart than that go; the others are halved until few pairs of places
+    are left, however far apart the clusters lie.  Of a cluster's cells at one
+    place the least id is taken.
     """
-    places = stored(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy("cluster", x, y).agg(F.min("cell_id").alias("cell_id")))
-    ends = places.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
-    if places.select("cluster").distinct().limit(2).count() < 2:
+    places = stored(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy("cluster", F.col(x).alias("x"), F.col(y).alias("y")).agg(F.min("cell_id").alias("cell_id")))
+    ends = places.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n"), F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).first()
+    if ends.c0 == ends.c1:
         return places.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst")).limit(0)
-    whole = max((ends.x1 or 0) - (ends.x0 or 0), (ends.y1 or 0) - (ends.y0 or 0)) or 1.0
-    width, rest, out = whole / 2 ** (first_level(places, whole, ends.x0 or 0.0, ends.y0 or 0.0, x, y) / 2), places, []
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    while True:
-        cell = lambda c, low: F.floor((F.col(c) - F.lit(low)) / F.lit(width))  # noqa: B023, E731
-        at = lambda p, a: p.select(F.col("cell_id").alias(a), F.col("cluster").alias(f"c_{a}"), F.col(x).alias(f"x_{a}"), F.col(y).alias(f"y_{a}"), cell(x, ends.x0).alias("gx"), cell(y, ends.y0).alias("gy"))  # noqa: B023, E731
-        around = lambda df: df.withColumn("s", steps).withColumns({"gx": F.col("gx") + F.col("s.i"), "gy": F.col("gy") + F.col("s.j")}).drop("s")
-        left, right = at(rest, "src"), at(places, "dst")
-        # squares that have two clusters in or beside them
-        seen = around(right.groupBy("gx", "gy").agg(F.min("c_dst").alias("c0"), F.max("c_dst").alias("c1")))
-        mixed = seen.groupBy("gx", "gy").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 < c1").select("gx", "gy")
-        d = F.round(F.pow(F.col("x_src") - F.col("x_dst"), 2) + F.pow(F.col("y_src") - F.col("y_dst"), 2), 9)
-        found = left.join(mixed, ["gx", "gy"], "left_semi").join(around(right), ["gx", "gy"]).where("c_src <> c_dst").groupBy("c_src").agg(F.min(F.struct(d.alias("d"), "src", "dst")).alias("e"))
-        if width < whole:
-            found = found.where(F.col("e.d") <= width * width)
-        out.append(stored(found.select(F.col("c_src").alias("cluster"), "e.src", "e.dst")))
-        rest = rest.join(out[-1], "cluster", "left_anti")
-        if width >= whole or rest.isEmpty():
-            break
-        width = min(whole, 2 * width)
-    links = out[0]
-    for more in out[1:]:
-        links = links.union(more)
-    return links.select("src", "dst")
+    whole = max(ends.x1 - ends.x0, ends.y1 - ends.y0) or 1.0
+
+    def squares(level: int, side: str, *keys: str) -> DataFrame:
+        """The box of each square's places, how many there are, and the first and last cluster's cell that stands for it."""
+        cell = [F.floor((F.col(c) - F.lit(low)) / F.lit(whole / 2**level)).alias(f"g{c}") for c, low in (("x", ends.x0), ("y", ends.y0))]
+        one = F.struct("cluster", "x", "y")
+        out = places.select("*", *cell).groupBy(*keys, "gx", "gy").agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))), F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b"))
+        up = [F.floor(F.col(f"g{c}") / 2**STRIDE).alias(f"{side}_up_{c}") for c in "xy"]
+        return out.select(*(F.col(c).alias(f"{side}_{c}") for c in out.columns), *up)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("(t_a.cluster <> s_cluster or t_b.cluster <> s_cluster)")
+        apart = sum(F.pow(F.greatest(F.col(f"t_low_{c}") - F.col(f"s_high_{c}"), F.col(f"s_low_{c}") - F.col(f"t_high_{c}"), F.lit(0.0)), 2) for c in "xy")
+        length = lambda t: F.when(F.col(f"{t}.cluster") != F.col("s_cluster"), sum(F.pow(F.col(f"{t}.{c}") - F.col(f"s_a.{c}"), 2) for c in "xy"))
+        pairs = stored(pairs.select("s_cluster", "s_gx", "s_gy", "t_gx", "t_gy", (F.col("s_n") * F.col("t_n").cast("double")).alias("n"), apart.alias("apart"), F.least(length("t_a"), length("t_b")).alias("most")))
+        most = pairs.groupBy("s_cluster").agg(F.min("most").alias("bound"))
+        # distances count to 9 places, so what may tie stays
+        return pairs.join(most, "s_cluster").where(F.col("apart") <= F.col("bound") * (1 + 1e-12) + 2e-9).select("s_cluster", "s_gx", "s_gy", "t_gx", "t_gy", "n")
+
+    level, left = 0, stored(near(squares(0, "s", "cluster").crossJoin(squares(0, "t"))))  # at most four squares of each cluster, and four in all
+    while level < LEVELS and (left.agg(F.sum("n")).first()[0] or 0) > PAIRS * ends.n:
+        level += STRIDE
+        up = left.select("s_cluster", *(F.col(f"{a}_g{c}").alias(f"{a}_up_{c}") for a in "st" for c in "xy"))
+        left = stored(near(up.join(squares(level, "s", "cluster"), ["s_cluster", "s_up_x", "s_up_y"]).join(squares(level, "t"), ["t_up_x", "t_up_y"])))
+    at = lambda a: places.select(F.col("cluster").alias(f"{a}_cluster"), F.col("cell_id").alias(f"{a}_id"), *(F.col(c).alias(f"{a}_{c}") for c in "xy"), *(F.floor((F.col(c) - F.lit(low)) / F.lit(whole / 2**level)).alias(f"{a}_g{c}") for c, low in (("x", ends.x0), ("y", ends.y0))))
+    d = F.round(F.pow(F.col("s_x") - F.col("t_x"), 2) + F.pow(F.col("s_y") - F.col("t_y"), 2), 9)
+    met = left.drop("n").join(at("s"), ["s_cluster", "s_gx", "s_gy"]).join(at("t"), ["t_gx", "t_gy"]).where("s_cluster <> t_cluster")
+    links = met.groupBy("s_cluster").agg(F.min(F.struct(d.alias("d"), F.col("s_id").alias("src"), F.col("t_id").alias("dst"))).alias("e"))
+    return links.select("e.src", "e.dst")
 
 
 def run_lineage(means: DataFrame, weights: DataFrame, curve: str = "poly", dimensions: int = 6) -> tuple[DataFrame, DataFrame]:
     """(points on their curves, edges (src, dst))."""
+    means, weights = stored(means), stored(weights)
     places = mds(means, weights, 2).join(weights.select("cell_id", argmax(F.col("w")).alias("cluster")), "cell_id")
     points = stored(fitted_curves(places.select("cell_id", "cluster", F.get("x", F.lit(0)).alias("x"), F.coalesce(F.get("x", F.lit(1)), F.lit(0.0)).alias("y")), curve, dimensions))
     return points, curve_edges(points).unionByName(nearest_links(points)).distinct()

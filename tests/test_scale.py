@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_operators import matrix
 
-from tallymix.operators import dispersed, factor, fitdist, lda, likelihood, reduce
+from tallymix.operators import dispersed, factor, fitdist, lda, likelihood, lineage, reduce
 
 
 def test_least_error_counts_to_six_places(spark):
@@ -89,3 +89,19 @@ def test_topics_take_no_time_by_token(spark, monkeypatch):
         assert all(sum(r.kept) == sum(r.z) for r in state)
     monkeypatch.setattr(lda, "FACTOR_BYTES", 0)
     assert sum(sum(r.z) for r in lda.sampled(matrix(spark, np.minimum(x, 9)), 2, 0.1, 0.01, 1, 0).collect()) == 39
+
+
+def test_far_clusters_link_by_few_pairs(spark, monkeypatch):
+    """Three far rows of places, near copies among them: the links are brute force's, in few rounds of squares."""
+    rng = np.random.default_rng(1)
+    xy = [(c, 1000.0 * c + u, 50.0 * c * u + (1e-13 * (i % 3))) for c in range(3) for i, u in enumerate(np.repeat(rng.random(40), 3))]
+    df = spark.createDataFrame([(i, c, float(x), float(y)) for i, (c, x, y) in enumerate(xy)], "cell_id long, cluster int, fx double, fy double")
+    calls, keep = [], lineage.stored
+    monkeypatch.setattr(lineage, "stored", lambda d, *a: calls.append(d.columns) or keep(d, *a))
+    got = {(r.src, r.dst) for r in lineage.nearest_links(df).collect()}
+    best = {}
+    for i, (c, x, y) in enumerate(xy):
+        for j, (e, u, v) in enumerate(xy):
+            if c != e:
+                best[c] = min(best.get(c, (np.inf,)), (round((x - u) ** 2 + (y - v) ** 2, 9), i, j))
+    assert got == {b[1:] for b in best.values()} and len(calls) <= 16
