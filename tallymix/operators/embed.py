@@ -2,8 +2,9 @@
 
 Each point's affinities go to its ``3 * perplexity`` nearest, found exactly by
 the metric partition, and are made symmetric by a union and a sum.  The edges
-are stored once, as packed arrays.  A step sends the positions and a grid to all
-tasks: edges add up what pulls their points together; what drives points apart
+are stored once, as packed arrays, those of a point in one row, so that a step
+brings each point to the driver once.  A step sends the positions and a grid to
+all tasks: edges add up what pulls their points together; what drives points apart
 is read from the grid, which holds the potentials of all points, smoothed from
 a lattice of charges by one Fourier transform.  The driver holds the positions
 (two doubles per point, at most ``POSITION_BYTES``) and the grid, and no matrix
@@ -87,6 +88,8 @@ class Grid:
         back = lambda f: np.fft.irfft2(f, (2 * n, 2 * n))[..., :n, :n].reshape(-1, n * n)
         #: Of all points on each node: the sum of 1 / (1 + d^2), and of its square with charges 1, x and y.
         self.potential = np.concatenate([back(spectrum[:1] * first), back(spectrum * second)])
+        #: The sum of 1 / (1 + d^2) over all pairs of points.
+        self.z = float(charge[0].ravel() @ self.potential[0] - len(y))
 
     def places(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nodes around each point and their weights, by quadratic interpolation."""
@@ -114,7 +117,7 @@ def pull(y: np.ndarray, i: np.ndarray, j: np.ndarray, p: np.ndarray) -> tuple[np
 
 
 def _packed(e: DataFrame, ids: np.ndarray, folder: str) -> DataFrame:
-    """Edges in rows of some ten thousand, points by their place in ``ids``; and rows (first, last) of all points."""
+    """Edges in rows of some ten thousand, by the place of their points in ``ids``; a point's edges lie in one row, a row's points side by side."""
     spark = e.sparkSession
     sent = spark.sparkContext.broadcast(ids)
 
@@ -124,17 +127,18 @@ def _packed(e: DataFrame, ids: np.ndarray, folder: str) -> DataFrame:
             i, j = (np.searchsorted(sent.value, np.asarray(b.column(c))).astype(np.int32) for c in ("id", "other"))
             held.append((i, j, np.asarray(b.column("p"))))
             if sum(len(h[0]) for h in held) >= EDGES:
-                yield made(held)
-                held = []
+                i, j, p = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(i, i[-1]))  # the last point may go on
+                if cut:
+                    yield made(i[:cut], j[:cut], p[:cut])
+                held = [(i[cut:], j[cut:], p[cut:])]
         if held:
-            yield made(held)
+            yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    def made(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*held, strict=True)], ["i", "j", "p"])
+    def made(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["i", "j", "p"])
 
-    rows = stored(e.mapInArrow(pack, "i binary, j binary, p binary").select("*", F.lit(None).cast("long").alias("first")), f"{folder}/edges")
-    starts = stored(spark.range(0, len(ids), POINTS).select(*(F.lit(None).cast("binary").alias(c) for c in "ijp"), F.col("id").alias("first")), f"{folder}/points")
-    return rows.unionByName(starts)
+    return stored(e.repartitionByRange("id").sortWithinPartitions("id", "other").mapInArrow(pack, "i binary, j binary, p binary"), f"{folder}/edges")
 
 
 def embed_tsne(weights: DataFrame, metric: str = "euclidean", seed: int = 0, perplexity: float = 30.0, iterations: int = 300, key: str = "cell_id", vec: str = "w") -> DataFrame:
@@ -163,23 +167,20 @@ def _moved(rows: DataFrame, n: int, iterations: int, seed: int) -> np.ndarray:
     for k in range(iterations):
         sent = context.broadcast((y, Grid(y)))
 
-        def forces(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def forces(batches: Iterator[pa.RecordBatch], sent=sent, push=EXAGGERATION if k < EARLY else 1.0) -> Iterator[pa.RecordBatch]:
             y, grid = sent.value
             for row in (r for b in batches for r in b.to_pylist()):
-                if row["first"] is None:
-                    z, (at, force) = None, pull(y, np.frombuffer(row["i"], np.int32), np.frombuffer(row["j"], np.int32), np.frombuffer(row["p"], np.float64))
-                else:
-                    at = np.arange(row["first"], min(row["first"] + POINTS, len(y)))
-                    z, force = grid.push(y[at])
-                yield pa.RecordBatch.from_arrays([pa.array([z], pa.float64()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([force.tobytes()], pa.binary())], ["z", "at", "force"])
-
-        attract, drive, z = np.zeros((n, 2)), np.zeros((n, 2)), 0.0
-        for r in rows.mapInArrow(forces, "z double, at binary, force binary").collect():  # two numbers per point and task
-            at, force = np.frombuffer(r.at, np.int32), np.frombuffer(r.force, np.float64).reshape(-1, 2)
-            (attract if r.z is None else drive)[at] += force  # the points of a row are distinct
-            z += r.z or 0.0
+                at, force = pull(y, np.frombuffer(row["i"], np.int32), np.frombuffer(row["j"], np.int32), np.frombuffer(row["p"], np.float64))
+                force = push * force
+                for a in range(0, len(at), POINTS):
+                    force[a : a + POINTS] -= grid.push(y[at[a : a + POINTS]])[1] / max(grid.z, 1e-300)
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([force.tobytes()], pa.binary())], ["first", "force"])
+
+        gradient = np.zeros((n, 2))
+        for r in rows.mapInArrow(forces, "first int, force binary").collect():  # two numbers for each point
+            force = np.frombuffer(r.force).reshape(-1, 2)
+            gradient[r.first : r.first + len(force)] = 4 * force
         sent.destroy()
-        gradient = 4 * ((EXAGGERATION if k < EARLY else 1.0) * attract - drive / max(z, 1e-300))
         gain = np.maximum(np.where(np.sign(gradient) != np.sign(step), gain + 0.2, gain * 0.8), 0.01)
         step = (0.5 if k < EARLY else 0.8) * step - rate * gain * gradient
         y = y + step

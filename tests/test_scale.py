@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_operators import matrix
 
-from tallymix.operators import dispersed, factor, fitdist, lda, likelihood, lineage, reduce
+from tallymix.operators import dispersed, embed, factor, fitdist, lda, likelihood, lineage, reduce, store
 
 
 def test_least_error_counts_to_six_places(spark):
@@ -105,3 +105,26 @@ def test_far_clusters_link_by_few_pairs(spark, monkeypatch):
             if c != e:
                 best[c] = min(best.get(c, (np.inf,)), (round((x - u) ** 2 + (y - v) ** 2, 9), i, j))
     assert got == {b[1:] for b in best.values()} and len(calls) <= 16
+
+
+def test_tsne_sends_each_point_once(spark, monkeypatch):
+    """A point's edges lie in one row, rows hold neighbouring points, and a step's sum over all pairs is known before it."""
+    monkeypatch.setattr(embed, "EDGES", 64)
+    y = np.random.default_rng(3).random((150, 2))
+    points = spark.createDataFrame([(5 * i, [float(v) for v in r]) for i, r in enumerate(y)], "id long, v array<double>")
+    rows = embed._packed(embed.edges(points, 150, 4.0, None), np.arange(0, 750, 5), store.shared_folder(spark)).collect()
+    seen = [np.unique(np.frombuffer(r.i, np.int32)) for r in rows]
+    assert len(rows) >= 2 and sorted(np.concatenate(seen)) == list(range(150)) and all(np.array_equal(s, np.arange(s[0], s[-1] + 1)) for s in seen)
+    grid = embed.Grid(y)
+    assert np.isclose(grid.z, grid.push(y)[0], rtol=1e-9)
+
+
+def test_line_search_looks_only_at_rows_that_go_on(monkeypatch):
+    """Halved steps are tried for the rows that need them, not for the whole batch."""
+    rng, looked, gradients = np.random.default_rng(0), [], factor.row_gradients
+    size = rng.integers(0, 60, 2000)
+    offs = np.concatenate([[0], np.cumsum(size)])
+    idx, val = rng.integers(0, 1000, offs[-1]), rng.integers(1, 50, offs[-1]).astype(float)
+    monkeypatch.setattr(factor, "row_gradients", lambda *a: looked.append(len(a[0])) or gradients(*a))
+    w = factor.quasi_newton(idx, val, offs, rng.random((1000, 3)) * 3, rng.random((2000, 3)), 20)
+    assert np.isfinite(w).all() and (w >= 0).all() and sum(looked) < 60 * offs[-1]
