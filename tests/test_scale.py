@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_operators import matrix
 
 from tallymix.operators import dispersed, embed, factor, fitdist, lda, likelihood, lineage, reduce, store
+from tallymix.operators.matrix import CountMatrix
 
 
 def test_least_error_counts_to_six_places(spark):
@@ -128,3 +129,13 @@ def test_line_search_looks_only_at_rows_that_go_on(monkeypatch):
     monkeypatch.setattr(factor, "row_gradients", lambda *a: looked.append(len(a[0])) or gradients(*a))
     w = factor.quasi_newton(idx, val, offs, rng.random((1000, 3)) * 3, rng.random((2000, 3)), 20)
     assert np.isfinite(w).all() and (w >= 0).all() and sum(looked) < 60 * offs[-1]
+
+
+def test_nmf_reads_stored_entries(spark, monkeypatch):
+    """Rounds don't sum the entries up again."""
+    seen, kept = [], CountMatrix.kept
+    monkeypatch.setattr(CountMatrix, "kept", lambda m: seen.append(kept(m)) or seen[-1])
+    m = matrix(spark, np.random.default_rng(0).poisson(1.0, (6, 5)))
+    assert np.isfinite(factor.nmf(m, 2, max_iters=5).cost) and len(seen) == 1
+    assert "Aggregate" not in seen[0].entries._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in seen[0].entries.collect()} == {tuple(r) for r in m.entries.collect()}
