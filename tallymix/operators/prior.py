@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,11 +24,21 @@ def binarize(q: DataFrame) -> DataFrame:
     return q.join(ends, "gene_id").select("gene_id", "k", (F.col("q") > F.col("lo") + (F.col("hi") - F.col("lo")) / 2).cast("int").alias("high"))
 
 
+#: Rows of a table that a task sorts or adds up at a time: larger tables are dealt to more tasks, not to larger ones.
+TASK_ROWS = 1 << 18
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Into how many tasks a stored table is dealt."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / TASK_ROWS))
+
+
 def value_runs(m: CountMatrix, genes: DataFrame) -> DataFrame:
     """(gene_id, value, n): how many cells have each value of a gene, its zeros as one run."""
-    chosen = m.select_genes(genes)
-    runs = chosen.entries.groupBy("gene_id", "value").agg(F.count("*").alias("n"))
-    full = chosen.genes.join(runs.groupBy("gene_id").agg(F.sum("n").alias("some")), "gene_id", "left")
+    tasks, listed = tasks_for(m.entries), m.genes.join(genes, "gene_id", "left_semi")
+    runs = stored(m.entries.repartition(tasks, "gene_id", "value").groupBy("gene_id", "value").agg(F.count("*").alias("n")))
+    runs = stored(runs.repartition(tasks_for(runs), "gene_id").join(listed, "gene_id", "left_semi"))
+    full = listed.join(runs.groupBy("gene_id").agg(F.sum("n").alias("some")), "gene_id", "left")
     zeros = full.select("gene_id", F.lit(0.0).alias("value"), (F.lit(m.n_cells()) - F.coalesce("some", F.lit(0))).alias("n"))
     return runs.unionByName(zeros.where("n > 0"))
 
@@ -37,13 +49,15 @@ def with_prefixes(runs: DataFrame) -> DataFrame:
     Runs are dealt by ranges of (gene, value), so no gene is gathered: a window
     adds up within a range, and one over a gene's ranges what lies before.
     """
-    dealt = stored(runs.repartitionByRange("gene_id", "value").withColumn("part", F.spark_partition_id()))
+    runs = stored(runs)
+    tasks = tasks_for(runs)
+    dealt = stored(runs.repartitionByRange(tasks, "gene_id", "value").withColumn("part", F.spark_partition_id()))
     parts = dealt.groupBy("gene_id", "part").agg(F.sum("n").alias("n_part"), F.sum(F.col("value") * F.col("n")).alias("t_part"))
     upto, gene = W.partitionBy("gene_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("gene_id")
     parts = parts.select("gene_id", "part", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in ("n_part", "t_part")), F.sum("n_part").over(gene).alias("n_all"), F.sum("t_part").over(gene).alias("t_all"))
     own = W.partitionBy("gene_id", "part").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    summed = dealt.withColumns({"count_": F.sum("n").over(own), "total_": F.sum(F.col("value") * F.col("n")).over(own)})
-    return summed.join(parts, ["gene_id", "part"]).select("gene_id", "value", "n", (F.col("count_") + F.col("n_part_before")).alias("count"), (F.col("total_") + F.col("t_part_before")).alias("total"), "n_all", "t_all")
+    summed = dealt.repartition(tasks, "gene_id", "part").withColumns({"count_": F.sum("n").over(own), "total_": F.sum(F.col("value") * F.col("n")).over(own)})
+    return summed.join(stored(parts), ["gene_id", "part"]).select("gene_id", "value", "n", (F.col("count_") + F.col("n_part_before")).alias("count"), (F.col("total_") + F.col("t_part_before")).alias("total"), "n_all", "t_all")
 
 
 def gene_levels(m: CountMatrix, genes: DataFrame, gaussian: bool = False) -> DataFrame:
@@ -54,11 +68,19 @@ def gene_levels(m: CountMatrix, genes: DataFrame, gaussian: bool = False) -> Dat
     the best (to 9 places) is taken.  Levels are the groups' medians, or their
     means if ``gaussian``; a gene of one value has it for both.
     """
-    rows = stored(with_prefixes(value_runs(m, genes)))
+    return _levels(m.kept(), genes, gaussian)
+
+
+def _levels(m: CountMatrix, genes: DataFrame, gaussian: bool) -> DataFrame:
+    """``gene_levels`` of a matrix whose entries are stored."""
     left, right = F.col("total") / F.col("count"), (F.col("t_all") - F.col("total")) / (F.col("n_all") - F.col("count"))
     rest = F.col("t_all") - F.col("total")
     gain = F.col("total") * left + rest * right if gaussian else F.col("total") * F.log(left + 1e-10) + rest * F.log(right + 1e-10)
-    cuts = rows.where("count < n_all").groupBy("gene_id").agg(F.max_by("count", F.struct(F.round(gain, 9), -F.col("count"))).alias("cut"))
+    rows = stored(with_prefixes(value_runs(m, genes)).withColumn("gain", F.when(F.col("count") < F.col("n_all"), F.round(gain, 9))))
+    best = stored(rows.where("count < n_all").groupBy("gene_id").agg(F.max("gain").alias("best")))
+    rows = rows.repartition(tasks_for(rows), "gene_id")
+    # an order by (gain, count) in one aggregate would sort all rows
+    cuts = rows.where("count < n_all").join(best, "gene_id").where("gain <=> best").groupBy("gene_id").agg(F.min("count").alias("cut"))
     both = rows.join(cuts, "gene_id", "left")
     low = F.col("count") <= F.coalesce("cut", "n_all")
     # a run's cells have the places count - n + 1 to count
@@ -102,11 +124,13 @@ def nearest_centers(m: CountMatrix, means: DataFrame) -> DataFrame:
 def qual_norm(m: CountMatrix, q: DataFrame, gaussian: bool = False) -> DataFrame:
     """(gene_id, k, m) for all genes of the prior; missing genes get the means of one assignment by the known ones, or
     the gene's mean where a cluster stays empty."""
-    missing = missing_genes(q)
+    m, missing = m.kept(), stored(missing_genes(q))
     known = q.join(missing, "gene_id", "left_anti")
-    out = stored(output_from_levels(known, gene_levels(m, known.select("gene_id").distinct(), gaussian), from_least=not gaussian))
+    out = stored(output_from_levels(known, _levels(m, known.select("gene_id").distinct(), gaussian), from_least=not gaussian))
     if missing.isEmpty():
         return out
+    # what follows joins entries by gene, in as many tasks as they need
+    m = CountMatrix(m.entries.repartition(tasks_for(m.entries), "gene_id"), m.genes, m.cells)
     k = q.agg(F.max("k")).first()[0] + 1
     labels = stored((nearest_centers if gaussian else poisson_assign)(m.select_genes(known.select("gene_id").distinct()), out))
     sizes = labels.groupBy(F.col("cluster").alias("k")).count()
