@@ -5,7 +5,7 @@ import pytest
 from conftest import duck
 from test_expansion import _dense
 
-from tallymix.operators import dispersed
+from tallymix.operators import cluster, dispersed
 from tallymix.plans import catalog
 
 
@@ -25,3 +25,26 @@ def test_nb_state_estimation_takes_all_its_rounds(spark, sf, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         catalog.queries()["nb_state_estimation"](spark, sf)
     assert seen == [(10, 40)]
+
+
+def test_coarse_scan_leads_the_fine_one(spark, sf, monkeypatch):
+    """The fine scan looks around the coarse one's choice, wherever that is; no k is looked at twice, none out of bounds."""
+    monkeypatch.setattr(cluster, "reduced", lambda m, seed: None)
+    for k_min, k_max, skip in ((1, 7, 3), (1, 50, 5), (2, 9, 4)):
+        for peak in range(k_min, k_max + 1):
+            seen = []
+            monkeypatch.setattr(cluster, "gap", lambda scores, k, n, seed, peak=peak, seen=seen: seen.append(k) or (-abs(k - peak), 0.01))
+            assert cluster.select_k(None, k_min, k_max, 2, skip) == peak
+            assert len(seen) == len(set(seen)) and k_min <= min(seen) and max(seen) <= k_max
+    asked = []
+    monkeypatch.setattr(cluster, "select_k", lambda m, *a, **b: asked.append((a, b)) or 1)
+    catalog.queries()["select_k"](spark, sf)
+    assert asked == [((), {})]
+
+
+def test_gap_is_that_of_sets_one_by_one(spark, monkeypatch):
+    x = np.random.default_rng(1).normal(size=(60, 2)) + 9 * (np.arange(60) % 3)[:, None]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "cell_id long, vec array<double>")
+    at_once = [cluster.gap(df, k, 3) for k in (1, 3)]
+    monkeypatch.setattr(cluster, "AT_ONCE", 1)
+    assert at_once == [cluster.gap(df, k, 3) for k in (1, 3)]
