@@ -29,7 +29,8 @@ EDGES, POINTS = 1 << 16, 1 << 12
 NODES = 3
 #: Boxes of the grid along a side, at least and at most; half a unit wide where that is between.
 LEAST_BOXES, MOST_BOXES = 40, 160
-EXAGGERATION, EARLY = 12.0, 100
+#: Affinities count so many times in the first quarter of the steps, in no more than EARLY of them.
+EXAGGERATION, EARLY = 12.0, 250
 #: The exponent is halved in at most so many steps until the perplexity fits.
 HALVINGS = 60
 
@@ -109,11 +110,11 @@ class Grid:
 
 
 def pull(y: np.ndarray, i: np.ndarray, j: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The points ``i`` of some edges, each once, and what pulls them."""
+    """The points ``i`` of some edges, each once, and what pulls them; a point's edges lie side by side."""
     diff = y[i] - y[j]
     force = (p / (1 + (diff * diff).sum(1)))[:, None] * diff
-    at, inverse = np.unique(i, return_inverse=True)
-    return at, np.column_stack([np.bincount(inverse, force[:, c], minlength=len(at)) for c in range(2)])
+    first = np.flatnonzero(np.diff(i, prepend=-1))
+    return i[first], np.add.reduceat(force, first, axis=0)
 
 
 def _packed(e: DataFrame, ids: np.ndarray, folder: str) -> DataFrame:
@@ -138,10 +139,11 @@ def _packed(e: DataFrame, ids: np.ndarray, folder: str) -> DataFrame:
     def made(*columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["i", "j", "p"])
 
-    return stored(e.repartitionByRange("id").sortWithinPartitions("id", "other").mapInArrow(pack, "i binary, j binary, p binary"), f"{folder}/edges")
+    # as many tasks as cores, though the table be small: it is read in every step
+    return stored(e.repartitionByRange(spark.sparkContext.defaultParallelism, "id").sortWithinPartitions("id", "other").mapInArrow(pack, "i binary, j binary, p binary"), f"{folder}/edges")
 
 
-def embed_tsne(weights: DataFrame, metric: str = "euclidean", seed: int = 0, perplexity: float = 30.0, iterations: int = 300, key: str = "cell_id", vec: str = "w") -> DataFrame:
+def embed_tsne(weights: DataFrame, metric: str = "euclidean", seed: int = 0, perplexity: float = 30.0, iterations: int = 1000, key: str = "cell_id", vec: str = "w") -> DataFrame:
     """(cell_id, x) in two dimensions; metric euclidean, or one of ``neighbours.TERMS``.
 
     Points that have no place (null or not finite) are left out; one point lies at the origin.
@@ -159,6 +161,11 @@ def embed_tsne(weights: DataFrame, metric: str = "euclidean", seed: int = 0, per
     return spark.createDataFrame(pa.table({"cell_id": pa.array(ids), "x": pa.array(y.tolist(), pa.list_(pa.float64()))}))
 
 
+def exaggeration(step: int, iterations: int) -> float:
+    """How many times affinities count in a step; a run of any length ends with steps in which they count once."""
+    return EXAGGERATION if step < min(EARLY, iterations // 4) else 1.0
+
+
 def _moved(rows: DataFrame, n: int, iterations: int, seed: int) -> np.ndarray:
     context = rows.sparkSession.sparkContext
     rng = np.random.default_rng(seed)
@@ -167,7 +174,7 @@ def _moved(rows: DataFrame, n: int, iterations: int, seed: int) -> np.ndarray:
     for k in range(iterations):
         sent = context.broadcast((y, Grid(y)))
 
-        def forces(batches: Iterator[pa.RecordBatch], sent=sent, push=EXAGGERATION if k < EARLY else 1.0) -> Iterator[pa.RecordBatch]:
+        def forces(batches: Iterator[pa.RecordBatch], sent=sent, push=exaggeration(k, iterations)) -> Iterator[pa.RecordBatch]:
             y, grid = sent.value
             for row in (r for b in batches for r in b.to_pylist()):
                 at, force = pull(y, np.frombuffer(row["i"], np.int32), np.frombuffer(row["j"], np.int32), np.frombuffer(row["p"], np.float64))
@@ -182,7 +189,7 @@ def _moved(rows: DataFrame, n: int, iterations: int, seed: int) -> np.ndarray:
             gradient[r.first : r.first + len(force)] = 4 * force
         sent.destroy()
         gain = np.maximum(np.where(np.sign(gradient) != np.sign(step), gain + 0.2, gain * 0.8), 0.01)
-        step = (0.5 if k < EARLY else 0.8) * step - rate * gain * gradient
+        step = (0.5 if exaggeration(k, iterations) > 1 else 0.8) * step - rate * gain * gradient
         y = y + step
         y = y - y.mean(0)
     return y

@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 from conftest import duck
+from test_embed import groups
 from test_expansion import _dense
 
-from tallymix.operators import cluster, dispersed
+from tallymix.operators import cluster, dispersed, embed
 from tallymix.plans import catalog
 
 
@@ -48,3 +49,24 @@ def test_gap_is_that_of_sets_one_by_one(spark, monkeypatch):
     at_once = [cluster.gap(df, k, 3) for k in (1, 3)]
     monkeypatch.setattr(cluster, "AT_ONCE", 1)
     assert at_once == [cluster.gap(df, k, 3) for k in (1, 3)]
+
+
+def _divergence(x: np.ndarray, y: np.ndarray, perplexity: float) -> float:
+    """What t-SNE makes small."""
+    square = lambda a: ((a[:, None] - a[None]) ** 2).sum(-1) + np.diag(np.full(len(a), np.inf))
+    p, q = embed.affinities(square(x), perplexity), 1 / (1 + square(y))
+    p, q = (p + p.T) / (2 * len(x)), q / q.sum()
+    return float((p[p > 1e-12] * np.log(p[p > 1e-12] / q[p > 1e-12])).sum())
+
+
+def test_tsne_goes_on_after_exaggeration(spark, sf, monkeypatch):
+    """A run of few steps isn't all exaggeration, and the query asks for all steps at the usual perplexity."""
+    x = groups(200)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "cell_id long, w array<double>")
+    y = np.array([r.x for r in embed.embed_tsne(df, perplexity=10.0, iterations=100).orderBy("cell_id").collect()])
+    assert _divergence(x, y, 10.0) < 1
+    asked = []
+    monkeypatch.setattr(embed, "embed_tsne", lambda weights, *a, **b: asked.append((a, b)))
+    catalog.queries()["tsne"](spark, sf)
+    assert asked == [((), {})]
+    assert [embed.exaggeration(k, 1000) > 1 for k in (0, 249, 250, 999)] == [True, True, False, False]
